@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, mixing, quality_rules, sharding, url_filter
+from . import decontamination, mixing, near_dedup, quality_rules, sharding, suffix_dedup, url_filter
 from .storage import materialize
 from .words import word_count
 
@@ -18,6 +18,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contaminated(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("contaminated", F.lit(True))
@@ -40,12 +44,16 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, carry=["doc_id"])
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "score", "verdict")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_mixing, op5_sharding, op7_url_filter)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_quality_rules, op4_mixing, op5_sharding, op6_suffix_dedup, op7_url_filter)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
