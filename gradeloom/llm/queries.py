@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, mixing, near_dedup, quality_rules, sharding, suffix_dedup, url_filter
+from . import decontamination, html_extraction, mixing, near_dedup, quality_rules, sharding, suffix_dedup, token_counts, toxicity, url_filter
 from .storage import materialize
 from .words import word_count
 
@@ -52,12 +52,20 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "score", "verdict")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(_table(spark, sf_dir, "pages"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_edited(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_quality_rules, op4_mixing, op5_sharding, op6_suffix_dedup, op7_url_filter, op9_html_extraction)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_decontamination, op3_quality_rules, op4_mixing, op5_sharding, op6_suffix_dedup, op7_url_filter, op8_toxicity, op9_html_extraction, op10_token_counts)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
