@@ -76,12 +76,13 @@ def grams(host: Column, path: Column, lengths: tuple[int, ...] = (3, 4)) -> Colu
 
     def part(name: str, value: Column) -> Column:
         framed = F.concat(F.lit("^"), value, F.lit("$"))
-        lists = []
-        for n in lengths:
+
+        def of(n: int) -> Column:
             last = F.length(framed) - n + 1
             at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            lists.append(F.transform(at, lambda i, n=n: F.concat(F.lit(name), F.substring(framed, i, F.lit(n)))))
-        return F.concat(*lists)
+            return F.transform(at, lambda i: F.concat(F.lit(name), F.substring(framed, i, F.lit(n))))
+
+        return F.concat(*[of(n) for n in lengths])
 
     return F.concat(part("h:", host), part("p:", path))
 
