@@ -247,6 +247,7 @@ def _cut_runs(match: int, buckets: int):
                 rows.rows.append((int(bucket[o[x]]), None, _pack(h[own], d[own], s[own].astype(np.int32), n[own].astype(np.int32), a[own].astype(np.int32), cut)))
 
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = text_bytes(batch.column(1))
             shared = [np.sort(np.frombuffer(b"".join(x or ()), np.uint32)) for x in batch.column(2).to_pylist()]
@@ -468,7 +469,8 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match:
     known = slim.where(F.col("_doc").isNotNull())
     shared = known.mapInArrow(_find_anchors(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_share), rows)
     shared = shared.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
-    runs = slim.join(shared, "_doc").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
+    # both joins are left joins of the same rows, so that the texts are dealt out once
+    runs = slim.join(shared, "_doc", "left").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
     marked = runs.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
     out = slim.join(marked, "_doc", "left").mapInArrow(_cut_out, "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return out.withColumnRenamed("_doc", doc_id)
