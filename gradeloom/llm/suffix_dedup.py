@@ -2,6 +2,8 @@
 
 A byte goes if a string of ``match`` bytes that covers it also starts in a document with a smaller id.
 
+0. A text that equals one of a smaller id (by SHA-256) is all repeated, if it is long enough, and takes no
+   further part: whatever it holds starts in the smaller document too.
 1. Every window of ``match`` bytes holds an anchor, its 16-byte string of the smallest hash (leftmost of
    equals), which depends on the window's bytes only, so equal windows have equal anchors. Anchors that
    two documents have are found by dealing out 8 bytes for each anchor, one copy for each task.
@@ -36,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _VALUE, _powers, mix64, text_bytes
+from .storage import materialize
 
 GRAM = 16
 CHUNK = 1 << 18
@@ -282,7 +285,9 @@ def _cut_runs(match: int, buckets: int):
 def _prefix(body: np.ndarray) -> np.ndarray:
     """Prefix polynomial hashes modulo 2**64."""
     power, _ = _powers(len(body) + 1)
-    return np.r_[U(0), np.cumsum(_VALUE[body] * power[: len(body)])]
+    prefix = np.zeros(len(body) + 1, U)
+    np.multiply(_VALUE[body], power[: len(body)], out=prefix[1:])
+    return np.cumsum(prefix, out=prefix)
 
 
 def _run_hashes(body: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -434,12 +439,16 @@ def _sort_runs(match: int):
     return process
 
 
-def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut_out(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
+        copy = batch.column(3).is_valid().to_pylist()
         out = []
         for k, blobs in enumerate(batch.column(2).to_pylist()):
             text = data[offsets[k] : offsets[k + 1]]
+            if copy[k] and len(text) >= match:
+                out.append((len(text), len(text), 1, hashlib.sha256(b"").hexdigest(), [[0, len(text)]]))
+                continue
             ranges = np.frombuffer(b"".join(blobs or ()), np.int64).reshape(-1, 2)
             ranges = ranges[ranges[:, 0] < len(text)]
             if not len(ranges):
@@ -464,15 +473,20 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match:
         raise ValueError(f"match must be {2 * GRAM} or more")
     slim = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = 8 * partitions
     rows = "_bucket int, _doc long, _blob binary"
-    known = slim.where(F.col("_doc").isNotNull())
+    # copies of a text of a smaller id
+    hashes = slim.where("_doc is not null").select("_doc", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_hash"))
+    owners = hashes.groupBy("_hash").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last")).where("_owner < _last").select("_hash", "_owner")
+    copies = materialize(hashes.join(owners, "_hash").where("_doc > _owner").select("_doc", F.lit(True).alias("_copy")).distinct(), "copies")
+    slim = slim.join(copies, "_doc", "left")
+    known = slim.where(F.col("_doc").isNotNull() & F.col("_copy").isNull()).select("_doc", "_text")
     shared = known.mapInArrow(_find_anchors(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_share), rows)
     shared = shared.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
     # both joins are left joins of the same rows, so that the texts are dealt out once
-    runs = slim.join(shared, "_doc", "left").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
+    runs = slim.join(shared, "_doc", "left").select("_doc", "_text", "_blobs").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
     marked = runs.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
-    out = slim.join(marked, "_doc", "left").mapInArrow(_cut_out, "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    out = slim.join(marked, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(lambda batches: _cut_out(batches, match), "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return out.withColumnRenamed("_doc", doc_id)
 
 
