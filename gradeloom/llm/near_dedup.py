@@ -6,11 +6,13 @@
 2. Each text gets ``bands * rows`` consistent weighted samples (Ioffe's scheme: r and c from
    gamma(2, 1), beta uniform, the smallest ln a wins); two texts agree in a sample with a probability of
    their weighted Jaccard similarity. Equal texts are one class from the start.
-3. Texts that agree in a band meet in a bucket. There each is compared with the bucket's smallest text,
-   not all with all. Those that are not similar to it are in turn compared with the whole bucket, a few
-   of them in each round, until each text of a bucket is linked or has been compared with all others.
-4. A comparison is the exact weighted Jaccard similarity of the two texts; pairs of ``threshold`` or
-   more are links and connected components are the classes.
+3. Texts that agree in a band meet in a bucket; buckets of the same texts are one. A bucket is cut into
+   blocks of bounded bytes. In each block an inverted index of the shingles gives the exact weighted
+   Jaccard similarity of one text to all others at a time: first of the bucket's smallest text, then of
+   every text that isn't linked to it yet, so that a large group of copies takes one look-up and no pair
+   of unlike texts is left out. Texts without a link in a bucket of several blocks are taken to its other
+   blocks too. Only links leave the tasks, no pairs.
+4. Pairs of ``threshold`` or more are links; connected components are the classes.
 
 The hash tables and the sketch have a fixed size; everything else is dealt out by Spark. With 8 bands of
 3 rows a pair of similarity 0.8 is met with a probability of 0.997, one of 0.9 with 0.99997.
@@ -157,29 +159,100 @@ def _signatures(docs: DataFrame, text: str, doc_id: str, idf, bands: int, rows:
     return docs.select(F.col(doc_id).cast("long").alias("_doc"), text).mapInArrow(sign, "_doc long, _text binary, _bands array<long>")
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """Adds _sim, the exact weighted Jaccard similarity, to pairs (_a, _b)."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class Block:
+    """Texts of a block with an inverted index of their shingles."""
+
+    def __init__(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.texts = texts
+        sizes = [len(h) for h, _ in texts]
+        h = np.concatenate([h for h, _ in texts])
+        order = np.argsort(h, kind="stable")
+        self.h, self.w, self.of = h[order], np.concatenate([w for _, w in texts])[order], np.repeat(np.arange(len(texts)), sizes)[order]
+        self.total = np.array([w.sum() for _, w in texts])
+
+    def similar(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of a text to each of the block's."""
+        low, high = np.searchsorted(self.h, h), np.searchsorted(self.h, h, side="right")
+        n = high - low
+        at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.of[at], np.minimum(self.w[at], np.repeat(w, n)), minlength=len(self.texts))
+        return both / (w.sum() + self.total - both)
+
+
+def _link(ids: list[int], texts: list[tuple[np.ndarray, np.ndarray]], own: list[bool], threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+    """Links that join the texts' components, and the texts that aren't joined to the first.
+
+    Rows that aren't the block's own come from other blocks and are only asked for."""
+    mine = [k for k, o in enumerate(own) if o]
+    links: list[tuple[int, int]] = []
+    if not mine:
+        return links, []
+    block = Block([texts[k] for k in mine])
+    root = {ids[k]: ids[k] for k in range(len(ids))}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    order = sorted(range(len(ids)), key=lambda k: ids[k])
+    first = ids[order[0]]
+    rest = []
+    for k in order:
+        if find(ids[k]) == find(first) and ids[k] != first:
+            continue
+        for j in np.flatnonzero(block.similar(*texts[k]) >= threshold):
+            other = ids[mine[j]]
+            a, b = find(ids[k]), find(other)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((ids[k], other))
+        if own[k] and find(ids[k]) != find(first):
+            rest.append(ids[k])
+    return links, [x for x in rest if find(x) != find(first)]
+
+
+def _compare(rows: DataFrame, idf, threshold: float) -> DataFrame:
+    """_a, _b of links; _b null where a text of a bucket of several blocks has no link to the bucket's first text.
+
+    rows: _bucket, _block, _blocks, _rep, _own, _t, the rows of a block together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
+        key, held, out = None, [], []
+
+        def end() -> None:
+            if held:
+                links, rest = _link([r[0] for r in held], [r[2] for r in held], [r[1] for r in held], threshold)
+                out.extend((key[0], a, b) for a, b in links)
+                if key[2] > 1:
+                    out.extend((key[0], a, None) for a in rest)
+                held.clear()
+
+        def ready() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[]] * 3
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_bucket", "_a", "_b"])
+
         for batch in batches:
-            sims, last, weighed = [], None, None
-            left, right = shingles(batch.column(2)), shingles(batch.column(3))
-            for b, x, y in zip(batch.column(1).to_pylist(), left, right, strict=True):
-                if b != last:
-                    last, weighed = b, weigh(y, table)
-                (h, w), (g, v) = weigh(x, table), weighed
-                _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
-                both = np.minimum(w[i], v[j]).sum()
-                sims.append(float(both / (w.sum() + v.sum() - both)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], ["_a", "_b", "_sim"])
-
-    one = texts.select(F.col("_doc").alias("_a"), F.col("_t").alias("_ta"))
-    two = texts.select(F.col("_doc").alias("_b"), F.col("_t").alias("_tb"))
-    return pairs.join(one, "_a").join(two, "_b").select("_a", "_b", "_ta", "_tb").mapInArrow(compare, "_a long, _b long, _sim double")
-
-
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 8, rows: int = 3, idf_strength: float = 0.25) -> DataFrame:
+            keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+            for k, (s, rep, own) in enumerate(zip(shingles(batch.column(5)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+                if keys[k] != key:
+                    end()
+                    key = keys[k]
+                held.append((rep, own, weigh(s, table)))
+            if len(out) > 5000:
+                yield ready()
+        end()
+        yield ready()
+
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.select("_bucket", "_block", "_blocks", "_rep", "_own", "_t").repartition(4 * parts, "_bucket", "_block").sortWithinPartitions("_bucket", "_block")
+    return dealt.mapInArrow(run, "_bucket long, _a long, _b long")
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 8, rows: int = 3, idf_strength: float = 0.25, block_bytes: int = 8 << 20, block_texts: int = 4000) -> DataFrame:
     """doc_id, class_id and class_size of every row."""
     spark = docs.sparkSession
     counts = document_frequencies(docs, text)
@@ -193,23 +266,25 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     rep_texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_t")).join(reps, "_doc", "left_semi").groupBy("_doc").agg(F.first("_t").alias("_t"))
     rep_texts = materialize(rep_texts, "bucket_texts")
 
-    pairs = members.where("_rep <> _first").select(F.col("_rep").alias("_a"), F.col("_first").alias("_b")).distinct()
-    known = materialize(_similar(pairs, rep_texts, idf), "compared")
-    links = known.where(F.col("_sim") >= threshold)
-    linked = members.join(links.select(F.col("_a").alias("_rep"), F.col("_b").alias("_first"), F.lit(True).alias("_hit")), ["_rep", "_first"], "left")
-    left = materialize(linked.where("_hit is null and _rep <> _first").select("_bucket", "_rep"), "left_over")
-    at_once = 4
-    while left.limit(1).count():
-        ranks = materialize(_pivots(left, at_once), "pivots")
-        pairs = members.join(ranks, "_bucket").where("_rep <> _pivot").select(F.col("_rep").alias("_a"), F.col("_pivot").alias("_b")).distinct()
-        new = pairs.join(known.select("_a", "_b"), ["_a", "_b"], "left_anti")
-        more = materialize(_similar(new, rep_texts, idf), "compared")
-        known = known.unionByName(more)
-        links = known.where(F.col("_sim") >= threshold)
-        rest = left.join(ranks.withColumnRenamed("_pivot", "_rep"), ["_bucket", "_rep"], "left_anti")
-        hit = rest.join(ranks, "_bucket").join(links.select(F.col("_a").alias("_rep"), F.col("_b").alias("_pivot")), ["_rep", "_pivot"], "left_semi").select("_bucket", "_rep").distinct()
-        left = materialize(rest.join(hit, ["_bucket", "_rep"], "left_anti"), "left_over")
-        at_once *= 4
+    size = members.join(rep_texts.select(F.col("_doc").alias("_rep"), F.octet_length("_t").alias("_n")), "_rep")
+    sets = size.groupBy("_bucket").agg(F.sum("_n").alias("_bytes"), F.count(F.lit(1)).alias("_k"), F.min("_rep").alias("_first"), F.bit_xor(F.xxhash64("_rep")).alias("_x"), F.sum(F.pmod(F.xxhash64("_rep", F.lit(1)), F.lit(1 << 30))).alias("_y"))
+    sets = sets.groupBy("_k", "_first", "_x", "_y").agg(F.min("_bucket").alias("_bucket"), F.first("_bytes").alias("_bytes"))
+    blocks = F.ceil(F.greatest(F.col("_bytes") / block_bytes, F.col("_k") / block_texts)).cast("int")
+    sets = materialize(sets.select("_bucket", "_first", blocks.alias("_blocks")), "bucket_sets")
+    own = members.select("_bucket", "_rep").join(sets, "_bucket").withColumn("_block", F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks").cast("int")).withColumn("_own", F.lit(True))
+    # the bucket's first text goes to all of its blocks
+    guest = sets.where("_blocks > 1").select("_bucket", "_first", "_blocks", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).withColumn("_rep", F.col("_first"))
+    guest = guest.where(F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks") != F.col("_block")).withColumn("_own", F.lit(False))
+    with_text = lambda df: df.join(rep_texts.select(F.col("_doc").alias("_rep"), "_t"), "_rep")
+    found = materialize(_compare(with_text(own.unionByName(guest)), idf, threshold), "links")
+    links = found.where("_b is not null").select("_a", "_b")
+    alone = found.where("_b is null")
+    if alone.limit(1).count():
+        open_ = alone.select("_bucket", F.col("_a").alias("_rep")).join(sets.where("_blocks > 1"), "_bucket")
+        asked = open_.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_own", F.lit(False))
+        asked = asked.where(F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks") != F.col("_block"))
+        again = own.join(open_.select("_bucket").distinct(), "_bucket", "left_semi").unionByName(asked)
+        links = links.unionByName(_compare(with_text(again), idf, threshold).where("_b is not null").select("_a", "_b"))
     found = components(links, "_a", "_b")
     roots = texts.select("_text", "_rep").join(found, texts["_rep"] == found["node"], "left").select("_text", F.coalesce("label", "_rep").alias("class_id"))
     members = signed.select("_doc", "_text").join(roots, "_text").select(F.col("_doc").alias(doc_id), "class_id", "_text")
@@ -219,12 +294,6 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", thresho
     return members.withColumn("_class", label).join(sizes, "_class").select(doc_id, "class_id", "class_size")
 
 
-def _pivots(left: DataFrame, n: int) -> DataFrame:
-    """_bucket, _pivot: the smallest text left over in each of n hash classes of each bucket, at least one."""
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64("_rep"), F.lit(n)))
-    return salted.groupBy("_bucket", "_salt").agg(F.min("_rep").alias("_pivot")).drop("_salt")
-
-
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row of each class: that of the smallest doc_id; of rows without an id one of each text."""
     found = classes(docs, text, doc_id, **options)

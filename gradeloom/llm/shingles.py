@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 WORDS = 5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SPACE = np.zeros(256, bool)
