@@ -13,6 +13,7 @@ NODES = {
     "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except", "SubqueryAlias", "View", "LocalRelation", "OneRowRelation",
     "LogicalRelation", "LogicalRDD", "Window", "Generate", "Expand", "Pivot", "Unpivot", "WithCTE", "CTERelationDef", "CTERelationRef", "Range", "Tail", "LateralJoin", "Sample", "ResolvedHint", "UnresolvedHint", "DataSourceV2Relation",
 }
+SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 FORBIDDEN = {"CallMethodViaReflection", "TryReflect", "PythonUDF", "ScalaUDF", "ReadFiles", "InputFileName"}
 
 
@@ -34,7 +35,7 @@ def _expression(e) -> None:
     name = _name(e)
     if name in FORBIDDEN:
         raise Refused(f"{name} is not allowed")
-    if hasattr(e, "plan") and "Subquery" in name or name in ("Exists", "ListQuery"):
+    if name in SUBQUERIES:
         _plan(e.plan())
     for child in _walk(e.children()):
         _expression(child)
