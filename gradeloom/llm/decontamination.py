@@ -6,7 +6,7 @@ template tokens are hashed and joined with those of the benchmark's items, so th
 other numbers or names still meets its original. A document is contaminated by an item if at least
 ``coverage`` of the item's windows occur in it and the slots are consistent: along the aligned
 windows, equal values of the item stand for equal values of the document and different ones for
-different ones. An item shorter than a window is one window of its own length; windows that are
+different ones, taken over all of them or over those of one place that alone cover enough. An item shorter than a window is one window of its own length; windows that are
 mostly placeholders are not compared.
 
 Only DataFrame functions are used. The benchmark's windows are broadcast if they are few
@@ -61,6 +61,12 @@ def _slots(rows: DataFrame, key: str) -> DataFrame:
     return df.select(key, F.explode(F.arrays_zip("_at", "_v")).alias("_s")).select(key, F.col("_s._at").alias("_at"), F.col("_s._v").alias("_v"))
 
 
+def _consistency(pairs: DataFrame, *keys: str) -> DataFrame:
+    """n_slots and whether values stand for each other one to one."""
+    counts = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_slots"), F.countDistinct("_item_value").alias("_a"), F.countDistinct("_v").alias("_b"))
+    return counts.withColumn("_consistent", (F.col("n_slots") == F.col("_a")) & (F.col("n_slots") == F.col("_b")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = 8, coverage: float = 0.5, least_words: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots of every contamination."""
     items = benchmark.select(F.col(item_id).alias("_id"), template(F.col("text")).alias("_t"), slot_values(F.col("text")).alias("_v"))
@@ -97,13 +103,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     item_slots = materialize(_slots(item_slots, "_row").withColumnRenamed("_v", "_item_value"), "item_slots")
     spans = lines.join(items.select("_row", F.least(F.size("_t"), F.lit(window)).alias("_len")), "_row")
     at = spans.join(item_slots, "_row").where((F.col("_at") >= F.col("_i")) & (F.col("_at") < F.col("_i") + F.col("_len")))
-    at = materialize(at.select("_doc", "_row", "_item_value", (F.col("_at") - F.col("_i") + F.col("_j")).alias("_pos")).distinct(), "slots_wanted")
+    shift = (F.col("_j") - F.col("_i")).alias("_shift")
+    at = materialize(at.select("_doc", "_row", "_item_value", shift, (F.col("_at") + shift).alias("_pos")).distinct(), "slots_wanted")
     wanted = at.select(F.col("_doc").alias("_d")).distinct()
     again = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
     values = _slots(again.select("_id", template(F.col("_text")).alias("_t"), slot_values(F.col("_text")).alias("_v")), "_d")
-    pairs = at.join(values, at["_doc"].eqNullSafe(values["_d"]) & (at["_pos"] == values["_at"])).select("_doc", "_row", "_item_value", "_v").distinct()
-    slots = pairs.groupBy("_doc", "_row").agg(F.count(F.lit(1)).alias("n_slots"), F.countDistinct("_item_value").alias("_a"), F.countDistinct("_v").alias("_b"))
-    slots = slots.select(F.col("_doc").alias("_d"), F.col("_row").alias("_r"), "n_slots", ((F.col("n_slots") == F.col("_a")) & (F.col("n_slots") == F.col("_b"))).alias("_consistent"))
+    pairs = at.join(values, at["_doc"].eqNullSafe(values["_d"]) & (at["_pos"] == values["_at"])).select("_doc", "_row", "_shift", "_item_value", "_v").distinct()
+    pairs = materialize(pairs, "slot_pairs")
+    whole = _consistency(pairs.select("_doc", "_row", "_item_value", "_v").distinct(), "_doc", "_row").select("_doc", "_row", "n_slots", "_consistent")
+    # a second rendering of the item elsewhere in the text doesn't hide one that is consistent in itself
+    enough = lines.groupBy("_doc", "_row", shift).agg(F.countDistinct("_i").alias("_m")).join(need, "_row").where(F.col("_m") >= F.col("n_windows") * coverage)
+    by_line = _consistency(pairs, "_doc", "_row", "_shift").where("_consistent")
+    single = by_line.join(enough.select(F.col("_doc").alias("_d"), F.col("_row").alias("_r"), F.col("_shift").alias("_s")), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("_shift") == F.col("_s")), "left_semi")
+    slots = whole.unionByName(single.select("_doc", "_row", "n_slots", "_consistent")).groupBy(F.col("_doc").alias("_d"), F.col("_row").alias("_r")).agg(F.max("n_slots").alias("n_slots"), F.bool_or("_consistent").alias("_consistent"))
     judged = found.join(slots, found["_doc"].eqNullSafe(slots["_d"]) & (found["_row"] == slots["_r"]), "left").where(F.coalesce("_consistent", F.lit(True)))
     named = judged.join(items.select("_row", F.col("_id").alias(item_id)), "_row")
     return named.select(F.col("_doc").alias(doc_id), item_id, "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
@@ -112,4 +124,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents without the contaminated ones, all columns kept."""
     bad = materialize(contaminated(docs, benchmark, doc_id=doc_id, **options).select(F.col(doc_id).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
