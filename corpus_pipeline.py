@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
 from gradeloom.llm.storage import materialize
+from gradeloom.llm.words import word_count
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_whole"), "text", "source")
+    return quality_rules.apply_rules(whole, carry=["_whole"]).where("kept").select("_whole.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +31,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs)
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy")).drop("_copy")
+    mixed = mixing.mix(docs.select(F.struct("*").alias("_whole"), "doc_id", "source", word_count(F.col("text")).alias("_words")), size=F.col("_words"))
+    return mixed.select("_whole", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_whole.*")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
