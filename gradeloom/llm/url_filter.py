@@ -71,27 +71,26 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str, str]]) ->
     return out
 
 
-def grams(host: Column, path: Column, lengths: tuple[int, ...] = (3, 4)) -> Column:
-    """Character n-grams of host and path, each marked with its part."""
+def with_grams(df: DataFrame, lengths: tuple[int, ...] = (3, 4)) -> DataFrame:
+    """Adds _grams, the character n-grams of the columns host and path, each marked with its part.
 
-    def part(name: str, value: Column) -> Column:
-        framed = F.concat(F.lit("^"), value, F.lit("$"))
+    The characters are a column of their own, so that the work grows with the url's length and not its square."""
 
-        def of(n: int) -> Column:
-            last = F.length(framed) - n + 1
-            at = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-            return F.transform(at, lambda i: F.concat(F.lit(name), F.substring(framed, i, F.lit(n))))
+    def of(name: str, chars: str, n: int) -> Column:
+        starts = F.slice(chars, 1, F.greatest(F.size(chars) - (n - 1), F.lit(0)))
+        return F.transform(starts, lambda c, i: F.concat(F.lit(name), c, *[F.get(chars, i + k) for k in range(1, n)]))
 
-        return F.concat(*[of(n) for n in lengths])
-
-    return F.concat(part("h:", host), part("p:", path))
+    framed = lambda part: F.split(F.concat(F.lit("^"), F.col(part), F.lit("$")), "")
+    df = df.withColumn("_h", framed("host")).withColumn("_p", framed("path"))
+    return df.withColumn("_grams", F.concat(*[of(name, chars, n) for name, chars in (("h:", "_h"), ("p:", "_p")) for n in lengths])).drop("_h", "_p")
 
 
 def train(spark: SparkSession, labelled: list[tuple[str, int]] | DataFrame = LABELLED, features: int = 1 << 14, l2: float = 0.02):
     """The regression and its hashing step, fitted to the labelled urls."""
     table = labelled if isinstance(labelled, DataFrame) else spark.createDataFrame(labelled, "url string, label int")
     hashing = HashingTF(inputCol="_grams", outputCol="_x", numFeatures=features, binary=True)
-    x = hashing.transform(table.select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("_grams"), F.col("label").cast("double").alias("label")).coalesce(1))
+    parts = table.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
+    x = hashing.transform(with_grams(parts).select("_grams", "label").coalesce(1))
     return hashing, LogisticRegression(featuresCol="_x", labelCol="label", regParam=l2, maxIter=50, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred").fit(x)
 
 
@@ -99,7 +98,7 @@ def judge(pages: DataFrame, url: str = "url", rules: list[tuple[str, str, str]]
     """The input's columns with host, path, rule, score (of blocking) and verdict."""
     hashing, regression = model or train(pages.sparkSession)
     df = pages.select(F.struct("*").alias("_row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    df = df.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("_grams", grams(F.col("host"), F.col("path")))
+    df = with_grams(df.withColumn("_best", best_rule(F.col("host"), F.col("path"), rules)))
     df = regression.transform(hashing.transform(df))
     df = df.withColumn("score", vector_to_array("_prob")[1]).withColumn("rule", F.col("_best")["rule"])
     df = df.withColumn("verdict", F.coalesce(F.col("_best")["verdict"], F.when(F.col("score") >= 0.5, "block").otherwise("allow")))
