@@ -133,7 +133,7 @@ class _Rows:
 
     def by_doc(self, doc: np.ndarray, *values: np.ndarray) -> None:
         order, begins = _groups(doc)
-        for b, e in zip(begins, np.r_[begins[1:], len(order)], strict=True):
+        for b, e in zip(begins, [*begins[1:], len(order)] if len(order) else [], strict=True):
             own = order[b:e]
             d = int(doc[own[0]])
             self.rows.append((d % 1_000_003, d, np.stack([v[own] for v in values], 1).tobytes()))
@@ -493,8 +493,9 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match:
 def strip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match: int = 50) -> DataFrame:
     """doc_id and the text that is left, as bytes: a cut may fall inside a character."""
     spans = repeated(docs, text, doc_id, match).select(doc_id, "spans").where(F.size("spans") > 0).dropDuplicates([doc_id])
-    raw = F.encode(F.col(text), "UTF-8")
+    docs = docs.select(doc_id, F.col(text).alias("_text"))
+    raw = F.encode("_text", "UTF-8")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s[1]))
-    ends = F.concat(F.transform("spans", lambda s: s[0]), F.array(F.octet_length(text).cast("long")))
+    ends = F.concat(F.transform("spans", lambda s: s[0]), F.array(F.octet_length("_text").cast("long")))
     pieces = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda p: F.hex(F.substring(raw, (p["b"] + 1).cast("int"), (p["e"] - p["b"]).cast("int"))))
     return docs.join(spans, doc_id, "left").select(doc_id, F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(pieces, ""))).alias("kept"))
