@@ -483,8 +483,8 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match:
     known = slim.where(F.col("_doc").isNotNull() & F.col("_copy").isNull()).select("_doc", "_text")
     shared = known.mapInArrow(_find_anchors(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_share), rows)
     shared = shared.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
-    # both joins are left joins of the same rows, so that the texts are dealt out once
-    runs = slim.join(shared, "_doc", "left").select("_doc", "_text", "_blobs").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
+    # both joins are left joins of the same rows with the same columns, so that the texts are dealt out once
+    runs = slim.join(shared, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
     marked = runs.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
     out = slim.join(marked, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(lambda batches: _cut_out(batches, match), "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
     return out.withColumnRenamed("_doc", doc_id)
