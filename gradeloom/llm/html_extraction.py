@@ -55,19 +55,33 @@ BLOCKS = {
 #: An element of the key ends an open element of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Boilerplate by element and by a word of its class, id or role.
-OUT_TAGS = {"head", "title", "nav", "footer", "aside", "form", "button", "select", "input", "textarea", "menu", "dialog"}
+OUT_TAGS = {"head", "title", "nav", "footer", "aside", "button", "select", "input", "textarea", "menu", "dialog"}
 OUT_WORDS = {
     "ad", "ads", "advert", "adverts", "advertisement", "banner", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie",
     "cookies", "consent", "notice", "gdpr", "comment", "comments", "disqus", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "popup", "modal", "login", "signup", "search", "complementary", "contentinfo",
 }
+#: Words that may stand beside those in a name with hyphens, as in site-footer; any other word makes a modifier of it, as in has-sidebar.
+PLAIN_WORDS = {"site", "page", "main", "left", "right", "top", "bottom", "box", "list", "bar", "block", "area", "section", "container", "wrapper", "wrap", "inner", "widget", "item", "items", "links", "primary", "secondary", "global", "mobile", "desktop"}
 MAIN = ("article", "main")
+#: Elements that no name marks as boilerplate.
+NEVER_OUT = {"html", "body", *MAIN}
+#: A marked element with this share of the page's text is the page's wrapper, whatever its name says.
+WRAPPER = 0.9
+
+
+def out_name(name: str) -> bool:
+    """Whether a class, id or role as a whole names boilerplate."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p and not p.isdigit()]
+    return any(p in OUT_WORDS for p in parts) and all(p in OUT_WORDS or p in PLAIN_WORDS for p in parts)
 
 
 class _Open:
-    __slots__ = ("tag", "path", "out", "main")
+    """An element. out: by an element above; marks: the elements above, itself included, that a name or form marks."""
+
+    __slots__ = ("tag", "path", "out", "main", "marks")
 
-    def __init__(self, tag: str, path: str, out: bool, main: bool) -> None:
-        self.tag, self.path, self.out, self.main = tag, path, out, main
+    def __init__(self, tag: str, path: str, out: bool, main: bool, marks: tuple[_Open, ...] = ()) -> None:
+        self.tag, self.path, self.out, self.main, self.marks = tag, path, out, main, marks
 
 
 def events(page: str) -> Iterator[tuple[str, _Open, str]]:
@@ -102,10 +116,11 @@ def events(page: str) -> Iterator[tuple[str, _Open, str]]:
                 del stack[k:]
         names = sorted({w for a in _NAMES.finditer(m["attrs"]) for w in (a[2] or a[3] or a[4] or "").lower().split()}) if m["attrs"] else []
         top = stack[-1]
-        words = {p for n in names for p in re.split(r"[^a-z0-9]+", n)} if names else ()
         main = top.main or tag in MAIN or "main" in names
-        out = top.out or tag in OUT_TAGS or (tag == "header" and not main) or bool(names and OUT_WORDS.intersection(words))
-        e = _Open(tag, f"{top.path}/{tag}{''.join('.' + n for n in names)}", out, main)
+        out = top.out or tag in OUT_TAGS or (tag == "header" and not main)
+        e = _Open(tag, f"{top.path}/{tag}{''.join('.' + n for n in names)}", out, main, top.marks)
+        if tag == "form" or (tag not in NEVER_OUT and any(map(out_name, names))):
+            e.marks = (*top.marks, e)
         yield "open", e, ""
         if tag in VOID or (m["attrs"] or "").endswith("/"):
             if tag == "br":
@@ -116,16 +131,32 @@ def events(page: str) -> Iterator[tuple[str, _Open, str]]:
         stack.append(e)
 
 
+def parsed(page: str, slot: str | None = None) -> list[tuple[str, _Open, str, bool]]:
+    """The page's events, each with whether it is boilerplate by its elements and marks.
+
+    A mark doesn't count on an element that holds the slot or nearly all of the page's text."""
+    found = list(events(page))
+    total, held = 0, {}
+    for kind, e, text in found:
+        if kind == "text" and not e.out:
+            n = len(text.strip())
+            total += n
+            for m in e.marks:
+                held[m] = held.get(m, 0) + n
+    free = {m for m, n in held.items() if n >= total * WRAPPER}
+    return [(kind, e, text, e.out or any(m not in free and not (slot and f"{slot}/".startswith(f"{m.path}/")) for m in e.marks)) for kind, e, text in found]
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, token, pages, vector, chars): summed up over each task's pages."""
     sums: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
         for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             seen: dict[str, list[int]] = {"": [1, 0]}
-            for kind, e, text in events(page or ""):
+            for kind, e, text, out in parsed(page or ""):
                 if kind == "open":
                     seen.setdefault(e.path, [0, 0])[0] += 1
-                elif kind == "text" and not e.out:
+                elif kind == "text" and not out:
                     n, path = len(text.strip()), e.path
                     while n and path:
                         if path in seen:
@@ -177,29 +208,34 @@ def extract_text(page: str, slot: str | None) -> str:
     """The text of the main slot, or of the whole page if it has no such slot."""
     inside: list[str] = []
     whole: list[str] = []
+    everything: list[str] = []
     found = False
     own: list[str] = []
     other: list[str] = []
+    every: list[str] = []
 
     def end() -> None:
-        for parts, blocks in ((own, inside), (other, whole)):
+        for parts, blocks in ((own, inside), (other, whole), (every, everything)):
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 blocks.append(text)
             parts.clear()
 
-    for kind, e, text in events(page):
+    for kind, e, text, out in parsed(page, slot):
         in_slot = bool(slot) and (e.path == slot or e.path.startswith(slot + "/"))
         if kind == "block":
             end()
         elif kind == "open":
-            found = found or in_slot or e.tag in MAIN
-        elif not e.out:
-            other.append(text)
-            if in_slot or e.main:
-                own.append(text)
+            found = found or (not out and (in_slot or e.tag in MAIN))
+        else:
+            if not out:
+                other.append(text)
+                if in_slot or e.main:
+                    own.append(text)
+            if "/head" not in e.path[:11]:
+                every.append(text)
     end()
-    return "\n".join(inside if found else whole)
+    return "\n".join((found and inside) or whole or everything)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", support: float = 0.5, share: float = 0.6, least_pages: int = 5) -> DataFrame:

@@ -214,6 +214,25 @@ def test_main_text_by_template_where_no_element_is_named(spark):
     assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == {k: f"Story {k} is told here at some length for the reader\nand goes on for a while in part {k}" for k in range(12)}
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<html><body class="has-sidebar"><article><p>The story</p></article><div class="sidebar-left">Links</div></body></html>',
+        '<body class="sidebar"><article class="post social-science"><p>The story</p></article></body>',
+        '<body><article class="related"><p>The story</p></article></body>',
+        '<div id="page" class="with-nav"><article class="related-work"><p>The story</p></article></div>',
+        '<div class="sidebar-right"><article><p>The story</p></article></div>',
+        '<body><form id="aspnet"><div id="content"><p>The story</p></div></form></body>',
+        '<body><div id="content"><p>The story</p></div><aside><article>A teaser</article></aside></body>',
+        '<body><div id="content"><p>The story</p></div><div class="comments"><article>Nice</article></div></body>',
+        '<body><article></article><p>The story</p></body>',
+        '<html><head><title>T</title></head><body><nav>The story</nav></body></html>',
+    ],
+)
+def test_names_mark_no_main_text_as_boilerplate(page):
+    assert html_extraction.extract_text(page, None) == "The story"
+
+
 @pytest.fixture(scope="module")
 def counter():
     return token_counts.Counter(token_counts.read_ranks(token_counts.VOCABULARY))
