@@ -9,8 +9,8 @@
    falls away. The nested valid classes are the host's template; what differs between its tokens are the
    slots. A host with fewer than ``least_pages`` pages uses the template of all hosts together.
 3. Slots under menus, headers, footers, sidebars, notices, adverts, forms and comments are boilerplate by
-   their template tokens. Of the others the main slot is the deepest template token that holds at least
-   ``share`` of their text; an article or main element, where the template has one, goes before.
+   their template tokens. Of the others the main slot is the deepest template token that a page has once and that
+   holds at least ``share`` of their text; an article or main element, where the template has one, goes before.
 4. From each page the text of the main slot is taken, without boilerplate inside it. A page that lacks
    the slot is taken whole.
 
@@ -148,7 +148,7 @@ def parsed(page: str, slot: str | None = None) -> list[tuple[str, _Open, str, bo
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, vector, chars): summed up over each task's pages."""
+    """(host, token, pages, vector, chars, most): summed up over each task's pages."""
     sums: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
         for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -166,10 +166,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for token, (n, chars) in seen.items():
                 vector = xxhash.xxh3_64_intdigest(f"{key}/{n}") >> 1
                 for h in (host, ALL_HOSTS):
-                    s = sums.setdefault((h, token), [0, 0, 0])
+                    s = sums.setdefault((h, token), [0, 0, 0, 0])
                     s[0] += 1
                     s[1] ^= vector
                     s[2] += chars
+                    s[3] = max(s[3], n)
         if len(sums) > 200_000:
             yield _sums(sums)
             sums = {}
@@ -178,16 +179,16 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sums(sums: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
     rows = [(h, t, *s) for (h, t), s in sums.items()]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "pages", "vector", "chars"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "pages", "vector", "chars", "most"])
 
 
 def templates(pages: DataFrame, page_id: str, url: str, page: str, support: float, share: float, least_pages: int) -> DataFrame:
     """host, slot: the path of each host's main slot; the host '*' stands for all."""
     keyed = pages.select(F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("key"), host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
-    counted = keyed.mapInArrow(_counts, "host string, token string, pages long, vector long, chars long")
-    tokens = materialize(counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars")), "page_tokens")
+    counted = keyed.mapInArrow(_counts, "host string, token string, pages long, vector long, chars long, most long")
+    tokens = materialize(counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("most").alias("most")), "page_tokens")
     whole = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
     frequent = tokens.join(whole, "host").where((F.col("pages") >= F.col("all_pages") * support) & (F.col("token") != "") & (F.col("all_pages") >= least_pages))
     classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("class"))
@@ -198,8 +199,9 @@ def templates(pages: DataFrame, page_id: str, url: str, page: str, support: floa
     nested = valid.withColumn("parent", parent).join(parents, ["host", "parent"], "left_semi").unionByName(valid.withColumn("parent", parent).where("parent = ''"))
     slots = nested.select("host", "token").join(frequent, ["host", "token"])
     depth = F.size(F.split("token", "/"))
-    named = F.regexp_extract("token", "/(article|main)[^/]*$", 1) != ""
-    good = slots.where(named | (F.col("chars") >= F.col("all_chars") * share))
+    named = F.regexp_extract("token", "/(article|main)([.][^/]*)?$", 1) != ""
+    # only an element that a page has once holds all of an article; its paragraphs share a path
+    good = slots.where((F.col("most") == 1) & (F.col("chars") > 0) & (named | (F.col("chars") >= F.col("all_chars") * share)))
     best = F.max_by("token", F.struct(named.cast("int"), F.when(named, -depth).otherwise(depth), "chars", "token"))
     return good.groupBy("host").agg(best.alias("slot"))
 

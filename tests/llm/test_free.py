@@ -214,6 +214,14 @@ def test_main_text_by_template_where_no_element_is_named(spark):
     assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == {k: f"Story {k} is told here at some length for the reader\nand goes on for a while in part {k}" for k in range(12)}
 
 
+def test_main_text_keeps_what_stands_beside_the_paragraphs(spark):
+    body = "<h2>Part {k}</h2><p>Story {k} is told here at some length</p><p>with {k} more paragraphs than one, and long ones</p><ul><li>item {k}</li></ul><table><tr><td>cell {k}</td></tr></table><blockquote>said {k}</blockquote>"
+    page = f'<body><div class="menu">Go</div><div class="content">{body}</div><div class="z">Imprint</div></body>'
+    pages = spark.createDataFrame([(k, f"http://one.org/{k}", page.replace("{k}", str(k))) for k in range(12)], "page_id long, url string, html string")
+    want = "Part {k}\nStory {k} is told here at some length\nwith {k} more paragraphs than one, and long ones\nitem {k}\ncell {k}\nsaid {k}"
+    assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == {k: want.replace("{k}", str(k)) for k in range(12)}
+
+
 @pytest.mark.parametrize(
     "page",
     [
