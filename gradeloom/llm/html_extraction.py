@@ -1,18 +1,22 @@
 """Main text of web pages by equivalence-class template deduction.
 
-1. A page is a sequence of tokens, each a tag with its path (tags, classes and ids above it). Tokens of
-   the same host that occur equally often in every page share an occurrence vector; vectors are compared
-   by a fingerprint, the exclusive or of a hash of (page, count) over all pages, so that a host's pages,
-   however many, are summed up in parallel and only tokens meet.
-2. A class of tokens with the same vector is valid if it occurs in at least ``support`` of the host's
-   pages; a token is nested in the class of its parent's path, and a class whose parents aren't valid
-   falls away. The nested valid classes are the host's template; what differs between its tokens are the
-   slots. A host with fewer than ``least_pages`` pages uses the template of all hosts together.
-3. Slots under menus, headers, footers, sidebars, notices, adverts, forms and comments are boilerplate by
-   their template tokens. Of the others the main slot is the deepest template token that a page has once and that
-   holds at least ``share`` of their text; an article or main element, where the template has one, goes before.
-4. From each page the text of the main slot is taken, without boilerplate inside it. A page that lacks
-   the slot is taken whole.
+1. A page is a sequence of tokens: each tag with its path (tags, classes and ids above it) and each line of
+   text with the path it begins at. Tokens of a host that occur equally often in every page share an
+   occurrence vector; vectors are compared by a fingerprint, the sum of a hash of (page, count) over all
+   pages beside the numbers of pages and occurrences, so that a host's pages, however many, are summed up
+   in parallel and only tokens meet.
+2. The tokens of a vector are a class. It is large enough with ``least_tokens`` tokens and frequent enough
+   if it occurs in ``support`` of the host's pages. It is valid if its tokens come in the same order, once
+   each before they come again, and nest with the other classes, in all pages but a few (``order``): a
+   page is read like brackets, where a class that is open goes on only after those opened within it are
+   closed; of two that cross, the smaller is charged. The valid classes are the host's template. A host
+   with fewer than ``least_pages`` pages uses the template of all hosts together.
+3. Lines between template tokens are slots; lines that are template tokens themselves are not. Slots under
+   menus, headers, footers, sidebars, notices, adverts, forms and comments are boilerplate. Of the others
+   the main slot is the deepest template token that a page has once and that holds at least ``share`` of
+   their text; an article or main element, where the template has one, goes before.
+4. From each page the text of the main slot is taken, without boilerplate and template lines inside it. A
+   page that lacks the slot is taken whole. Where nothing is left, marks and template don't count.
 
 Blocks are joined by line feeds; br counts as white space. A comment, tag or element that never ends runs
 to the end of the page.
@@ -46,6 +50,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_HEAD = re.compile(r"(?:/html[^/]*)?/head(?:[./]|\Z)")
 #: Elements that never have an end tag, elements that make a block, elements whose start ends an open p.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = {
@@ -147,111 +152,219 @@ def parsed(page: str, slot: str | None = None) -> list[tuple[str, _Open, str, bo
     return [(kind, e, text, e.out or any(m not in free and not (slot and f"{slot}/".startswith(f"{m.path}/")) for m in e.marks)) for kind, e, text in found]
 
 
+def tokens_of(page: list[tuple[str, _Open, str, bool]]) -> Iterator[tuple[str, str, bool, int]]:
+    """The page's tokens in order, each with its path, whether it is boilerplate, and its characters if it is a line."""
+    parts: list[str] = []
+    first: tuple[_Open, bool] | None = None
+    for kind, e, text, out in [*page, ("block", None, "", False)]:
+        if kind == "text":
+            if first is None and not text.isspace():
+                first = e, out
+            parts.append(text)
+        elif kind == "open":
+            yield e.path, e.path, out, 0
+        else:
+            if first is not None:
+                line = " ".join("".join(parts).split())
+                yield line_token(first[0].path, line), first[0].path, first[1], len(line)
+            first = None
+            parts.clear()
+
+
+def line_token(path: str, line: str) -> str:
+    """A token of fixed size; no path begins like it."""
+    return f" {xxhash.xxh3_64_hexdigest(f'{path} {line}')}"
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, token, pages, vector, chars, most): summed up over each task's pages."""
+    """(host, token, pages, total, vector, most, page, at): summed up over each task's pages; at: the token's first place in the page of the least hash."""
     sums: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
         for key, host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             seen: dict[str, list[int]] = {"": [1, 0]}
-            for kind, e, text, out in parsed(page or ""):
-                if kind == "open":
-                    seen.setdefault(e.path, [0, 0])[0] += 1
-                elif kind == "text" and not out:
-                    n, path = len(text.strip()), e.path
-                    while n and path:
-                        if path in seen:
-                            seen[path][1] += n
-                        path = path.rpartition("/")[0]
-                    seen[""][1] += n
-            for token, (n, chars) in seen.items():
-                vector = xxhash.xxh3_64_intdigest(f"{key}/{n}") >> 1
+            for k, (token, _, _, _) in enumerate(tokens_of(parsed(page or ""))):
+                seen.setdefault(token, [0, k])[0] += 1
+            own = xxhash.xxh3_64_intdigest(f"{key} {page}")
+            for token, (n, at) in seen.items():
+                # 38 bits: the sum over 2**25 pages fits
+                vector = xxhash.xxh3_64_intdigest(f"{own}/{n}") >> 26
                 for h in (host, ALL_HOSTS):
-                    s = sums.setdefault((h, token), [0, 0, 0, 0])
+                    s = sums.get((h, token))
+                    if s is None:
+                        sums[h, token] = [1, n, vector, n, own >> 1, at]
+                        continue
                     s[0] += 1
-                    s[1] ^= vector
-                    s[2] += chars
+                    s[1] += n
+                    s[2] += vector
                     s[3] = max(s[3], n)
+                    if own >> 1 < s[4]:
+                        s[4:] = own >> 1, at
         if len(sums) > 200_000:
-            yield _sums(sums)
+            yield _rows(sums, COUNTS)
             sums = {}
-    yield _sums(sums)
+    yield _rows(sums, COUNTS)
 
 
-def _sums(sums: dict[tuple[str, str], list[int]]) -> pa.RecordBatch:
+COUNTS = ["host", "token", "pages", "total", "vector", "most", "page", "at"]
+JUDGED = ["host", "item", "bad", "chars"]
+
+
+def _rows(sums: dict[tuple[str, str], list[int]], names: list[str]) -> pa.RecordBatch:
     rows = [(h, t, *s) for (h, t), s in sums.items()]
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["host", "token", "pages", "vector", "chars", "most"])
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 2 else pa.int64()) for k, c in enumerate(cols)], names)
 
 
-def templates(pages: DataFrame, page_id: str, url: str, page: str, support: float, share: float, least_pages: int) -> DataFrame:
-    """host, slot: the path of each host's main slot; the host '*' stands for all."""
+def disordered(sequence: list[tuple[str, int]], sizes: dict[str, int]) -> set[str]:
+    """Classes whose tokens (class, place in it) aren't in order or nested in this page."""
+    bad: set[str] = set()
+    stack: list[list] = []
+    for c, k in sequence:
+        if c in bad:
+            continue
+        if k == 0 and not any(o[0] == c for o in stack):
+            stack.append([c, 1])
+        else:
+            # those that are open within c cross it; the smaller one goes
+            while stack and stack[-1][0] != c and any(o == [c, k] for o in stack) and sizes[stack[-1][0]] <= sizes[c]:
+                bad.add(stack.pop()[0])
+            if not stack or stack[-1] != [c, k]:
+                bad.add(c)
+                stack = [o for o in stack if o[0] != c]
+                continue
+            stack[-1][1] += 1
+        if stack[-1][1] == sizes[c]:
+            stack.pop()
+    return bad | {c for c, _ in stack}
+
+
+def _template(known: dict[str, tuple], host: str, classes: list[dict] | None) -> tuple[dict[str, tuple[str, int]], dict[str, int], set[str]]:
+    """Of a host's classes: class and place of each token, size of each class, tokens that a page has once."""
+    if host not in known:
+        if len(known) > 500:
+            known.clear()
+        at = {t: (c["class"], k) for c in classes or [] for k, t in enumerate(c["tokens"])}
+        known[host] = at, {c["class"]: len(c["tokens"]) for c in classes or []}, {t for c in classes or [] if c["once"] for t in c["tokens"]}
+    return known[host]
+
+
+def _judge(common: list[dict]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(host, item, bad, chars): of each class the pages where it is disordered; of each tag that a page has once the characters of the slots below."""
+        sums: dict[tuple[str, str], list[int]] = {}
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            for host, page, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                tokens = list(tokens_of(parsed(page or "")))
+                for h, cs in ((host, classes), (ALL_HOSTS, common)):
+                    if not cs:
+                        continue
+                    at, sizes, once = _template(known, h, cs)
+                    for c in disordered([at[t[0]] for t in tokens if t[0] in at], sizes):
+                        sums.setdefault((h, f"class {c}"), [0, 0])[0] += 1
+                    for token, path, out, n in tokens:
+                        if n and not out and token not in at:
+                            sums.setdefault((h, ""), [0, 0])[1] += n
+                            while path:
+                                if path in once:
+                                    sums.setdefault((h, path), [0, 0])[1] += n
+                                path = path.rpartition("/")[0]
+            if len(sums) > 200_000:
+                yield _rows(sums, JUDGED)
+                sums = {}
+        yield _rows(sums, JUDGED)
+
+    return run
+
+
+def templates(pages: DataFrame, page_id: str, url: str, page: str, support: float, share: float, least_pages: int, least_tokens: int, order: float) -> DataFrame:
+    """host, slot, lines: the path of each host's main slot, null if it has none, and the lines of its template; the host '*' stands for all."""
     keyed = pages.select(F.coalesce(F.col(page_id).cast("string"), F.lit("")).alias("key"), host_of(F.col(url)).alias("host"), F.col(page).alias("page"))
-    counted = keyed.mapInArrow(_counts, "host string, token string, pages long, vector long, chars long, most long")
-    tokens = materialize(counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"), F.max("most").alias("most")), "page_tokens")
-    whole = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"), F.col("chars").alias("all_chars"))
+    counted = keyed.mapInArrow(_counts, "host string, token string, pages long, total long, vector long, most long, page long, at long")
+    tokens = counted.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("vector").alias("vector"), F.max("most").alias("most"), F.min(F.struct("page", "at"))["at"].alias("at"))
+    # rarer ones are in no template
+    tokens = materialize(tokens.where(F.col("pages") >= least_pages * support), "page_tokens")
+    whole = tokens.where("token = ''").select("host", F.col("pages").alias("all_pages"))
     frequent = tokens.join(whole, "host").where((F.col("pages") >= F.col("all_pages") * support) & (F.col("token") != "") & (F.col("all_pages") >= least_pages))
-    classes = frequent.groupBy("host", "vector").agg(F.collect_list("token").alias("class"))
-    # nesting: a token stays if its parent is a token of a valid class too
-    parent = F.regexp_replace("token", "/[^/]*$", "")
-    valid = classes.select("host", "vector", F.explode("class").alias("token"))
-    parents = valid.select("host", F.col("token").alias("parent"))
-    nested = valid.withColumn("parent", parent).join(parents, ["host", "parent"], "left_semi").unionByName(valid.withColumn("parent", parent).where("parent = ''"))
-    slots = nested.select("host", "token").join(frequent, ["host", "token"])
+    # tokens of a class are in the same pages, so their places are those in one page
+    classes = frequent.groupBy("host", "pages", "total", "vector").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("class"), F.max("most").alias("most"))
+    classes = classes.where(F.size("class") >= least_tokens).select("host", F.concat_ws("/", "pages", "total", "vector").alias("class"), F.col("class.token").alias("tokens"), (F.col("most") == 1).alias("once"), "pages")
+    classes = materialize(classes, "classes")
+    hosts = materialize(classes.groupBy("host").agg(F.collect_list(F.struct("class", "tokens", "once")).alias("classes")), "host_classes")
+    common = [r.asDict() for c in hosts.where(F.col("host") == ALL_HOSTS).select("classes").collect() for r in c["classes"]]
+    read = keyed.select("host", "page").join(hosts, "host", "left").select("host", "page", "classes")
+    judged = read.mapInArrow(_judge(common), "host string, item string, bad long, chars long")
+    judged = materialize(judged.groupBy("host", "item").agg(F.sum("bad").alias("bad"), F.sum("chars").alias("chars")), "judged")
+
+    marks = judged.where("bad > 0").select("host", F.expr("substr(item, 7)").alias("class"), "bad")
+    valid = classes.join(marks, ["host", "class"], "left").where(F.coalesce("bad", F.lit(0)) <= F.col("pages") * (1 - order))
+    valid = materialize(valid.select("host", "once", F.explode("tokens").alias("token")), "template_tokens")
+    lines = valid.where(F.col("token").startswith(" ")).groupBy("host").agg(F.collect_list("token").alias("lines"))
+    chars = judged.where("bad = 0 and item <> ''").select("host", F.col("item").alias("token"), "chars")
+    slots = valid.where("once").join(chars, ["host", "token"]).join(judged.where("item = ''").select("host", F.col("chars").alias("all_chars")), "host")
     depth = F.size(F.split("token", "/"))
     named = F.regexp_extract("token", "/(article|main)([.][^/]*)?$", 1) != ""
     # only an element that a page has once holds all of an article; its paragraphs share a path
-    good = slots.where((F.col("most") == 1) & (F.col("chars") > 0) & (named | (F.col("chars") >= F.col("all_chars") * share)))
+    good = slots.where(named | (F.col("chars") >= F.col("all_chars") * share))
     best = F.max_by("token", F.struct(named.cast("int"), F.when(named, -depth).otherwise(depth), "chars", "token"))
-    return good.groupBy("host").agg(best.alias("slot"))
+    return good.groupBy("host").agg(best.alias("slot")).join(lines, "host", "full_outer").select("host", "slot", F.coalesce("lines", F.expr("array()")).alias("lines"))
 
 
-def extract_text(page: str, slot: str | None) -> str:
-    """The text of the main slot, or of the whole page if it has no such slot."""
+def extract_text(page: str, slot: str | None, lines: frozenset[str] = frozenset()) -> str:
+    """The text of the main slot without the template's lines, or of the whole page if it has no such slot."""
     inside: list[str] = []
+    inside_slots: list[str] = []
     whole: list[str] = []
+    whole_slots: list[str] = []
     everything: list[str] = []
     found = False
     own: list[str] = []
     other: list[str] = []
     every: list[str] = []
+    first: str | None = None
 
     def end() -> None:
-        for parts, blocks in ((own, inside), (other, whole), (every, everything)):
+        fixed = bool(lines) and first is not None and line_token(first, " ".join("".join(every).split())) in lines
+        for parts, blocks, slots in ((own, inside, inside_slots), (other, whole, whole_slots), (every, everything, None)):
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 blocks.append(text)
+                if slots is not None and not fixed:
+                    slots.append(text)
             parts.clear()
 
     for kind, e, text, out in parsed(page, slot):
         in_slot = bool(slot) and (e.path == slot or e.path.startswith(slot + "/"))
         if kind == "block":
             end()
+            first = None
         elif kind == "open":
             found = found or (not out and (in_slot or e.tag in MAIN))
-        else:
+        elif not _HEAD.match(e.path):
+            if first is None and not text.isspace():
+                first = e.path
+            every.append(text)
             if not out:
                 other.append(text)
                 if in_slot or e.main:
                     own.append(text)
-            if "/head" not in e.path[:11]:
-                every.append(text)
     end()
-    return "\n".join((found and inside) or whole or everything)
+    return "\n".join((found and (inside_slots or inside)) or whole_slots or whole or everything)
 
 
-def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", support: float = 0.5, share: float = 0.6, least_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", support: float = 0.5, share: float = 0.6, least_pages: int = 5, least_tokens: int = 3, order: float = 0.95) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    found = materialize(templates(pages, page_id, url, page, support, share, least_pages), "templates")
-    common = found.where(F.col("host") == ALL_HOSTS).select("slot").first()
-    fallback = common["slot"] if common else None
+    found = materialize(templates(pages, page_id, url, page, support, share, least_pages, least_tokens, order), "templates")
+    common = found.where(F.col("host") == ALL_HOSTS).select("slot", "lines").first()
+    fallback, common_lines = (common["slot"], frozenset(common["lines"] or ())) if common else (None, frozenset())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_text(p or "", s or fallback) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            rows = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            texts = [extract_text(p or "", s or fallback, common_lines if n is None else frozenset(n)) for p, s, n in rows]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [page_id, url, "text", "n_chars"])
 
     hosted = pages.select(page_id, url, page, host_of(F.col(url)).alias("_host"))
-    slots = found.select(F.col("host").alias("_host"), "slot")
+    slots = found.select(F.col("host").alias("_host"), F.col("slot").alias("_slot"), F.col("lines").alias("_lines"))
     kind = dict(pages.dtypes)[page_id]
-    return hosted.join(slots, "_host", "left").select(page_id, url, page, "slot").mapInArrow(cut, f"`{page_id}` {kind}, `{url}` string, text string, n_chars long")
+    return hosted.join(slots, "_host", "left").select(page_id, url, page, "_slot", "_lines").mapInArrow(cut, f"`{page_id}` {kind}, `{url}` string, text string, n_chars long")

@@ -222,6 +222,27 @@ def test_main_text_keeps_what_stands_beside_the_paragraphs(spark):
     assert {r.page_id: r.text for r in html_extraction.extract(pages).collect()} == {k: want.replace("{k}", str(k)) for k in range(12)}
 
 
+def test_lines_of_the_template_are_no_slots_and_classes_are_valid_only_in_order(spark):
+    page = '<body><div class="w"><div class="c"><h1>Title {k}</h1><p>Story {k} is told</p><div class="tip"><b>Write</b> to us</div><p>and {k} goes on</p>{turn}</div></div></body>'
+    a, b = '<div class="a">Alpha</div>', '<div class="b">Beta</div><div class="d">Delta</div>'
+    rows = [(k, f"http://one.org/{k}", page.replace("{k}", str(k)).replace("{turn}", "")) for k in range(12)]
+    rows += [(k, f"http://two.org/{k}", page.replace("{k}", str(k)).replace("{turn}", (a + b if k % 2 else b + a) if k % 3 else "")) for k in range(20, 50)]
+    got = {r.page_id: r.text for r in html_extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    text = lambda k: f"Title {k}\nStory {k} is told\nand {k} goes on"
+    assert all(got[k] == text(k) for k in range(12))
+    # those of two.org have a vector in common, but no order
+    turn = lambda k: "" if k % 3 == 0 else "\nAlpha\nBeta\nDelta" if k % 2 else "\nBeta\nDelta\nAlpha"
+    assert all(got[k] == text(k) + turn(k) for k in range(20, 50))
+
+
+def test_disordered_classes():
+    one = lambda s, **sizes: html_extraction.disordered([(t[0], int(t[1])) for t in s.split()], sizes)
+    assert one("a0 b0 b1 b0 b1 a1 c0 c1 a2", a=3, b=2, c=2) == set()
+    assert one("a0 a2 a1", a=3) == {"a"} and one("a0 a1", a=3) == {"a"} and one("a1 a0", a=2) == {"a"}
+    assert one("a0 b0 a1 b1 a2", a=3, b=2) == {"b"} and one("b0 a0 b1 a1 a2", a=3, b=2) == {"b"}
+    assert one("a0 a0 a1 a1", a=2) == {"a"}
+
+
 @pytest.mark.parametrize(
     "page",
     [
@@ -235,6 +256,7 @@ def test_main_text_keeps_what_stands_beside_the_paragraphs(spark):
         '<body><div id="content"><p>The story</p></div><div class="comments"><article>Nice</article></div></body>',
         '<body><article></article><p>The story</p></body>',
         '<html><head><title>T</title></head><body><nav>The story</nav></body></html>',
+        '<header class="h"><div><p>The story</p></div></header>',
     ],
 )
 def test_names_mark_no_main_text_as_boilerplate(page):
