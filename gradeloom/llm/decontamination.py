@@ -6,8 +6,11 @@ template tokens are hashed and joined with those of the benchmark's items, so th
 other numbers or names still meets its original. A document is contaminated by an item if at least
 ``coverage`` of the item's windows occur in it and the slots are consistent: along the aligned
 windows, equal values of the item stand for equal values of the document and different ones for
-different ones, taken over all of them or over those of one place that alone cover enough. An item shorter than a window is one window of its own length; windows that are
-mostly placeholders are not compared.
+different ones, taken over all of them or over those of one place that alone cover enough. An item shorter than a window is one window of its own length. Windows with
+fewer than ``least_words`` plain words say too little as templates; they are compared on their exact words
+and values, so that copies of items of numbers or names are found as well. An item matches by ``coverage``
+of all its windows or of those compared as templates. The first word of an item is a name in a document
+that has it inside a sentence; its first window is looked for both ways.
 
 Only DataFrame functions are used. The benchmark's windows are broadcast if they are few
 (``most_broadcast``), else both sides are shuffled by the window's hash. Only documents with a hit
@@ -36,13 +39,21 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + UNIT, "   ")
 
 
+def _marked(text: Column) -> Column:
+    """The text's tokens, names, numbers and units behind a mark of their type."""
+    t = F.regexp_replace(_clean(text), _NAME, f"{NAME}$0")
+    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 ")
+    t = F.regexp_replace(t, f"(?i)({NUMBER}[^ ]+) +({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2 ")
+    return F.regexp_extract_all(F.lower(t), F.lit(f"{NUMBER}[^ ]+|[{NAME}{UNIT}]?[\\p{{L}}\\p{{M}}\\p{{N}}]+"), F.lit(0))
+
+
+def _plain(x: Column) -> Column:
+    return F.when(F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT), F.substring(x, 1, 1)).otherwise(x)
+
+
 def template(text: Column) -> Column:
     """The template's tokens."""
-    t = F.regexp_replace(_clean(text), _NAME, NAME)
-    t = F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
-    t = F.regexp_replace(t, f"(?i){NUMBER} +(?:{'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"{NUMBER} {UNIT} ")
-    tokens = F.split(F.lower(t), f"[^\\p{{L}}\\p{{M}}\\p{{N}}{NAME}{NUMBER}{UNIT}]+")
-    return F.filter(tokens, lambda x: x != "")
+    return F.transform(_marked(text), _plain)
 
 
 def slot_values(text: Column) -> Column:
@@ -50,9 +61,22 @@ def slot_values(text: Column) -> Column:
     return F.regexp_extract_all(_clean(text), F.lit(f"{_NAME}|{_NUMBER}"), F.lit(0))
 
 
-def _windows(hashes: Column, n: int) -> Column:
-    joined = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, n)], F.lit(n)))
-    return F.slice(joined, 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+def _windows(hashes: Column, exact: Column, n: int, least_words: int) -> Column:
+    """_w and whether it is compared as a template, of each window; hashes and exact differ where a placeholder is."""
+
+    def window(h: Column, i: Column) -> Column:
+        hs = [h, *[F.get(hashes, i + k) for k in range(1, n)]]
+        es = [F.get(exact, i + k) for k in range(n)]
+        words = sum(((a == b).cast("int") for a, b in zip(hs, es, strict=True)), F.lit(0))
+        as_template = words >= min(least_words, n)
+        return F.struct(F.when(as_template, F.xxhash64(*hs, F.lit(n))).otherwise(F.xxhash64(*es, F.lit(-n))).alias("_w"), as_template.alias("_k"))
+
+    return F.slice(F.transform(hashes, window), 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+
+
+def _hashes(rows: DataFrame, *carry: str) -> DataFrame:
+    """_h of the templates' tokens and _e of the exact ones, from _m."""
+    return rows.select(*carry, F.transform("_m", lambda x: F.xxhash64(_plain(x))).alias("_h"), F.transform("_m", lambda x: F.xxhash64(F.translate(x, NAME + NUMBER + UNIT, ""))).alias("_e"))
 
 
 def _slots(rows: DataFrame, key: str) -> DataFrame:
@@ -69,32 +93,38 @@ def _consistency(pairs: DataFrame, *keys: str) -> DataFrame:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = 8, coverage: float = 0.5, least_words: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots of every contamination."""
-    items = benchmark.select(F.col(item_id).alias("_id"), template(F.col("text")).alias("_t"), slot_values(F.col("text")).alias("_v"))
+    items = benchmark.select(F.col(item_id).alias("_id"), _marked(F.col("text")).alias("_m"), template(F.col("text")).alias("_t"), slot_values(F.col("text")).alias("_v"))
     items = materialize(items.where(F.size("_t") > 0).withColumn("_row", F.monotonically_increasing_id()), "benchmark")
     short = [r[0] for r in items.where(F.size("_t") < window).select(F.size("_t")).distinct().collect()]  # fewer than window lengths
     lengths = [n for n in range(1, window + 1) if n == window or n in short]
-    plain = items.withColumn("_h", F.transform("_t", lambda x: F.xxhash64(x)))
+    hashed_items = _hashes(items, "_row")
+    first = F.xxhash64(F.lit(NAME))
     parts = []
     for n in lengths:
-        of = plain.where(F.size("_t") >= window if n == window else F.size("_t") == n)
-        parts.append(of.select("_id", "_row", "_t", F.posexplode(_windows(F.col("_h"), n)).alias("_i", "_w"), F.lit(n).alias("_len")))
+        of = hashed_items.where(F.size("_h") >= window if n == window else F.size("_h") == n)
+        parts.append(of.select("_row", F.posexplode(_windows(F.col("_h"), F.col("_e"), n, least_words)).alias("_i", "_s")))
+        # the first word as a name
+        named = of.where(F.get("_h", F.lit(0)) == F.get("_e", F.lit(0)))
+        named = named.withColumn("_h", F.concat(F.array(first), F.slice("_h", 2, n - 1))).withColumn("_e", F.slice("_e", 1, n))
+        parts.append(named.select("_row", F.posexplode(_windows(F.col("_h"), F.col("_e"), n, least_words)).alias("_i", "_s")))
     known = parts[0]
     for p in parts[1:]:
         known = known.unionByName(p)
-    words = F.size(F.filter(F.slice("_t", F.col("_i") + 1, F.col("_len")), lambda x: ~x.isin(NAME, NUMBER, UNIT)))
-    known = materialize(known.where(words >= F.least(F.lit(least_words), F.col("_len"))).select("_w", "_row", "_i"), "benchmark_windows")
-    need = known.groupBy("_row").agg(F.count(F.lit(1)).alias("n_windows"))
-
-    hashed = docs.select(F.col(doc_id).alias("_doc"), F.transform(template(F.col(text)), lambda x: F.xxhash64(x)).alias("_h"))
-    seen = hashed.select("_doc", F.posexplode(F.concat(*[_windows(F.col("_h"), n) for n in lengths])).alias("_j", "_w")) if len(lengths) == 1 else None
-    if seen is None:
-        each = [hashed.select("_doc", F.posexplode(_windows(F.col("_h"), n)).alias("_j", "_w")) for n in lengths]
-        seen = each[0]
-        for p in each[1:]:
-            seen = seen.unionByName(p)
+    known = materialize(known.select("_row", "_i", F.col("_s._w").alias("_w"), F.col("_s._k").alias("_k")).distinct(), "benchmark_windows")
+    # as the item itself has it, a window is a template or not; by its first word as a name it may be less
+    known_kinds = known.groupBy("_row", "_i").agg(F.bool_or("_k").alias("_k"))
+    need = known_kinds.groupBy("_row").agg(F.count(F.lit(1)).alias("n_windows"), F.count_if("_k").alias("_n_templates"))
+    enough_of = lambda m, k: (m >= F.col("n_windows") * coverage) | ((k > 0) & (k >= F.col("_n_templates") * coverage))
+    i_if_template = F.when(F.col("_k"), F.col("_i"))
+
+    hashed = _hashes(docs.select(F.col(doc_id).alias("_doc"), _marked(F.col(text)).alias("_m")), "_doc")
+    each = [hashed.select("_doc", F.posexplode(_windows(F.col("_h"), F.col("_e"), n, least_words)).alias("_j", "_s")).select("_doc", "_j", F.col("_s._w").alias("_w")) for n in lengths]
+    seen = each[0]
+    for p in each[1:]:
+        seen = seen.unionByName(p)
     side = F.broadcast(known) if known.count() <= most_broadcast else known
-    hits = materialize(seen.join(side, "_w").select("_doc", "_row", "_i", "_j").distinct(), "template_hits")
-    found = hits.groupBy("_doc", "_row").agg(F.countDistinct("_i").alias("n_matched")).join(need, "_row").where(F.col("n_matched") >= F.col("n_windows") * coverage)
+    hits = materialize(seen.join(side, "_w").select("_doc", "_row", "_i", "_j", "_k").distinct(), "template_hits")
+    found = hits.groupBy("_doc", "_row").agg(F.countDistinct("_i").alias("n_matched"), F.countDistinct(i_if_template).alias("_m_templates")).join(need, "_row").where(enough_of(F.col("n_matched"), F.col("_m_templates")))
     found = materialize(found, "template_matches")
 
     # slots: positions of the item's names and numbers inside matched windows, carried along each diagonal
@@ -112,7 +142,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     pairs = materialize(pairs, "slot_pairs")
     whole = _consistency(pairs.select("_doc", "_row", "_item_value", "_v").distinct(), "_doc", "_row").select("_doc", "_row", "n_slots", "_consistent")
     # a second rendering of the item elsewhere in the text doesn't hide one that is consistent in itself
-    enough = lines.groupBy("_doc", "_row", shift).agg(F.countDistinct("_i").alias("_m")).join(need, "_row").where(F.col("_m") >= F.col("n_windows") * coverage)
+    enough = lines.groupBy("_doc", "_row", shift).agg(F.countDistinct("_i").alias("_m"), F.countDistinct(i_if_template).alias("_mt")).join(need, "_row").where(enough_of(F.col("_m"), F.col("_mt")))
     by_line = _consistency(pairs, "_doc", "_row", "_shift").where("_consistent")
     single = by_line.join(enough.select(F.col("_doc").alias("_d"), F.col("_row").alias("_r"), F.col("_shift").alias("_s")), F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")) & (F.col("_shift") == F.col("_s")), "left_semi")
     slots = whole.unionByName(single.select("_doc", "_row", "n_slots", "_consistent")).groupBy(F.col("_doc").alias("_d"), F.col("_row").alias("_r")).agg(F.max("n_slots").alias("n_slots"), F.bool_or("_consistent").alias("_consistent"))

@@ -103,6 +103,17 @@ def test_decontamination(spark):
     assert {r.doc_id for r in kept.collect()} >= {3, 5, 6, 8, 11, 12} and not {r.doc_id for r in kept.collect()} & {1, 2, 4, 9, 10, None}
 
 
+def test_decontamination_finds_copies_of_items_that_are_mostly_placeholders(spark):
+    texts = ["Compute 12 + 35 * 7.", "What is 17 x 23?", "1 2 3 5 8 13 21 34 55 89 144", "Ask Anna, Bernd, Clara, Dora, Emil, Fritz, Gerda, Hans or Ida", "12 35 7"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    rows = [(k, f"{before}{t}{after}") for k, t in enumerate(texts) for before, after in (("", ""), ("Well. ", " And more"), ("some words ", " and more"))]
+    other = [(100, "Compute 13 + 36 * 8."), (101, "2 4 6 8 10 12 14 16 18 20 22"), (102, "Ask Karl, Lena, Maria, Nils, Otto, Paula, Quirin, Rosa or Sven"), (103, "13 36 8")]
+    docs = spark.createDataFrame([(10 * d + k, t) for k, (d, t) in enumerate(rows)], "doc_id long, text string").unionByName(spark.createDataFrame([(1000 + d, t) for d, t in other], "doc_id long, text string"))
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()}
+    assert got >= {(10 * d + k, d) for k, (d, _) in enumerate(rows)}
+    assert not {d for d, _ in got if d >= 1000}
+
+
 def test_decontamination_by_shuffle_is_the_same(spark):
     docs = spark.createDataFrame([(1, ITEM), (2, OTHER), (3, "none of it")], "doc_id long, text string")
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
