@@ -48,7 +48,8 @@ def _marked(text: Column) -> Column:
 
 
 def _plain(x: Column) -> Column:
-    return F.when(F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT), F.substring(x, 1, 1)).otherwise(x)
+    # the marks stand between these two; most tokens are settled by the first comparison
+    return F.when((x < NAME) | (x >= "\ue004"), x).otherwise(F.substring(x, 1, 1))
 
 
 def template(text: Column) -> Column:
@@ -74,6 +75,20 @@ def _windows(hashes: Column, exact: Column, n: int, least_words: int) -> Column:
     return F.slice(F.transform(hashes, window), 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
 
 
+def _seen(n: int, least_words: int) -> Column:
+    """_j, _w: each window as a template, and on its exact tokens where it holds so many placeholders; from _m, _h and _at."""
+    h, m, at = F.col("_h"), F.col("_m"), F.col("_at")
+    templates = F.transform(h, lambda x, i: F.struct(i.alias("_j"), F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)], F.lit(n)).alias("_w")))
+    last = F.size(h) - n
+    q = n - min(least_words, n) + 1
+    # placeholders a to b, q in all, are in the windows that begin at b - n + 1 to a
+    starts = F.transform(at, lambda a, k: F.struct(F.greatest(F.get(at, k + (q - 1)) - (n - 1), F.lit(0)).alias("a"), F.least(a, last).alias("b")))
+    starts = F.filter(starts, lambda s: s["a"] <= s["b"])
+    starts = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["a"], s["b"]))))
+    exact = F.transform(starts, lambda i: F.struct(i.alias("_j"), F.xxhash64(*[F.xxhash64(F.translate(F.get(m, i + k), NAME + NUMBER + UNIT, "")) for k in range(n)], F.lit(-n)).alias("_w")))
+    return F.concat(F.slice(templates, 1, F.greatest(last + 1, F.lit(0))), exact)
+
+
 def _hashes(rows: DataFrame, *carry: str) -> DataFrame:
     """_h of the templates' tokens and _e of the exact ones, from _m."""
     return rows.select(*carry, F.transform("_m", lambda x: F.xxhash64(_plain(x))).alias("_h"), F.transform("_m", lambda x: F.xxhash64(F.translate(x, NAME + NUMBER + UNIT, ""))).alias("_e"))
@@ -117,8 +132,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     enough_of = lambda m, k: (m >= F.col("n_windows") * coverage) | ((k > 0) & (k >= F.col("_n_templates") * coverage))
     i_if_template = F.when(F.col("_k"), F.col("_i"))
 
-    hashed = _hashes(docs.select(F.col(doc_id).alias("_doc"), _marked(F.col(text)).alias("_m")), "_doc")
-    each = [hashed.select("_doc", F.posexplode(_windows(F.col("_h"), F.col("_e"), n, least_words)).alias("_j", "_s")).select("_doc", "_j", F.col("_s._w").alias("_w")) for n in lengths]
+    marked = docs.select(F.col(doc_id).alias("_doc"), _marked(F.col(text)).alias("_m"))
+    hashed = marked.select("_doc", "_m", F.transform("_m", lambda x: F.xxhash64(_plain(x))).alias("_h"))
+    hashed = hashed.withColumn("_at", F.filter(F.transform("_m", lambda x, i: F.when((x >= NAME) & (x < "\ue004"), i)), lambda i: i.isNotNull()))
+    each = [hashed.select("_doc", F.explode(_seen(n, least_words)).alias("_s")).select("_doc", F.col("_s._j").alias("_j"), F.col("_s._w").alias("_w")) for n in lengths]
     seen = each[0]
     for p in each[1:]:
         seen = seen.unionByName(p)
