@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -17,9 +17,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("label").alias("near"))
         spread = labels.join(near, labels["node"] == near["u"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         spread = materialize(spread, "labels")
+        discard(labels)
         up = spread.select(F.col("node").alias("parent"), F.col("label").alias("above"))
         jumped = spread.join(up, spread["label"] == up["parent"]).select("node", "was", F.least("label", "above").alias("label"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.drop("was")
-        if not jumped.where("label <> was").limit(1).count():
-            return labels
+        labels = materialize(jumped, "labels")
+        discard(spread)
+        if not labels.where("label <> was").limit(1).count():
+            discard(both)
+            return labels.drop("was")

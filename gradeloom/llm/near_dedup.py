@@ -1,26 +1,28 @@
 """Near-duplicates by MinHash: improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies of all shingles are counted in a count-min sketch of fixed size over the whole
-   corpus. A shingle weighs tf * idf with idf = 1 + idf_strength * ln(1 + N / df) / ln(1 + N), so that
-   boilerplate weighs less, yet a large group of near copies isn't torn apart by its few own words.
+1. In how many documents a shingle occurs is counted over the whole corpus by a count-min sketch. A shingle
+   weighs tf * idf, where idf falls from 1 + idf_strength to 1 with the share of documents that hold the
+   shingle; shares below 1 / RARE are equally rare. The sketch errs by a share that depends on the length of
+   documents and not on their number, so weights are the same at every size of the corpus.
 2. Each text gets ``bands * rows`` consistent weighted samples (Ioffe's scheme: r and c from
    gamma(2, 1), beta uniform, the smallest ln a wins); two texts agree in a sample with a probability of
-   their weighted Jaccard similarity. Equal texts are one class from the start.
+   their weighted Jaccard similarity. Equal texts are one from the start, under a hash of 128 bits.
 3. Texts that agree in a band meet in a bucket; buckets of the same texts are one. A bucket is cut into
-   blocks of bounded bytes. In each block an inverted index of the shingles gives the exact weighted
-   Jaccard similarity of one text to all others at a time: first of the bucket's smallest text, then of
-   every text that isn't linked to it yet, so that a large group of copies takes one look-up and no pair
-   of unlike texts is left out. Texts without a link in a bucket of several blocks are taken to its other
-   blocks too. Only links leave the tasks, no pairs.
+   blocks of bounded bytes. The texts of all buckets are picked out in one shuffle and dealt to their blocks
+   in a second one. In each block an inverted index of the shingles gives the exact weighted Jaccard
+   similarity of one text to all others at a time: first of the bucket's smallest text, then of every text
+   that isn't linked to it yet, so that a large group of copies takes one look-up and no pair of unlike
+   texts is left out. Texts without a link in a bucket of several blocks are taken to its other blocks too.
+   Only links leave the tasks, no pairs.
 4. Pairs of ``threshold`` or more are links; connected components are the classes.
 
-The hash tables and the sketch have a fixed size; everything else is dealt out by Spark. With 8 bands of
-3 rows a pair of similarity 0.8 is met with a probability of 0.997, one of 0.9 with 0.99997.
+The hash tables and the sketch have a fixed size; everything else is dealt out by Spark, by the same plan at
+every size. With 16 bands of 3 rows a pair of similarity 0.8 is met with a probability of 0.99999.
 
 Defined cases: a null text counts as empty; texts without words are alike only if they are equal; a text
-of fewer than five words is one shingle; a class is named by its smallest doc_id; repeated rows and
-repeated ids are members each; rows without a doc_id are classed by equal texts only, under null if no
-copy has an id; an empty table gives an empty table.
+of fewer than five words is one shingle; texts of any length are compared whole; a class is named by its
+smallest doc_id, and by null if none of its rows has one; repeated rows and repeated ids are members each,
+rows without a doc_id too; an empty table gives an empty table; doc_id must be a number that fits a long.
 """
 
 from __future__ import annotations
@@ -29,16 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import mix64, shingles, text_bytes
-from .storage import materialize
+from .storage import discard, join_uneven, materialize
 
-WIDTH_BITS = 19
+WIDTH_BITS = 20
+RARE = 256
 DEPTH = 2
 PARTS = 32
 _ODD = [np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)]
@@ -96,8 +98,8 @@ def document_frequencies(docs: DataFrame, text: str) -> np.ndarray:
 
 def idf_tables(counts: np.ndarray, rows: int, strength: float) -> np.ndarray:
     """The idf of each of the sketch's cells; a shingle's is its largest."""
-    total = max(rows, 1)
-    return (1 + strength * np.log1p(total / np.maximum(counts, 1)) / np.log1p(total)).astype(np.float32)
+    rarity = np.log1p(max(rows, 1) / np.maximum(counts, 1)) / np.log1p(RARE)
+    return (1 + strength * np.minimum(rarity, 1)).astype(np.float32)
 
 
 def weigh(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,17 +137,22 @@ class Sampler:
         return best
 
 
-def _signatures(docs: DataFrame, text: str, doc_id: str, idf, bands: int, rows: int) -> DataFrame:
-    """_doc, _text (a 128-bit hash of the text), _bands."""
+def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """_doc, _key (128 bits of a hash of the text) and _t, the text."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return docs.select(F.col(doc_id).cast("long").alias("_doc"), F.substring(F.unhex(F.sha2(t, 256)), 1, 16).alias("_key"), t.alias("_t"))
+
+
+def _signatures(keyed: DataFrame, idf, bands: int, rows: int) -> DataFrame:
+    """_doc, _key, _n (bytes of the text), _bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, table = Sampler(bands * rows), idf.value
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            view, keys, out = memoryview(data), [], []
+            out = []
+            _, offsets = text_bytes(batch.column(2))
             with np.errstate(over="ignore"):
-                for k, s in enumerate(shingles(batch.column(1))):
-                    keys.append(xxhash.xxh3_128_digest(view[offsets[k] : offsets[k + 1]]))
+                for s in shingles(batch.column(2)):
                     if len(s):
                         got = sampler.samples(*weigh(s, table)).reshape(bands, rows)
                         band = np.arange(1, bands + 1, dtype=np.uint64)
@@ -154,9 +161,9 @@ def _signatures(docs: DataFrame, text: str, doc_id: str, idf, bands: int, rows:
                         out.append(band.astype(np.int64))
                     else:
                         out.append([])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["_doc", "_text", "_bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(out, pa.list_(pa.int64()))], ["_doc", "_key", "_n", "_bands"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("_doc"), text).mapInArrow(sign, "_doc long, _text binary, _bands array<long>")
+    return keyed.mapInArrow(sign, "_doc long, _key binary, _n long, _bands array<long>")
 
 
 class Block:
@@ -179,18 +186,18 @@ class Block:
         return both / (w.sum() + self.total - both)
 
 
-def _link(ids: list[int], texts: list[tuple[np.ndarray, np.ndarray]], own: list[bool], threshold: float) -> tuple[list[tuple[int, int]], list[int]]:
+def _link(ids: list[bytes], texts: list[tuple[np.ndarray, np.ndarray]], own: list[bool], threshold: float) -> tuple[list[tuple[bytes, bytes]], list[bytes]]:
     """Links that join the texts' components, and the texts that aren't joined to the first.
 
     Rows that aren't the block's own come from other blocks and are only asked for."""
     mine = [k for k, o in enumerate(own) if o]
-    links: list[tuple[int, int]] = []
+    links: list[tuple[bytes, bytes]] = []
     if not mine:
         return links, []
     block = Block([texts[k] for k in mine])
     root = {ids[k]: ids[k] for k in range(len(ids))}
 
-    def find(x: int) -> int:
+    def find(x: bytes) -> bytes:
         while root[x] != x:
             root[x] = root[root[x]]
             x = root[x]
@@ -214,9 +221,9 @@ def _link(ids: list[int], texts: list[tuple[np.ndarray, np.ndarray]], own: list[
 
 
 def _compare(rows: DataFrame, idf, threshold: float) -> DataFrame:
-    """_a, _b of links; _b null where a text of a bucket of several blocks has no link to the bucket's first text.
+    """_bucket and links _a, _b; _b null where a text of a bucket of several blocks has no link to the bucket's first text.
 
-    rows: _bucket, _block, _blocks, _rep, _own, _t, the rows of a block together."""
+    rows: _bucket, _block, _blocks, _key, _own, _t, the rows of a block together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
@@ -233,74 +240,92 @@ def _compare(rows: DataFrame, idf, threshold: float) -> DataFrame:
         def ready() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True)) if out else [[]] * 3
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["_bucket", "_a", "_b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, c in enumerate(cols)], ["_bucket", "_a", "_b"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
-            for k, (s, rep, own) in enumerate(zip(shingles(batch.column(5)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
+            for k, (s, text, own) in enumerate(zip(shingles(batch.column(5)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)):
                 if keys[k] != key:
                     end()
                     key = keys[k]
-                held.append((rep, own, weigh(s, table)))
+                held.append((text, own, weigh(s, table)))
             if len(out) > 5000:
                 yield ready()
         end()
         yield ready()
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.select("_bucket", "_block", "_blocks", "_rep", "_own", "_t").repartition(4 * parts, "_bucket", "_block").sortWithinPartitions("_bucket", "_block")
-    return dealt.mapInArrow(run, "_bucket long, _a long, _b long")
+    dealt = rows.select("_bucket", "_block", "_blocks", "_key", "_own", "_t").repartition(4 * parts, "_bucket", "_block").sortWithinPartitions("_bucket", "_block")
+    return dealt.mapInArrow(run, "_bucket long, _a binary, _b binary")
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 8, rows: int = 3, idf_strength: float = 0.25, block_bytes: int = 8 << 20, block_texts: int = 4000) -> DataFrame:
-    """doc_id, class_id and class_size of every row."""
+def _placed(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """texts (_key, _t) once for each of their places (_key, _bucket, _block, _blocks, _own)."""
+    listed = places.groupBy("_key").agg(F.collect_list(F.struct("_bucket", "_block", "_blocks", "_own")).alias("_places"))
+    return texts.join(listed, "_key").select("_key", "_t", F.explode("_places").alias("_p")).select("_key", "_t", "_p.*")
+
+
+def _classified(docs: DataFrame, text: str, doc_id: str, threshold: float, bands: int, rows: int, idf_strength: float, block_bytes: int, block_texts: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (_doc, _key), their texts (_key, _doc, _rows, class_id, class_size, _stays) and the number of rows."""
     spark = docs.sparkSession
-    counts = document_frequencies(docs, text)
-    idf = spark.sparkContext.broadcast(idf_tables(counts, docs.count(), idf_strength))
-    signed = materialize(_signatures(docs, text, doc_id, idf, bands, rows), "signatures")
-    texts = materialize(signed.groupBy("_text").agg(F.min("_doc").alias("_rep"), F.first("_bands").alias("_bands")), "texts")
-    entries = texts.where(F.col("_rep").isNotNull()).select("_rep", F.explode("_bands").alias("_bucket"))
-    shared = entries.groupBy("_bucket").agg(F.min("_rep").alias("_first"), F.max("_rep").alias("_last")).where("_first < _last")
-    members = materialize(entries.join(shared.select("_bucket", "_first"), "_bucket"), "buckets")
-    reps = members.select(F.col("_rep").alias("_doc")).distinct()
-    rep_texts = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_t")).join(reps, "_doc", "left_semi").groupBy("_doc").agg(F.first("_t").alias("_t"))
-    rep_texts = materialize(rep_texts, "bucket_texts")
-
-    size = members.join(rep_texts.select(F.col("_doc").alias("_rep"), F.octet_length("_t").alias("_n")), "_rep")
-    sets = size.groupBy("_bucket").agg(F.sum("_n").alias("_bytes"), F.count(F.lit(1)).alias("_k"), F.min("_rep").alias("_first"), F.bit_xor(F.xxhash64("_rep")).alias("_x"), F.sum(F.pmod(F.xxhash64("_rep", F.lit(1)), F.lit(1 << 30))).alias("_y"))
+    total = docs.count()
+    idf = spark.sparkContext.broadcast(idf_tables(document_frequencies(docs, text), total, idf_strength))
+    keyed = _keyed(docs, text, doc_id)
+    signed = materialize(_signatures(keyed, idf, bands, rows), "signatures")
+    texts = signed.groupBy("_key").agg(F.min("_doc").alias("_doc"), F.count(F.lit(1)).alias("_rows"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands"))
+    texts = materialize(texts, "texts")
+    entries = texts.select("_key", "_n", F.explode("_bands").alias("_bucket"))
+    shared = entries.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1").select("_bucket")
+    members = materialize(entries.join(shared, "_bucket"), "buckets")
+    sets = members.groupBy("_bucket").agg(F.sum("_n").alias("_bytes"), F.count(F.lit(1)).alias("_k"), F.min("_key").alias("_first"), F.bit_xor(F.xxhash64("_key")).alias("_x"), F.sum(F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(1 << 30))).alias("_y"))
     sets = sets.groupBy("_k", "_first", "_x", "_y").agg(F.min("_bucket").alias("_bucket"), F.first("_bytes").alias("_bytes"))
     blocks = F.ceil(F.greatest(F.col("_bytes") / block_bytes, F.col("_k") / block_texts)).cast("int")
     sets = materialize(sets.select("_bucket", "_first", blocks.alias("_blocks")), "bucket_sets")
-    own = members.select("_bucket", "_rep").join(sets, "_bucket").withColumn("_block", F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks").cast("int")).withColumn("_own", F.lit(True))
+    block_of = F.pmod(F.xxhash64("_key", F.lit(2)), "_blocks").cast("int")
+    own = members.select("_bucket", "_key").join(sets.select("_bucket", "_blocks"), "_bucket").select("_key", "_bucket", block_of.alias("_block"), "_blocks", F.lit(True).alias("_own"))
     # the bucket's first text goes to all of its blocks
-    guest = sets.where("_blocks > 1").select("_bucket", "_first", "_blocks", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")).withColumn("_rep", F.col("_first"))
-    guest = guest.where(F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks") != F.col("_block")).withColumn("_own", F.lit(False))
-    with_text = lambda df: df.join(rep_texts.select(F.col("_doc").alias("_rep"), "_t"), "_rep")
-    found = materialize(_compare(with_text(own.unionByName(guest)), idf, threshold), "links")
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block")
+    guests = sets.where("_blocks > 1").select(F.col("_first").alias("_key"), "_bucket", everywhere, "_blocks", F.lit(False).alias("_own")).where(block_of != F.col("_block"))
+    # one plan at every size: the texts of buckets are picked out by a merge join, each from the row of its smallest id
+    wanted = members.select("_key").distinct().join(texts.select("_key", "_doc"), "_key").select(F.col("_key").alias("_k"), F.col("_doc").alias("_d"))
+    picked = keyed.join(wanted.hint("merge"), (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
+    picked = materialize(picked.select("_key", "_t").dropDuplicates(["_key"]), "bucket_texts")
+    found = materialize(_compare(_placed(picked, own.unionByName(guests)), idf, threshold), "links")
     links = found.where("_b is not null").select("_a", "_b")
     alone = found.where("_b is null")
     if alone.limit(1).count():
-        open_ = alone.select("_bucket", F.col("_a").alias("_rep")).join(sets.where("_blocks > 1"), "_bucket")
-        asked = open_.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_own", F.lit(False))
-        asked = asked.where(F.pmod(F.xxhash64("_rep", F.lit(2)), "_blocks") != F.col("_block"))
-        again = own.join(open_.select("_bucket").distinct(), "_bucket", "left_semi").unionByName(asked)
-        links = links.unionByName(_compare(with_text(again), idf, threshold).where("_b is not null").select("_a", "_b"))
-    found = components(links, "_a", "_b")
-    roots = texts.select("_text", "_rep").join(found, texts["_rep"] == found["node"], "left").select("_text", F.coalesce("label", "_rep").alias("class_id"))
-    members = signed.select("_doc", "_text").join(roots, "_text").select(F.col("_doc").alias(doc_id), "class_id", "_text")
-    members = materialize(members, "classed")
-    label = F.coalesce(F.col("class_id").cast("string"), F.hex("_text"))
-    sizes = members.groupBy(label.alias("_class")).agg(F.count(F.lit(1)).alias("class_size"))
-    return members.withColumn("_class", label).join(sizes, "_class").select(doc_id, "class_id", "class_size")
-
-
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of each class: that of the smallest doc_id; of rows without an id one of each text."""
-    found = classes(docs, text, doc_id, **options)
-    stay = materialize(found.where(F.col(doc_id) == F.col("class_id")).groupBy(F.col(doc_id).alias("_stay")).agg(F.count(F.lit(1)).alias("_n")), "stay")
-    kept = docs.join(stay, docs[doc_id] == stay["_stay"], "left_semi")
-    if stay.where("_n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id])
-    if docs.where(F.col(doc_id).isNull()).limit(1).count():
-        kept = kept.unionByName(docs.where(F.col(doc_id).isNull()).dropDuplicates([text]))
-    return kept
+        lone = alone.select("_bucket", F.col("_a").alias("_key")).join(sets.select("_bucket", "_blocks"), "_bucket")
+        asked = lone.select("_key", "_bucket", everywhere, "_blocks", F.lit(False).alias("_own")).where(block_of != F.col("_block"))
+        again = own.join(lone.select("_bucket").distinct(), "_bucket", "left_semi").unionByName(asked)
+        more = _compare(_placed(picked, again), idf, threshold).where("_b is not null").select("_a", "_b")
+        links = materialize(links.unionByName(more), "links")
+    joined = components(links, "_a", "_b")
+    discard(picked, members, sets, found, links)
+
+    plain = texts.select("_key", "_doc", "_rows")
+    linked = plain.join(joined, plain["_key"] == joined["node"]).select("_key", "_doc", "_rows", "label")
+    order = F.struct(F.isnull("_doc"), "_doc", "_key")
+    named = linked.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.min("_doc").alias("class_id"), F.sum("_rows").alias("class_size"), F.min_by("_key", order).alias("_stay"))
+    linked = join_uneven(linked, materialize(named, "named"), "label", "_n", total).select("_key", "_doc", "_rows", "class_id", "class_size", (F.col("_key") == F.col("_stay")).alias("_stays"))
+    single = plain.join(joined.select(F.col("node").alias("_key")), "_key", "left_anti").select("_key", "_doc", "_rows", F.col("_doc").alias("class_id"), F.col("_rows").alias("class_size"), F.lit(True).alias("_stays"))
+    return signed.select("_doc", "_key"), materialize(linked.unionByName(single), "classed"), total
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 16, rows: int = 3, idf_strength: float = 0.25, block_bytes: int = 4 << 20, block_texts: int = 1000) -> DataFrame:
+    """doc_id, class_id and class_size of every row."""
+    signed, texts, total = _classified(docs, text, doc_id, threshold, bands, rows, idf_strength, block_bytes, block_texts)
+    out = join_uneven(signed, texts.select("_key", "_rows", "class_id", "class_size"), "_key", "_rows", total)
+    return out.select(F.col("_doc").alias(doc_id), "class_id", "class_size")
+
+
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = 0.8, bands: int = 16, rows: int = 3, idf_strength: float = 0.25, block_bytes: int = 4 << 20, block_texts: int = 1000) -> DataFrame:
+    """One row of each class, all columns kept: of the smallest doc_id, or of the smallest hash where no row has an id."""
+    signed, texts, _ = _classified(docs, text, doc_id, threshold, bands, rows, idf_strength, block_bytes, block_texts)
+    stay = materialize(texts.where("_stays").select(F.col("_key").alias("_k"), F.col("_doc").alias("_d")), "stay")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_x"), F.col(doc_id).alias("_y"))
+    keyed = whole.select("_row", F.col("_y").cast("long").alias("_doc"), F.substring(F.unhex(F.sha2(F.coalesce("_x", F.lit("")), 256)), 1, 16).alias("_key"))
+    kept = keyed.join(stay.hint("merge"), (F.col("_key") == F.col("_k")) & F.col("_doc").eqNullSafe(F.col("_d")), "left_semi")
+    if signed.groupBy("_doc", "_key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").limit(1).count():
+        kept = kept.dropDuplicates(["_key", "_doc"])
+    discard(texts)
+    return kept.select("_row.*")

@@ -33,7 +33,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written_to = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no result reads any more."""
+    for table in tables:
+        path = getattr(table, "_written_to", None)
+        if path:
+            spark = table.sparkSession
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def join_uneven(rows: DataFrame, lookup: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """Inner join on key, lookup having each key once with n, the number of rows that have it.
+
+    Keys of more than a ten-thousandth of all rows (and of 1000 rows at least), of which there can't be more
+    than 10,000, are broadcast; the others are shuffled and none of them is hot."""
+    from pyspark.sql import functions as F
+
+    bound = max(1000, total // 10_000)
+    hot = lookup.where(F.col(n) > bound).drop(n)
+    if not hot.limit(1).count():
+        return rows.join(lookup.drop(n), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(lookup.where(F.col(n) <= bound).drop(n), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
 def with_outputs(row: str, inputs: list[str], outputs: list[str]) -> list:

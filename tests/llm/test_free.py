@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.llm import components, html_extraction, near_dedup, suffix_dedup, token_counts, toxicity
 
-CLASHES = ["_row", "_text", "_t", "_doc", "_rep", "_bucket", "_copy", "_blobs", "class_id", "spans", "held_out", "score", "half", "n_tokens", "host", "slot", "n_chars"]
+CLASHES = ["_row", "_text", "_t", "_doc", "_key", "_k", "_d", "_x", "_rep", "_bucket", "_copy", "_blobs", "class_id", "spans", "held_out", "score", "half", "n_tokens", "host", "slot", "n_chars"]
 
 
 def clashing(df):
@@ -45,7 +45,7 @@ def similarity(a, b, df, n, strength=0.25):
     def weights(t):
         w = t.split()
         wins = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
-        return {s: c * (1 + strength * np.log1p(n / df[s]) / np.log1p(n)) for s, c in wins.items()}
+        return {s: c * (1 + strength * min(1, np.log1p(n / df[s]) / np.log1p(256))) for s, c in wins.items()}
 
     x, y = weights(a), weights(b)
     low = sum(min(v, y[s]) for s, v in x.items() if s in y)
@@ -96,8 +96,13 @@ def test_near_duplicates_on_odd_rows(spark):
     assert got == Counter(want)
     kept = near_dedup.deduplicate(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect())[3] == 1
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([3, 7, 9, None, 11, 12])
     assert near_dedup.classes(docs.where("false")).collect() == []
+    # rows without an id are classed by near texts too, and different texts under one id each by its own
+    other = " ".join(f"u{k}" for k in range(50))
+    odd = spark.createDataFrame([(1, text), (None, text + " z"), (4, other), (4, "quite another text")], "doc_id long, text string")
+    assert Counter(tuple(r) for r in near_dedup.classes(odd).collect()) == Counter([(1, 1, 2), (None, 1, 2), (4, 4, 1), (4, 4, 1)])
+    assert Counter(r.doc_id for r in near_dedup.deduplicate(odd).collect()) == Counter([1, 4, 4])
 
 
 def brute_repeats(rows, match=50):
