@@ -1,20 +1,26 @@
-"""Ad-hoc SQL that can only read: Spark's parser and analyser say what a statement is, an allow-list decides."""
+"""Ad-hoc SQL that can only read the tables it is given.
+
+Spark's parser and analyser say what a statement is; an allow-list of plan nodes decides. A relation must be
+one of the given tables: their views have names of this call, any other view, table or file is refused.
+Needs a classic session, whose plans can be looked at."""
 
 from __future__ import annotations
 
+import threading
 import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Nodes of an analysed plan that only read, and expressions that leave Spark.
+#: Nodes of an analysed plan that only read, leaves without a table, and expressions that leave Spark.
 NODES = {
     "Project", "Filter", "Aggregate", "Join", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "Deduplicate", "Union", "Intersect", "Except", "SubqueryAlias", "View", "LocalRelation", "OneRowRelation",
-    "LogicalRelation", "LogicalRDD", "Window", "Generate", "Expand", "Pivot", "Unpivot", "WithCTE", "CTERelationDef", "CTERelationRef", "Range", "Tail", "LateralJoin", "Sample", "ResolvedHint", "UnresolvedHint", "DataSourceV2Relation",
+    "Window", "Generate", "Expand", "Pivot", "Unpivot", "WithCTE", "CTERelationDef", "CTERelationRef", "Range", "Tail", "LateralJoin", "Sample", "ResolvedHint", "UnresolvedHint",
 }
 SUBQUERIES = {"ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"}
 FORBIDDEN = {"CallMethodViaReflection", "TryReflect", "PythonUDF", "ScalaUDF", "ReadFiles", "InputFileName"}
+HINT = "only the first rows are shown: add a filter, an aggregate or a limit"
 
 
 class Refused(ValueError):
@@ -31,23 +37,30 @@ def _name(node) -> str:
     return node.getClass().getSimpleName()
 
 
-def _expression(e) -> None:
+def _expression(e, views: set[str]) -> None:
     name = _name(e)
     if name in FORBIDDEN:
         raise Refused(f"{name} is not allowed")
     if name in SUBQUERIES:
-        _plan(e.plan())
+        _plan(e.plan(), views)
     for child in _walk(e.children()):
-        _expression(child)
+        _expression(child, views)
 
 
-def _plan(node) -> None:
-    if _name(node) not in NODES:
-        raise Refused(f"{_name(node)} is not allowed")
+def _plan(node, views: set[str]) -> None:
+    """Refuses what isn't in the allow-list; a view of this call is as it was given, all other relations are refused."""
+    name = _name(node)
+    if name not in NODES:
+        raise Refused(f"{name} is not allowed")
+    if name == "View":
+        view = node.desc().identifier().table()
+        if view not in views:
+            raise Refused(f"{view} is none of the given tables")
+        return
     for e in _walk(node.expressions()):
-        _expression(e)
+        _expression(e, views)
     for child in _walk(node.children()):
-        _plan(child)
+        _plan(child, views)
 
 
 def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
@@ -69,24 +82,42 @@ def guarded(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> Data
         for n, df in tables.items():
             df.createOrReplaceTempView(names[n])
         with_tables = "WITH " + ", ".join(f"`{n}` AS (SELECT * FROM `{v}`)" for n, v in names.items()) + f" SELECT * FROM ({sql.strip().rstrip(';')})"
-        files = spark.conf.get("spark.sql.runSQLOnFiles", "true")
-        spark.conf.set("spark.sql.runSQLOnFiles", "false")
         try:
             result = spark.sql(with_tables)
         except Exception as e:
             raise Refused(str(e).splitlines()[0]) from None
-        finally:
-            spark.conf.set("spark.sql.runSQLOnFiles", files)
-        _plan(result._jdf.queryExecution().analyzed())
+        _plan(result._jdf.queryExecution().analyzed(), set(names.values()))
         return result
     finally:
         for v in names.values():
             spark.catalog.dropTempView(v)
 
 
-def ask(spark: SparkSession, sql: str, tables: dict[str, DataFrame], most_rows: int = 200, most_chars: int = 400) -> dict:
-    """columns, rows, row_count and truncated of a guarded statement; cells are clipped."""
+def ask(spark: SparkSession, sql: str, tables: dict[str, DataFrame], most_rows: int = 200, most_chars: int = 400, most_seconds: float = 15) -> dict:
+    """columns, rows, row_count, truncated and hint of a guarded statement; cells are clipped, a slow statement is refused."""
     df = guarded(spark, sql, tables)
     clipped = [F.when(F.length(F.col(f"`{c}`").cast("string")) > most_chars, F.concat(F.substring(F.col(f"`{c}`").cast("string"), 1, most_chars), F.lit("…"))).otherwise(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns]
-    rows = df.select(*clipped).limit(most_rows + 1).collect()
-    return {"columns": df.columns, "rows": [list(r) for r in rows[:most_rows]], "row_count": min(len(rows), most_rows), "truncated": len(rows) > most_rows}
+    context, tag, late, done = spark.sparkContext, f"adhoc-{uuid.uuid4().hex}", threading.Event(), threading.Event()
+
+    def stop() -> None:
+        late.set()
+        while not done.wait(0.2):  # a job may only be submitted later
+            context.cancelJobsWithTag(tag)
+
+    timer = threading.Timer(most_seconds, stop)
+    context.setInterruptOnCancel(True)
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        rows = df.select(*clipped).limit(most_rows + 1).collect()
+    except Exception:
+        if late.is_set():
+            raise Refused(f"took more than {most_seconds} seconds") from None
+        raise
+    finally:
+        done.set()
+        timer.cancel()
+        context.removeJobTag(tag)
+        context.setInterruptOnCancel(False)
+    truncated = len(rows) > most_rows
+    return {"columns": df.columns, "rows": [list(r) for r in rows[:most_rows]], "row_count": min(len(rows), most_rows), "truncated": truncated, "hint": HINT if truncated else None}

@@ -1,14 +1,15 @@
-"""Regions of a page: boxes that lie near each other grow together."""
+"""Regions of a page: shapes in a band of it, and boxes that lie near each other as one region."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "x0 double, top double, x1 double, bottom double"
+SIDES = ["x0", "top", "x1", "bottom"]
 
 
 def candidates(shapes: DataFrame, band_top: Column, band_bottom: Column, column_width: Column, least: float = 3.0) -> DataFrame:
@@ -19,44 +20,90 @@ def candidates(shapes: DataFrame, band_top: Column, band_bottom: Column, column_
     return shapes.where((overlap >= height / 2) & ~dash & (F.col("x1") - F.col("x0") < column_width))
 
 
-def merge_boxes(boxes: list[tuple[float, float, float, float]], gap: float) -> list[tuple[float, float, float, float]]:
-    """Unions boxes closer than a gap until none are."""
-    boxes = sorted(boxes)
-    changed = True
-    while changed:
-        changed, out = False, []
-        for b in boxes:
-            for i, a in enumerate(out):
-                if b[0] <= a[2] + gap and a[0] <= b[2] + gap and b[1] <= a[3] + gap and a[1] <= b[3] + gap:
-                    out[i] = (min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3]))
-                    changed = True
-                    break
-            else:
-                out.append(b)
-        boxes = out
+def fraction_bars(rules: DataFrame, tables: DataFrame, page: str, thickest: float = 1.6, shortest: float = 3.0, longest: float = 90.0) -> DataFrame:
+    """Thin short horizontal rules that lie in no table of their page; tables have page and the four sides."""
+    thin = rules.where((F.col("bottom") - F.col("top") <= thickest) & (F.col("x1") - F.col("x0")).between(shortest, longest))
+    around = tables.select(F.col(page).alias("_page"), *[F.col(s).alias(f"_{s}") for s in SIDES])
+    inside = (F.col(page) == F.col("_page")) & (F.col("x0") >= F.col("_x0")) & (F.col("x1") <= F.col("_x1")) & (F.col("top") >= F.col("_top")) & (F.col("bottom") <= F.col("_bottom"))
+    return thin.join(around, inside, "left_anti")
+
+
+def regions(boxes: np.ndarray, gap: float) -> np.ndarray:
+    """Bounding boxes (rows of x0, top, x1, bottom) of the classes of boxes that are within the gap of each other.
+
+    A class is what a sweep from left to right connects. Its bounding box may come near others, so the
+    bounding boxes are swept again, until all classes are single boxes."""
+    while len(boxes) > 1:
+        boxes = boxes[np.lexsort(boxes.T[::-1])]
+        parent = list(range(len(boxes)))
+
+        def top_of(k: int, parent: list[int] = parent) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        reach = np.searchsorted(boxes[:, 0], boxes[:, 2] + gap, side="right")
+        for k in range(len(boxes)):
+            right = boxes[k + 1 : reach[k]]
+            level = (right[:, 1] <= boxes[k, 3] + gap) & (right[:, 3] >= boxes[k, 1] - gap)
+            for j in np.flatnonzero(level):
+                parent[top_of(k + 1 + int(j))] = top_of(k)
+        classes = np.unique([top_of(k) for k in range(len(boxes))], return_inverse=True)[1]
+        if classes.max() + 1 == len(boxes):
+            break
+        low, high = np.full((classes.max() + 1, 2), np.inf), np.full((classes.max() + 1, 2), -np.inf)
+        np.minimum.at(low, classes, boxes[:, :2])
+        np.maximum.at(high, classes, boxes[:, 2:])
+        boxes = np.hstack([low, high])
     return boxes
 
 
 def clusters(boxes: DataFrame, page: str, gap: float = 8.0, least_side: float = 24.0, least_area: float = 2500.0, most_width: float = 1e9, pad: float = 6.0, most: int = 400) -> DataFrame:
-    """page, region, x0, top, x1, bottom of each page's regions, from the top left; a page with too many boxes has none."""
+    """page, region, the four sides and crowded of each page's regions, from the top left.
+
+    Boxes of a page are joined within each batch before the shuffle: what a part of the boxes connects, all
+    of them connect too. crowded marks pages of more than ``most`` boxes, whose regions say little."""
     kind = dict(boxes.dtypes)[page]
+    sides = ", ".join(f"{s} double" for s in SIDES)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                parts = [(key, len(rows), regions(rows[SIDES].to_numpy(float), gap)) for key, rows in batch.groupby(page, dropna=False, sort=False)]
+                out = pd.DataFrame(np.vstack([r for _, _, r in parts]), columns=SIDES)
+                out.insert(0, page, np.repeat(np.array([k for k, _, _ in parts], batch[page].dtype), [len(r) for _, _, r in parts]))
+                out["n"] = np.concatenate([np.r_[n, np.zeros(len(r) - 1, np.int64)] for _, n, r in parts])
+                yield out
+
+    def wholly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, shapes in zip(batch[page], batch["shapes"], strict=True):
-                merged = merge_boxes([tuple(b.values()) for b in shapes], gap)
-                large = [b for b in merged if min(b[2] - b[0], b[3] - b[1]) >= least_side and (b[2] - b[0]) * (b[3] - b[1]) >= least_area and b[2] - b[0] < 0.97 * most_width]
-                large.sort(key=lambda b: (b[1], b[0]))
-                rows += [(key, i, b[0] - pad, b[1] - pad, b[2] + pad, b[3] + pad) for i, b in enumerate(large)]
-            yield pd.DataFrame(rows, columns=[page, "region", "x0", "top", "x1", "bottom"])
+            for key, shapes, n in zip(batch[page], batch["shapes"], batch["n"], strict=True):
+                found = regions(np.array([[b[s] for s in SIDES] for b in shapes], float), gap)
+                width, height = found[:, 2] - found[:, 0], found[:, 3] - found[:, 1]
+                found = found[(np.minimum(width, height) >= least_side) & (width * height >= least_area) & (width < 0.97 * most_width)]
+                found = found[np.lexsort((found[:, 0], found[:, 1]))] + np.array([-pad, -pad, pad, pad])
+                rows += [(key, k, *b, n > most) for k, b in enumerate(found.tolist())]
+            yield pd.DataFrame(rows, columns=[page, "region", *SIDES, "crowded"])
 
-    pages = boxes.groupBy(page).agg(F.collect_list(F.struct(*[F.col(c).cast("double") for c in ("x0", "top", "x1", "bottom")])).alias("shapes"))
-    return pages.where(F.size("shapes") <= most).mapInPandas(run, f"{page} {kind}, region int, {SCHEMA}")
+    slim = boxes.select(page, *[F.col(s).cast("double").alias(s) for s in SIDES]).where(F.col(page).isNotNull())
+    joined = slim.mapInPandas(partly, f"{page} {kind}, {sides}, n long")
+    pages = joined.groupBy(page).agg(F.collect_list(F.struct(*SIDES)).alias("shapes"), F.sum("n").alias("n"))
+    return pages.mapInPandas(wholly, f"{page} {kind}, region int, {sides}, crowded boolean")
 
 
 def bands(headings: DataFrame, page: str, y: str, height: Column) -> DataFrame:
     """headings with band_bottom: the next heading's place, or the page's height."""
-    from pyspark.sql import Window
-
     return headings.withColumn("band_bottom", F.coalesce(F.lead(y).over(Window.partitionBy(page).orderBy(y)), height))
+
+
+def footnotes(rows: DataFrame, page: str, y: str, size: str, smaller: float = 1.5) -> DataFrame:
+    """rows with in_footnote: the rows at a page's end that are all set smaller than its usual size, if one of
+    them is smaller by ``smaller`` points or more. The usual size is the most frequent, the larger of equals."""
+    sizes = rows.groupBy(page, size).agg(F.count(F.lit(1)).alias("_n"))
+    usual = sizes.groupBy(F.col(page).alias("_p")).agg(F.max_by(size, F.struct("_n", size)).alias("_usual"))
+    below = Window.partitionBy(page).orderBy(F.col(y).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    marked = rows.join(usual, F.col(page).eqNullSafe(F.col("_p"))).withColumn("_tail", F.max(F.col(size) >= F.col("_usual")).over(below) == F.lit(False))
+    small = F.max(F.col("_tail") & (F.col(size) <= F.col("_usual") - smaller)).over(Window.partitionBy(page))
+    return marked.withColumn("in_footnote", F.col("_tail") & small).drop("_p", "_usual", "_tail")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,52 +31,46 @@ def of_markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     return found.select(key, "section", level.alias("level"), F.coalesce(F.trim(F.regexp_replace("_h", "^#+", "")), F.lit("")).alias("title"), "body")
 
 
-class _Sections(HTMLParser):
-    SKIP = {"script", "style", "nav", "svg"}
-    BLOCKS = {"p", "div", "li", "ul", "ol", "br", "tr", "table", "section", "article", "pre", "blockquote", "h4", "h5", "h6"}
+#: Elements left out, elements that begin a new line, and named characters with what they stand for.
+LEFT_OUT = ("script", "style", "nav", "svg")
+LINE_TAGS = ("p", "div", "li", "ul", "ol", "br", "tr", "table", "section", "article", "pre", "blockquote", "h4", "h5", "h6")
+NAMED = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "mdash": "—", "ndash": "–", "hellip": "…", "eacute": "é", "ouml": "ö", "uuml": "ü", "auml": "ä", "szlig": "ß", "ntilde": "ñ", "copy": "©", "amp": "&"}
+HEADING = "(?is)<h[1-3](?:\\s[^>]*)?>.*?</h[1-3]\\s*>"
 
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[list] = [[0, "", ""]]
-        self.skipped = 0
-        self.in_heading = False
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in self.SKIP:
-            self.skipped += 1
-        elif tag in ("h1", "h2", "h3"):
-            self.found.append([int(tag[1]), "", ""])
-            self.in_heading = True
-        elif tag in self.BLOCKS:
-            self.found[-1][2] += "\n"
+def characters(text: Column) -> Column:
+    """Text with its character references decoded: decimal and hexadecimal numbers and the names above."""
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in self.SKIP:
-            self.skipped = max(0, self.skipped - 1)
-        elif tag in ("h1", "h2", "h3"):
-            self.in_heading = False
+    def decoded(piece: Column) -> Column:
+        out = F.concat(F.lit("&"), piece)
+        for pattern, base in (("^#([0-9]{1,7});", 10), ("^#[xX]([0-9a-fA-F]{1,6});", 16)):
+            digits = F.lpad(F.conv(F.regexp_extract(piece, pattern, 1), base, 16), 8, "0")
+            out = F.when(piece.rlike(pattern), F.concat(F.decode(F.unhex(digits), "UTF-32"), F.regexp_replace(piece, pattern, ""))).otherwise(out)
+        for name, char in NAMED.items():
+            out = F.when(piece.startswith(f"{name};"), F.concat(F.lit(char), F.substr(piece, F.lit(len(name) + 2)))).otherwise(out)
+        return out
 
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.found[-1][1 if self.in_heading else 2] += data
+    return F.array_join(F.transform(F.split(text, "&"), lambda piece, k: F.when(k == 0, piece).otherwise(decoded(piece))), "")
 
 
-def _tidy(body: str) -> str:
-    return "\n".join(x for x in (" ".join(line.split()) for line in body.split("\n")) if x)
+def _plain(part: Column) -> Column:
+    """The lines of a piece of a page without tags, empty ones left out."""
+    broken = F.regexp_replace(part, f"(?i)<({'|'.join(LINE_TAGS)})(?=[\\s/>])[^>]*>", "\n")
+    lines = F.split(characters(F.regexp_replace(broken, "<[^>]*>", "")), "\n")
+    return F.array_join(F.filter(F.transform(lines, lambda line: F.trim(F.regexp_replace(line, "[\\s\u00a0]+", " "))), lambda line: line != ""), "\n")
 
 
 def of_html(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, section, level, title, body: headings h1 to h3; scripts, styles, menus and drawings are left out."""
-    kind = dict(pages.dtypes)[key]
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for k, page in zip(batch[key], batch[html], strict=True):
-                parser = _Sections()
-                parser.feed(page or "")
-                parser.close()
-                rows += [(k, i, level, " ".join(title.split()), _tidy(body)) for i, (level, title, body) in enumerate(parser.found) if level or body.strip()]
-            yield pd.DataFrame(rows, columns=[key, "section", "level", "title", "body"])
-
-    return pages.select(key, html).mapInPandas(cut, f"{key} {kind}, section int, level int, title string, body string")
+    """key, section, level, title, body: a section for each h1 to h3, section 0 for what stands before, if it has text.
+
+    Comments, scripts, styles, menus and drawings go first, headings in them too. Only built-in expressions."""
+    bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "(?s)<!--.*?-->", "")
+    for tag in LEFT_OUT:
+        bare = F.regexp_replace(bare, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", "")
+    cut = pages.select(key, bare.alias("_bare"))
+    cut = cut.select(key, F.regexp_extract_all("_bare", F.lit(f"({HEADING})"), F.lit(1)).alias("_heads"), F.split("_bare", HEADING).alias("_parts"))
+    rows = cut.select(key, "_heads", F.posexplode("_parts").alias("section", "_part")).withColumn("_head", F.get("_heads", F.col("section") - 1))
+    level = F.coalesce(F.substring("_head", 3, 1).cast("int"), F.lit(0))
+    title = F.coalesce(F.trim(F.regexp_replace(characters(F.regexp_replace("_head", "<[^>]*>", "")), "[\\s\u00a0]+", " ")), F.lit(""))
+    found = rows.select(key, "section", level.alias("level"), title.alias("title"), _plain(F.col("_part")).alias("body"))
+    return found.where((F.col("level") > 0) | (F.col("body") != ""))

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,13 @@ def test_filter_syntax():
     asked = filters.parse([("a__gt", "1"), ("b", "x"), ("op.b", "contains"), ("c", "1"), ("a__odd", "1"), ("b__null", ""), ("a", ""), ("_page", "3"), ("_per", "25"), ("_sort", "zz")], ["a", "b"])
     assert asked.filters == [filters.Filter("a", "gt", "1"), filters.Filter("b", "contains", "x"), filters.Filter("b", "null")]
     assert asked.rejected == ["c", "a__odd", "_sort"] and (asked.page, asked.per) == (3, 25)
+    assert filters.parse([("op.a", "null"), ("op.b", "gt"), ("op.z", "null")], ["a", "b"]).filters == [filters.Filter("a", "null")]
+
+
+def test_listing(spark):
+    df = spark.createDataFrame([(k, k % 3) for k in range(60)], "id int, v int")
+    shown, total, rejected = filters.listing(df, filters.parse([("v__gte", "1"), ("id__gt", "x"), ("_per", "25"), ("_page", "2")], df.columns), ["id"])
+    assert total.first().total == 40 and [r.id for r in shown.collect()][0] == 38 and rejected == ["id__gt"]
 
 
 def test_page_has_nulls_last_both_ways(spark):
@@ -149,16 +157,48 @@ def test_sections(spark):
     html = "<nav>menu</nav><p>start</p><h1>A &amp; B</h1><script>x()</script><p>body</p><h2>C</h2>end"
     got = sections.of_html(spark.createDataFrame([(1, html)], "id int, h string"), "id", "h").orderBy("section").collect()
     assert [(r.level, r.title, r.body) for r in got] == [(0, "", "start"), (1, "A & B", "body"), (2, "C", "end")]
+    html = "<!-- <h1>no</h1> --><nav><h2>Menu</h2></nav><h3 id=x>&#379;&#x41;<b>b</b></h3><div>one<br/>two &lt;p&gt; &eacute;&nbsp; x &odd; a&b</div>"
+    got = sections.of_html(spark.createDataFrame([(1, html), (2, None), (3, "")], "id int, h string"), "id", "h").collect()
+    assert [(r.id, r.section, r.level, r.title, r.body) for r in got] == [(1, 1, 3, "ŻAb", "one\ntwo <p> é x &odd; a&b")]
+
 
+def by_pairs(boxes, gap):
+    """Joins any two boxes within the gap until there are none."""
+    boxes = [tuple(b) for b in boxes]
+    while True:
+        pair = next(((a, b) for i, a in enumerate(boxes) for b in boxes[i + 1 :] if a[0] - gap <= b[2] and b[0] - gap <= a[2] and a[1] - gap <= b[3] and b[1] - gap <= a[3]), None)
+        if pair is None:
+            return sorted(boxes)
+        for x in pair:
+            boxes.remove(x)
+        boxes.append((*map(min, pair[0][:2], pair[1][:2]), *map(max, pair[0][2:], pair[1][2:])))
 
-def test_boxes():
-    boxes = [(0, 0, 10, 10), (15, 0, 25, 10), (100, 100, 110, 110)]
-    assert geometry.merge_boxes(boxes, 8) == [(0, 0, 25, 10), (100, 100, 110, 110)]
+
+@pytest.mark.parametrize("seed", range(8))
+def test_regions_are_those_of_pairwise_joins(seed):
+    rng = np.random.default_rng(seed)
+    corner = rng.integers(0, 300, (60, 2))
+    boxes = np.hstack([corner, corner + rng.integers(1, 30, (60, 2))]).astype(float)
+    assert sorted(map(tuple, geometry.regions(boxes, 4).tolist())) == by_pairs(boxes.tolist(), 4)
 
 
 def test_region_clusters(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 60.0, 60.0), (1, 64.0, 0.0, 100.0, 60.0), (1, 300.0, 300.0, 310.0, 310.0)], "page int, x0 double, top double, x1 double, bottom double")
-    assert rows(geometry.clusters(df, "page")) == [(1, 0, -6.0, -6.0, 106.0, 66.0)]
+    assert rows(geometry.clusters(df, "page")) == [(1, 0, -6.0, -6.0, 106.0, 66.0, False)]
+    assert rows(geometry.clusters(df, "page", most=2)) == [(1, 0, -6.0, -6.0, 106.0, 66.0, True)]
+    assert rows(geometry.clusters(df.where("false"), "page")) == []
+
+
+def test_bands_bars_and_footnotes(spark):
+    shapes = spark.createDataFrame([("in", 0.0, 10.0, 50.0, 20.0), ("half", 0.0, 95.0, 50.0, 105.0), ("out", 0.0, 96.0, 50.0, 106.0), ("dash", 0.0, 10.0, 2.0, 12.0), ("rule", 0.0, 10.0, 500.0, 12.0)], "k string, x0 double, top double, x1 double, bottom double")
+    assert {r.k for r in geometry.candidates(shapes, F.lit(0.0), F.lit(100.0), F.lit(400.0)).collect()} == {"in", "half"}
+    heads = spark.createDataFrame([(1, 10.0), (1, 50.0), (2, 5.0)], "page int, y double")
+    assert {(r.page, r.y): r.band_bottom for r in geometry.bands(heads, "page", "y", F.lit(800.0)).collect()} == {(1, 10.0): 50.0, (1, 50.0): 800.0, (2, 5.0): 800.0}
+    rules = spark.createDataFrame([(1, 10.0, 5.0, 40.0, 6.0), (1, 10.0, 55.0, 40.0, 56.0), (1, 10.0, 5.0, 140.0, 6.0), (1, 10.0, 5.0, 40.0, 9.0)], "page int, x0 double, top double, x1 double, bottom double")
+    tables = spark.createDataFrame([(1, 0.0, 50.0, 100.0, 90.0)], "page int, x0 double, top double, x1 double, bottom double")
+    assert [(r.x1, r.top) for r in geometry.fraction_bars(rules, tables, "page").collect()] == [(40.0, 5.0)]
+    lines = spark.createDataFrame([(1, 1.0, 11.0), (1, 2.0, 8.0), (1, 3.0, 11.0), (1, 4.0, 10.0), (1, 5.0, 9.0), (2, 1.0, 11.0), (2, 2.0, 11.0), (2, 3.0, 10.5)], "page int, y double, size double")
+    assert {(r.page, r.y) for r in geometry.footnotes(lines, "page", "y", "size").where("in_footnote").collect()} == {(1, 4.0), (1, 5.0)}
 
 
 def test_search_prefers_headings(spark):
@@ -187,6 +227,23 @@ def test_adhoc_refuses(spark, sql):
         adhoc.guarded(spark, sql, {"t": spark.range(3).toDF("k")})
 
 
+@pytest.mark.parametrize("sql", ["SELECT * FROM secret_view", "SELECT k FROM t WHERE k IN (SELECT k FROM secret_view)", "WITH secret_view AS (SELECT * FROM secret_view) SELECT * FROM secret_view", "SELECT * FROM global_temp.secret_global", "SELECT * FROM secret_table"])
+def test_adhoc_reads_no_other_relation(spark, sql):
+    spark.range(2).toDF("k").createOrReplaceTempView("secret_view")
+    spark.range(2).toDF("k").createOrReplaceGlobalTempView("secret_global")
+    try:
+        with pytest.raises(adhoc.Refused):
+            adhoc.guarded(spark, sql, {"t": spark.range(3).toDF("k")})
+    finally:
+        spark.catalog.dropTempView("secret_view")
+        spark.catalog.dropGlobalTempView("secret_global")
+
+
+def test_adhoc_stops_slow_statements(spark):
+    with pytest.raises(adhoc.Refused):
+        adhoc.ask(spark, "SELECT count(*) FROM t WHERE sqrt(id) < 0", {"t": spark.range(10**13)}, most_seconds=1)
+
+
 def test_adhoc_answers(spark):
     t = {"t": spark.range(300).withColumn("v", F.lit("x" * 500))}
     got = adhoc.ask(spark, "WITH a AS (SELECT id, v FROM t WHERE id IN (SELECT id FROM t WHERE id > 1)) SELECT id, v FROM a ORDER BY id", t)
