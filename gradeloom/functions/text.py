@@ -79,3 +79,108 @@ def snippet(text: Column, term: Column, width: int = 300) -> Column:
     body = F.substring(text, start, F.lit(width))
     left, right = F.when(start > 1, "…").otherwise(""), F.when(start + width - 1 < F.length(text), "…").otherwise("")
     return F.when(at > 0, F.concat(left, body, right))
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for case and white space."""
+    return F.lower(collapse(a)).eqNullSafe(F.lower(collapse(b)))
+
+
+def real_content(text: Column, placeholders: tuple[str, ...] = ("to do", "todo", "tbd", "placeholder")) -> Column:
+    """Whether a text says something: neither blank nor a placeholder."""
+    return (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0) & ~F.lower(F.coalesce(text, F.lit(""))).rlike("|".join(placeholders))
+
+
+def from_vocabulary(value: Column, words: dict[str, str]) -> Column:
+    """The word's translation; a word that isn't in the vocabulary is an error."""
+    out = F.when(value.isNull(), F.lit(None).cast("string"))
+    for a, b in words.items():
+        out = out.when(value == a, b)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unknown word: "), value)))
+
+
+def started_at(given: Column, now: Column) -> Column:
+    """When something began: not after now, now if it isn't said or isn't a time; a time without a zone is UTC."""
+    return F.least(F.coalesce(F.try_to_timestamp(given), now), now)
+
+
+#: Signs that stand for a minus.
+MINUS = "−–—‒"
+
+
+def plain_signs(text: Column) -> Column:
+    """Dashes as minus, and the letters and digits of mathematical alphabets as plain ones."""
+    alphabets = [(0x1D400, 26, 13, "A"), (0x1D41A, 26, 13, "a")]
+    t = F.translate(text, MINUS, "-" * len(MINUS))
+    # the alphabets follow each other, 26 capitals and 26 small letters each; a letter that has a place of its own elsewhere is missing in one
+    source = "".join(chr(first + 52 * k + i) for first, n, times, _ in alphabets for k in range(times) for i in range(n))
+    target = "".join(chr(ord(base) + i) for _, n, times, base in alphabets for _ in range(times) for i in range(n))
+    digits = "".join(chr(0x1D7CE + i) for i in range(50))
+    return F.translate(t, source + digits, target + "0123456789" * 5)
+
+
+def merged_scripts(text: Column) -> Column:
+    """Runs of superscripts or subscripts as one: k^-^1^0 becomes k^(-10)."""
+    for mark in ("^", "_"):
+        run = rf"(?:\{mark}[^{mark}]){{2,}}"
+        runs = F.transform(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), lambda r, m=mark: F.concat(F.lit(f"{m}("), F.replace(r, F.lit(m), F.lit("")), F.lit(")")))
+        parts = F.split(text, run)
+        text = F.array_join(F.flatten(F.zip_with(parts, F.concat(runs, F.array(F.lit(""))), lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+    return text
+
+
+def canonical_json(values: dict[str, Column]) -> Column:
+    """An object's JSON with sorted keys; nulls are kept."""
+    return F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)]), {"ignoreNullFields": "false"})
+
+
+def migration_hash(text: Column) -> Column:
+    """SHA-256 of a script without a byte order mark and with plain line ends."""
+    return F.sha2(F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n", "\n"), 256)
+
+
+def page_window(page: Column, next_page: Column, last: Column, most: int = 5) -> Column:
+    """The pages from a task's to the next task's, at most ``most`` and none behind the last."""
+    return F.sequence(page, F.greatest(page, F.least(F.coalesce(next_page, last), page + (most - 1), last)))
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """part of whole as 12.5%, 0.0% of nothing."""
+    return F.concat(F.format_number(F.when(whole > 0, 100 * part / whole).otherwise(0.0), "0.0"), F.lit("%"))
+
+
+#: Words that are units, signs and what they are written as.
+UNIT_WORDS = ("km", "cm", "dm", "mm", "m", "min", "h", "s", "kg", "dag", "g", "t", "l", "ml", "ha", "zl", "zł", "szt", "pkt")
+SIGNS = {"⋅": "\\cdot", "∙": "\\cdot", "·": "\\cdot", "×": "\\times", "∶": "\\div", ":": "\\div", "÷": "\\div", "≈": "\\approx", "≤": "\\le", "≥": "\\ge", "≠": "\\ne", "≡": "\\equiv", "π": "\\pi", "∆": "\\Delta", "Δ": "\\Delta"}
+SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+LEADING = r"(?i)^\s*(?:zapisanie|obliczenie|wyznaczenie|ustalenie|podanie|przedstawienie)\s*:?\s*"
+TRAILING = r"(?is)\s*(?:(?:^|[^\p{L}])(?:lub|albo|oraz|bez|gdzie|jeżeli|jeśli|przy|dla|i)(?:[^\p{L}].*)?$|,\s*(?:gdzie|np)(?:[^\p{L}].*)?$)"
+
+
+def prose_word(text: Column) -> Column:
+    """The first word of three letters or more that is neither a unit nor a command; null if there is none."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"[\^_]\{[^{}]*\}", " "), r"\\[A-Za-z]+", " ")
+    words = F.filter(F.regexp_extract_all(bare, F.lit(r"(\p{L}{3,})"), F.lit(1)), lambda w: ~F.lower(w).isin(*UNIT_WORDS))
+    return F.get(words, F.lit(0))
+
+
+def expression(text: Column) -> Column:
+    """Struct (latex, reason) of a key's expression: roots, prose and what has nothing to count are refused.
+
+    Fractions are nested up to three deep."""
+    t = text
+    for digit, sign in enumerate(SUPERSCRIPTS):
+        t = F.replace(t, F.lit(sign), F.lit(f"^{{{digit}}}"))
+    t = F.trim(F.regexp_replace(F.regexp_replace(plain_signs(t), LEADING, ""), TRAILING, ""))
+    bare = t
+    for sign, command in SIGNS.items():
+        t = F.replace(t, F.lit(sign), F.lit(f" {command} "))
+    t = F.regexp_replace(F.regexp_replace(t, r"([\^_])\(([^()]*)\)", "$1{$2}"), r"([\^_])(-?[\p{L}\p{N}])", "$1{$2}")
+    t = F.regexp_replace(t, r"(\d),(?=\d)", "$1.")
+    part = r"(\d+(?:\.\d+)?|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|\([^()]*\)|\\frac\{[^{}]*\}\{[^{}]*\})"
+    for _ in range(3):
+        t = F.regexp_replace(t, rf"{part}\s*/\s*{part}", r"\\frac{$1}{$2}")
+    t = F.regexp_replace(F.trim(F.regexp_replace(F.replace(t, F.lit("%"), F.lit("\\%")), r"\s+", " ")), "[.;,]+$", "")
+    word = prose_word(t)
+    reason = F.when(bare == "", "empty").when(bare.contains("√"), "root").when(word.isNotNull(), F.concat(F.lit("prose: "), word)).when(~t.rlike("[0-9A-Za-z]"), "nothing to count")
+    return F.struct(F.when(reason.isNull(), t).alias("latex"), reason.alias("reason"))
