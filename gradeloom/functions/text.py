@@ -23,13 +23,10 @@ def fold(text: Column) -> Column:
 
 
 def search_terms(text: Column, prefixes: tuple[int, ...] = (4, 6)) -> Column:
-    """Folded words of two characters or more that aren't stop words, each with its beginnings."""
-    words = F.filter(F.regexp_extract_all(fold(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: (F.length(w) >= 2) & ~w.isin(*STOP_WORDS))
-
-    def starts(n: int) -> Column:
-        return F.transform(F.filter(words, lambda w: F.length(w) > n), lambda w: F.substring(w, 1, n))
-
-    return F.concat(words, *[starts(n) for n in prefixes])
+    """Folded words of two characters or more that aren't stop words, each with its beginnings. One pass over the text."""
+    words = F.regexp_extract_all(fold(text), F.lit("[a-z0-9]{2,}"), F.lit(0))
+    forms = lambda w: F.filter(F.array(w, *[F.when(F.length(w) > n, F.substring(w, 1, n)) for n in prefixes]), lambda x: x.isNotNull())
+    return F.flatten(F.transform(F.filter(words, lambda w: ~w.isin(*STOP_WORDS)), forms))
 
 
 def reason_label(reason: Column) -> Column:
@@ -119,14 +116,15 @@ def plain_signs(text: Column) -> Column:
     return F.translate(t, source + digits, target + "0123456789" * 5)
 
 
+def _merged(text: Column, mark: str) -> Column:
+    run = rf"(?:\{mark}[^{mark}]){{2,}}"
+    runs = F.transform(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), lambda r: F.concat(F.lit(f"{mark}("), F.replace(r, F.lit(mark), F.lit("")), F.lit(")")))
+    return F.array_join(F.flatten(F.zip_with(F.split(text, run), runs, lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
+
+
 def merged_scripts(text: Column) -> Column:
     """Runs of superscripts or subscripts as one: k^-^1^0 becomes k^(-10)."""
-    for mark in ("^", "_"):
-        run = rf"(?:\{mark}[^{mark}]){{2,}}"
-        runs = F.transform(F.regexp_extract_all(text, F.lit(f"({run})"), F.lit(1)), lambda r, m=mark: F.concat(F.lit(f"{m}("), F.replace(r, F.lit(m), F.lit("")), F.lit(")")))
-        parts = F.split(text, run)
-        text = F.array_join(F.flatten(F.zip_with(parts, F.concat(runs, F.array(F.lit(""))), lambda p, r: F.array(p, F.coalesce(r, F.lit(""))))), "")
-    return text
+    return _merged(_merged(text, "^"), "_")
 
 
 def canonical_json(values: dict[str, Column]) -> Column:
@@ -146,7 +144,7 @@ def page_window(page: Column, next_page: Column, last: Column, most: int = 5) ->
 
 def percent(part: Column, whole: Column) -> Column:
     """part of whole as 12.5%, 0.0% of nothing."""
-    return F.concat(F.format_number(F.when(whole > 0, 100 * part / whole).otherwise(0.0), "0.0"), F.lit("%"))
+    return F.format_string("%.1f%%", F.when(whole > 0, 100 * part / whole).otherwise(0.0))
 
 
 #: Words that are units, signs and what they are written as.

@@ -7,8 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .gate import reviewed
-
 Check = Callable[[DataFrame], DataFrame]
 
 
@@ -60,5 +58,3 @@ def norm_or_gap(df: DataFrame, group: str, closed: Column, has: Column) -> DataF
     norm = F.when(F.count_if(closed) == 0, F.lit(None).cast("boolean")).otherwise(~F.bool_or(closed & has))
     return df.groupBy(group).agg(norm.alias("norm"))
 
-
-__all__ = ["dual_scope", "free_points", "missing_numbers", "norm_or_gap", "ordered_list", "reviewed", "twins", "zero_filled"]

@@ -66,3 +66,8 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+
+
+def to_do(df: DataFrame, status: Column, approved: str, settled: tuple[str, ...], forced: Column) -> DataFrame:
+    """Rows that a run may write: those that people settled only if forced, approved ones never."""
+    return df.where((status != approved) & (~status.isin(*settled) | forced))

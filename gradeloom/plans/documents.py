@@ -104,6 +104,7 @@ def line_sections(spark: SparkSession, d: str) -> DataFrame:
     return sections.by_lines(t(spark, d, "documents"), "doc_id", "text", lambda line: F.length(line) < 40)
 
 
+_ASKED = ["idiot", "licensed", "on", "thin"]
 _STOP = ", ".join(f"'{w}'" for w in fx.STOP_WORDS)
 _TERMS = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(text), '{fx.FOLD_FROM}', '{fx.FOLD_TO}'), '[a-z0-9]+')) AS w FROM documents),
  k AS (SELECT * FROM w WHERE length(w) >= 2 AND w NOT IN ({_STOP})),
@@ -120,7 +121,7 @@ def tokenise_fold(spark: SparkSession, d: str) -> DataFrame:
  SELECT doc_id, round(sum(ln(1 + (SELECT count(*) FROM documents) / (1 + df)) * (1 + ln(tf))), 6) AS score FROM tf JOIN df USING (term) GROUP BY 1""")
 def search_scores(spark: SparkSession, d: str) -> DataFrame:
     docs = t(spark, d, "documents")
-    return search.scores(search.index(docs, "doc_id", "text"), "doc_id", docs.count(), ["idiot", "licensed", "on", "thin"])
+    return search.scores(search.index(docs, "doc_id", "text", only=_ASKED), "doc_id", docs.count(), _ASKED)
 
 
 @query("""SELECT doc_id, CASE WHEN pos > 0 THEN (CASE WHEN s > 1 THEN '…' ELSE '' END) || substr(f, s, 300) || (CASE WHEN s + 299 < length(f) THEN '…' ELSE '' END) END AS snippet FROM

@@ -233,9 +233,9 @@ def filter_options(spark: SparkSession, d: str) -> DataFrame:
     return t(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.year("o_orderdate").cast("long").alias("year"), "o_orderpriority").distinct()
 
 
-@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey <= 20)")
+@query("SELECT p_partkey, p_brand FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority LIKE '1-%' AND year(o_orderdate) = 1995)")
 def requirements_of_scope(spark: SparkSession, d: str) -> DataFrame:
-    used = t(spark, d, "lineitem").join(t(spark, d, "orders").where("o_custkey <= 20"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey")
+    used = t(spark, d, "lineitem").join(t(spark, d, "orders").where("o_orderpriority like '1-%' and year(o_orderdate) = 1995"), F.col("l_orderkey") == F.col("o_orderkey")).select("l_partkey")
     return t(spark, d, "part").join(used, F.col("p_partkey") == F.col("l_partkey"), "left_semi").select("p_partkey", "p_brand")
 
 

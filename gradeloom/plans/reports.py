@@ -196,10 +196,11 @@ def arm_comparison(spark: SparkSession, d: str) -> DataFrame:
     return measures.arms(docs, "arm", {"mean_chars": F.avg("n_chars"), "english": F.avg((F.col("lang") == "en").cast("int"))})
 
 
-@query("SELECT o_orderpriority, CASE WHEN count(*) FILTER (o_orderstatus = 'R') = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS rejected_share, round(count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus IN ('F', 'O')), 6) AS hit_share FROM orders GROUP BY 1")
+@query("SELECT o_custkey, round(CASE WHEN count(*) FILTER (o_orderstatus IN ('F', 'O')) = 0 THEN 0 ELSE count(*) FILTER (o_orderstatus = 'F') / count(*) FILTER (o_orderstatus IN ('F', 'O')) END, 6) AS accepted_share FROM orders WHERE o_orderpriority LIKE '1-%' GROUP BY 1")
 def share_zero_denominator(spark: SparkSession, d: str) -> DataFrame:
     n = lambda s: F.count_if(F.col("o_orderstatus") == s)
-    return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(gate.share(n("R"), n("R")), 6).alias("rejected_share"), F.round(measures.hit_share(n("F"), n("O")), 6).alias("hit_share"))
+    urgent = t(spark, d, "orders").where("o_orderpriority like '1-%'")
+    return urgent.groupBy("o_custkey").agg(F.round(gate.share(n("F"), n("F") + n("O")), 6).alias("accepted_share"))
 
 
 @query("SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS user_turns, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY 1")

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as fx
-from gradeloom.operators import adhoc, coverage, filters, gate, geometry, health, measures, navigate, search, sections, snapshot
+from gradeloom.operators import adhoc, coverage, filters, gate, geometry, health, measures, navigate, parsing, search, sections, snapshot
 from gradeloom.sources import inventory
 
 
@@ -249,3 +249,28 @@ def test_adhoc_answers(spark):
     got = adhoc.ask(spark, "WITH a AS (SELECT id, v FROM t WHERE id IN (SELECT id FROM t WHERE id > 1)) SELECT id, v FROM a ORDER BY id", t)
     assert got["columns"] == ["id", "v"] and got["row_count"] == 200 and got["truncated"] and len(got["rows"][0][1]) == 401
     assert adhoc.ask(spark, "SELECT count(*) AS n FROM t", t)["rows"] == [["300"]]
+
+
+def test_signs_and_vocabulary(spark):
+    assert one(spark, fx.plain_signs(F.lit("𝑥 − 𝟓 – 𝐀𝔷"))) == "x - 5 - Az"
+    assert one(spark, fx.merged_scripts(F.lit("k^-^1^0 P_A_E x^2"))) == "k^(-10) P_(AE) x^2"
+    assert one(spark, fx.from_vocabulary(F.lit("a"), {"a": "1"})) == "1"
+    with pytest.raises(Exception, match="unknown word"):
+        one(spark, fx.from_vocabulary(F.lit("b"), {"a": "1"}))
+    assert one(spark, fx.same_text(F.lit(" A  b"), F.lit("a B "))) is True
+    assert one(spark, fx.migration_hash(F.lit("a\r\nb"))) == one(spark, fx.migration_hash(F.lit("a\nb")))
+
+
+@pytest.mark.parametrize(("text", "latex", "reason"), [("1/2/3", None, None), ("2^(10) ≤ a/b", "2^{10} \\le \\frac{a}{b}", None), ("60 min/40 min", "60 min/40 min", None), ("obliczenie 240 ∶ 60", "240 \\div 60", None), ("gdzie a", None, "empty"), ("+", None, "nothing to count"), ("50%.", "50\\%", None)])
+def test_expressions(spark, text, latex, reason):
+    got = one(spark, fx.expression(F.lit(text)))
+    assert got.reason == reason
+    if latex:
+        assert got.latex == latex
+
+
+def test_parser_on_odd_keys(spark):
+    df = spark.createDataFrame([(1, None), (2, ""), (3, "Zadanie 1. (0–2)"), (4, "Zadanie 1. (0–2)\nbody\nWykaz zasad\nx")], "k int, t string")
+    assert [(r.k, r.points, r.body) for r in parsing.tasks(df, "k", "t").collect()] == [(4, 2, "\nbody\n")]
+    assert parsing.forms(df, "k", "t").collect() == []
+    assert df.select(F.size(parsing.rules(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 0
