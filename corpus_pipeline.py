@@ -1,7 +1,10 @@
 """The corpus pipeline: quality rules, near-dedup, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
-written as Parquet and reread as the next stage's documents."""
+written as Parquet and reread as the next stage's documents.
+
+Defined cases are those of the stages' operators: documents without an id, text or source, with empty or very
+long texts, ties, repeated rows, empty tables and further columns, whatever their names, pass as these say."""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.llm import decontamination, mixing, near_dedup, quality_rules, sharding
-from gradeloom.llm.storage import materialize
+from gradeloom.llm.storage import discard, materialize
 from gradeloom.llm.words import word_count
 
 
@@ -31,7 +34,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = mixing.mix(docs.select(F.struct("*").alias("_whole"), "doc_id", "source", word_count(F.col("text")).alias("_words")), size=F.col("_words"))
+    mixed = mixing.mix(docs.select(F.struct("*").alias("_whole"), "doc_id", "source", "text", word_count(F.col("text")).alias("_words")), size=F.col("_words"))
     return mixed.select("_whole", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("_whole.*")
 
 
@@ -48,5 +51,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        done = materialize(stage(spark, docs, sf_dir), name)
+        discard(docs)  # the stage's input, unless it is the given table
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ Only DataFrame functions are used. The benchmark's windows are broadcast if they
 (``most_broadcast``), else both sides are shuffled by the window's hash. Only documents with a hit
 on an item with slots are read again for the slots' values.
 
-Defined cases: null and blank texts match nothing; repeated document ids are judged together;
+Defined cases: null and blank texts match nothing; texts of any length are compared whole; rows are judged each for itself, those without an id or with a repeated one too, and equal rows give one result;
 repeated items are matched each; an empty documents or benchmark table gives no rows; extra columns
 are ignored by ``contaminated`` and kept by ``decontaminate``.
 """
@@ -41,10 +41,10 @@ def _clean(text: Column) -> Column:
 
 def _marked(text: Column) -> Column:
     """The text's tokens, names, numbers and units behind a mark of their type."""
-    t = F.regexp_replace(_clean(text), _NAME, f"{NAME}$0")
+    t = F.lower(F.regexp_replace(_clean(text), _NAME, f"{NAME}$0"))
     t = F.regexp_replace(t, _NUMBER, f" {NUMBER}$0 ")
-    t = F.regexp_replace(t, f"(?i)({NUMBER}[^ ]+) +({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2 ")
-    return F.regexp_extract_all(F.lower(t), F.lit(f"{NUMBER}[^ ]+|[{NAME}{UNIT}]?[\\p{{L}}\\p{{M}}\\p{{N}}]+"), F.lit(0))
+    t = F.regexp_replace(t, f"({NUMBER}[^ ]+) +({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", f"$1 {UNIT}$2 ")
+    return F.regexp_extract_all(t, F.lit(f"{NUMBER}[^ ]+|[{NAME}{UNIT}]?[\\p{{L}}\\p{{M}}\\p{{N}}]+"), F.lit(0))
 
 
 def _plain(x: Column) -> Column:
@@ -75,18 +75,21 @@ def _windows(hashes: Column, exact: Column, n: int, least_words: int) -> Column:
     return F.slice(F.transform(hashes, window), 1, F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
 
 
-def _seen(n: int, least_words: int) -> Column:
-    """_j, _w: each window as a template, and on its exact tokens where it holds so many placeholders; from _m, _h and _at."""
+def _seen(hashed: DataFrame, n: int, least_words: int) -> DataFrame:
+    """_doc, _did, _j, _w: each window as a template, and on its exact tokens where it holds so many placeholders; from _m, _h and _at."""
     h, m, at = F.col("_h"), F.col("_m"), F.col("_at")
-    templates = F.transform(h, lambda x, i: F.struct(i.alias("_j"), F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)], F.lit(n)).alias("_w")))
     last = F.size(h) - n
+    templates = F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, n)], F.lit(n))), 1, F.greatest(last + 1, F.lit(0)))
     q = n - min(least_words, n) + 1
     # placeholders a to b, q in all, are in the windows that begin at b - n + 1 to a
     starts = F.transform(at, lambda a, k: F.struct(F.greatest(F.get(at, k + (q - 1)) - (n - 1), F.lit(0)).alias("a"), F.least(a, last).alias("b")))
     starts = F.filter(starts, lambda s: s["a"] <= s["b"])
     starts = F.array_distinct(F.flatten(F.transform(starts, lambda s: F.sequence(s["a"], s["b"]))))
-    exact = F.transform(starts, lambda i: F.struct(i.alias("_j"), F.xxhash64(*[F.xxhash64(F.translate(F.get(m, i + k), NAME + NUMBER + UNIT, "")) for k in range(n)], F.lit(-n)).alias("_w")))
-    return F.concat(F.slice(templates, 1, F.greatest(last + 1, F.lit(0))), exact)
+    df = hashed.withColumn("_starts", F.when(F.size(at) >= q, starts).otherwise(F.array().cast("array<int>"))).withColumn("_n", F.greatest(last + 1, F.lit(0)))
+    exact = F.transform("_starts", lambda i: F.xxhash64(*[F.xxhash64(F.translate(F.get(m, i + k), NAME + NUMBER + UNIT, "")) for k in range(n)], F.lit(-n)))
+    # hashes alone are exploded; a place behind the templates is one of the exact windows
+    rows = df.select("_doc", "_did", "_starts", "_n", F.posexplode(F.concat(templates, exact)).alias("_p", "_w"))
+    return rows.select("_doc", "_did", F.when(F.col("_p") < F.col("_n"), F.col("_p")).otherwise(F.get("_starts", F.col("_p") - F.col("_n"))).alias("_j"), "_w")
 
 
 def _hashes(rows: DataFrame, *carry: str) -> DataFrame:
@@ -106,7 +109,12 @@ def _consistency(pairs: DataFrame, *keys: str) -> DataFrame:
     return counts.withColumn("_consistent", (F.col("n_slots") == F.col("_a")) & (F.col("n_slots") == F.col("_b")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = 8, coverage: float = 0.5, least_words: int = 3, most_broadcast: int = 1_000_000) -> DataFrame:
+def _row_key(doc_id: str, text: str) -> Column:
+    """Rows are judged each for itself, whatever their ids; equal rows together."""
+    return F.xxhash64(doc_id, text)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", window: int = 8, coverage: float = 0.5, least_words: int = 3, most_broadcast: int = 1_000_000, keep_key: bool = False) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, n_slots of every contamination."""
     items = benchmark.select(F.col(item_id).alias("_id"), _marked(F.col("text")).alias("_m"), template(F.col("text")).alias("_t"), slot_values(F.col("text")).alias("_v"))
     items = materialize(items.where(F.size("_t") > 0).withColumn("_row", F.monotonically_increasing_id()), "benchmark")
@@ -132,16 +140,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     enough_of = lambda m, k: (m >= F.col("n_windows") * coverage) | ((k > 0) & (k >= F.col("_n_templates") * coverage))
     i_if_template = F.when(F.col("_k"), F.col("_i"))
 
-    marked = docs.select(F.col(doc_id).alias("_doc"), _marked(F.col(text)).alias("_m"))
-    hashed = marked.select("_doc", "_m", F.transform("_m", lambda x: F.xxhash64(_plain(x))).alias("_h"))
+    marked = docs.select(_row_key(doc_id, text).alias("_doc"), F.col(doc_id).alias("_did"), _marked(F.col(text)).alias("_m"))
+    hashed = marked.select("_doc", "_did", "_m", F.transform("_m", lambda x: F.xxhash64(_plain(x))).alias("_h"))
     hashed = hashed.withColumn("_at", F.filter(F.transform("_m", lambda x, i: F.when((x >= NAME) & (x < "\ue004"), i)), lambda i: i.isNotNull()))
-    each = [hashed.select("_doc", F.explode(_seen(n, least_words)).alias("_s")).select("_doc", F.col("_s._j").alias("_j"), F.col("_s._w").alias("_w")) for n in lengths]
+    each = [_seen(hashed, n, least_words) for n in lengths]
     seen = each[0]
     for p in each[1:]:
         seen = seen.unionByName(p)
     side = F.broadcast(known) if known.count() <= most_broadcast else known
-    hits = materialize(seen.join(side, "_w").select("_doc", "_row", "_i", "_j", "_k").distinct(), "template_hits")
-    found = hits.groupBy("_doc", "_row").agg(F.countDistinct("_i").alias("n_matched"), F.countDistinct(i_if_template).alias("_m_templates")).join(need, "_row").where(enough_of(F.col("n_matched"), F.col("_m_templates")))
+    hits = materialize(seen.join(side, "_w").select("_doc", "_did", "_row", "_i", "_j", "_k").distinct(), "template_hits")
+    found = hits.groupBy("_doc", "_did", "_row").agg(F.countDistinct("_i").alias("n_matched"), F.countDistinct(i_if_template).alias("_m_templates")).join(need, "_row").where(enough_of(F.col("n_matched"), F.col("_m_templates")))
     found = materialize(found, "template_matches")
 
     # slots: positions of the item's names and numbers inside matched windows, carried along each diagonal
@@ -153,7 +161,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     shift = (F.col("_j") - F.col("_i")).alias("_shift")
     at = materialize(at.select("_doc", "_row", "_item_value", shift, (F.col("_at") + shift).alias("_pos")).distinct(), "slots_wanted")
     wanted = at.select(F.col("_doc").alias("_d")).distinct()
-    again = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
+    again = docs.select(_row_key(doc_id, text).alias("_id"), F.col(text).alias("_text")).join(wanted, F.col("_id").eqNullSafe(F.col("_d")), "left_semi")
     values = _slots(again.select("_id", template(F.col("_text")).alias("_t"), slot_values(F.col("_text")).alias("_v")), "_d")
     pairs = at.join(values, at["_doc"].eqNullSafe(values["_d"]) & (at["_pos"] == values["_at"])).select("_doc", "_row", "_shift", "_item_value", "_v").distinct()
     pairs = materialize(pairs, "slot_pairs")
@@ -165,10 +173,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_
     slots = whole.unionByName(single.select("_doc", "_row", "n_slots", "_consistent")).groupBy(F.col("_doc").alias("_d"), F.col("_row").alias("_r")).agg(F.max("n_slots").alias("n_slots"), F.bool_or("_consistent").alias("_consistent"))
     judged = found.join(slots, found["_doc"].eqNullSafe(slots["_d"]) & (found["_row"] == slots["_r"]), "left").where(F.coalesce("_consistent", F.lit(True)))
     named = judged.join(items.select("_row", F.col("_id").alias(item_id)), "_row")
-    return named.select(F.col("_doc").alias(doc_id), item_id, "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
+    return named.select(F.col("_did").alias(doc_id), *(["_doc"] if keep_key else []), item_id, "n_windows", "n_matched", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """The documents without the contaminated ones, all columns kept."""
-    bad = materialize(contaminated(docs, benchmark, doc_id=doc_id, **options).select(F.col(doc_id).alias("_bad")).distinct(), "contaminated")
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["_bad"]), "left_anti")
+    found = contaminated(docs, benchmark, text=text, doc_id=doc_id, keep_key=True, **options)
+    bad = materialize(found.select(F.col(doc_id).alias("_d"), F.col("_doc").alias("_k")).distinct(), "contaminated")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), F.col(doc_id).alias("_id"), _row_key(doc_id, text).alias("_key"))
+    return whole.join(bad, (F.col("_key") == F.col("_k")) & F.col("_id").eqNullSafe(F.col("_d")), "left_anti").select("_row.*")

@@ -10,17 +10,18 @@ The convex dual splits into one tilt for each source; safeguarded Newton steps m
 once, each step one aggregation of the (source, size, rows) histogram, an exact summary of the
 corpus. A target at the cap is met by the cap itself.
 
-Copies: rates are rounded by systematic sampling along the sizes. Rows are dealt into blocks of
-bounded rows and words (a small source is one block, a large one is cut by size and by a hash of
-the row), so that no source, however hot, has to meet in one task; in a block the running sum of
-the rates' fractions decides who gets one more copy, so the words taken stay within about one
-document's size of the target for each block.
+Copies: rows are dealt into blocks of bounded rows and words (a small source is one block, a large one
+is cut by size and by a hash of the row), so that no source, however hot, has to meet in one task. In a
+block the rates are rounded from the largest document to the smallest, each taking over the words that
+those before it were rounded off by, so that a block takes what it should within half of its smallest
+document's size or so, and every document its rate rounded down or up.
 
 Only DataFrame functions are used; the driver gets only sums over all sources.
 
-Defined cases: a null or blank text has size 0 and takes no words; a null source is a source, last
-in the order; repeated rows are rounded each for itself; an empty table gives an empty table; input
-columns that clash with an output column are replaced by it.
+Defined cases: a null or blank text has size 0 and takes no words; texts of any length are counted whole;
+a null source is a source, last in the order; repeated rows are rounded each for itself, rows without an
+id too; which of several rows that are equal in id, size and ``tie`` gets a copy more is left open; an
+empty table gives an empty table; input columns that clash with an output column are replaced by it.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import materialize, with_outputs
+from .storage import discard, materialize, with_outputs
 from .words import word_count
 
 OUTPUTS = ["size", "source_size", "target", "rate", "copies", "taken"]
@@ -64,7 +65,7 @@ def targets(histogram: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
         level, stopped = (share * words - taken) / rest, n
 
 
-def tilts(histogram: DataFrame, table: DataFrame, cap: float = 2.0, tolerance: float = 1e-7, most_steps: int = 60) -> DataFrame:
+def tilts(histogram: DataFrame, table: DataFrame, cap: float = 2.0, tolerance: float = 1e-7, most_steps: int = 200) -> DataFrame:
     """Adds _tilt to the sources' table: the dual's solution, null where the target is the cap."""
     mean = F.col("_words") / F.col("_n")
     solve = (F.col("_target") < F.col("_words") * cap * (1 - 1e-9)) & (F.col("_target") > 0)
@@ -89,7 +90,11 @@ def tilts(histogram: DataFrame, table: DataFrame, cap: float = 2.0, tolerance: f
         df = df.withColumn("_next", F.when((newton > F.col("_low")) & (newton < F.col("_high")), newton).otherwise(middle))
         df = df.withColumn("_was", F.col("_done")).withColumn("_done", F.col("_done") | good)
         df = df.withColumn("_tilt", F.when(F.col("_was") | good, F.col("_tilt")).otherwise(F.col("_next")))
-        state = materialize(df.select(*state.columns), "mix_state")
+        before, state = state, materialize(df.select(*state.columns), "mix_state")
+        discard(before)
+    else:
+        if state.where("not _done").limit(1).count():
+            raise RuntimeError(f"the dual has no solution within {tolerance} after {most_steps} steps")
     # sums of doubles differ in their last digits from run to run: copies must not
     return state.withColumn("_tilt", F.round("_tilt", 10))
 
@@ -99,29 +104,44 @@ def _rate(cap: float) -> Column:
     return F.when(F.col("_tilt").isNotNull(), tilted).when((F.col("_target") > 0) | (F.col("_words") == 0), F.lit(cap)).otherwise(F.lit(0.0))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_rows: int = 2000, block_words: int = 1_000_000, size: Column | None = None) -> DataFrame:
+def _rounded(sizes: Column, rates: Column) -> Column:
+    """Copies of a block's documents, largest first: each rate rounded down or up so that the words fit best so far."""
+    pairs = F.arrays_zip(sizes.alias("s"), rates.alias("r"))
+
+    def step(state: Column, x: Column) -> Column:
+        wanted = state["rest"] + (x["r"] - F.floor(x["r"])) * x["s"]
+        up = (wanted * 2 >= x["s"]) & (x["r"] > F.floor(x["r"])) & (x["s"] > 0)
+        return F.struct((wanted - F.when(up, x["s"]).otherwise(0)).cast("double").alias("rest"), F.concat(state["copies"], F.array((F.floor(x["r"]) + up.cast("int")).cast("int"))).alias("copies"))
+
+    return F.aggregate(pairs, F.struct(F.lit(0.0).alias("rest"), F.array().cast("array<int>").alias("copies")), step, lambda state: state["copies"])
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_rows: int = 1000, block_words: int = 1_000_000, size: Column | None = None, tie: Column | None = None) -> DataFrame:
     """The input's columns with size, source_size, target, rate, copies and taken.
 
-    size: the number of words as an expression over the input, if it's known already."""
-    sized = docs.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), (word_count(F.col(text)) if size is None else size).alias("_size"), F.xxhash64(doc_id, text if size is None else doc_id).alias("_hash"), F.col(doc_id).alias("_id"))
+    size: the number of words as an expression over the input, if it's known already; tie: what tells rows of one id
+    and size apart, by default the text."""
+    told = F.xxhash64(doc_id, F.col(text) if tie is None else tie)
+    sized = docs.select(F.struct("*").alias("_row"), F.col(source).alias("_source"), (word_count(F.col(text)) if size is None else size).alias("_size"), told.alias("_hash"))
     histogram = materialize(sized.groupBy("_source", "_size").agg(F.count(F.lit(1)).alias("_rows")), "mix_sizes")
     state = tilts(histogram, targets(histogram, weights, share, cap), cap)
     small = (F.col("_n") <= block_rows) & (F.col("_words") <= 4 * block_words)
-    cell = F.when(small, F.lit(-1)).otherwise(F.floor(F.log2(F.col("_size") + 1) * 4).cast("int"))
+    of_size = F.floor(F.log2(F.col("_size") + 1) * 4).cast("int")
     renamed = state.select(F.col("_source").alias("_s"), "_n", "_words", "_target", "_tilt", "_mean")
     on = F.col("_source").eqNullSafe(F.col("_s"))
-    cells = histogram.join(renamed, on).withColumn("_cell", cell).groupBy("_s", "_n", "_words", "_target", "_tilt", "_mean", "_cell").agg(F.sum("_rows").alias("_r"), F.sum(F.col("_rows") * F.col("_size")).alias("_t"))
+    cells = histogram.join(renamed, on).withColumn("_cell", F.when(small, F.lit(-1)).otherwise(of_size)).groupBy("_s", "_n", "_words", "_target", "_tilt", "_mean", "_cell").agg(F.sum("_rows").alias("_r"), F.sum(F.col("_rows") * F.col("_size")).alias("_t"))
     salts = F.ceil(F.greatest(F.col("_r") / block_rows, F.col("_t") / block_words, F.lit(1.0))).cast("long")
     cells = materialize(cells.withColumn("_salts", F.when(F.col("_cell") >= 0, salts).otherwise(F.lit(1).cast("long"))).drop("_r", "_t"), "mix_cells")
-    at = F.floor(F.log2(F.col("_size") + 1) * 4).cast("int")
-    df = sized.join(cells, on & ((F.col("_cell") == at) | (F.col("_cell") == -1)))
-    df = df.withColumn("rate", _rate(cap)).withColumn("_salt", F.pmod(F.xxhash64("_hash", F.lit(1)), "_salts"))
-    whole = F.floor("rate")
-    df = df.withColumn("_part", F.col("rate") - whole)
-    block = Window.partitionBy("_source", "_cell", "_salt").orderBy("_size", "_hash", "_id").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.pmod(F.xxhash64("_source", "_cell", "_salt"), F.lit(1 << 30)) / float(1 << 30)
-    df = df.withColumn("_sum", F.sum("_part").over(block) + start)
-    more = F.when(F.col("_part") > 0, F.floor("_sum") - F.floor(F.col("_sum") - F.col("_part"))).otherwise(F.lit(0))
-    df = df.withColumn("copies", (whole + more).cast("int"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        placed = rows.join(cells, on & ((F.col("_cell") == of_size) | (F.col("_cell") == -1))).withColumn("rate", _rate(cap))
+        return placed.withColumn("_block", F.xxhash64(F.isnull("_source"), "_source", "_cell", F.pmod(F.xxhash64("_hash", F.lit(1)), "_salts")))
+
+    # what a block's documents take, by their place from the largest; only sizes, hashes and rates are needed for it
+    order = F.array_sort(F.collect_list(F.struct((-F.col("_size")).alias("s"), F.col("_hash").alias("h"), F.round("rate", 9).alias("r"))))
+    blocks = dealt(sized.select("_source", "_size", "_hash")).groupBy("_block").agg(order.alias("_x"))
+    blocks = materialize(blocks.select("_block", _rounded(F.transform("_x", lambda x: -x["s"]), F.transform("_x", lambda x: x["r"])).alias("_copies")), "mix_copies")
+    place = F.row_number().over(Window.partitionBy("_block").orderBy(F.desc("_size"), "_hash"))
+    df = dealt(sized).withColumn("_place", place).join(blocks, "_block").withColumn("copies", F.get("_copies", F.col("_place") - 1))
     df = df.withColumn("size", F.col("_size")).withColumn("source_size", F.col("_words").cast("long")).withColumn("target", F.col("_target")).withColumn("taken", F.col("_size") * F.col("copies"))
     return df.select(with_outputs("_row", docs.columns, OUTPUTS))

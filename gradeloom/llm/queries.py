@@ -35,8 +35,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words")), "mix_rows")
-    return mixing.mix(sized, size=F.col("words")).select("doc_id", "size", "source_size", "target", "taken")
+    sized = materialize(_table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("words"), F.xxhash64("text").alias("text_hash")), "mix_rows")
+    return mixing.mix(sized, size=F.col("words"), tie=F.col("text_hash")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,8 +10,11 @@ into it.
 Slots are gapless from 0 in each shard: blocks of hash order are numbered in parallel and shifted by
 the rows of the blocks before them, so that no shard has to meet in one task.
 
-Law ``key``: the doc_id and the tree decide, nothing else. A null doc_id is a key of its own. Equal
-rows get slots in any order, which leaves the result the same. An empty table gives an empty table;
+Law ``key``: the doc_id and the tree decide the shard, nothing else. The order of slots also depends on the
+text, so that rows of one id, or without an id, are many blocks if their texts differ.
+
+Defined cases: a null doc_id is a key of its own; null texts are empty; texts of any length are one row;
+equal rows get slots in any order, which leaves the result the same; an empty table gives an empty table;
 input columns that clash with an output column are replaced by it.
 """
 
@@ -75,11 +78,11 @@ def shard(docs: DataFrame, tree: Tree | None = None, text: str = "text", doc_id:
     """The carried columns (all by default) with size, text_crc32, law, shard, slot and grown_shard."""
     tree = tree or even_tree()
     t = F.coalesce(F.col(text), F.lit(""))
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))
+    key = F.when(F.col(doc_id).isNull(), "null").otherwise(F.concat(F.lit("id/"), F.col(doc_id).cast("string")))
     carry = docs.columns if carry is None else carry
     df = docs.select(
-        F.struct(*carry).alias("_row"), key.alias("_key"), F.md5(key).alias("_hash"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"),
-    ).select("*", place(F.col("_key"), tree).alias("shard"), place(F.col("_key"), grow(tree)).alias("grown_shard"))
+        F.struct(*carry).alias("_row"), key.alias("_key"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("_text"),
+    ).select("*", F.md5(F.concat_ws("/", "_key", F.col("text_crc32").cast("string"), F.col("_text").cast("string"))).alias("_hash"), place(F.col("_key"), tree).alias("shard"), place(F.col("_key"), grow(tree)).alias("grown_shard"))
     shards = max(1, sum(len(s) for racks in tree.values() for s in racks.values()))
     rows, digits = docs.count(), 0
     while rows > shards * block_rows * 16**digits:

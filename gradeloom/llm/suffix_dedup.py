@@ -20,7 +20,7 @@ Texts are dealt out once, by doc_id. Nothing is dropped or capped: a string in a
 travels once for each task, and all of its occurrences are marked.
 
 Defined cases: a null text is empty; texts shorter than ``match`` keep all bytes; repeated rows have the
-same id and so do not count against each other; ids should be unique otherwise (rows with the same id
+same id and so do not count against each other; ids are numbers that fit a long and should be unique otherwise (rows with the same id
 and different texts share their ranges); a row without an id neither removes nor loses bytes; an empty
 table gives an empty table; extra columns are not returned.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shingles import _VALUE, _powers, mix64, text_bytes
-from .storage import materialize
+from .storage import join_uneven, materialize
 
 GRAM = 16
 CHUNK = 1 << 18
@@ -477,8 +477,10 @@ def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match:
     rows = "_bucket int, _doc long, _blob binary"
     # copies of a text of a smaller id
     hashes = slim.where("_doc is not null").select("_doc", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_hash"))
-    owners = hashes.groupBy("_hash").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last")).where("_owner < _last").select("_hash", "_owner")
-    copies = materialize(hashes.join(owners, "_hash").where("_doc > _owner").select("_doc", F.lit(True).alias("_copy")).distinct(), "copies")
+    hashes = materialize(hashes, "hashes")
+    owners = hashes.groupBy("_hash").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_owner < _last").select("_hash", "_owner", "_n")
+    owned = join_uneven(hashes, materialize(owners, "owners"), "_hash", "_n", hashes.count())
+    copies = materialize(owned.where("_doc > _owner").select("_doc", F.lit(True).alias("_copy")).distinct(), "copies")
     slim = slim.join(copies, "_doc", "left")
     known = slim.where(F.col("_doc").isNotNull() & F.col("_copy").isNull()).select("_doc", "_text")
     shared = known.mapInArrow(_find_anchors(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_share), rows)

@@ -10,7 +10,7 @@ of the id (a bound on the training sample, not on what is scored).
   pronoun is, shares of capitals, punctuation marks and obfuscated words, and the length.
 * The trees are fitted on three quarters of the sample, the isotonic calibration on the rest.
 
-Defined cases: null and empty texts have all features 0 and get the score of such a text; labels that are
+Defined cases: a row without an id counts as held out; texts of any length are read whole; null and empty texts have all features 0 and get the score of such a text; labels that are
 null or neither 0 nor 1 are left out, repeated labels count each; without both labels every score is the share
 of toxic labels, or 0; repeated rows are scored each; an empty table gives an empty table; extra columns are
 not returned.
@@ -152,10 +152,9 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds, F.lit(0).cast("long"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("held_out", fold == 0)
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & (fold != 0))
-    n = known.count()
-    part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.where(part < most_labelled / n) if n > most_labelled else known
-    sample = F.broadcast(sample)  # most_labelled rows, up to chance
+    # the rows of the smallest hashes: most_labelled at most, whatever the size of the table
+    known = known.withColumn("_h", F.xxhash64("doc_id", F.lit(3))).orderBy("_h", "doc_id", "toxic").limit(most_labelled).drop("_h")
+    sample = F.broadcast(known)
     train = rows.join(sample, "doc_id").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(2)).cast("int")).withColumn("calibrate", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(4)) == 0)
     train = materialize(train.select("doc_id", "text", "toxic", "half", "calibrate"), "toxic_train")
     found = {(r["calibrate"], r["toxic"]): r["n"] for r in train.groupBy("calibrate", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -5,8 +5,10 @@ the rule's path, and the longest rule wins. A url that no rule fits gets the ver
 regression over hashed character n-grams, trained from a small labelled table of urls (a parameter;
 the default is the fixed table below). Everything runs as DataFrame and JVM-side ML operations.
 
+Labelled rows without a label are left out; with labels of one kind only every score is that label.
+
 Defined cases: a null url, or one without ://, has an empty host and path, fits no rule and is judged
-on its empty n-grams; repeated rows are judged each; an empty table gives an empty table; input columns
+on its empty n-grams; urls of any length are judged whole; repeated rows are judged each; an empty table gives an empty table; input columns
 that clash with an output column are replaced by it.
 """
 
@@ -87,9 +89,10 @@ def with_grams(df: DataFrame, lengths: tuple[int, ...] = (3, 4)) -> DataFrame:
 
 def train(spark: SparkSession, labelled: list[tuple[str, int]] | DataFrame = LABELLED, features: int = 1 << 14, l2: float = 0.02):
     """The regression and its hashing step, fitted to the labelled urls."""
-    table = labelled if isinstance(labelled, DataFrame) else spark.createDataFrame(labelled, "url string, label int")
+    rows = lambda: F.explode(F.array(*[F.struct(F.lit(u).alias("url"), F.lit(y).alias("label")) for u, y in labelled]))
+    table = labelled if isinstance(labelled, DataFrame) else spark.range(1).select(rows().alias("_r")).select("_r.*")
     hashing = HashingTF(inputCol="_grams", outputCol="_x", numFeatures=features, binary=True)
-    parts = table.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label"))
+    parts = table.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("label").cast("double").alias("label")).where("label is not null")
     x = hashing.transform(with_grams(parts).select("_grams", "label").coalesce(1))
     return hashing, LogisticRegression(featuresCol="_x", labelCol="label", regParam=l2, maxIter=50, rawPredictionCol="_raw", probabilityCol="_prob", predictionCol="_pred").fit(x)
 
