@@ -101,7 +101,10 @@ def test_decontamination(spark):
     assert {d for d, _ in got} <= {1, 2, 4, 7, 9, 10, None}
     kept = decontamination.decontaminate(docs, items)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} >= {3, 5, 6, 8, 11, 12} and not {r.doc_id for r in kept.collect()} & {1, 2, 4, 9, 10, None}
+    # rows are judged each for itself: a clean one stays though its id is that of another
+    left = {(r.doc_id, r.text) for r in kept.collect()}
+    assert {d for d, _ in left} >= {3, 5, 6, 8, 11, 12} and not {d for d, _ in left} & {2, 4, 9, 10, None}
+    assert {t for d, t in left if d == 1} == {"the same id again"}
 
 
 def test_decontamination_finds_copies_of_items_that_are_mostly_placeholders(spark):
