@@ -1,16 +1,20 @@
 """Token counts of documents that are edited, without encoding them anew.
 
 A text is cut into pre-tokens by the tokenizer's pattern; a pre-token's number of tokens doesn't depend
-on its surroundings. A document keeps its pre-tokens in leaves of a segment tree whose nodes hold the
-characters and tokens below them. An edit finds its place by descending the tree, goes back to a border
-of pre-tokens that the edit can't have moved, cuts and counts only from there until the new borders fall
-on old ones again, and updates the sums above the leaves that changed.
+on its surroundings. ``grow`` keeps the pre-tokens of each document as a row of a table: version, text,
+length and tokens of each pre-token, the leaves of its segment tree. ``edit`` takes such a table and edits
+against it and gives the next version. The tree's nodes hold the characters and tokens below them. An edit
+finds its place by descending the tree, goes back to a border of pre-tokens that the edit can't have moved,
+cuts and counts only from there until the new borders fall on old ones again, and updates the sums above
+the leaves that changed. Documents without edits aren't touched.
 
 The vocabulary is a file of ranks, read by the driver and sent to the executors (under 1 MB).
 
-Defined cases: a null text is empty and has no tokens; edits of a document are applied in order of their
-start, those that overlap an earlier one or lie outside the text are skipped; repeated rows are counted
-each; an empty table gives an empty table; extra columns are not returned.
+Defined cases: a null text is empty and has no tokens; texts of any length are kept whole; edits of a
+document are applied in order of their start (of their end and replacement where those are equal), those
+that overlap an earlier one, lie outside the text or have a null in them are skipped; repeated rows are
+counted each, and a table of edits holds for all rows of its ids; edits without an id fit no row; an empty
+table gives an empty table; extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -19,12 +23,15 @@ import base64
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import materialize
+
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -59,6 +66,19 @@ class PieceTree:
         self.text, self.counter, self.encoded = text, counter, 0
         self._build(self._cut(counter.pattern.findall(text)))
 
+    @classmethod
+    def restored(cls, text: str, lengths: list[int], tokens: list[int], counter: Counter) -> PieceTree:
+        """The tree of a text whose pre-tokens are known; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.text, tree.counter, tree.encoded = text, counter, 0
+        pairs = list(zip(lengths, tokens, strict=True))
+        tree._build([pairs[at : at + LEAF] for at in range(0, len(pairs), LEAF)])
+        return tree
+
+    def pieces(self) -> tuple[list[int], list[int]]:
+        """Length and tokens of each pre-token."""
+        return [p[0] for leaf in self.leaves for p in leaf], [p[1] for leaf in self.leaves for p in leaf]
+
     def _cut(self, pieces: list[str]) -> list[list[tuple[int, int]]]:
         known, count = self.counter.known, self.counter.count
         pairs = [(len(p), known[p] if p in known else count(p)) for p in pieces]
@@ -120,7 +140,6 @@ class PieceTree:
         tail = 0
         pieces: list[str] = []
         done = False
-        where = at
         for m in self.counter.pattern.finditer(self.text, at):
             old = m.start() - shift
             if m.start() >= start + len(new) and old >= end:
@@ -135,8 +154,6 @@ class PieceTree:
                     done = True
                     break
             pieces.append(m.group())
-            where = m.end()
-        del where
         if not done:
             last, tail = max(len(self.leaves) - 1, 0), len(self.leaves[-1]) if self.leaves else 0
         known, count = self.counter.known, self.counter.count
@@ -176,35 +193,95 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
-def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | str = redactions, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
-    """doc_id, n_tokens before, n_edits, n_tokens_edited after, n_pretokens and n_recounted of them of every row.
+def _packed(lengths: list[int], tokens: list[int]) -> bytes:
+    """Both lists in one string of bytes: one byte for each number, or four if one doesn't fit."""
+    both = np.array([lengths, tokens], np.uint32)
+    return (b"\1" + both.astype(np.uint8).tobytes()) if both.max(initial=0) < 256 else (b"\4" + both.tobytes())
+
+
+def _unpacked(leaves: bytes) -> tuple[list[int], list[int]]:
+    lengths, tokens = np.frombuffer(leaves, np.uint8 if leaves[:1] == b"\1" else np.uint32, offset=1).reshape(2, -1)
+    return lengths.tolist(), tokens.tolist()
+
 
-    edits: a function of the text, or the name of a column of arrays of (start, end, replacement)."""
-    spark: SparkSession = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    given = isinstance(edits, str)
+def _fitting(edits: list, length: int) -> list[Edit]:
+    """Edits in order that lie inside the text and overlap none before them."""
+    out, reached = [], 0
+    for start, end, new in sorted(e for e in edits if None not in e):
+        if reached <= start <= end <= length:
+            out.append((start, end, new))
+            reached = end
+    return out
+
+
+def grow(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, version (0), text, n_tokens, n_pretokens and leaves of every row: write it, edits refer to it."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter(ranks.value, pattern)
+        known, count = counter.known, counter.count
+        for batch in batches:
+            tokens, pieces, leaves = [], [], []
+            for t in batch.column(1).to_pylist():
+                cut = counter.pattern.findall(t)
+                counts = [known[p] if p in known else count(p) for p in cut]
+                tokens.append(sum(counts))
+                pieces.append(len(cut))
+                leaves.append(_packed(list(map(len, cut)), counts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([0] * batch.num_rows, pa.int32()), batch.column(1), pa.array(tokens, pa.int64()), pa.array(pieces, pa.int64()), pa.array(leaves, pa.binary())], [doc_id, "version", "text", "n_tokens", "n_pretokens", "leaves"])
+
+    kind = dict(docs.dtypes)[doc_id]
+    slim = docs.select(F.col(doc_id), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return slim.mapInArrow(run, f"`{doc_id}` {kind}, version int, text string, n_tokens long, n_pretokens long, leaves binary")
+
+
+def edit(trees: DataFrame, edits: Callable[[str], list[Edit]] | DataFrame, doc_id: str = "doc_id", vocabulary: str = VOCABULARY, pattern: str = PATTERN, keep: bool = True) -> DataFrame:
+    """The next version of the trees: their columns with n_tokens_before, n_edits and n_recounted pre-tokens.
+
+    edits: a table (doc_id, start, end, new), or a function of the text. keep: with the new texts and leaves, so that
+    the result is a table for further edits; without them it has the counts only."""
+    ranks = trees.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
+    own = [doc_id, "version", "text", "n_tokens", "n_pretokens", "leaves"]
+    rows = trees.select(*own)
+    of_text = None if isinstance(edits, DataFrame) else edits
+    if isinstance(edits, DataFrame):
+        listed = edits.groupBy(F.col(doc_id).alias("_of")).agg(F.collect_list(F.struct("start", "end", "new")).alias("_edits"))
+        rows = rows.join(listed, F.col(doc_id) == F.col("_of"), "left").select(*own, "_edits")
+    names = [doc_id, "version", "n_tokens", "n_pretokens", "n_tokens_before", "n_edits", "n_recounted", *(["text", "leaves"] if keep else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(ranks.value, pattern)
         for batch in batches:
             out = []
-            wanted = batch.column(2).to_pylist() if given else None
-            for k, t in enumerate(batch.column(1).to_pylist()):
-                t = t or ""
-                tree = PieceTree(t, counter)
-                before, pieces = tree.tokens, tree.encoded
-                todo = sorted(tuple(e.values()) for e in wanted[k] or ()) if given else sorted(edits(t))
-                shift, reached, n = 0, 0, 0
+            wanted = batch.column(6).to_pylist() if batch.num_columns > 6 else None
+            rows = zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)), batch.column(5), strict=True)
+            for k, (version, t, tokens, pieces, leaves) in enumerate(rows):
+                asked = [tuple(e.values()) for e in wanted[k] or ()] if of_text is None else of_text(t)
+                todo = _fitting(asked, len(t)) if asked else []
+                if not todo:
+                    out.append((version + 1, tokens, pieces, tokens, 0, 0, t, leaves.as_py() if keep else None))
+                    continue
+                tree = PieceTree.restored(t, *_unpacked(leaves.as_py()), counter)
+                shift = 0
                 for start, end, new in todo:
-                    if start < reached or end < start or end > len(t):
-                        continue
                     tree.edit(start + shift, end + shift, new)
                     shift += len(new) - (end - start)
-                    reached, n = end, n + 1
-                out.append((before, n, tree.tokens, pieces, tree.encoded - pieces))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in cols], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_pretokens", "n_recounted"])
+                now = tree.pieces()
+                out.append((version + 1, tree.tokens, len(now[0]), tokens, len(todo), tree.encoded, tree.text, _packed(*now) if keep else None))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 8
+            kinds = [pa.int32(), *[pa.int64()] * 5, pa.string(), pa.binary()]
+            arrays = [pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)][: 8 if keep else 6]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names)
 
-    kind = dict(docs.dtypes)[doc_id]
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(edits).alias("edits")] if given else []))
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, n_edits long, n_tokens_edited long, n_pretokens long, n_recounted long").withColumnRenamed("doc_id", doc_id)
+    kind = dict(trees.dtypes)[doc_id]
+    return rows.mapInArrow(run, f"`{doc_id}` {kind}, version int, " + ", ".join(f"{n} long" for n in names[2:7]) + (", text string, leaves binary" if keep else ""))
+
+
+def count_edited(docs: DataFrame, edits: Callable[[str], list[Edit]] | DataFrame = redactions, text: str = "text", doc_id: str = "doc_id", vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, n_tokens before and n_tokens_edited after the edits, n_edits, n_pretokens after them and n_recounted of every row.
+
+    The trees are written to the shared folder and the edits applied to what was written."""
+    trees = materialize(grow(docs, text, doc_id, vocabulary, pattern), "trees")
+    done = edit(trees, edits, doc_id, vocabulary, pattern, keep=False)
+    return done.select(doc_id, F.col("n_tokens_before").alias("n_tokens"), "n_edits", F.col("n_tokens").alias("n_tokens_edited"), "n_pretokens", "n_recounted")

@@ -307,6 +307,15 @@ def test_token_counts(spark, counter):
         want[(d, n(t or ""), 2 if d == 1 else 0, n(new))] += 1
     assert Counter((r.doc_id, r.n_tokens, r.n_edits, r.n_tokens_edited) for r in got.collect()) == want
     assert token_counts.count_edited(docs.where("false")).collect() == []
-    given = spark.createDataFrame([(1, "abcdef", [(2, 4, "XY"), (0, 1, ""), (3, 5, "overlaps"), (4, 99, "outside")]), (2, "abc", None)], "doc_id long, text string, changes array<struct<start:int,end:int,new:string>>")
-    found = {r.doc_id: (r.n_edits, r.n_tokens_edited) for r in token_counts.count_edited(given, edits="changes").collect()}
-    assert found == {1: (2, n("bXYef")), 2: (0, n("abc"))}
+    plain = spark.createDataFrame([(1, "abcdef"), (2, "abc"), (None, "xyz")], "doc_id long, text string")
+    given = spark.createDataFrame([(1, 2, 4, "XY"), (1, 0, 1, ""), (1, 3, 5, "overlaps"), (1, 4, 99, "outside"), (1, None, 5, "x"), (1, 4, 5, None), (None, 0, 1, "q"), (7, 0, 1, "q")], "doc_id long, start int, end int, new string")
+    found = {r.doc_id: (r.n_edits, r.n_tokens_edited) for r in token_counts.count_edited(plain, edits=given).collect()}
+    assert found == {1: (2, n("bXYef")), 2: (0, n("abc")), None: (0, n("xyz"))}
+    # a second round of edits against the kept trees encodes what they touch only
+    long = "some words and more of them, " * 3000
+    first = token_counts.edit(token_counts.grow(spark.createDataFrame([(1, long)], "doc_id long, text string")), spark.createDataFrame([(1, 50, 55, "X" * 300)], "doc_id long, start int, end int, new string"))
+    second = token_counts.edit(first, spark.createDataFrame([(1, 40_000, 40_004, "é")], "doc_id long, start int, end int, new string")).first()
+    text = long[:50] + "X" * 300 + long[55:]
+    text = text[:40_000] + "é" + text[40_004:]
+    assert (second.version, second.text, second.n_tokens) == (2, text, n(text)) and 0 < second.n_recounted < 40
+    assert token_counts._unpacked(bytes(second.leaves)) == token_counts.PieceTree(text, counter).pieces()
