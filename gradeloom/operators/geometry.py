@@ -62,19 +62,20 @@ def regions(boxes: np.ndarray, gap: float) -> np.ndarray:
 def clusters(boxes: DataFrame, page: str, gap: float = 8.0, least_side: float = 24.0, least_area: float = 2500.0, most_width: float = 1e9, pad: float = 6.0, most: int = 400) -> DataFrame:
     """page, region, the four sides and crowded of each page's regions, from the top left.
 
-    Boxes of a page are joined within each batch before the shuffle: what a part of the boxes connects, all
+    Many boxes of a page are joined within each batch before the shuffle: what a part of the boxes connects, all
     of them connect too. crowded marks pages of more than ``most`` boxes, whose regions say little."""
     kind = dict(boxes.dtypes)[page]
     sides = ", ".join(f"{s} double" for s in SIDES)
 
     def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if len(batch):
-                parts = [(key, len(rows), regions(rows[SIDES].to_numpy(float), gap)) for key, rows in batch.groupby(page, dropna=False, sort=False)]
-                out = pd.DataFrame(np.vstack([r for _, _, r in parts]), columns=SIDES)
-                out.insert(0, page, np.repeat(np.array([k for k, _, _ in parts], batch[page].dtype), [len(r) for _, _, r in parts]))
-                out["n"] = np.concatenate([np.r_[n, np.zeros(len(r) - 1, np.int64)] for _, n, r in parts])
-                yield out
+            batch = batch.assign(n=1)
+            many = batch.groupby(page)[page].transform("size") > 64  # fewer are joined once, after the shuffle
+            yield batch[~many]
+            for key, rows in batch[many].groupby(page, sort=False):
+                joined = pd.DataFrame(regions(rows[SIDES].to_numpy(float), gap), columns=SIDES)
+                joined.insert(0, page, pd.Series([key] * len(joined), dtype=batch[page].dtype))
+                yield joined.assign(n=[len(rows)] + [0] * (len(joined) - 1))
 
     def wholly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -187,6 +187,8 @@ def test_region_clusters(spark):
     assert rows(geometry.clusters(df, "page")) == [(1, 0, -6.0, -6.0, 106.0, 66.0, False)]
     assert rows(geometry.clusters(df, "page", most=2)) == [(1, 0, -6.0, -6.0, 106.0, 66.0, True)]
     assert rows(geometry.clusters(df.where("false"), "page")) == []
+    row = spark.range(200).select(F.lit(1).alias("page"), (F.col("id") * 30.0).alias("x0"), F.lit(0.0).alias("top"), (F.col("id") * 30.0 + 25).alias("x1"), F.lit(40.0).alias("bottom"))
+    assert rows(geometry.clusters(row, "page", most=199)) == [(1, 0, -6.0, -6.0, 200 * 30.0 - 5 + 6, 46.0, True)]
 
 
 def test_bands_bars_and_footnotes(spark):
