@@ -104,5 +104,38 @@ FROM judged j JOIN verdicts v ON j.source IS NOT DISTINCT FROM v.source
 """
 
 
+OP5_SQL = """
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t, md5(coalesce(text, '')) AS text_md5,
+         CASE WHEN doc_id IS NULL THEN 'null' ELSE 'id/' || doc_id END AS key
+  FROM documents),
+crc_table AS (
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+         CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crcs),
+checksums AS (
+  SELECT rid, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(t), '..'), lambda h: ('0x' || h)::BIGINT),
+         lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])), 4294967295) AS text_crc32
+  FROM docs, crc_table),
+leaves AS (SELECT 'region' || (s // 4) AS region, 'rack' || (s // 2) AS rack, 'shard' || s AS leaf, s::INT AS shard FROM range(8) r(s)),
+nodes AS (
+  SELECT 'root' AS parent, region AS name, count(*) AS weight FROM leaves GROUP BY region
+  UNION ALL SELECT region, rack, count(*) FROM leaves GROUP BY region, rack
+  UNION ALL SELECT rack, leaf, 1 FROM leaves
+  UNION ALL SELECT 'grown', 'region-8', 1),
+draws AS (
+  SELECT key, parent, name, -ln((('0x' || substr(md5(key || '/' || name), 1, 12))::BIGINT + 1) / 281474976710656.0::DOUBLE) / weight AS d
+  FROM (SELECT DISTINCT key FROM docs), nodes),
+won AS (SELECT key, parent, arg_min(name, d) AS name, min(d) AS d FROM draws GROUP BY key, parent),
+placed AS (
+  SELECT a.key, l.shard, CASE WHEN g.d < a.d THEN 8 ELSE l.shard END::INT AS grown_shard
+  FROM won a JOIN won b ON b.key = a.key AND b.parent = a.name JOIN won c ON c.key = a.key AND c.parent = b.name
+       JOIN leaves l ON l.leaf = c.name JOIN won g ON g.key = a.key AND g.parent = 'grown'
+  WHERE a.parent = 'root')
+SELECT doc_id, (octet_length(t) + 1)::BIGINT AS size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(key || '/' || text_md5), key) - 1 AS slot, grown_shard
+FROM docs JOIN checksums USING (rid) JOIN placed USING (key)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op5_sharding": OP5_SQL}

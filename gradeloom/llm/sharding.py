@@ -81,8 +81,8 @@ def shard(docs: DataFrame, tree: Tree | None = None, text: str = "text", doc_id:
     key = F.when(F.col(doc_id).isNull(), "null").otherwise(F.concat(F.lit("id/"), F.col(doc_id).cast("string")))
     carry = docs.columns if carry is None else carry
     df = docs.select(
-        F.struct(*carry).alias("_row"), key.alias("_key"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"), F.xxhash64(t).alias("_text"),
-    ).select("*", F.md5(F.concat_ws("/", "_key", F.col("text_crc32").cast("string"), F.col("_text").cast("string"))).alias("_hash"), place(F.col("_key"), tree).alias("shard"), place(F.col("_key"), grow(tree)).alias("grown_shard"))
+        F.struct(*carry).alias("_row"), key.alias("_key"), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"), F.md5(t).alias("_text"),
+    ).select("*", F.md5(F.concat_ws("/", "_key", "_text")).alias("_hash"), place(F.col("_key"), tree).alias("shard"), place(F.col("_key"), grow(tree)).alias("grown_shard"))
     shards = max(1, sum(len(s) for racks in tree.values() for s in racks.values()))
     rows, digits = docs.count(), 0
     while rows > shards * block_rows * 16**digits:

@@ -6,10 +6,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.llm import decontamination, mixing, quality_rules, sharding, url_filter
+from gradeloom.llm import decontamination, mixing, quality_rules, queries, sharding, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that the operators use inside or return; all of them may be columns of the input.
@@ -203,6 +204,15 @@ def test_shards_are_those_of_drawing_by_hand(spark):
         assert (r.shard, r.grown_shard) == (drawn(key, tree), drawn(key, sharding.grow(tree)))
 
 
+def test_shards_slots_and_checksums_are_those_of_the_sql(docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = db.sql(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({queries.OP5_SQL})").fetchall()
+    got = queries.op5_sharding(docs.sparkSession, str(tmp_path)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard").collect()
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
 def test_reweighting_moves_rows_only_within_the_subtree(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     tree = sharding.even_tree()
