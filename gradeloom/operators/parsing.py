@@ -1,61 +1,60 @@
 """Marking keys read into rows: tasks, exam forms, answers, solutions, criteria, notes and rules.
 
-A key is a text; every step is an expression over it or over a task's body, so that keys are read in parallel
-and nested results are exploded by the caller. Patterns use no look-around, so that other engines can check them."""
+A key is a text; its dialect decides the patterns it is read with (``dialects``). Each step adds columns to rows, or
+makes rows of the parts of one column, so that a pattern runs once over a text; keys are read in parallel and only
+small tables are shuffled. Patterns use no look-around, so that other engines can check them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: How keys are written.
-DASH = "[–—−-]"
+from .dialects import DASH, FORMS, MODERN_PAGE, OLD_POINTS, READERS, dialect, extract, with_layout  # noqa: F401
+
+#: How keys are written in all dialects.
 TASK = rf"Zadanie\s+(\d+(?:\.\d+)*)\.\s*\(\s*(?:0\s*{DASH}\s*(\d+)|(\d+)\s*pkt)\s*\)"
-END = r"(?m)^\s*(?:Ocena prac osób|Zasady oceniania prac|Wykaz zasad)"
 FORM = r"\b([A-Z]{4})-((?:[A-Z]\d-)?[A-Z0-9]{3})(?:-(\d{4}))?\b"
 VERSIONS = r"(?i)wersj\w*\s+arkusza:?\s+([A-Z])\s+i\s+([A-Z])"
 EXAM_DATE = r"Termin\s*egzaminu:\s*(\d{1,2})\s+(\S+)\s+(\d{4})"
 MONTHS = ("stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia")
-NOTE_MARK = r"(?:\^\(?[\d,]*\)?)?"
-TWIN_ANSWERS = rf"(?s)Rozwiązanie\s*{DASH}\s*wersja\s*([A-Z]){NOTE_MARK}\s*\n\s*Rozwiązanie\s*{DASH}\s*wersja\s*([A-Z]){NOTE_MARK}\s*\n(.+?)(?:\n\s*\n|\z)"
-TABLE_ANSWERS = rf"(?s)Rozwiązanie\s*\n\s*Wersja\s+([A-Z]){NOTE_MARK}\s*\n\s*Wersja\s+([A-Z]){NOTE_MARK}\s*\n(.+?)(?:\n\s*\n|\z)"
-ONE_ANSWER = r"(?sm)^[ \t]*Rozwiązanie[ \t]*\n(.+?)(?:\n\s*\n|\z)"
 SUB_POINT = r"^(\d+(?:\.\d+)+)\.?\s+(.+)$"
-ANSWERS_BEGIN = rf"(?m)^[ \t]*Rozwiązanie(?:[ \t]*{DASH}[ \t]*wersja|[ \t]*$)"
-SOLUTIONS = r"(?m)^[ \t]*Przykładow\w+ (?:pełn\w+ )?rozwiązani\w+[^\n]*$"
 SOLUTION_POINTS = r"ocenion\w+ na\s+(\d+)\s+punkt"
-METHOD = r"(?m)^[ \t]*(?:([IVX]+) sposób|Sposób ([IVX]+))[ \t]*\.?[ \t]*$"
 CRITERIA = "Zasady oceniania"
-THRESHOLD = rf"(?m)^[ \t]*(\d+)[ \t]*(pkt|punkt(?:y|ów)?)(?:[ \t]+{DASH}?|{DASH}|$)[ \t]*(.*)$"
-ALTERNATIVE = r"(?m)^[ \t]*LUB[ \t]*$"
-EQUIVALENT = r"(?m)^[ \t]*(?:lub|albo)[ \t]*$| {3,}(?:lub|albo) +"
-NOTES = r"(?m)^[ \t]*Uwag[ai]:?[ \t]*$"
-RULES = r"(?m)^[ \t]*(?:Ocena prac|Uwagi ogólne|Zasady ogólne):?[ \t]*$"
-BULLET = r"(?m)^[ \t]*[•-][ \t]*(.+)$"
+ASIDE = r"\((?:lub|albo)[^)]*\)"
+FOR_EXAMPLE = r"^.*?,?\s*np\.\s*"
+NOTE_BORDER = r"\n\s*(\d+\.\s)"
 RULE_RANGE = rf"zadani\w+\s+(\d+)[.,]?\s*{DASH}\s*(\d+)"
-MODERN_PAGE = rf"Egzamin ósmoklasisty z .{{3,40}}?{DASH} termin .{{3,30}}?\d{{4}} r\."
-OLD_POINTS = r"(?m)^[ \t]*Zdający otrzymuje[ \t.…]*[ \t]*(\d+)[ \t]*(?:p\.|pkt)[ \t]*$"
+RULE_LIST = r"zadani\w+\s+(\d+)\.(?:,| i)\s.*?(\d+)\."
+#: The kind of a rule by phrases of which all have to occur, the first row that fits wins.
+RULE_KINDS = [
+    ("arithmetic", ["błęd", "rachunkow"]),
+    ("result_only", ["tylko poprawny końcowy wynik"]),
+    ("result_only", ["tylko poprawny wynik"]),
+    ("contradictory", ["sprzecznych"]),
+    ("adapted", ["dostosowanych zasad"]),
+    ("adapted", ["dyskalkulią"]),
+    ("calculator", ["kalkulator"]),
+]
 
 
 def _text(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def one_line(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
 def tidy(text: Column) -> Column:
-    """One line: runs of white space as one space, without bullets, commas and semicolons at its ends."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.replace(F.trim(F.regexp_replace(text, r"\s+", " ")), F.lit(CRITERIA), F.lit("")), "^[•– -]+", ""), "^[ ,;]+|[ ,;]+$", ""))
+    """One line without bullets in front, commas and semicolons at its ends, and the criteria's heading."""
+    return F.trim(F.replace(F.regexp_replace(F.regexp_replace(one_line(text), "^[•– -]+", ""), "^[ ,;]+|[ ,;]+$", ""), F.lit(CRITERIA), F.lit("")))
 
 
 def _lines(block: Column) -> Column:
     return F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
-def dialect(text: Column, name: Column) -> Column:
-    """The layout of a key: by what it says, the file's name only tells the exam."""
-    secondary = F.substring(_text(text), 1, 4000).contains("Egzamin maturalny") | _text(name).rlike("^[EM]M[A-Z]{2}-")
-    return F.when(secondary & text.rlike(OLD_POINTS), "matura-2015").when(secondary, "matura").when(text.rlike(MODERN_PAGE), "e8-2020").otherwise("e8-2019")
-
-
 def exam_date(text: Column) -> Column:
     """The date of the exam from the key's header; null if it has none or the month is unknown."""
     part = lambda k: F.regexp_extract(_text(text), EXAM_DATE, k)
@@ -63,18 +62,22 @@ def exam_date(text: Column) -> Column:
     return F.when(month > 0, F.concat_ws("-", part(3), F.lpad(month.cast("string"), 2, "0"), F.lpad(part(1), 2, "0")).try_cast("date"))
 
 
-def tasks(keys: DataFrame, key: str, text: str) -> DataFrame:
-    """key, ordinal, number, points, body, starts: a task from the end of its header to the next one, the last up to the end marker."""
+def tasks(keys: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
+    """key, dialect, ordinal, number, points, body, starts: a task from the end of its header to the next one, the last up to its dialect's end marker; page lines aren't part of a body."""
     t = _text(F.col(text))
-    found = lambda k: F.regexp_extract_all(t, F.lit(TASK), F.lit(k))
-    cut = keys.select(key, F.split(t, TASK).alias("_parts"), found(0).alias("_heads"), found(1).alias("_numbers"), found(2).alias("_a"), found(3).alias("_b"))
-    rows = cut.select(key, F.posexplode(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))).alias("_k", "_body"), "_numbers", "_a", "_b", "_heads", F.element_at("_parts", 1).alias("_first"))
-    w = Window.partitionBy(key).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.length("_first") + F.coalesce(F.sum(F.length(F.get("_heads", F.col("_k"))) + F.length("_body")).over(w), F.lit(0)) + F.length(F.get("_heads", F.col("_k")))
-    body = F.when(F.col("_k") == F.size("_heads") - 1, F.get(F.split("_body", END), F.lit(0))).otherwise(F.col("_body"))
-    points = F.coalesce(F.nullif(F.get("_a", F.col("_k")), F.lit("")), F.nullif(F.get("_b", F.col("_k")), F.lit(""))).cast("int")
-    out = rows.select(key, (F.col("_k") + 1).alias("ordinal"), F.get("_numbers", F.col("_k")).alias("number"), points.alias("points"), body.alias("body"), before.cast("long").alias("starts"))
-    return out.where(F.length("body") > 0)
+    told = with_layout(keys.select(key, t.alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect")), ["task_end", "page"])
+    found = lambda k: F.regexp_extract_all("_t", F.lit(TASK), F.lit(k))
+    cut = told.select(key, "dialect", "task_end", "page", F.split("_t", TASK).alias("_parts"), found(0).alias("_heads"), found(1).alias("_numbers"), found(2).alias("_a"), found(3).alias("_b"))
+    # where each body starts: the lengths of all before it, added up along the array
+    lengths = F.zip_with(F.slice("_parts", 1, F.size("_heads")), "_heads", lambda p, h: F.length(p) + F.length(h))
+    starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
+    bodies = F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("body"), "_numbers", "_a", "_b", starts.alias("starts"))
+    rows = cut.select(key, "dialect", "task_end", "page", F.size("_heads").alias("_n"), F.posexplode_outer(bodies).alias("_k", "_z")).where(F.col("_k").isNotNull())
+    last = F.col("_k") == F.col("_n") - 1
+    body = F.when(last, F.get(F.split("_z.body", F.col("task_end"), 2), F.lit(0))).otherwise(F.col("_z.body"))
+    points = F.coalesce(F.nullif(F.col("_z._a"), F.lit("")), F.nullif(F.col("_z._b"), F.lit(""))).cast("int")
+    out = rows.select(key, "dialect", (F.col("_k") + 1).alias("ordinal"), F.col("_z._numbers").alias("number"), points.alias("points"), body.alias("_body"), F.col("_z.starts").cast("long").alias("starts"), "page")
+    return out.where(F.length("_body") > 0).select(key, "dialect", "ordinal", "number", "points", F.regexp_replace("_body", F.col("page"), F.lit("")).alias("body"), "starts")
 
 
 def page_of(pages: DataFrame, places: DataFrame, key: str, page: str, text: str, at: str) -> DataFrame:
@@ -97,76 +100,100 @@ def forms(keys: DataFrame, key: str, text: str) -> DataFrame:
     return first.select(key, "code", "variant", "_x.session", F.explode("_x._versions").alias("version"))
 
 
-def answers(body: Column) -> Column:
-    """Model answers (version, part, answer): of two columns of versions, else of one block; numbered lines are parts."""
-    def twins(pattern: str) -> Column:
-        versions = F.array(F.regexp_extract(body, pattern, 1), F.regexp_extract(body, pattern, 2))
-        lines = _lines(F.regexp_extract(body, pattern, 3))
-        numbers = F.transform(lines, lambda x: F.regexp_extract(x, SUB_POINT, 1))
-        # the second row of a number belongs to the second version, any further one to the first
-        turn = lambda x, i: F.size(F.filter(F.slice(numbers, 1, i), lambda n: n == F.regexp_extract(x, SUB_POINT, 1)))
-        by_part = F.transform(lines, lambda x, i: F.struct(F.coalesce(F.get(versions, turn(x, i)), F.get(versions, F.lit(0))).alias("version"), F.regexp_extract(x, SUB_POINT, 1).alias("part"), F.regexp_extract(x, SUB_POINT, 2).alias("answer")))
-        by_row = F.transform(F.slice(lines, 1, 2), lambda x, i: F.struct(F.get(versions, i).alias("version"), F.lit(None).cast("string").alias("part"), F.substring(x, 1, 200).alias("answer")))
-        return F.when((F.size(lines) >= 2) & F.forall(lines, lambda x: x.rlike(SUB_POINT)), by_part).otherwise(by_row)
-
-    lines = _lines(F.regexp_extract(body, ONE_ANSWER, 1))
-    none = F.lit(None).cast("string")
-    parts = F.transform(lines, lambda x: F.struct(none.alias("version"), F.regexp_extract(x, SUB_POINT, 1).alias("part"), F.substring(F.regexp_extract(x, SUB_POINT, 2), 1, 200).alias("answer")))
-    whole = F.transform(F.slice(lines, 1, 1), lambda x: F.struct(none.alias("version"), none.alias("part"), F.substring(x, 1, 200).alias("answer")))
-    single = F.when(F.forall(lines, lambda x: x.rlike(SUB_POINT)), parts).otherwise(whole)
-    return F.when(body.rlike(TWIN_ANSWERS), twins(TWIN_ANSWERS)).when(body.rlike(TABLE_ANSWERS), twins(TABLE_ANSWERS)).otherwise(single)
-
-
-def solutions(body: Column) -> Column:
-    """Example solutions (method, points, content): one for each method; without methods one, if it is longer than 20 characters."""
-    head = F.regexp_extract(body, f"({SOLUTIONS})", 1)
-    points = F.regexp_extract(head, SOLUTION_POINTS, 1).try_cast("int")
-    tail = F.get(F.split(body, SOLUTIONS, 2), F.lit(1))
-    line = lambda x: F.substring(F.trim(F.regexp_replace(x, r"\s+", " ")), 1, 4000)
-    names = F.zip_with(F.regexp_extract_all(tail, F.lit(METHOD), F.lit(1)), F.regexp_extract_all(tail, F.lit(METHOD), F.lit(2)), lambda a, b: F.concat(a, b))
-    parts = F.split(tail, METHOD)
-    each = F.transform(names, lambda m, i: F.struct(m.alias("method"), points.alias("points"), line(F.get(parts, i + 1)).alias("content")))
-    only = F.array(F.struct(F.lit(None).cast("string").alias("method"), points.alias("points"), line(tail).alias("content")))
-    empty = F.filter(only, lambda s: F.lit(False))
-    return F.when(head == "", empty).when(F.size(names) > 0, each).when(F.length(line(tail)) > 20, only).otherwise(empty)
-
-
-def criteria_text(body: Column) -> Column:
-    """What stands between the criteria's heading, or the body's begin, and the answers or solutions; notes included."""
-    rest = F.when(body.contains(CRITERIA), F.substr(body, F.position(F.lit(CRITERIA), body))).otherwise(body)
-    return F.element_at(F.split(F.get(F.split(rest, ANSWERS_BEGIN), F.lit(0)), SOLUTIONS), 1)
-
-
-def notes(body: Column) -> Column:
-    """A task's own notes: at most six, of 16 characters or more."""
-    tail = F.get(F.split(criteria_text(body), NOTES, 2), F.lit(1))
-    parts = F.split(F.regexp_replace(tail, r"\n\s*(\d+\.\s)", "\u0001$1"), "\u0001")
-    found = F.transform(F.filter(parts, lambda x: F.length(F.trim(F.regexp_replace(x, r"\s+", " "))) > 15), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    return F.when(F.size(F.split(criteria_text(body), NOTES, 2)) > 1, F.slice(found, 1, 6)).otherwise(F.array().cast("array<string>"))
-
-
-def criteria(body: Column) -> Column:
-    """Thresholds (points, label, conditions (description, expressions)), the first of each number of points."""
-    text = F.get(F.split(criteria_text(body), NOTES), F.lit(0))
-    found = lambda k: F.regexp_extract_all(text, F.lit(THRESHOLD), F.lit(k))
-    parts = F.split(text, THRESHOLD)
-    tail_of = lambda x: F.trim(F.regexp_replace(x, f"^[ –—-]+|[ –—-]+$", ""))  # noqa: E731, F541
-    raw = F.transform(F.arrays_zip(found(1).alias("p"), found(2).alias("kind"), found(3).alias("tail")), lambda x, i: F.struct(x["p"].cast("int").alias("points"), (x["kind"] == "pkt").alias("inline"), tail_of(x["tail"]).alias("tail"), F.get(parts, i + 1).alias("rest"), i.alias("i")))
-    points = F.transform(raw, lambda x: x["points"])
-    firsts = F.filter(raw, lambda x: F.array_position(points, x["points"]) == x["i"] + 1)
-
-    def condition(w: Column) -> Column:
-        bare = F.regexp_replace(w, r"\((?:lub|albo)[^)]*\)", "")
-        pieces = F.filter(F.transform(F.split(bare, EQUIVALENT), tidy), lambda x: x != "")
-        shown = F.transform(pieces, lambda x, i: F.when((i == 0) & x.rlike(r"np\.\s*\S"), F.regexp_replace(x, r"^.*?,?\s*np\.\s*", "")).otherwise(x))
-        return F.struct(F.substring(tidy(w), 1, 600).alias("description"), F.when(F.size(pieces) > 1, F.slice(shown, 1, 6)).otherwise(F.array().cast("array<string>")).alias("expressions"))
-
-    def threshold(x: Column) -> Column:
-        block = F.when(x["inline"], F.concat(x["tail"], F.lit("\n"), x["rest"])).otherwise(x["rest"])
-        conditions = F.filter(F.transform(F.split(block, ALTERNATIVE), condition), lambda c: c["description"] != "")
-        return F.struct(x["points"].alias("points"), F.when(~x["inline"], F.nullif(x["tail"], F.lit(""))).alias("label"), conditions.alias("conditions"))
-
-    return F.transform(firsts, threshold)
+def sections(found: DataFrame) -> DataFrame:
+    """Tasks with the parts of their bodies and their dialect's patterns for these.
+
+    _answer (the block that the first successful reader took) and its _versions, _solved (heading) and _solutions,
+    _criteria (from their heading, or the body's begin, to the answers or solutions behind) and _notes."""
+    rows = with_layout(found, [*[f"answers_{k}" for k in range(1, READERS + 1)], "solutions", "method", "notes", "threshold", *[f"tail_is_condition_{k}" for k in range(1, FORMS + 1)], "alternative", "equivalent"])
+    taken = [F.regexp_substr("body", F.col(f"answers_{k}")) for k in range(1, READERS + 1)]
+    # a reader's block is what its third group holds; it succeeds if that isn't blank
+    rows = rows.select("*", *[x.alias(f"_taken_{k + 1}") for k, x in enumerate(taken)])
+    blocks = [extract(f"_taken_{k}", F.col(f"answers_{k}"), 3) for k in range(1, READERS + 1)]
+    wins = lambda value: F.coalesce(*[F.when(F.trim(F.regexp_replace(b, r"\s+", " ")) != "", value(k + 1)) for k, b in enumerate(blocks)])
+    reader = wins(lambda k: F.struct(F.col(f"answers_{k}").alias("pattern"), F.col(f"_taken_{k}").alias("taken")))
+    rows = rows.select("*", reader.alias("_reader"), F.regexp_substr("body", F.col("solutions")).alias("_solved"))
+    group = lambda k: extract("_reader.taken", F.col("_reader.pattern"), k)
+    rows = rows.select(
+        "*", group(3).alias("_answer"), F.when(group(1) != "", F.array(group(1), group(2))).alias("_versions"),
+        F.position(F.col("_reader.taken"), F.col("body")).alias("_answer_at"), F.position("_solved", F.col("body")).alias("_solved_at"), F.position(F.lit(CRITERIA), F.col("body")).alias("_heading_at"),
+    )
+    begin = F.greatest(F.col("_heading_at"), F.lit(1))
+    behind = lambda c: F.when(F.col(c) > begin, F.col(c))
+    end = F.coalesce(F.least(behind("_answer_at"), behind("_solved_at")), F.length("body") + 1)
+    rows = rows.select("*", F.substr(F.col("body"), begin, end - begin).alias("_text"), F.substr(F.col("body"), F.col("_solved_at") + F.length("_solved")).alias("_solutions"))
+    parts = F.split("_text", F.col("notes"), 2)
+    dropped = ["_reader", "_answer_at", "_solved_at", "_heading_at", "_text", "notes", "solutions", *[f"answers_{k}" for k in range(1, READERS + 1)], *[f"_taken_{k}" for k in range(1, READERS + 1)]]
+    return rows.select("*", F.get(parts, F.lit(0)).alias("_criteria"), F.get(parts, F.lit(1)).alias("_notes")).drop(*dropped)
+
+
+def answers(cut: DataFrame, key: str) -> DataFrame:
+    """Model answers of sections: key, ordinal, version, part, answer, place; lines that are all numbered are parts.
+
+    Of two columns the second row of a number belongs to the second version, any further one to the first; rows without
+    numbers are a version each. Of one block without numbers the first line is the answer."""
+    lines = cut.select(key, "ordinal", "_versions", _lines(F.col("_answer")).alias("_lines"))
+    numbers = F.transform("_lines", lambda x: F.regexp_extract(x, SUB_POINT, 1))
+    rows = lines.select(key, "ordinal", "_versions", F.size("_lines").alias("_n"), numbers.alias("_numbers"), F.posexplode_outer("_lines").alias("place", "_line")).where(F.col("_line").isNotNull())
+    twins, at = F.col("_versions").isNotNull(), F.col("place")
+    number = F.get("_numbers", at)
+    listed = (F.array_position("_numbers", F.lit("")) == 0) & (~twins | (F.col("_n") >= 2))
+    before = F.size(F.array_compact(F.filter(F.slice("_numbers", 1, at + 1), lambda n: n == number))) - 1
+    version = F.when(listed, F.coalesce(F.get("_versions", before), F.get("_versions", F.lit(0)))).otherwise(F.get("_versions", at))
+    answer = F.when(listed, F.regexp_extract("_line", SUB_POINT, 2)).otherwise(F.col("_line"))
+    shown = F.when(twins & listed, answer).otherwise(F.substring(answer, 1, 200))
+    wanted = listed | (twins & (at < 2)) | (at == 0)
+    return rows.where(wanted).select(key, "ordinal", F.when(twins, version).alias("version"), F.when(listed, number).alias("part"), shown.alias("answer"), "place")
+
+
+def solutions(cut: DataFrame, key: str) -> DataFrame:
+    """Example solutions of sections: key, ordinal, method, points, content, place; without methods one, if it is longer than 20 characters."""
+    points = F.regexp_extract(one_line(F.col("_solved")), SOLUTION_POINTS, 1).try_cast("int")
+    rows = cut.where(F.col("_solved").isNotNull()).select(key, "ordinal", points.alias("points"), F.split("_solutions", F.col("method")).alias("_parts"), F.regexp_extract_all("_solutions", F.col("method"), F.lit(1)).alias("_methods"))
+    each = rows.select(key, "ordinal", "points", F.size("_methods").alias("_n"), "_methods", F.posexplode_outer("_parts").alias("_k", "_part"))
+    content = F.substring(one_line(F.col("_part")), 1, 4000)
+    shown = each.select(key, "ordinal", F.get("_methods", F.col("_k") - 1).alias("method"), "points", content.alias("content"), F.col("_k").alias("place"), "_n")
+    return shown.where((F.col("place") > 0) | ((F.col("_n") == 0) & (F.length("content") > 20))).drop("_n")
+
+
+def notes(cut: DataFrame, key: str) -> DataFrame:
+    """A task's own notes: key, ordinal, number, content, place (from 0): at most six, of 16 characters or more."""
+    parts = F.split(F.regexp_replace("_notes", NOTE_BORDER, "\u0001$1"), "\u0001")
+    long = F.slice(F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(" \t\n\r\f"))) > 15), 1, 6)
+    rows = cut.where(F.col("_notes").isNotNull()).select(key, "ordinal", "number", F.posexplode_outer(long).alias("place", "_note"))
+    return rows.where(F.col("_note").isNotNull()).select(key, "ordinal", "number", one_line(F.col("_note")).alias("content"), "place")
+
+
+def thresholds(cut: DataFrame, key: str) -> DataFrame:
+    """Thresholds of sections, the first of each number of points: key, ordinal, place (from 1), points, label, description (where it has no condition), _block and the patterns for it."""
+    group = lambda k: F.regexp_extract_all("_criteria", F.col("threshold"), F.lit(k))
+    kept = ["alternative", "equivalent", *[f"tail_is_condition_{k}" for k in range(1, FORMS + 1)]]
+    heads = cut.select(key, "ordinal", *kept, F.split("_criteria", F.col("threshold")).alias("_parts"), *[group(2 * k + 1).alias(f"p{k + 1}") for k in range(FORMS)], *[group(2 * k + 2).alias(f"t{k + 1}") for k in range(FORMS)])
+    names = [f"{g}{k}" for g in "pt" for k in range(1, FORMS + 1)]
+    # a threshold's points are what one of the forms holds, and no other form holds anything
+    points = F.transform(F.arrays_zip(*[f"p{k}" for k in range(1, FORMS + 1)]), lambda x: F.concat(*[x[f"p{k}"] for k in range(1, FORMS + 1)]).cast("int"))
+    heads = heads.select(key, "ordinal", *kept, points.alias("_all"), F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("rest"), *names).alias("_zipped"))
+    rows = heads.select(key, "ordinal", *kept, "_all", F.posexplode_outer("_zipped").alias("_k", "_z")).where(F.col("_k").isNotNull())
+    number = F.get("_all", F.col("_k"))
+    rows = rows.where(F.array_position("_all", number) == F.col("_k") + 1)
+    form = lambda value: F.coalesce(*[F.when(F.col(f"_z.p{k}") != "", value(k)) for k in range(1, FORMS + 1)])
+    tail = F.trim(F.regexp_replace(form(lambda k: F.col(f"_z.t{k}")), r"^[ \t–—−-]+|[ \t–—-]+$", ""))
+    before = F.size(F.array_distinct(F.slice("_all", 1, F.col("_k") + 1)))
+    rows = rows.select(key, "ordinal", before.alias("place"), number.alias("points"), tail.alias("_tail"), form(lambda k: F.col(f"tail_is_condition_{k}")).alias("_inline"), F.col("_z.rest").alias("_rest"), "alternative", "equivalent")
+    block = F.when(F.col("_inline"), F.concat("_tail", F.lit("\n"), "_rest")).otherwise(F.col("_rest"))
+    return rows.select(key, "ordinal", "place", "points", F.when(~F.col("_inline"), F.nullif("_tail", F.lit(""))).alias("label"), block.alias("_block"), "alternative", "equivalent")
+
+
+def conditions(found: DataFrame, key: str) -> DataFrame:
+    """Conditions of thresholds: key, ordinal, points, label, place (from 1), description and the expressions that are worth the same."""
+    rows = found.select(key, "ordinal", "points", "label", "equivalent", F.posexplode_outer(F.split("_block", F.col("alternative"))).alias("_k", "_part"))
+    said = rows.select(key, "ordinal", "points", "label", "_k", tidy(F.col("_part")).alias("_said"), F.split(F.regexp_replace("_part", ASIDE, ""), F.col("equivalent")).alias("_pieces"))
+    pieces = said.where(F.col("_said") != "").select(key, "ordinal", "points", "label", "_k", "_said", F.filter(F.transform("_pieces", tidy), lambda x: x != "").alias("_pieces"))
+    first = F.get("_pieces", F.lit(0))
+    begun = F.regexp_replace(first, FOR_EXAMPLE, "")
+    shown = F.concat(F.array(F.when(begun == "", first).otherwise(begun)), F.slice("_pieces", 2, 5))
+    expressions = F.when(F.size("_pieces") > 1, shown).otherwise(F.array().cast("array<string>"))
+    return pieces.select(key, "ordinal", "points", "label", (F.col("_k") + 1).alias("place"), F.substring("_said", 1, 600).alias("description"), expressions.alias("expressions"))
 
 
 def task_kind(n_solutions: Column, n_answers: Column, points: Column) -> Column:
@@ -176,31 +203,67 @@ def task_kind(n_solutions: Column, n_answers: Column, points: Column) -> Column:
 
 def rule_kind(text: Column) -> Column:
     """What a rule is about."""
-    return (
-        F.when(text.contains("błęd") & text.contains("rachunkow"), "arithmetic").when(text.contains("tylko poprawny końcowy wynik") | text.contains("tylko poprawny wynik"), "result_only")
-        .when(text.contains("sprzecznych"), "contradictory").when(text.contains("dostosowanych zasad") | text.contains("dyskalkulią"), "adapted").when(text.contains("kalkulator"), "calculator").otherwise("other")
-    )
-
+    out = F.lit("other")
+    for kind, phrases in reversed(RULE_KINDS):
+        holds = F.lit(True)
+        for phrase in phrases:
+            holds &= text.contains(phrase)
+        out = F.when(holds, kind).otherwise(out)
+    return out
+
+
+def rules(keys: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
+    """Rules for several tasks: key, kind, content, low, high, position (from 0): the marked items of 20 to 600 characters that stand in the 4000 behind their heading and before a task."""
+    told = with_layout(keys.select(key, _text(F.col(text)).alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect")), ["rules", "page", "rule_border", "rule_item"])
+    tail = told.select("*", F.get(F.split("_t", F.col("rules"), 2), F.lit(1)).alias("_tail")).where(F.col("_tail").isNotNull())
+    block = tail.select(key, "rule_border", "rule_item", F.regexp_replace(F.element_at(F.split(F.substring("_tail", 1, 4000), TASK, 2), 1), F.col("page"), F.lit("")).alias("_block"))
+    marked = block.select(key, "rule_item", F.regexp_replace("_block", F.col("rule_border"), F.lit("\u0001\n$1")).alias("_marked"))
+    items = marked.select(key, F.posexplode_outer(F.regexp_extract_all("_marked", F.col("rule_item"), F.lit(1))).alias("position", "_item")).where(F.col("_item").isNotNull())
+    said = items.select(key, "position", one_line(F.regexp_replace("_item", "\u0001", " ")).alias("content"))
+    end = lambda k: F.coalesce(*[F.nullif(F.regexp_extract("content", p, k), F.lit("")) for p in (RULE_RANGE, RULE_LIST)])
+    return said.select(key, rule_kind(F.col("content")).alias("kind"), "content", end(1).alias("low"), end(2).alias("high"), "position")
+
+
+def note_rules(noted: DataFrame, key: str) -> DataFrame:
+    """Notes as rules of one task: key, kind, content, low, high, position (1000 + 10 * ordinal + place)."""
+    return noted.select(key, rule_kind(F.col("content")).alias("kind"), "content", F.col("number").alias("low"), F.col("number").alias("high"), (1000 + 10 * F.col("ordinal") + F.col("place")).alias("position"))
 
-def rules(text: Column) -> Column:
-    """Rules for several tasks (kind, content, low, high): the bullets of the first 4000 characters after their heading."""
-    block = F.element_at(F.split(F.substring(F.get(F.split(_text(text), RULES, 2), F.lit(1)), 1, 4000), TASK), 1)
-    lines = F.transform(F.regexp_extract_all(block, F.lit(BULLET), F.lit(1)), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
-    end = lambda x, k: F.nullif(F.regexp_extract(x, RULE_RANGE, k), F.lit(""))
-    found = F.transform(lines, lambda x: F.struct(rule_kind(x).alias("kind"), x.alias("content"), end(x, 1).alias("low"), end(x, 2).alias("high")))
-    return F.coalesce(found, F.filter(F.array(F.struct(F.lit("").alias("kind"), F.lit("").alias("content"), F.lit("").alias("low"), F.lit("").alias("high"))), lambda x: F.lit(False)))
 
+def facts(cut: DataFrame, key: str) -> DataFrame:
+    """What each task has: key, ordinal, number, kind, answered, solved, judged (has thresholds)."""
+    answered = F.trim(F.regexp_replace(F.coalesce("_answer", F.lit("")), r"\s+", " ")) != ""
+    methods = F.regexp_count("_solutions", F.col("method"))
+    solved = F.col("_solved").isNotNull() & ((methods > 0) | (F.length(one_line(F.col("_solutions"))) > 20))
+    judged = F.coalesce(F.regexp_count("_criteria", F.col("threshold")) > 0, F.lit(False))
+    rows = cut.select(key, "ordinal", "number", "points", answered.alias("answered"), F.coalesce(solved, F.lit(False)).alias("solved"), judged.alias("judged"))
+    kind = task_kind(F.col("solved").cast("int"), F.col("answered").cast("int"), F.col("points"))
+    return rows.select(key, "ordinal", "number", kind.alias("kind"), "answered", "solved", "judged")
 
-def note_rules(noted: DataFrame, key: str, number: str, ordinal: str, notes_: str) -> DataFrame:
-    """Notes as rules of one task: key, kind, content, low, high, position (1000 + 10 * ordinal + place)."""
-    rows = noted.select(key, number, ordinal, F.posexplode(notes_).alias("_i", "content"))
-    return rows.select(key, rule_kind(F.col("content")).alias("kind"), "content", F.col(number).alias("low"), F.col(number).alias("high"), (1000 + 10 * F.col(ordinal) + F.col("_i")).alias("position"))
 
+def warnings(keys: DataFrame, told: DataFrame, found_forms: DataFrame, key: str) -> DataFrame:
+    """What a reader of a key should know: key, warning, n, of, tasks; told: facts; keys give those without tasks too.
 
-def warnings(n_tasks: Column, n_forms: Column, n_without_criteria: Column, date: Column) -> Column:
-    """What a reader of the key should know."""
-    said = [(n_tasks == 0, "no task found"), (n_forms == 0, "no form found"), (n_without_criteria > 0, "open tasks without criteria"), (date.isNull(), "no date found")]
-    return F.filter(F.array(*[F.when(c, F.lit(m)) for c, m in said]), lambda x: x.isNotNull())
+    Closed tasks without criteria are only a gap where other closed tasks of the key have some; their first eight numbers are named."""
+    closed, bare = F.col("kind") == "closed", ~F.col("judged")
+    unjudged = F.sort_array(F.collect_list(F.when(closed & bare, F.struct("ordinal", "number"))))
+    per = told.groupBy(key).agg(
+        F.count_if(~closed & bare).alias("open_bare"), F.count_if(~closed).alias("open"), F.count_if(closed & ~bare).alias("closed_judged"), F.count_if(closed).alias("closed"),
+        F.count_if(closed & ~F.col("answered")).alias("unanswered"), unjudged.alias("_unjudged"), F.count(F.lit(1)).alias("tasks"),
+    )
+    formed = found_forms.select(key).distinct().withColumn("_formed", F.lit(True))
+    rows = keys.select(key).join(per, key, "left").join(formed, key, "left")
+    long = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    said = lambda name, n, of, named=None: F.struct(F.lit(name).alias("warning"), n.cast("long").alias("n"), of.cast("long").alias("of"), (F.lit("") if named is None else named).alias("named"))
+    named = F.array_join(F.transform(F.slice(F.coalesce("_unjudged", F.array().cast("array<struct<ordinal:int,number:string>>")), 1, 8), lambda x: x["number"]), ", ")
+    one = F.lit(1)
+    every = F.array(
+        F.when(F.col("_formed").isNull(), said("no form in the header", one, one)),
+        F.when(long("tasks") == 0, said("no task", one, one)),
+        F.when(long("open_bare") > 0, said("open tasks without criteria", long("open_bare"), long("open"))),
+        F.when((long("closed_judged") > 0) & (long("closed_judged") < long("closed")), said("closed tasks without criteria", long("closed") - long("closed_judged"), long("closed"), named)),
+        F.when(long("unanswered") > 0, said("closed tasks without answer", long("unanswered"), long("closed"))),
+    )
+    return rows.select(key, F.explode_outer(F.array_compact(every)).alias("_w")).where(F.col("_w").isNotNull()).select(key, "_w.*")
 
 
 def match_versions(versions: DataFrame, papers: DataFrame, key: str, letter: str, value: str) -> DataFrame:

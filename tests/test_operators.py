@@ -269,10 +269,3 @@ def test_expressions(spark, text, latex, reason):
     assert got.reason == reason
     if latex:
         assert got.latex == latex
-
-
-def test_parser_on_odd_keys(spark):
-    df = spark.createDataFrame([(1, None), (2, ""), (3, "Zadanie 1. (0–2)"), (4, "Zadanie 1. (0–2)\nbody\nWykaz zasad\nx")], "k int, t string")
-    assert [(r.k, r.points, r.body) for r in parsing.tasks(df, "k", "t").collect()] == [(4, 2, "\nbody\n")]
-    assert parsing.forms(df, "k", "t").collect() == []
-    assert df.select(F.size(parsing.rules(F.col("t"))).alias("n")).agg(F.sum("n")).first()[0] == 0
