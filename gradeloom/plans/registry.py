@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import documents, edits, inspector, keys, records, reports  # noqa: F401
+    from . import documents, edits, inspector, keys, layout, records, reports  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
