@@ -157,14 +157,13 @@ def _combine(placed: DataFrame, arity: int, first: int = FIRST, wider: int = WID
 
 def fold(leaf: Column, path: Column, at: Column, size: Column, arity: int = 2) -> Column:
     """The root that a leaf at this place of a tree of this size leads to by its siblings (bytes, bottom up, left to right)."""
-    hexes = F.lower(F.hex(path))
     powers = [arity**k for k in range(63) if arity**k < 1 << 62]
     levels = sum(((size > p).cast("int") for p in powers[1:]), (size > 1).cast("int"))
 
     def up(state: Column, _: Column) -> Column:
         begin = state["index"] - state["index"] % arity
         others = F.least(F.lit(arity).cast("long"), state["size"] - begin) - 1
-        siblings = F.substr(hexes, (state["used"] * 64 + 1).cast("int"), (others * 64).cast("int"))
+        siblings = F.lower(F.hex(F.substr(path, (state["used"] * 32 + 1).cast("int"), (others * 32).cast("int"))))
         own = ((state["index"] - begin) * 64).cast("int")
         whole = F.concat(F.substr(siblings, F.lit(1), own), state["digest"], F.substr(siblings, own + 1))
         return F.struct(
