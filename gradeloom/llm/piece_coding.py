@@ -22,10 +22,12 @@ carried, and those that clash with an output are replaced by it. Decoding null i
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,55 +79,114 @@ def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
     """Pieces of a short text by merging neighbours outright."""
-    parts = list(text)
-    while len(parts) > 1:
-        found = [(-scores[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in scores]
-        if not found:
+    parts, get, none = list(text), scores.get, float("-inf")
+    joint = [get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
+    while joint:
+        best = max(joint)
+        if best == none:
             break
-        k = min(found)[1]
+        k = joint.index(best)
         parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        del joint[k]
+        if k:
+            joint[k - 1] = get(parts[k - 1] + parts[k], none)
+        if k < len(joint):
+            joint[k] = get(parts[k] + parts[k + 1], none)
     return parts
 
 
-class Coder:
+class Decoder:
+    """Turns ids into text."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        self.vocabulary = vocabulary
+        pieces: list[bytes] = [b""] * vocabulary.size
+        for piece, i in vocabulary.ids.items():
+            pieces[i] = piece.replace(MARK, " ").encode()
+        for b, i in enumerate(vocabulary.bytes_):
+            pieces[i] = bytes([b])
+        pieces[vocabulary.unknown] = UNKNOWN.encode()
+        self.pieces = pieces
+        self.byte_of = {i: b for b, i in enumerate(vocabulary.bytes_)}
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: controls give nothing, the first mark goes, bytes that are no UTF-8 give U+FFFD each."""
+        whole = b"".join(map(self.pieces.__getitem__, ids))
+        first = next((i for i in ids if i not in self.vocabulary.controls), None)
+        if first is not None and first not in self.byte_of and whole.startswith(b" ") and first != self.vocabulary.unknown:
+            whole = whole[1:]
+        try:
+            return whole.decode()
+        except UnicodeDecodeError:
+            return self._by_runs(ids)
+
+    def _by_runs(self, ids: list[int]) -> str:
+        out, run, begun = [], bytearray(), False
+        for i in [*ids, None]:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                begun = True
+                continue
+            out.append(_mended(bytes(run)))
+            run.clear()
+            if i is None or i in self.vocabulary.controls:
+                continue
+            text = self.pieces[i].decode()
+            out.append(text[1:] if not begun and i != self.vocabulary.unknown and text.startswith(" ") else text)
+            begun = True
+        return "".join(out)
+
+
+class _Stretches(dict):
+    """Codes of stretches as packed ids, computed where they aren't known."""
+
+    def __init__(self, code: Callable[[str], bytes], most: int) -> None:
+        self.code, self.most = code, most
+
+    def __missing__(self, text: str) -> bytes:
+        out = self.code(text)
+        if len(self) >= self.most:
+            self.clear()
+        if len(text) <= 64:
+            self[text] = out
+        return out
+
+
+class Coder(Decoder):
     """Encodes and decodes texts; memory holds at most ``most`` remembered stretches and pairs.
 
     Inside, pieces and the characters of longer pieces have numbers; pieces that their own text isn't merged to are
     in no result and get none."""
 
     def __init__(self, vocabulary: Vocabulary, most: int = 500_000) -> None:
-        self.vocabulary, self.most = vocabulary, most
+        super().__init__(vocabulary)
+        self.most = most
         inner = {c for piece in vocabulary.scores if len(piece) > 1 for c in piece}
         self.texts = sorted((vocabulary.scores.keys() - vocabulary.fickle) | inner)
         self.lengths = [len(t) for t in self.texts]
         numbers = {t: k for k, t in enumerate(self.texts)}
+        self.single = {t: k for t, k in numbers.items() if len(t) == 1}
         # the longest numbered text that begins a text and isn't all of it, -1 for characters
         self.shorter = [next((numbers[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in numbers), -1) for t in self.texts]
         self.automaton = ahocorasick.Automaton()
         for text, number in numbers.items():
-            self.automaton.add_word(text, number)
+            if len(text) > 1:
+                self.automaton.add_word(text, number)
         self.automaton.make_automaton()
         # a mark behind another character inside a piece would reach across the cut in front of marks
         crossing = any(a != MARK and b == MARK for piece in vocabulary.scores for a, b in zip(piece, piece[1:], strict=False))
         joined = "".join(re.escape(c) for c in sorted(inner - {MARK}))
         stretch = f"[{MARK}{joined}]+" if crossing else f"{MARK}+[{joined}]*|[{joined}]+"
         self.stretches = re.compile(f"{stretch}|." if joined else f"{MARK}+|.", re.DOTALL)
-        self.known: dict[str, list[int]] = {}
         self.pairs: dict[int, bool] = {}
-        self.coded = [self._ids(t) for t in self.texts]
-        pieces: list[bytes] = [b""] * vocabulary.size
-        for piece, i in vocabulary.ids.items():
-            pieces[i] = piece.replace(MARK, " ").encode()
-        for b, i in enumerate(vocabulary.bytes_):
-            pieces[i] = bytes([b])
-        pieces[vocabulary.unknown] = UNKNOWN.encode()
-        self.pieces = pieces
-        self.byte_of = {i: b for b, i in enumerate(vocabulary.bytes_)}
+        self.coded = [self._packed(t) for t in self.texts]
+        self.known = _Stretches(self._stretch, most)
+        self.ending = array("i", [vocabulary.end]).tobytes()
 
-    def _ids(self, piece: str) -> list[int]:
-        """A piece's id, or those of the bytes of a character that is none."""
+    def _packed(self, piece: str) -> bytes:
+        """A piece's id, or those of the bytes of a character that is none, as 32-bit integers."""
         i = self.vocabulary.ids.get(piece)
-        return [self.vocabulary.bytes_[b] for b in piece.encode()] if i is None else [i]
+        return array("i", [self.vocabulary.bytes_[b] for b in piece.encode()] if i is None else [i]).tobytes()
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether two neighbours stay these two when their joined text is merged again."""
@@ -138,17 +199,17 @@ class Coder:
     def backtrack(self, text: str) -> list[int]:
         """Numbers of the pieces of a text without merging it as a whole; all its characters have to have numbers."""
         n, lengths, shorter, pairs, many = len(text), self.lengths, self.shorter, self.pairs, len(self.texts)
-        longest = [-1] * (n + 1)
+        longest = list(map(self.single.__getitem__, text))
         for last, number in self.automaton.iter(text):
             longest[last + 1 - lengths[number]] = number  # of those that begin at a place the longest ends last
-        failed = 0 if n < 1024 else bytearray(n // 8 + 1)
+        longest.append(-1)
+        failed, marks = 0, bytearray(n // 8 + 1 if n >= 1024 else 0)  # one integer for short texts
         out: list[int] = []
-        at, piece = 0, longest[0]
+        at, piece, before = 0, longest[0], -1
         while at < n:
-            before = out[-1] if out else -1
             while piece >= 0:
                 end = at + lengths[piece]
-                if not (failed >> end if n < 1024 else failed[end >> 3] >> (end & 7)) & 1:
+                if not (marks[end >> 3] >> (end & 7) if marks else failed and failed >> end) & 1:
                     if before < 0:
                         break
                     fits = pairs.get(before * many + piece)
@@ -157,66 +218,30 @@ class Coder:
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                at = end
-                piece = longest[at]
+                at, before, piece = end, piece, longest[end]
             else:
-                if n < 1024:
-                    failed |= 1 << at
+                if marks:
+                    marks[at >> 3] |= 1 << (at & 7)
                 else:
-                    failed[at >> 3] |= 1 << (at & 7)
+                    failed |= 1 << at
                 piece = out.pop()
                 at -= lengths[piece]
+                before = out[-1] if out else -1
         return out
 
-    def _stretch(self, text: str) -> list[int]:
+    def _stretch(self, text: str) -> bytes:
         if len(text) == 1:
-            out = self._ids(text)
-        else:
-            coded = self.coded
-            out = [i for number in self.backtrack(text) for i in coded[number]]
-        if len(self.known) >= self.most:
-            self.known.clear()
-        if len(text) <= 64:
-            self.known[text] = out
-        return out
+            return self._packed(text)
+        return b"".join(map(self.coded.__getitem__, self.backtrack(text)))
+
+    def packed(self, text: str) -> bytes:
+        """Ids of a text, the end's id last, as 32-bit integers."""
+        parts = self.stretches.findall(MARK + text.replace(" ", MARK)) if text else ()
+        return b"".join(map(self.known.__getitem__, parts)) + self.ending
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end's id last."""
-        out: list[int] = []
-        if text:
-            known, stretch = self.known, self._stretch
-            for part in self.stretches.findall(MARK + text.replace(" ", MARK)):
-                out += known.get(part) or stretch(part)
-        out.append(self.vocabulary.end)
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: controls give nothing, the first mark goes, bytes that are no UTF-8 give U+FFFD each."""
-        pieces = self.pieces
-        whole = b"".join([pieces[i] for i in ids])
-        first = next((i for i in ids if i not in self.vocabulary.controls), None)
-        if first is not None and first not in self.byte_of and whole.startswith(b" ") and first != self.vocabulary.unknown:
-            whole = whole[1:]
-        try:
-            return whole.decode()
-        except UnicodeDecodeError:
-            return self._by_runs(ids)
-
-    def _by_runs(self, ids: list[int]) -> str:
-        out, run, begun = [], bytearray(), False
-        for i in [*ids, None]:
-            if i in self.byte_of:
-                run.append(self.byte_of[i])
-                begun = True
-                continue
-            out.append(_mended(bytes(run)))
-            run.clear()
-            if i is None or i in self.vocabulary.controls:
-                continue
-            text = self.pieces[i].decode()
-            out.append(text[1:] if not begun and i != self.vocabulary.unknown and text.startswith(" ") else text)
-            begun = True
-        return "".join(out)
+        return array("i", self.packed(text)).tolist()
 
 
 def _mended(run: bytes) -> str:
@@ -257,8 +282,10 @@ def encode(docs: DataFrame, text: str = "text", carry: list[str] | None = None,
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                ids = [coder.encode(t) for t in rows.column(len(carry)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*rows.columns[: len(carry)], pa.array(ids, pa.list_(pa.int32()))], [*carry, "ids"])
+                packed = [coder.packed(t) for t in rows.column(len(carry)).to_pylist()]
+                ends = pa.array(np.cumsum([0, *[len(p) // 4 for p in packed]]), pa.int32())
+                ids = pa.Array.from_buffers(pa.int32(), sum(map(len, packed)) // 4, [None, pa.py_buffer(b"".join(packed))])
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(carry)], pa.ListArray.from_arrays(ends, ids)], [*carry, "ids"])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in carry) + "ids array<int>"
     return docs.select(*carry, F.coalesce(F.col(text), F.lit("")).alias(_unused(carry))).mapInArrow(run, schema)
@@ -271,11 +298,11 @@ def decode(coded: DataFrame, ids: str = "ids", carry: list[str] | None = None, v
     types = dict(coded.dtypes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
+        decoder = Decoder(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                texts = [coder.decode(i) for i in rows.column(len(carry)).to_pylist()]
+                texts = [decoder.decode(i.values.to_numpy(zero_copy_only=False).tolist()) for i in rows.column(len(carry))]
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(carry)], pa.array(texts, pa.string())], [*carry, "decoded"])
 
     schema = "".join(f"`{c}` {types[c]}, " for c in carry) + "decoded string"
