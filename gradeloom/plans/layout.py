@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import pagetext
+from ..operators import pagetext, requirements
 from ..session import table as t
 from .registry import query
 
@@ -68,3 +68,68 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     """Whole pages with fractions, powers and indices; SQL can't fold them."""
     return pagetext.page_texts(_characters(spark, d), _bars(spark, d))
+
+
+@query("""WITH marks AS (SELECT o_custkey AS k, month(o_orderdate)::INT AS page, (o_orderkey % 100)::DOUBLE AS y, o_orderkey FROM orders), tasks AS (SELECT o_custkey AS k, floor(count(*) / 2)::INT AS n FROM orders GROUP BY 1),
+ heads AS (SELECT k, page, y, row_number() OVER (PARTITION BY k ORDER BY page, y) - 1 AS task FROM marks WHERE o_orderkey % 5 > 1),
+ told AS (SELECT t.k, n, count(h.k) < n AS by_order FROM tasks t LEFT JOIN heads h ON h.k = t.k GROUP BY t.k, n),
+ tabled AS (SELECT m.*, row_number() OVER (PARTITION BY k ORDER BY page, y, o_orderkey) - 1 AS i FROM marks m WHERE o_orderkey % 5 < 2),
+ near AS (SELECT t.k, t.o_orderkey, t.page, t.y, t.i, max(h.task) AS task FROM tabled t JOIN told USING (k) JOIN heads h ON h.k = t.k AND h.task < n AND (h.page < t.page OR (h.page = t.page AND h.y <= t.y + 6)) WHERE NOT by_order GROUP BY ALL),
+ firsts AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY k, task ORDER BY page, y, i) = 1)
+ SELECT k, task, o_orderkey AS table_id, false AS by_order FROM firsts UNION ALL SELECT k, i, o_orderkey, true FROM tabled JOIN told USING (k) WHERE by_order AND i < n""")
+def tables_of_tasks(spark: SparkSession, d: str) -> DataFrame:
+    orders = t(spark, d, "orders")
+    marks = orders.select(F.col("o_custkey").alias("k"), F.month("o_orderdate").alias("page"), (F.col("o_orderkey") % 100).cast("double").alias("y"), "o_orderkey")
+    tasks = orders.groupBy(F.col("o_custkey").alias("k")).agg(F.floor(F.count(F.lit(1)) / 2).cast("int").alias("n"))
+    tables = marks.where("o_orderkey % 5 < 2").withColumnRenamed("o_orderkey", "table")
+    placed = requirements.tables_of_tasks(marks.where("o_orderkey % 5 > 1"), tables, tasks, "k")
+    return placed.select("k", F.col("task").cast("long").alias("task"), F.col("table").alias("table_id"), "by_order")
+
+
+_ACT_TEXT = """case o_orderkey % 6 when 0 then 'Wymagania egzaminacyjne 2021 i 2022' when 1 then 'Podstawa programowa^(1) 2012' when 2 then 'Podstawa programowa 2' when 3 then 'Wymagania określone w podstawie programowej'
+ when 4 then 'Wymagania egzaminacyjne 2023^1' else 'bez podpisu' end || chr(10) || 'Zadanie' || chr(10) || case o_custkey % 3 when 0 then 'Podstawa programowa 2017' when 1 then 'Podstawa programowa' else 'Wymagania egzaminacyjne   2021' end || chr(10) || o_orderpriority"""
+_ACT_NOTES = """case when o_custkey % 5 = 0 then null else '1 Rozporządzenie Ministra ' || o_orderpriority || ' z 2012 r. (Dz.U. z 2012 r. poz. ' || case o_custkey % 4 when 0 then '977' when 1 then '356' when 2 then '1019' else '12' end || ', ze zm.) ^2 Załącznik nr '
+ || cast(o_orderkey % 9 as string) || ' do innego rozporządzenia' || chr(10) || '2 krótki' end"""
+_ACTS = " UNION ALL ".join(f"SELECT k, exam, act, {n} AS o, unnest(regexp_extract_all(t, '{p}', 0)) AS caption, unnest(regexp_extract_all(t, '(?:{p}){requirements.REFERENCE}', {1 + p.count(requirements.YEAR)})) AS number, generate_subscripts(regexp_extract_all(t, '{p}', 0), 1) AS i, {'NULL' if name is None else repr(name)} AS name FROM keys" for n, p, name in requirements.CAPTIONS)
+
+
+@query(rf"""WITH keys AS (SELECT k, t, f, 'e8' AS exam, CASE {" ".join(f"WHEN regexp_matches(coalesce(f, '') || chr(10) || t, '{p}') THEN '{act}'" for _, p, act in requirements.GAZETTE)} ELSE '{requirements.GENERAL}' END AS act FROM (SELECT o_orderkey AS k, {_ACT_TEXT} AS t, {_ACT_NOTES.replace("as string", "as varchar")} AS f FROM orders)),
+ captions AS ({_ACTS}), years AS (SELECT *, regexp_extract(caption, '{requirements.CAPTIONS[0][1]}', 1) AS y1, nullif(regexp_extract(caption, '{requirements.CAPTIONS[0][1]}', 2), '') AS y2 FROM captions),
+ coded AS (SELECT k, o, i, caption, nullif(number, '') AS number, exam || '-' || CASE WHEN name IS NULL THEN 'wym' || y1 || coalesce('-' || y2, '') WHEN name = '{requirements.GENERAL}' THEN act ELSE name END AS code FROM years),
+ firsts AS (SELECT * FROM coded QUALIFY row_number() OVER (PARTITION BY k, code ORDER BY o, i) = 1),
+ marked AS (SELECT k, regexp_replace(coalesce(f, '') || chr(10) || t, '{requirements.NOTE_BORDER}', chr(1) || '\1', 'g') || chr(1) AS m FROM keys),
+ notes AS (SELECT k, unnest(regexp_extract_all(m, '{requirements.NOTE}', 1)) AS number, unnest(regexp_extract_all(m, '{requirements.NOTE}', 2)) AS note, generate_subscripts(regexp_extract_all(m, '{requirements.NOTE}', 2), 1) AS i FROM marked),
+ lasts AS (SELECT k, number, trim(regexp_replace(replace(note, chr(1), ''), '\s+', ' ', 'g')) AS note FROM notes QUALIFY row_number() OVER (PARTITION BY k, number ORDER BY i DESC) = 1)
+ SELECT c.k, code, trim(regexp_replace(caption, '\s+', ' ', 'g')) AS caption, coalesce(nullif(regexp_extract(note, '{requirements.PLACE}', 0), ''), substr(note, 1, 200)) AS source, row_number() OVER (PARTITION BY c.k ORDER BY o, c.i) - 1 AS place FROM firsts c LEFT JOIN lasts n ON n.k = c.k AND n.number = c.number""")
+def key_regimes(spark: SparkSession, d: str) -> DataFrame:
+    keys = t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_ACT_TEXT).alias("t"), F.expr(_ACT_NOTES).alias("f"))
+    return requirements.regimes(keys, "k", "t", "f", F.lit("e8"))
+
+
+_ROWS = """SELECT o_orderkey AS k, cast(o_custkey % 3 AS int) AS tab, cast(0 AS int) AS row, case when o_orderkey % 2 = 0 then 'Podstawa programowa 2012' else '' end AS c0, '' AS c1, case when o_orderkey % 4 = 0 then 'Podstawa programowa 2017' else '' end AS c2, '' AS c3 FROM orders
+ UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 1, 'Wymaganie ogólne', 'Wymagania szczegółowe', 'Wymagania ogólne', 'Wymaganie szczegółowe' FROM orders WHERE o_orderkey % 3 > 0
+ UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 2, case o_orderkey % 4 when 0 then 'I. Sprawność' when 1 then 'IV. Rozumowanie' else 'bez numeru' end, case o_custkey % 4 when 0 then 'KLASY IV–VI' when 1 then 'Klasy VII i VIII' when 2 then 'IV — VI' else 'KLASY VII - VIII' end, 'II. Wykorzystanie', '1. Liczby. Uczeń: 7) dzieli ' || o_orderpriority FROM orders
+ UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 3, 'rachunkowa', '2. Działania. Uczeń: 3) dodaje  liczby 12) mnoży ' || o_orderpriority, null, 'KLASY IV–VI IX. Ułamki. Zdający: 1) skraca ułamki 2) mnoży je' FROM orders
+ UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 4, 'Zadanie 7', 'XI. Nic. Uczeń: 1) to nie treść', '', '' FROM orders"""
+
+
+@query(rf"""WITH cells AS MATERIALIZED (SELECT k, tab, row, [c0, c1, c2, c3] AS c FROM ({_ROWS})), headed AS (SELECT k, tab, bool_or(regexp_matches(trim(c[1]), '{requirements.IN_GENERAL}')) AS two FROM cells GROUP BY ALL),
+ pairs AS (SELECT k, tab, unnest(CASE WHEN two THEN [0, 1] ELSE [0] END) AS pair, unnest(CASE WHEN two THEN [1, 3] ELSE [1] END) AS a, unnest(CASE WHEN two THEN [2, 4] ELSE [4] END) AS b FROM headed),
+ over_ AS (SELECT k, tab, pair, row, trim(array_to_string(list_transform(c[a:b], lambda x: coalesce(trim(x), '')), ' ')) AS x FROM cells JOIN pairs USING (k, tab)),
+ named AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(x, '{p}') THEN " + ("'wym' || regexp_extract(x, '" + p + "', 1)" if name is None else repr(name)) for _, p, name in requirements.CAPTIONS)} END AS n FROM over_ WHERE x <> '' AND NOT contains(x, '{requirements.HEADER}')),
+ captioned AS (SELECT k, tab, pair, arg_min(n, row) AS n FROM named WHERE n IS NOT NULL GROUP BY ALL), codes AS (SELECT ['e8-wym2021', 'e8-pp2012'] AS l),
+ kept AS (SELECT * FROM cells WHERE len(list_filter(c, lambda x: contains(x, '{requirements.HEADER}') OR regexp_matches(trim(x), '{requirements.NO_CONTENT}'))) = 0 AND len(list_filter(c, lambda x: trim(coalesce(x, '')) <> '')) > 0),
+ texts AS (SELECT k, tab, pair, coalesce(CASE WHEN n <> '{requirements.GENERAL}' THEN coalesce(list_filter(l, lambda x: ends_with(x, n))[1], n) END, l[pair + 1], l[1]) AS regime, string_agg(trim(coalesce(c[a], '')), ' ' ORDER BY row) AS lt, string_agg(trim(coalesce(c[b], '')), ' ' || chr(10) ORDER BY row) AS rt
+  FROM kept JOIN pairs USING (k, tab) LEFT JOIN captioned USING (k, tab, pair), codes GROUP BY k, tab, pair, n, l),
+ general AS (SELECT k, tab, 'general' AS kind, regime, NULL AS stage, regexp_extract(lt, '{requirements.GENERAL_PATH}', 1) AS path, trim(regexp_extract(trim(regexp_replace(lt, '\s+', ' ', 'g')), '{requirements.GENERAL_PATH}', 2)) AS content, pair, 0 AS p, 0 AS i FROM texts WHERE regexp_matches(lt, '{requirements.GENERAL_PATH}')),
+ pieces AS (SELECT k, tab, pair, regime, unnest(string_split_regex(rt, '{requirements.STAGE}')) AS x, unnest([NULL] || regexp_extract_all(rt, '{requirements.STAGE}', 1)) AS s, generate_subscripts(string_split_regex(rt, '{requirements.STAGE}'), 1) AS p FROM texts),
+ shown AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^(?:KLASY|Klasy)\s+', ''), '\s+[iI]\s+', '-'), '\s', '', 'g'), '[–—−]', '-', 'g') AS stage, regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '{requirements.ITEMS["section"][0]}', chr(1) || '\1', 'g') || chr(1) AS m FROM pieces),
+ items AS (SELECT k, tab, pair, regime, stage, p, unnest(regexp_extract_all(m, '{requirements.ITEMS["section"][1]}', 1)) AS section, unnest(regexp_extract_all(m, '{requirements.ITEMS["section"][1]}', 2)) AS number, unnest(regexp_extract_all(m, '{requirements.ITEMS["section"][1]}', 3)) AS content, generate_subscripts(regexp_extract_all(m, '{requirements.ITEMS["section"][1]}', 1), 1) AS i FROM shown),
+ carried AS (SELECT *, last_value(nullif(section, '') IGNORE NULLS) OVER (PARTITION BY k, tab, pair, p ORDER BY i) AS sec FROM items),
+ both_ AS (SELECT * FROM general UNION ALL SELECT k, tab, 'detailed', regime, stage, sec || '.' || number, trim(replace(content, chr(1), ' ')), pair, p, i FROM carried WHERE number <> '' AND sec IS NOT NULL)
+ SELECT k, tab, kind, regime, stage, path, content, row_number() OVER (PARTITION BY k, tab, kind ORDER BY pair, p, i) - 1 AS place FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY k, tab, kind, regime, stage, path ORDER BY pair, p, i) = 1)""")
+def key_requirements(spark: SparkSession, d: str) -> DataFrame:
+    rows = spark.sql(_ROWS.replace("FROM orders", "FROM {orders}"), orders=t(spark, d, "orders"))
+    cells = rows.select("k", F.col("tab").alias("table"), F.lit(False).alias("explicit"), "row", F.array("c0", "c1", "c2", "c3").alias("cells"))
+    codes = rows.select("k").distinct().withColumn("codes", F.array(F.lit("e8-wym2021"), F.lit("e8-pp2012")))
+    return requirements.requirements(cells, codes, "k").withColumnRenamed("table", "tab")
