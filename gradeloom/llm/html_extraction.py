@@ -14,9 +14,11 @@
 3. Lines between template tokens are slots; lines that are template tokens themselves are not. Slots under
    menus, headers, footers, sidebars, notices, adverts, forms and comments are boilerplate. Of the others
    the main slot is the deepest template token that a page has once and that holds at least ``share`` of
-   their text; an article or main element, where the template has one, goes before.
-4. From each page the text of the main slot is taken, without boilerplate and template lines inside it. A
-   page that lacks the slot is taken whole. Where nothing is left, marks and template don't count.
+   their text; of several that do, an article or main element goes before.
+4. From each page the text of the main slot is taken, without boilerplate inside it. A template line there
+   stays, such as a heading or a closing line, unless it is all of a container with a name of its own, which
+   then is template itself. A page that lacks the slot gives its article or main element, else
+   the whole page without template lines. Where nothing is left, marks and template don't count.
 
 Blocks are joined by line feeds; br counts as white space. A comment, tag or element that never ends runs
 to the end of the page.
@@ -57,6 +59,8 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2",
     "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+#: Blocks that hold no prose of their own.
+CONTAINERS = {"aside", "details", "dialog", "div", "fieldset", "footer", "form", "header", "menu", "nav", "section"}
 #: An element of the key ends an open element of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 #: Boilerplate by element and by a word of its class, id or role.
@@ -305,51 +309,51 @@ def templates(pages: DataFrame, page_id: str, url: str, page: str, support: floa
     depth = F.size(F.split("token", "/"))
     named = F.regexp_extract("token", "/(article|main)([.][^/]*)?$", 1) != ""
     # only an element that a page has once holds all of an article; its paragraphs share a path
-    good = slots.where(named | (F.col("chars") >= F.col("all_chars") * share))
+    good = slots.where(F.col("chars") >= F.col("all_chars") * share)
     best = F.max_by("token", F.struct(named.cast("int"), F.when(named, -depth).otherwise(depth), "chars", "token"))
     return good.groupBy("host").agg(best.alias("slot")).join(lines, "host", "full_outer").select("host", "slot", F.coalesce("lines", F.expr("array()")).alias("lines"))
 
 
+def _apart(path: str, slot: str) -> bool:
+    """Whether text at a path stands in a named container within the slot, and in no heading, paragraph, list or table."""
+    block = next((part for part in reversed(path[len(slot) :].split("/")) if part.split(".")[0] in BLOCKS), "")
+    return "." in block and block.split(".")[0] in CONTAINERS
+
+
 def extract_text(page: str, slot: str | None, lines: frozenset[str] = frozenset()) -> str:
-    """The text of the main slot without the template's lines, or of the whole page if it has no such slot."""
-    inside: list[str] = []
-    inside_slots: list[str] = []
-    whole: list[str] = []
-    whole_slots: list[str] = []
-    everything: list[str] = []
-    found = False
-    own: list[str] = []
-    other: list[str] = []
-    every: list[str] = []
+    """The text of the main slot, whole; of a page without it, that of its article or main, else of the page without the template's lines."""
+    # candidates, the better first: what is in the slot, in article or main, beside template and boilerplate, beside boilerplate, all
+    found: list[list[str]] = [[], [], [], [], []]
+    parts: list[list[str]] = [[], [], [], []]
     first: str | None = None
 
     def end() -> None:
-        fixed = bool(lines) and first is not None and line_token(first, " ".join("".join(every).split())) in lines
-        for parts, blocks, slots in ((own, inside, inside_slots), (other, whole, whole_slots), (every, everything, None)):
-            text = " ".join(html.unescape("".join(parts)).split())
+        slotted, mained, plain, every = (" ".join(html.unescape("".join(p)).split()) for p in parts)
+        fixed = bool(lines) and first is not None and line_token(first, " ".join("".join(parts[3]).split())) in lines
+        if fixed and slot and slotted and _apart(first or "", slot):
+            slotted = ""
+        for blocks, text in zip(found, (slotted, mained, "" if fixed else plain, plain, every), strict=True):
             if text:
                 blocks.append(text)
-                if slots is not None and not fixed:
-                    slots.append(text)
-            parts.clear()
+        for p in parts:
+            p.clear()
 
     for kind, e, text, out in parsed(page, slot):
-        in_slot = bool(slot) and (e.path == slot or e.path.startswith(slot + "/"))
         if kind == "block":
             end()
             first = None
-        elif kind == "open":
-            found = found or (not out and (in_slot or e.tag in MAIN))
-        elif not _HEAD.match(e.path):
+        elif kind != "open" and not _HEAD.match(e.path):
             if first is None and not text.isspace():
                 first = e.path
-            every.append(text)
+            parts[3].append(text)
             if not out:
-                other.append(text)
-                if in_slot or e.main:
-                    own.append(text)
+                parts[2].append(text)
+                if e.main:
+                    parts[1].append(text)
+                if slot and (e.path == slot or e.path.startswith(slot + "/")):
+                    parts[0].append(text)
     end()
-    return "\n".join((found and (inside_slots or inside)) or whole_slots or whole or everything)
+    return "\n".join(next((blocks for blocks in found if blocks), []))
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html", support: float = 0.5, share: float = 0.6, least_pages: int = 5, least_tokens: int = 3, order: float = 0.95) -> DataFrame:
