@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,7 +153,9 @@ def percent(part: Column, whole: Column) -> Column:
 #: Words that are units, signs and what they are written as.
 UNIT_WORDS = ("km", "cm", "dm", "mm", "m", "min", "h", "s", "kg", "dag", "g", "t", "l", "ml", "ha", "zl", "zł", "szt", "pkt")
 SIGNS = {"⋅": "\\cdot", "∙": "\\cdot", "·": "\\cdot", "×": "\\times", "∶": "\\div", ":": "\\div", "÷": "\\div", "≈": "\\approx", "≤": "\\le", "≥": "\\ge", "≠": "\\ne", "≡": "\\equiv", "π": "\\pi", "∆": "\\Delta", "Δ": "\\Delta"}
+TIGHT_SIGNS = {"≪": " < ", "≫": " > ", "∘": "^{\\circ}"}
 SUPERSCRIPTS = "⁰¹²³⁴⁵⁶⁷⁸⁹"
+#: Words that lead to an expression, and words that end it.
 LEADING = r"(?i)^\s*(?:zapisanie|obliczenie|wyznaczenie|ustalenie|podanie|przedstawienie)\s*:?\s*"
 TRAILING = r"(?is)\s*(?:(?:^|[^\p{L}])(?:lub|albo|oraz|bez|gdzie|jeżeli|jeśli|przy|dla|i)(?:[^\p{L}].*)?$|,\s*(?:gdzie|np)(?:[^\p{L}].*)?$)"
 
@@ -162,22 +167,42 @@ def prose_word(text: Column) -> Column:
     return F.get(words, F.lit(0))
 
 
+def compatible(text: Column) -> Column:
+    """Characters in their compatible, composed form (as NFKC has it): letters with one mark behind them are composed, marks aren't put into order."""
+    blocks = [range(0xA0, 0x3400), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0x1F100, 0x1F200)]
+    forms = {chr(c): unicodedata.normalize("NFKC", chr(c)) for block in blocks for c in block}
+    single = {c: f for c, f in forms.items() if c != f and len(f) == 1}
+    wide = {c: f for c, f in forms.items() if len(f) > 1}
+    marked = {unicodedata.normalize("NFD", c): f for c, f in forms.items() if len(f) == 1 and len(unicodedata.normalize("NFD", c)) == 2}
+    t = F.translate(text, "".join(single), "".join(single.values()))
+    table = F.from_json(F.lit(json.dumps(wide | marked)), "map<string,string>")  # a constant
+    pieces = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(\P{M}\p{M}|.)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(table, x), x))
+    return F.when(t.rlike("[\\p{M}" + "".join(wide) + "]"), F.array_join(pieces, "")).otherwise(t)
+
+
+#: Fixed value: a term of a fraction on one line: a number, a letter by itself, or what is in brackets.
+TERM = r"(\d+(?:[.,]\d+)?|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|\([^()]*\)|\[[^\[\]]*\])"
+
+
 def expression(text: Column) -> Column:
     """Struct (latex, reason) of a key's expression: roots, prose and what has nothing to count are refused.
 
-    Fractions are nested up to three deep."""
+    Fractions on a line are written as such until nothing changes, brackets within brackets too; a finished fraction is no term of another."""
     t = text
     for digit, sign in enumerate(SUPERSCRIPTS):
         t = F.replace(t, F.lit(sign), F.lit(f"^{{{digit}}}"))
-    t = F.trim(F.regexp_replace(F.regexp_replace(plain_signs(t), LEADING, ""), TRAILING, ""))
+    t = F.trim(F.regexp_replace(F.regexp_replace(plain_signs(compatible(t)), TRAILING, ""), LEADING, ""))
     bare = t
     for sign, command in SIGNS.items():
         t = F.replace(t, F.lit(sign), F.lit(f" {command} "))
+    for sign, command in TIGHT_SIGNS.items():
+        t = F.replace(t, F.lit(sign), F.lit(command))
     t = F.regexp_replace(F.regexp_replace(t, r"([\^_])\(([^()]*)\)", "$1{$2}"), r"([\^_])(-?[\p{L}\p{N}])", "$1{$2}")
     t = F.regexp_replace(t, r"(\d),(?=\d)", "$1.")
-    part = r"(\d+(?:\.\d+)?|(?<![A-Za-z])[A-Za-z](?![A-Za-z])|\([^()]*\)|\\frac\{[^{}]*\}\{[^{}]*\})"
-    for _ in range(3):
-        t = F.regexp_replace(t, rf"{part}\s*/\s*{part}", r"\\frac{$1}{$2}")
+    # each pass writes a slash or more as a fraction, so that there are no more passes than slashes
+    slashes = F.length(t) - F.length(F.replace(t, F.lit("/"), F.lit("")))
+    passes = F.when(slashes > 0, F.sequence(F.lit(1), slashes)).otherwise(F.array().cast("array<int>"))
+    t = F.aggregate(passes, t, lambda made, _: F.regexp_replace(made, rf"{TERM}\s*/\s*{TERM}", r"\\frac{$1}{$2}"))
     t = F.regexp_replace(F.trim(F.regexp_replace(F.replace(t, F.lit("%"), F.lit("\\%")), r"\s+", " ")), "[.;,]+$", "")
     word = prose_word(t)
     reason = F.when(bare == "", "empty").when(bare.contains("√"), "root").when(word.isNotNull(), F.concat(F.lit("prose: "), word)).when(~t.rlike("[0-9A-Za-z]"), "nothing to count")
