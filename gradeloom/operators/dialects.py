@@ -1,10 +1,14 @@
 """How marking keys of different years are written, as a table: dialect, role, place, pattern.
 
-A dialect's patterns are joined to its keys (``with_layout``), so that one plan reads keys of all dialects; roles with
-several patterns are ordered by place, and the first that succeeds wins. Patterns use no look-around."""
+One plan reads keys of all dialects: ``by`` turns a role's rows of the table into a choice by the row's dialect, in which
+each pattern is a constant and compiled once (a pattern that comes as a column is compiled anew whenever two rows' dialects
+differ); ``with_layout`` joins the table itself. Roles with several patterns are ordered by place, and the first that
+succeeds wins. Patterns use no look-around."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -146,9 +150,18 @@ def dialect(text: Column, name: Column) -> Column:
     return F.when(secondary & t.rlike(OLD_POINTS), "matura-2015").when(secondary, "matura").when(t.rlike(MODERN_PAGE), "e8-2020").otherwise("e8-2019")
 
 
-def extract(text: Column | str, pattern: Column, group: int) -> Column:
-    """A group of the first match of a pattern that is a column."""
-    return F.call_function("regexp_extract", F.col(text) if isinstance(text, str) else text, pattern, F.lit(group))
+def by(role: str, make: Callable[[str], Column]) -> Column:
+    """What is made with the pattern that a row's dialect has for a role; null where it has none. Rows have a column dialect."""
+    dialects_of: dict[str, list[str]] = {}
+    for name in DIALECTS:
+        pattern = layout(name)[role]
+        if pattern is not None:
+            dialects_of.setdefault(str(pattern), []).append(name)
+    out = None
+    for pattern, names in dialects_of.items():
+        chosen = F.col("dialect").isin(*names)
+        out = F.when(chosen, make(pattern)) if out is None else out.when(chosen, make(pattern))
+    return F.lit(None) if out is None else out
 
 
 def with_layout(rows: DataFrame, columns: list[str] | None = None) -> DataFrame:

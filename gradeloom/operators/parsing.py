@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dialects import DASH, FORMS, MODERN_PAGE, OLD_POINTS, READERS, dialect, extract, with_layout  # noqa: F401
+from .dialects import DASH, FORMS, READERS, by, dialect
 
 #: How keys are written in all dialects.
 TASK = rf"Zadanie\s+(\d+(?:\.\d+)*)\.\s*\(\s*(?:0\s*{DASH}\s*(\d+)|(\d+)\s*pkt)\s*\)"
@@ -65,19 +65,19 @@ def exam_date(text: Column) -> Column:
 def tasks(keys: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
     """key, dialect, ordinal, number, points, body, starts: a task from the end of its header to the next one, the last up to its dialect's end marker; page lines aren't part of a body."""
     t = _text(F.col(text))
-    told = with_layout(keys.select(key, t.alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect")), ["task_end", "page"])
-    found = lambda k: F.regexp_extract_all("_t", F.lit(TASK), F.lit(k))
-    cut = told.select(key, "dialect", "task_end", "page", F.split("_t", TASK).alias("_parts"), found(0).alias("_heads"), found(1).alias("_numbers"), found(2).alias("_a"), found(3).alias("_b"))
+    told = keys.select(key, t.alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect"))
+    cut = told.select(key, "dialect", F.split("_t", TASK).alias("_parts"), F.regexp_extract_all("_t", F.lit(TASK), F.lit(0)).alias("_heads"))
     # where each body starts: the lengths of all before it, added up along the array
     lengths = F.zip_with(F.slice("_parts", 1, F.size("_heads")), "_heads", lambda p, h: F.length(p) + F.length(h))
     starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
-    bodies = F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("body"), "_numbers", "_a", "_b", starts.alias("starts"))
-    rows = cut.select(key, "dialect", "task_end", "page", F.size("_heads").alias("_n"), F.posexplode_outer(bodies).alias("_k", "_z")).where(F.col("_k").isNotNull())
+    bodies = F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("body"), F.col("_heads").alias("head"), starts.alias("starts"))
+    rows = cut.select(key, "dialect", F.size("_heads").alias("_n"), F.posexplode_outer(bodies).alias("_k", "_z")).where(F.col("_k").isNotNull())
     last = F.col("_k") == F.col("_n") - 1
-    body = F.when(last, F.get(F.split("_z.body", F.col("task_end"), 2), F.lit(0))).otherwise(F.col("_z.body"))
-    points = F.coalesce(F.nullif(F.col("_z._a"), F.lit("")), F.nullif(F.col("_z._b"), F.lit(""))).cast("int")
-    out = rows.select(key, "dialect", (F.col("_k") + 1).alias("ordinal"), F.col("_z._numbers").alias("number"), points.alias("points"), body.alias("_body"), F.col("_z.starts").cast("long").alias("starts"), "page")
-    return out.where(F.length("_body") > 0).select(key, "dialect", "ordinal", "number", "points", F.regexp_replace("_body", F.col("page"), F.lit("")).alias("body"), "starts")
+    body = F.when(last, by("task_end", lambda p: F.get(F.split("_z.body", p, 2), F.lit(0)))).otherwise(F.col("_z.body"))
+    part = lambda g: F.nullif(F.regexp_extract("_z.head", TASK, g), F.lit(""))
+    points = F.coalesce(part(2), part(3)).cast("int")
+    out = rows.select(key, "dialect", (F.col("_k") + 1).alias("ordinal"), part(1).alias("number"), points.alias("points"), body.alias("_body"), F.col("_z.starts").cast("long").alias("starts"))
+    return out.where(F.length("_body") > 0).select(key, "dialect", "ordinal", "number", "points", by("page", lambda p: F.regexp_replace("_body", p, "")).alias("body"), "starts")
 
 
 def page_of(pages: DataFrame, places: DataFrame, key: str, page: str, text: str, at: str) -> DataFrame:
@@ -101,30 +101,28 @@ def forms(keys: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sections(found: DataFrame) -> DataFrame:
-    """Tasks with the parts of their bodies and their dialect's patterns for these.
+    """Tasks with the parts of their bodies.
 
     _answer (the block that the first successful reader took) and its _versions, _solved (heading) and _solutions,
     _criteria (from their heading, or the body's begin, to the answers or solutions behind) and _notes."""
-    rows = with_layout(found, [*[f"answers_{k}" for k in range(1, READERS + 1)], "solutions", "method", "notes", "threshold", *[f"tail_is_condition_{k}" for k in range(1, FORMS + 1)], "alternative", "equivalent"])
-    taken = [F.regexp_substr("body", F.col(f"answers_{k}")) for k in range(1, READERS + 1)]
+    readers = range(1, READERS + 1)
+    rows = found.select("*", *[by(f"answers_{k}", lambda p: F.regexp_extract("body", p, 0)).alias(f"_taken_{k}") for k in readers], by("solutions", lambda p: F.regexp_extract("body", p, 0)).alias("_head"))
+    rows = rows.withColumn("_solved", F.nullif("_head", F.lit("")))
     # a reader's block is what its third group holds; it succeeds if that isn't blank
-    rows = rows.select("*", *[x.alias(f"_taken_{k + 1}") for k, x in enumerate(taken)])
-    blocks = [extract(f"_taken_{k}", F.col(f"answers_{k}"), 3) for k in range(1, READERS + 1)]
-    wins = lambda value: F.coalesce(*[F.when(F.trim(F.regexp_replace(b, r"\s+", " ")) != "", value(k + 1)) for k, b in enumerate(blocks)])
-    reader = wins(lambda k: F.struct(F.col(f"answers_{k}").alias("pattern"), F.col(f"_taken_{k}").alias("taken")))
-    rows = rows.select("*", reader.alias("_reader"), F.regexp_substr("body", F.col("solutions")).alias("_solved"))
-    group = lambda k: extract("_reader.taken", F.col("_reader.pattern"), k)
+    group = lambda k, g: by(f"answers_{k}", lambda p: F.regexp_extract(f"_taken_{k}", p, g))
+    rows = rows.select("*", *[group(k, 3).alias(f"_block_{k}") for k in readers])
+    wins = lambda value: F.coalesce(*[F.when(F.trim(F.regexp_replace(f"_block_{k}", r"\s+", " ")) != "", value(k)) for k in readers])
+    rows = rows.select("*", wins(lambda k: F.struct(F.col(f"_taken_{k}").alias("taken"), F.col(f"_block_{k}").alias("block"), F.array(group(k, 1), group(k, 2)).alias("versions"))).alias("_reader"))
     rows = rows.select(
-        "*", group(3).alias("_answer"), F.when(group(1) != "", F.array(group(1), group(2))).alias("_versions"),
+        "*", F.coalesce("_reader.block", F.lit("")).alias("_answer"), F.when(F.get("_reader.versions", F.lit(0)) != "", F.col("_reader.versions")).alias("_versions"),
         F.position(F.col("_reader.taken"), F.col("body")).alias("_answer_at"), F.position("_solved", F.col("body")).alias("_solved_at"), F.position(F.lit(CRITERIA), F.col("body")).alias("_heading_at"),
     )
     begin = F.greatest(F.col("_heading_at"), F.lit(1))
     behind = lambda c: F.when(F.col(c) > begin, F.col(c))
     end = F.coalesce(F.least(behind("_answer_at"), behind("_solved_at")), F.length("body") + 1)
     rows = rows.select("*", F.substr(F.col("body"), begin, end - begin).alias("_text"), F.substr(F.col("body"), F.col("_solved_at") + F.length("_solved")).alias("_solutions"))
-    parts = F.split("_text", F.col("notes"), 2)
-    dropped = ["_reader", "_answer_at", "_solved_at", "_heading_at", "_text", "notes", "solutions", *[f"answers_{k}" for k in range(1, READERS + 1)], *[f"_taken_{k}" for k in range(1, READERS + 1)]]
-    return rows.select("*", F.get(parts, F.lit(0)).alias("_criteria"), F.get(parts, F.lit(1)).alias("_notes")).drop(*dropped)
+    parts = rows.select("*", by("notes", lambda p: F.split("_text", p, 2)).alias("_parts"))
+    return parts.select(*found.columns, "_solved", "_answer", "_versions", "_solutions", F.get("_parts", F.lit(0)).alias("_criteria"), F.get("_parts", F.lit(1)).alias("_notes"))
 
 
 def answers(cut: DataFrame, key: str) -> DataFrame:
@@ -149,7 +147,7 @@ def answers(cut: DataFrame, key: str) -> DataFrame:
 def solutions(cut: DataFrame, key: str) -> DataFrame:
     """Example solutions of sections: key, ordinal, method, points, content, place; without methods one, if it is longer than 20 characters."""
     points = F.regexp_extract(one_line(F.col("_solved")), SOLUTION_POINTS, 1).try_cast("int")
-    rows = cut.where(F.col("_solved").isNotNull()).select(key, "ordinal", points.alias("points"), F.split("_solutions", F.col("method")).alias("_parts"), F.regexp_extract_all("_solutions", F.col("method"), F.lit(1)).alias("_methods"))
+    rows = cut.where(F.col("_solved").isNotNull()).select(key, "ordinal", points.alias("points"), by("method", lambda p: F.split("_solutions", p)).alias("_parts"), by("method", lambda p: F.regexp_extract_all("_solutions", F.lit(p), F.lit(1))).alias("_methods"))
     each = rows.select(key, "ordinal", "points", F.size("_methods").alias("_n"), "_methods", F.posexplode_outer("_parts").alias("_k", "_part"))
     content = F.substring(one_line(F.col("_part")), 1, 4000)
     shown = each.select(key, "ordinal", F.get("_methods", F.col("_k") - 1).alias("method"), "points", content.alias("content"), F.col("_k").alias("place"), "_n")
@@ -165,29 +163,30 @@ def notes(cut: DataFrame, key: str) -> DataFrame:
 
 
 def thresholds(cut: DataFrame, key: str) -> DataFrame:
-    """Thresholds of sections, the first of each number of points: key, ordinal, place (from 1), points, label, description (where it has no condition), _block and the patterns for it."""
-    group = lambda k: F.regexp_extract_all("_criteria", F.col("threshold"), F.lit(k))
-    kept = ["alternative", "equivalent", *[f"tail_is_condition_{k}" for k in range(1, FORMS + 1)]]
-    heads = cut.select(key, "ordinal", *kept, F.split("_criteria", F.col("threshold")).alias("_parts"), *[group(2 * k + 1).alias(f"p{k + 1}") for k in range(FORMS)], *[group(2 * k + 2).alias(f"t{k + 1}") for k in range(FORMS)])
-    names = [f"{g}{k}" for g in "pt" for k in range(1, FORMS + 1)]
-    # a threshold's points are what one of the forms holds, and no other form holds anything
-    points = F.transform(F.arrays_zip(*[f"p{k}" for k in range(1, FORMS + 1)]), lambda x: F.concat(*[x[f"p{k}"] for k in range(1, FORMS + 1)]).cast("int"))
-    heads = heads.select(key, "ordinal", *kept, points.alias("_all"), F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("rest"), *names).alias("_zipped"))
-    rows = heads.select(key, "ordinal", *kept, "_all", F.posexplode_outer("_zipped").alias("_k", "_z")).where(F.col("_k").isNotNull())
+    """Thresholds of sections, the first of each number of points: key, ordinal, place (from 1), points, label, and the _block of its conditions."""
+    heads = cut.select(key, "dialect", "ordinal", by("threshold", lambda p: F.split("_criteria", p)).alias("_parts"), by("threshold", lambda p: F.regexp_extract_all("_criteria", F.lit(p), F.lit(0))).alias("_heads"))
+    points = F.transform("_heads", lambda h: F.regexp_extract(h, r"(\d+)", 1).cast("int"))
+    # never null: else a filter on it would be inferred and pushed down to the texts with all that it is made of
+    heads = heads.select(key, "dialect", "ordinal", F.coalesce(points, F.array().cast("array<int>")).alias("_all"), F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("rest"), F.col("_heads").alias("head")).alias("_zipped"))
+    rows = heads.select(key, "dialect", "ordinal", "_all", F.posexplode_outer("_zipped").alias("_k", "_z")).where(F.col("_k").isNotNull())
+    # which form a head has: only that form's groups hold anything
+    group = lambda g: by("threshold", lambda p: F.regexp_extract("_z.head", p, g))
+    rows = rows.select("*", *[group(2 * k - 1).alias(f"p{k}") for k in range(1, FORMS + 1)], *[group(2 * k).alias(f"t{k}") for k in range(1, FORMS + 1)])
     number = F.get("_all", F.col("_k"))
     rows = rows.where(F.array_position("_all", number) == F.col("_k") + 1)
-    form = lambda value: F.coalesce(*[F.when(F.col(f"_z.p{k}") != "", value(k)) for k in range(1, FORMS + 1)])
-    tail = F.trim(F.regexp_replace(form(lambda k: F.col(f"_z.t{k}")), r"^[ \t–—−-]+|[ \t–—-]+$", ""))
+    form = lambda value: F.coalesce(*[F.when(F.col(f"p{k}") != "", value(k)) for k in range(1, FORMS + 1)])
+    tail = F.trim(F.regexp_replace(form(lambda k: F.col(f"t{k}")), r"^[ \t–—−-]+|[ \t–—-]+$", ""))
     before = F.size(F.array_distinct(F.slice("_all", 1, F.col("_k") + 1)))
-    rows = rows.select(key, "ordinal", before.alias("place"), number.alias("points"), tail.alias("_tail"), form(lambda k: F.col(f"tail_is_condition_{k}")).alias("_inline"), F.col("_z.rest").alias("_rest"), "alternative", "equivalent")
+    rows = rows.select(key, "dialect", "ordinal", before.alias("place"), number.alias("points"), tail.alias("_tail"), form(lambda k: by(f"tail_is_condition_{k}", lambda said: F.lit(said == "True"))).alias("_inline"), F.col("_z.rest").alias("_rest"))
     block = F.when(F.col("_inline"), F.concat("_tail", F.lit("\n"), "_rest")).otherwise(F.col("_rest"))
-    return rows.select(key, "ordinal", "place", "points", F.when(~F.col("_inline"), F.nullif("_tail", F.lit(""))).alias("label"), block.alias("_block"), "alternative", "equivalent")
+    return rows.select(key, "dialect", "ordinal", "place", "points", F.when(~F.col("_inline"), F.nullif("_tail", F.lit(""))).alias("label"), block.alias("_block"))
 
 
 def conditions(found: DataFrame, key: str) -> DataFrame:
     """Conditions of thresholds: key, ordinal, points, label, place (from 1), description and the expressions that are worth the same."""
-    rows = found.select(key, "ordinal", "points", "label", "equivalent", F.posexplode_outer(F.split("_block", F.col("alternative"))).alias("_k", "_part"))
-    said = rows.select(key, "ordinal", "points", "label", "_k", tidy(F.col("_part")).alias("_said"), F.split(F.regexp_replace("_part", ASIDE, ""), F.col("equivalent")).alias("_pieces"))
+    rows = found.select(key, "dialect", "ordinal", "points", "label", F.posexplode_outer(by("alternative", lambda p: F.split("_block", p))).alias("_k", "_part"))
+    said = rows.select(key, "dialect", "ordinal", "points", "label", "_k", tidy(F.col("_part")).alias("_said"), F.regexp_replace("_part", ASIDE, "").alias("_bare"))
+    said = said.select(key, "ordinal", "points", "label", "_k", "_said", by("equivalent", lambda p: F.split("_bare", p)).alias("_pieces"))
     pieces = said.where(F.col("_said") != "").select(key, "ordinal", "points", "label", "_k", "_said", F.filter(F.transform("_pieces", tidy), lambda x: x != "").alias("_pieces"))
     first = F.get("_pieces", F.lit(0))
     begun = F.regexp_replace(first, FOR_EXAMPLE, "")
@@ -214,11 +213,12 @@ def rule_kind(text: Column) -> Column:
 
 def rules(keys: DataFrame, key: str, text: str, name: str | None = None) -> DataFrame:
     """Rules for several tasks: key, kind, content, low, high, position (from 0): the marked items of 20 to 600 characters that stand in the 4000 behind their heading and before a task."""
-    told = with_layout(keys.select(key, _text(F.col(text)).alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect")), ["rules", "page", "rule_border", "rule_item"])
-    tail = told.select("*", F.get(F.split("_t", F.col("rules"), 2), F.lit(1)).alias("_tail")).where(F.col("_tail").isNotNull())
-    block = tail.select(key, "rule_border", "rule_item", F.regexp_replace(F.element_at(F.split(F.substring("_tail", 1, 4000), TASK, 2), 1), F.col("page"), F.lit("")).alias("_block"))
-    marked = block.select(key, "rule_item", F.regexp_replace("_block", F.col("rule_border"), F.lit("\u0001\n$1")).alias("_marked"))
-    items = marked.select(key, F.posexplode_outer(F.regexp_extract_all("_marked", F.col("rule_item"), F.lit(1))).alias("position", "_item")).where(F.col("_item").isNotNull())
+    told = keys.select(key, _text(F.col(text)).alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect"))
+    parts = told.select(key, "dialect", by("rules", lambda p: F.split("_t", p, 2)).alias("_parts"))
+    tail = parts.where(F.size("_parts") > 1).select(key, "dialect", F.element_at(F.split(F.substring(F.get("_parts", F.lit(1)), 1, 4000), TASK, 2), 1).alias("_tail"))
+    block = tail.select(key, "dialect", by("page", lambda p: F.regexp_replace("_tail", p, "")).alias("_block"))
+    marked = block.select(key, "dialect", by("rule_border", lambda p: F.regexp_replace("_block", p, "\u0001\n$1")).alias("_marked"))
+    items = marked.select(key, F.posexplode_outer(by("rule_item", lambda p: F.regexp_extract_all("_marked", F.lit(p), F.lit(1)))).alias("position", "_item")).where(F.col("_item").isNotNull())
     said = items.select(key, "position", one_line(F.regexp_replace("_item", "\u0001", " ")).alias("content"))
     end = lambda k: F.coalesce(*[F.nullif(F.regexp_extract("content", p, k), F.lit("")) for p in (RULE_RANGE, RULE_LIST)])
     return said.select(key, rule_kind(F.col("content")).alias("kind"), "content", end(1).alias("low"), end(2).alias("high"), "position")
@@ -232,9 +232,9 @@ def note_rules(noted: DataFrame, key: str) -> DataFrame:
 def facts(cut: DataFrame, key: str) -> DataFrame:
     """What each task has: key, ordinal, number, kind, answered, solved, judged (has thresholds)."""
     answered = F.trim(F.regexp_replace(F.coalesce("_answer", F.lit("")), r"\s+", " ")) != ""
-    methods = F.regexp_count("_solutions", F.col("method"))
+    methods = by("method", lambda p: F.regexp_count("_solutions", F.lit(p)))
     solved = F.col("_solved").isNotNull() & ((methods > 0) | (F.length(one_line(F.col("_solutions"))) > 20))
-    judged = F.coalesce(F.regexp_count("_criteria", F.col("threshold")) > 0, F.lit(False))
+    judged = F.coalesce(by("threshold", lambda p: F.col("_criteria").rlike(p)), F.lit(False))
     rows = cut.select(key, "ordinal", "number", "points", answered.alias("answered"), F.coalesce(solved, F.lit(False)).alias("solved"), judged.alias("judged"))
     kind = task_kind(F.col("solved").cast("int"), F.col("answered").cast("int"), F.col("points"))
     return rows.select(key, "ordinal", "number", kind.alias("kind"), "answered", "solved", "judged")

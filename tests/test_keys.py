@@ -222,9 +222,15 @@ def test_warnings(keys, cut):
     ]
 
 
-def test_patterns_reach_the_tasks_by_a_broadcast_of_the_layouts(cut, keys):
+def test_keys_are_read_without_a_shuffle(keys):
     plan = parsing.thresholds(parsing.sections(parsing.tasks(keys, "k", "t")), "k")._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan and "Window" not in plan and "Aggregate" not in plan
+    assert not any(node in plan for node in ("Window", "Aggregate", "Join", "Sort"))
+
+
+def test_the_layout_joins_to_rows_by_dialect(keys):
+    told = keys.select("k", dialects.dialect(F.col("t"), F.lit("")).alias("dialect"))
+    rows = {r.k: r for r in dialects.with_layout(told, ["answers_2", "alternative"]).collect()}
+    assert rows["matura"].alternative == dialects.layout("matura")["alternative"] and rows["e8-2019"].answers_2 is None
 
 
 def test_odd_keys(keys, cut):
