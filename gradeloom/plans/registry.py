@@ -26,7 +26,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import chat, documents, edits, inspector, keys, layout, records, reports, sinks  # noqa: F401
+    from . import chat, documents, edits, forms, inspector, keys, layout, records, reports, sinks  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
