@@ -1,4 +1,4 @@
-"""What loads and reports write, and nested JSON: the deciding part as queries; the writing itself is in the tests."""
+"""Sources and sinks: file names, what loads and reports write, nested JSON; the writing itself is in the tests."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table as t
-from ..sources import jsonfiles, keyed
+from ..sources import filenames, jsonfiles, keyed
 from .registry import query
 
 _INCOMING = """SELECT o_custkey, o_orderkey, CASE WHEN o_custkey % 4 = 1 THEN 'P' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_custkey % 3 > 0 AND (o_custkey % 5 > 0 OR o_orderkey % 2 = 0)"""
@@ -52,3 +52,26 @@ def page_dumps(spark: SparkSession, d: str) -> DataFrame:
     good = jsonfiles.characters(pages, "p_partkey").select("page.p_partkey", F.lit(None).cast("string").alias("reason"), "n", "c", "x0", "size")
     bad = pages.where("reason is not null").select("p_partkey", "reason")
     return good.unionByName(bad, allowMissingColumns=True)
+
+
+_NAME = """case p_partkey % 6 when 0 then 'OMAP-' || cast(p_size as string) || '0-2105-zasady-oceniania.pdf' when 1 then 'zasady_oceniania_OMAP-' || cast(p_size as string) || '-1904.pdf' when 2 then 'MJA-P1_' || cast(p_size as string) || '-172-A.pdf'
+ when 3 then 'MMA-R' || cast(p_size as string) || '-152a.PDF' when 4 then 'EMAP-P0-' || cast(p_size as string) || '.pdf' else p_name || '_mapa' end"""
+_FOLDER = "case p_size % 3 when 0 then '/a/Odpowiedzi/' when 1 then '/Nagrania/x' end"
+
+
+def _cases(rows: list[tuple[str, str]], test: str, then: str) -> str:
+    return "CASE " + " ".join(f"WHEN {test.format(p)} THEN {then.format(p=p, k=k)}" for p, k in rows) + " END"
+
+
+@query(rf"""WITH n AS (SELECT p_partkey, regexp_replace({_NAME.replace("as string", "as varchar")}, '(?i)\.pdf$', '') AS s, lower(coalesce({_FOLDER}, '')) AS f FROM part),
+ k AS (SELECT *, {_cases(filenames.PREFIXES, "starts_with(lower(s), '{}')", "'{k}'")} AS begun, {_cases(filenames.PREFIXES, "starts_with(lower(s), '{}')", "length('{p}')")} AS cut, {_cases(filenames.SUFFIXES, "regexp_matches(regexp_extract(s, '" + filenames.END + "', 1), '(?i)^(?:{})$')", "'{k}'")} AS ended, {_cases(filenames.FOLDERS, "contains(f, '{}')", "'{k}'")} AS within_ FROM n),
+ r AS (SELECT *, string_split(CASE WHEN begun IS NOT NULL THEN substr(s, cut + 1) WHEN ended IS NOT NULL THEN regexp_replace(s, '{filenames.END}', '') ELSE s END, '-') AS parts FROM k),
+ t AS (SELECT p_partkey, unnest(parts) AS tok, generate_subscripts(parts, 1) AS i FROM r),
+ x AS (SELECT *, CASE WHEN i = 1 THEN '' WHEN regexp_matches(tok, '^(1[5-9]|2[0-9]|30)(0[1-9]|1[0-2])$') THEN '20' || substr(tok, 1, 2) || '-' || substr(tok, 3, 2) WHEN regexp_matches(tok, '(?i)^(1[5-9]|2[0-3])[1-3][a-z]?$') THEN '20' || substr(tok, 1, 2) || '-' || (['01', '05', '06'])[substr(tok, 3, 1)::INT] ELSE '' END AS ses FROM t),
+ a AS (SELECT p_partkey, max(i) FILTER (ses <> '') AS at_, arg_max(ses, i) FILTER (ses <> '') AS ses, max(i) AS n FROM x GROUP BY 1),
+ v AS (SELECT p_partkey, coalesce(string_agg(tok, ',' ORDER BY i) FILTER (i > 1 AND i IS DISTINCT FROM at_), '') AS variants FROM x JOIN a USING (p_partkey) GROUP BY 1)
+ SELECT p_partkey, coalesce(begun, ended, within_, '{filenames.DEFAULT}') AS kind, CASE WHEN begun IS NOT NULL THEN 'prefix' WHEN ended IS NOT NULL THEN 'suffix' WHEN within_ IS NOT NULL THEN 'directory' ELSE 'default' END AS kind_source,
+  CASE WHEN begun IS NOT NULL THEN 'prefix' WHEN ended IS NOT NULL THEN 'since-2023' WHEN at_ IS NOT NULL THEN 'code-variants-session' WHEN n > 1 THEN 'no-session' ELSE 'unknown' END AS pattern, parts[1] AS code, variants, coalesce(ses, '') AS session FROM r JOIN a USING (p_partkey) JOIN v USING (p_partkey)""")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    named = t(spark, d, "part").select("p_partkey", filenames.parse(F.expr(_NAME), F.expr(_FOLDER)).alias("m"))
+    return named.select("p_partkey", "m.*")
