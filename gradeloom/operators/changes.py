@@ -23,9 +23,20 @@ def load_keys(stored: DataFrame, incoming: DataFrame, key: str, refused: DataFra
 
 
 def keep_first(rows: DataFrame, keys: list[str], content: str, order: list[str]) -> DataFrame:
-    """keys, content, n_divergent: the first content of each key (nulls are equal) and how many others came later."""
-    first = F.min_by(content, F.struct(*order))
-    return rows.groupBy(*keys).agg(first.alias(content), (F.countDistinct(F.coalesce(content, F.lit(""))) - 1).alias("n_divergent"))
+    """keys, content, n_divergent: the first content of each key (null keys are equal) and how many others came later; null is a content of its own."""
+    whole = F.struct(content)
+    return rows.groupBy(*keys).agg(F.min_by(whole, F.struct(*order))[content].alias(content), (F.countDistinct(whole) - 1).alias("n_divergent"))
+
+
+def divergences(rows: DataFrame, keys: list[str], content: str, order: list[str]) -> DataFrame:
+    """keys, content, kept, n, first: each other content of a key, the one that was kept, how often it came and where (the order's columns) first."""
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(content), F.struct(*order))[content].alias("kept"))
+    every = rows.groupBy(*keys, content).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order)).alias("first"))
+    on = F.lit(True)
+    renamed = first.select(*[F.col(k).alias(f"_{k}") for k in keys], "kept")
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return every.join(renamed, on).where(~F.col(content).eqNullSafe(F.col("kept"))).select(*keys, content, "kept", "n", "first")
 
 
 def replace_latest(stored: DataFrame, incoming: DataFrame, keys: list[str], at: str) -> DataFrame:

@@ -38,6 +38,15 @@ def keep_first_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return changes.keep_first(rows, ["p_brand", "stage"], "content", ["p_partkey"])
 
 
+@query("""WITH r AS (SELECT p_brand, nullif(p_size % 5, 0) AS stage, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 7 = 1 THEN '' ELSE p_type END AS content, p_partkey FROM part),
+ f AS (SELECT p_brand, stage, content AS kept FROM r QUALIFY row_number() OVER (PARTITION BY p_brand, stage ORDER BY p_partkey) = 1), e AS (SELECT p_brand, stage, content, count(*) AS n, min(p_partkey) AS first_part FROM r GROUP BY ALL)
+ SELECT e.p_brand, e.stage, content, kept, n, first_part FROM e JOIN f ON e.p_brand = f.p_brand AND e.stage IS NOT DISTINCT FROM f.stage WHERE content IS DISTINCT FROM kept""")
+def dictionary_divergences(spark: SparkSession, d: str) -> DataFrame:
+    content = F.when(F.col("p_partkey") % 7 == 1, "").when(F.col("p_partkey") % 7 > 1, F.col("p_type"))
+    rows = t(spark, d, "part").select("p_brand", F.nullif(F.col("p_size") % 5, F.lit(0)).alias("stage"), content.alias("content"), "p_partkey")
+    return changes.divergences(rows, ["p_brand", "stage"], "content", ["p_partkey"]).select("p_brand", "stage", "content", "kept", "n", F.col("first.p_partkey").alias("first_part"))
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id % 2 DESC, event_id DESC) = 1")
 def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     events = t(spark, d, "events").select("user_id", "event_type", "event_id", "value", F.struct("ts", F.col("event_id") % 2, "event_id").alias("at"))

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from gradeloom.operators import pagetext
+from gradeloom.operators import changes, pagetext
 from gradeloom.sources import jsonfiles, keyed
 
 SCHEMA = "url string, task string, points int, status string"
@@ -114,3 +114,10 @@ def test_reports_are_the_same_byte_for_byte(spark, tmp_path, kind, want):
     assert once.read_bytes() == again.read_bytes()
     assert [line.rstrip() for line in once.read_text().split("\n")] == [line.rstrip() for line in want.split("\n")]
     assert sorted(p.name for p in once.parent.iterdir()) == ["a.txt", "b.txt"]
+
+
+def test_the_first_content_is_kept_and_the_others_are_told(spark):
+    df = spark.createDataFrame([("a", None, 1), ("a", "", 2), ("a", "x", 3), ("a", "x", 4), (None, "y", 5), (None, None, 6), ("b", "z", 7)], "k string, c string, o int")
+    assert sorted(map(tuple, changes.keep_first(df, ["k"], "c", ["o"]).collect()), key=str) == sorted([("a", None, 2), (None, "y", 1), ("b", "z", 0)], key=str)
+    got = sorted(((r.k, r.c, r.kept, r.n, r.first.o) for r in changes.divergences(df, ["k"], "c", ["o"]).collect()), key=str)
+    assert got == sorted([("a", "", None, 1, 2), ("a", "x", None, 2, 3), (None, None, "y", 1, 6)], key=str)
