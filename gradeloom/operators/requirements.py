@@ -102,7 +102,7 @@ def tables_of_tasks(headings: DataFrame, tables: DataFrame, tasks: DataFrame, ke
     heads = numbered.join(counted, key).where(~F.col("by_order") & (F.col("task") < F.col("n"))).select(key, "page", "y", "task", F.lit(0).alias("_kind"))
     told = ordered.join(counted, key)
     events = heads.unionByName(told.where(~F.col("by_order")).select(key, "page", (F.col("y") + TOLERANCE).alias("y"), "table", "_i", F.lit(1).alias("_kind")), allowMissingColumns=True)
-    upto = Window.partitionBy(key).orderBy("page", "y", "_kind", "_i").rowsBetween(Window.unboundedPreceding, 0)
+    upto = Window.partitionBy(key).orderBy("page", "y", "_kind", "task", "_i").rowsBetween(Window.unboundedPreceding, 0)
     behind = events.withColumn("task", F.last("task", ignorenulls=True).over(upto)).where("_kind = 1 and task is not null")
     first = behind.withColumn("_k", F.row_number().over(Window.partitionBy(key, "task").orderBy("page", "y", "_i"))).where("_k = 1")
     placed = first.select(key, "task", "table", F.lit(False).alias("by_order"))
