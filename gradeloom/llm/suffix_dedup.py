@@ -20,8 +20,8 @@ Texts are dealt out once, by doc_id. Nothing is dropped or capped: a string in a
 travels once for each task, and all of its occurrences are marked.
 
 Defined cases: a null text is empty; texts shorter than ``match`` keep all bytes; repeated rows have the
-same id and so do not count against each other; ids are numbers that fit a long and should be unique otherwise (rows with the same id
-and different texts share their ranges); a row without an id neither removes nor loses bytes; an empty
+same id and so do not count against each other, whether their texts are equal or not (each text of an id then has
+a key of its own in the order of ids); ids are numbers that fit a long; a row without an id neither removes nor loses bytes; an empty
 table gives an empty table; extra columns are not returned.
 """
 
@@ -34,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .merkle import _places
 from .shingles import _VALUE, _powers, mix64, text_bytes
 from .storage import join_uneven, materialize
 
@@ -222,7 +223,7 @@ def _share(blobs: list[bytes], rows: _Rows) -> None:
         rows.by_doc(d[tell], (h[tell] & U(0xFFFFFFFF)).astype(np.uint32))
 
 
-def _cut_runs(match: int, buckets: int):
+def _cut_runs(match: int, buckets: int, shift: int = 0):
     """From texts with their shared anchors: runs for the buckets, ranges for documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +238,7 @@ def _cut_runs(match: int, buckets: int):
             owner = np.minimum.reduceat(d[order], begins)[_of_group(begins, len(order))]
             same = _equal(body, starts[order], starts[order[begins]][_of_group(begins, len(order))], n[order])
             stay = np.zeros(len(d), bool)
-            stay[order] = ~same | (d[order] == owner)
+            stay[order] = ~same | (d[order] >> shift == owner >> shift)
             gone = ~stay
             if gone.any():
                 rows.by_doc(d[gone], s[gone], s[gone] + n[gone])
@@ -362,7 +363,7 @@ class SuffixOrder:
         return at
 
 
-def _sort_runs(match: int):
+def _sort_runs(match: int, shift: int = 0):
     def process(blobs: list[bytes], rows: _Rows) -> None:
         parts = [_unpack(b, U, np.int64, np.int32, np.int32, np.int32, np.uint8) for b in blobs]
         h, d, s, n, a, body = (np.concatenate([p[k] for p in parts]) for k in range(6))
@@ -388,7 +389,7 @@ def _sort_runs(match: int):
         np.minimum.at(owner, kind, d[order])
         model = np.empty(kinds, np.int64)
         model[kind[::-1]] = order[::-1]
-        late = d[order] > owner[kind]
+        late = d[order] >> shift > owner[kind] >> shift
         if late.any():
             k = order[late]
             rows.by_doc(d[k], s[k], s[k] + n[k])
@@ -421,7 +422,7 @@ def _sort_runs(match: int):
         same[near] = _equal(body, place[near], place[near - 1], np.full(len(near), match))
         firsts = np.flatnonzero(~same)
         least = np.minimum.reduceat(owner[of[back]], firsts)[_of_group(firsts, len(place))]
-        lost = np.flatnonzero(least < owner[of[back]])
+        lost = np.flatnonzero(least >> shift < owner[of[back]] >> shift)
         if not len(lost):
             return
         run, win = of[back[lost]], j[back[lost]]
@@ -467,37 +468,66 @@ def _cut_out(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.list_(pa.int64())))], ["_doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match: int = 50) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
+def _keys(hashes: DataFrame) -> tuple[DataFrame, int]:
+    """_doc, _hash, _key: a key for each text of an id, in the order of ids; keys shifted right by the second result are equal for the texts of an id."""
+    texts = hashes.distinct()
+    most = texts.groupBy("_doc").count().agg(F.max("count")).first()[0]
+    shift = int(most).bit_length()
+    ids = materialize(texts.select("_doc").distinct().select(F.lit("").alias("_tree"), F.col("_doc").alias("_order"), F.col("_doc").cast("string").alias("_leaf")), "ids")
+    ranks = _places(ids).select(F.col("_order").alias("_doc"), F.col("_at").alias("_rank"))
+    nth = F.row_number().over(Window.partitionBy("_doc").orderBy("_hash")) - 1
+    return materialize(texts.withColumn("_nth", nth).join(ranks, "_doc").select("_doc", "_hash", (F.shiftleft("_rank", shift) + F.col("_nth")).alias("_key")), "keys"), shift
+
+
+def _repeated(docs: DataFrame, text: str, doc_id: str, match: int) -> tuple[DataFrame, bool]:
+    """_id, _hash (of the text, only where an id has several), and what is said of every row; whether an id has several texts."""
     if match < 2 * GRAM:
         raise ValueError(f"match must be {2 * GRAM} or more")
     slim = docs.select(F.col(doc_id).cast("long").alias("_doc"), F.col(text).alias("_text"))
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = 8 * partitions
     rows = "_bucket int, _doc long, _blob binary"
+    hashed = F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256))
+    hashes = materialize(slim.where("_doc is not null").select("_doc", hashed.alias("_hash")), "hashes")
+    total, shift, keys = hashes.count(), 0, None
+    short = F.xxhash64("_hash")
+    if hashes.groupBy("_doc").agg(F.min(short).alias("_a"), F.max(short).alias("_b")).where("_a <> _b").limit(1).count():
+        keys, shift = _keys(hashes)
+        slim = slim.withColumn("_hash", hashed).join(keys, ["_doc", "_hash"], "left").select(F.col("_key").alias("_doc"), "_text")
+        hashes = materialize(hashes.join(keys, ["_doc", "_hash"]).select(F.col("_key").alias("_doc"), "_hash"), "key_hashes")
     # copies of a text of a smaller id
-    hashes = slim.where("_doc is not null").select("_doc", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)).alias("_hash"))
-    hashes = materialize(hashes, "hashes")
     owners = hashes.groupBy("_hash").agg(F.min("_doc").alias("_owner"), F.max("_doc").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_owner < _last").select("_hash", "_owner", "_n")
-    owned = join_uneven(hashes, materialize(owners, "owners"), "_hash", "_n", hashes.count())
+    owned = join_uneven(hashes, materialize(owners, "owners"), "_hash", "_n", total)
     copies = materialize(owned.where("_doc > _owner").select("_doc", F.lit(True).alias("_copy")).distinct(), "copies")
     slim = slim.join(copies, "_doc", "left")
     known = slim.where(F.col("_doc").isNotNull() & F.col("_copy").isNull()).select("_doc", "_text")
     shared = known.mapInArrow(_find_anchors(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_share), rows)
     shared = shared.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
     # both joins are left joins of the same rows with the same columns, so that the texts are dealt out once
-    runs = slim.join(shared, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(_cut_runs(match, buckets), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match)), rows)
+    runs = slim.join(shared, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(_cut_runs(match, buckets, shift), rows).repartition(partitions, "_bucket").mapInArrow(_by_bucket(_sort_runs(match, shift)), rows)
     marked = runs.groupBy("_doc").agg(F.collect_list("_blob").alias("_blobs"))
     out = slim.join(marked, "_doc", "left").select("_doc", "_text", "_blobs", "_copy").mapInArrow(lambda batches: _cut_out(batches, match), "_doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
-    return out.withColumnRenamed("_doc", doc_id)
+    if keys is None:
+        return out.withColumnRenamed("_doc", "_id"), False
+    return out.join(keys.select(F.col("_key").alias("_doc"), F.col("_doc").alias("_id"), "_hash"), "_doc", "left").drop("_doc"), True
+
+
+def repeated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match: int = 50) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (byte ranges) of every row."""
+    out, _ = _repeated(docs, text, doc_id, match)
+    return out.select(F.col("_id").alias(doc_id), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
 def strip(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", match: int = 50) -> DataFrame:
     """doc_id and the text that is left, as bytes: a cut may fall inside a character."""
-    spans = repeated(docs, text, doc_id, match).select(doc_id, "spans").where(F.size("spans") > 0).dropDuplicates([doc_id])
-    docs = docs.select(doc_id, F.col(text).alias("_text"))
+    out, several = _repeated(docs, text, doc_id, match)
+    on = ["_id", "_hash"] if several else ["_id"]
+    spans = out.select(*on, "spans").where(F.size("spans") > 0).dropDuplicates(on)
+    docs = docs.select(F.col(doc_id).alias("_own"), F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
+    if several:
+        docs = docs.withColumn("_hash", F.unhex(F.sha2(F.coalesce("_text", F.lit("")), 256)))
     raw = F.encode("_text", "UTF-8")
     begins = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda s: s[1]))
     ends = F.concat(F.transform("spans", lambda s: s[0]), F.array(F.octet_length("_text").cast("long")))
     pieces = F.transform(F.arrays_zip(begins.alias("b"), ends.alias("e")), lambda p: F.hex(F.substring(raw, (p["b"] + 1).cast("int"), (p["e"] - p["b"]).cast("int"))))
-    return docs.join(spans, doc_id, "left").select(doc_id, F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(pieces, ""))).alias("kept"))
+    return docs.join(spans, on, "left").select(F.col("_own").alias(doc_id), F.when(F.col("spans").isNull(), raw).otherwise(F.unhex(F.array_join(pieces, ""))).alias("kept"))

@@ -154,6 +154,26 @@ def test_repeats_of_an_empty_table_and_of_repeated_rows(spark):
     assert Counter((r.doc_id, r.n_removed) for r in suffix_dedup.repeated(docs).collect()) == Counter([(1, 0), (1, 0), (2, 80)])
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeats_of_ids_with_several_texts(spark, seed):
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(rng.randrange(2, 9)))
+    passages = [" ".join(word() for _ in range(20)) for _ in range(8)]
+    rows = [(1, "a" * 30 + passages[0]), (2, "a" * 30 + passages[0]), (2, "".join(reversed(passages[1])) * 2), (-5, passages[2]), (None, passages[0])]
+    for k in range(60):
+        rows.append((rng.randrange(0, 25), " ".join([word(), rng.choice(passages), word(), *([rng.choice(passages)] if k % 3 else [])])))
+    rows += [rows[7], rows[9]]
+    docs = clashing(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.repeated(docs).collect())
+    want = brute_repeats(rows)
+    assert got == want
+    left = Counter((r.doc_id, hashlib.sha256(bytes(r.kept or b"")).hexdigest()) for r in suffix_dedup.strip(docs).collect())
+    expected = Counter()
+    for (d, _, _, _, h), n in want.items():
+        expected[d, h] += n
+    assert left == expected
+
+
 def auc(pairs):
     pairs = sorted(pairs)
     ranks = defaultdict(list)
