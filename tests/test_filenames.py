@@ -22,24 +22,24 @@ def test_what_names_tell(spark):
     assert got == {k: want for k, (_, _, want) in enumerate(NAMES)}
 
 
-PAGE = "https://www.cke.gov.pl/egzamin/arkusze/2021.html?a=1"
-LINKS = ["x.pdf", "../y/z.pdf", "/abs/ż ó.pdf", "//www.cke.gov.pl/q.pdf", "http://other.org/a%20b/c+d.pdf?x=1#top", "./././k.pdf", "../../../../deep.pdf", "https://cke.gov.pl/ok(1).pdf", " ?only=query.pdf", "a/./b/../c.pdf", "%C5%BC.pdf", "HTTP://CKE.gov.pl/x.pdf"]
+PAGE = "https://www.board.example/egzamin/arkusze/2021.html?a=1"
+LINKS = ["x.pdf", "../y/z.pdf", "/abs/ż ó.pdf", "//www.board.example/q.pdf", "http://other.org/a%20b/c+d.pdf?x=1#top", "./././k.pdf", "../../../../deep.pdf", "https://board.example/ok(1).pdf", " ?only=query.pdf", "a/./b/../c.pdf", "%C5%BC.pdf", "HTTP://BOARD.example/x.pdf"]
 
 
 def by_library(href, page):
     parts = urlsplit(urljoin(page, href.strip()))
-    host = "cke.gov.pl" if parts.netloc == "www.cke.gov.pl" else parts.netloc
+    host = "board.example" if parts.netloc == "www.board.example" else parts.netloc
     return f"https://{host}{quote(unquote(parts.path), safe=chr(47) + '%:@!$&' + chr(39) + '()*+,;=~')}" + (f"?{parts.query}" if parts.query else "")
 
 
 @pytest.mark.parametrize("page", [PAGE, "http://one.org", "http://one.org/a/b/"])
 def test_links_resolve_as_the_library_does(spark, page):
     df = spark.createDataFrame(list(enumerate(LINKS)), "k int, h string")
-    got = {r.k: r.u for r in df.select("k", filenames.resolve(F.col("h"), F.lit(page), ("cke.gov.pl",)).alias("u")).collect()}
+    got = {r.k: r.u for r in df.select("k", filenames.resolve(F.col("h"), F.lit(page), ("board.example",)).alias("u")).collect()}
     assert got == {k: by_library(h, page) for k, h in enumerate(LINKS)}
 
 
 def test_harvest_takes_either_quote_and_any_place(spark):
     html = """<a class="x" href='a.pdf'>A</a><A HREF = "b/c.PDF" id=1><a href="page.html"></a><link data-href="d.pdf">"""
-    got = filenames.harvest(spark.createDataFrame([(1, PAGE, html)], "p int, u string, h string"), "p", "u", "h", ("cke.gov.pl",)).orderBy("place").collect()
-    assert [(r.href, r.url) for r in got] == [("a.pdf", "https://cke.gov.pl/egzamin/arkusze/a.pdf"), ("b/c.PDF", "https://cke.gov.pl/egzamin/arkusze/b/c.PDF"), ("d.pdf", "https://cke.gov.pl/egzamin/arkusze/d.pdf")]
+    got = filenames.harvest(spark.createDataFrame([(1, PAGE, html)], "p int, u string, h string"), "p", "u", "h", ("board.example",)).orderBy("place").collect()
+    assert [(r.href, r.url) for r in got] == [("a.pdf", "https://board.example/egzamin/arkusze/a.pdf"), ("b/c.PDF", "https://board.example/egzamin/arkusze/b/c.PDF"), ("d.pdf", "https://board.example/egzamin/arkusze/d.pdf")]
