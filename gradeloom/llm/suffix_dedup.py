@@ -10,8 +10,9 @@ A byte goes if a string of ``match`` bytes that covers it also starts in a docum
 2. Runs of windows with the same shared anchor are cut out of the texts and dealt out by the anchor. Of
    equal runs in a task only those of its smallest document travel; the others are settled at once.
 3. Runs with the same anchor meet in a task. Equal runs are one, with their smallest document. The
-   suffixes of different runs that have the anchor at the same place are sorted by a merge sort; two
-   suffixes are compared by binary search for their longest common extension over prefix polynomial
+   suffixes of different runs that have the anchor at the same place are sorted by a merge sort, which begins
+   with equal ones as neighbours, leaves out those whose hash no other has, and moves each group of equals by its
+   head; two suffixes are compared by binary search for their longest common extension over prefix polynomial
    hashes. Neighbours that agree in ``match`` bytes are verified byte by byte, so a collision of hashes
    can't join them; each class's smallest document owns the string, in all others its bytes are marked.
 4. Marked ranges are joined to the documents and cut out.
@@ -317,6 +318,11 @@ class SuffixOrder:
         self.body, self.most, self.prefix = body, most, _prefix(body)
         self.inverse = _powers(len(body) + 1)[1]
 
+    def hashes(self, at: np.ndarray) -> np.ndarray:
+        """Hashes of the suffixes up to the length."""
+        with np.errstate(over="ignore"):
+            return (self.prefix[at + self.most] - self.prefix[at]) * self.inverse[at]
+
     def extension(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the longest common prefix of the suffixes at a and b, by binary search."""
         low, high = np.zeros(len(a), np.int64), np.full(len(a), self.most, np.int64)
@@ -403,29 +409,39 @@ def _sort_runs(match: int, shift: int = 0):
         of = np.repeat(many, windows)
         j = _ramp(windows)
         at = starts[model[of]] + j
-        o, b = _groups(group[model[of]], a[model[of]] - j)
-        sizes = np.diff(np.r_[b, len(o)])
-        wide = np.repeat(sizes > 1, sizes)
-        o, sizes = o[wide], sizes[sizes > 1]
+        suffixes = SuffixOrder(body, match)
+        # equal windows have equal hashes: those of a hash of their own repeat nowhere, the others begin as runs of equal neighbours
+        hashed = suffixes.hashes(at)
+        o = np.argsort(hashed)
+        apart = hashed[o[1:]] != hashed[o[:-1]]
+        o = o[~(np.r_[True, apart] & np.r_[apart, True])]
         if not len(o):
             return
-        suffixes = SuffixOrder(body, match)
-        # the sort carries the places; a place tells the run and the window
-        by_place = np.argsort(at[o], kind="stable")
-        place = suffixes.sort(at[o], sizes)
-        back = o[by_place[np.searchsorted(at[o][by_place], place)]]
+        near = np.flatnonzero(hashed[o[1:]] == hashed[o[:-1]]) + 1
+        same = np.zeros(len(o), bool)
+        same[near] = _equal(body, at[o[near]], at[o[near - 1]], np.full(len(near), match))
+        heads = np.flatnonzero(~same)
+        # the sort carries the places of the runs' heads
+        head = o[heads]
+        g, b = _groups(group[model[of[head]]], a[model[of[head]]] - j[head])
+        sizes = np.diff(np.r_[b, len(g)])
+        place = suffixes.sort(at[head[g]], sizes)
+        by_place = np.argsort(at[head])
+        back = by_place[np.searchsorted(at[head], place, sorter=by_place)]
         cell = np.repeat(np.arange(len(sizes)), sizes)
-        same = np.zeros(len(place), bool)
+        joined = np.zeros(len(place), bool)
         near = np.flatnonzero(cell[1:] == cell[:-1]) + 1
-        agree = suffixes.extension(place[near], place[near - 1]) >= match
-        near = near[agree]
-        same[near] = _equal(body, place[near], place[near - 1], np.full(len(near), match))
-        firsts = np.flatnonzero(~same)
-        least = np.minimum.reduceat(owner[of[back]], firsts)[_of_group(firsts, len(place))]
-        lost = np.flatnonzero(least >> shift < owner[of[back]] >> shift)
+        near = near[suffixes.extension(place[near], place[near - 1]) >= match]
+        joined[near] = _equal(body, place[near], place[near - 1], np.full(len(near), match))
+        class_ = np.empty(len(heads), np.int64)
+        class_[back] = np.cumsum(~joined) - 1
+        class_ = class_[np.cumsum(~same) - 1]
+        least = np.full(class_.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, class_, owner[of[o]])
+        lost = np.flatnonzero(least[class_] >> shift < owner[of[o]] >> shift)
         if not len(lost):
             return
-        run, win = of[back[lost]], j[back[lost]]
+        run, win = of[o[lost]], j[o[lost]]
         # lost windows of a run, merged, for all of the run's documents
         x = np.lexsort((win, run))
         run, win = run[x], win[x]

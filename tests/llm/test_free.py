@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,26 @@ def test_repeats_of_an_empty_table_and_of_repeated_rows(spark):
     assert Counter((r.doc_id, r.n_removed) for r in suffix_dedup.repeated(docs).collect()) == Counter([(1, 0), (1, 0), (2, 80)])
 
 
+def test_windows_that_repeat_nowhere_are_not_sorted(monkeypatch):
+    """A line of many documents between words of their own: only the line's own windows go into the sort, and each once."""
+    line = "this very common line stands in the middle of all of the texts"
+    texts = [f"{hashlib.sha256(b'a%d' % k).hexdigest()} {line} {hashlib.sha256(b'b%d' % k).hexdigest()}" for k in range(300)]
+    raw = [x.encode() for x in texts]
+    data, offsets = suffix_dedup.text_bytes(pa.array(texts))
+    doc, *_, h = suffix_dedup.anchors(data, offsets, 50)
+    told = [[(h[doc == k] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()] for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts), pa.array(told, pa.list_(pa.binary())), pa.nulls(len(texts), pa.bool_())], ["_doc", "_text", "_blobs", "_copy"])
+    sorted_ = []
+    sort = suffix_dedup.SuffixOrder.sort
+    monkeypatch.setattr(suffix_dedup.SuffixOrder, "sort", lambda self, at, sizes: sorted_.append(len(at)) or sort(self, at, sizes))
+    marked = [(r["_doc"], p) for out in suffix_dedup._by_bucket(suffix_dedup._sort_runs(50))(suffix_dedup._cut_runs(50, 1)([batch])) for r in out.to_pylist() for p in np.frombuffer(r["_blob"], np.int64).reshape(-1, 2).tolist()]
+    covered = {k: {i for d, (a, b) in marked if d == k for i in range(a, b)} for k in range(len(texts))}
+    at = raw[0].index(line.encode()) - 1
+    shared = set(range(at, at + len(line) + 2))
+    assert not covered[0] and all(shared <= covered[k] and len(covered[k] - shared) < 8 for k in range(1, len(texts)))
+    assert sum(sorted_) < 2 * len(texts)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_repeats_of_ids_with_several_texts(spark, seed):
     rng = random.Random(seed)
