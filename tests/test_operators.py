@@ -269,3 +269,10 @@ def test_expressions(spark, text, latex, reason):
     assert got.reason == reason
     if latex:
         assert got.latex == latex
+
+
+def test_percent_is_rounded_as_the_double_that_it_is(spark):
+    """Against Python's own formatting, which rounds a double's exact value, half to even."""
+    rows = [(k, n) for n in (0, 1, 3, 7, 8, 16, 40, 400, 800, 2000, 4000) for k in range(0, n + 1)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", fx.percent(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r.p for r in got] == [f"{100 * r.a / r.b if r.b else 0.0:.1f}%" for r in got]
