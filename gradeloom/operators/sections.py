@@ -38,15 +38,15 @@ NAMED = {"nbsp": "\u00a0", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "mdas
 HEADING = "(?is)<h[1-3](?:\\s[^>]*)?>.*?</h[1-3]\\s*>"
 
 
-def characters(text: Column) -> Column:
-    """Text with its character references decoded: decimal and hexadecimal numbers and the names above."""
+def characters(text: Column, names: tuple[str, ...] | None = None) -> Column:
+    """Text with its character references decoded: decimal and hexadecimal numbers and the names above, or only some of the names."""
 
     def decoded(piece: Column) -> Column:
         out = F.concat(F.lit("&"), piece)
-        for pattern, base in (("^#([0-9]{1,7});", 10), ("^#[xX]([0-9a-fA-F]{1,6});", 16)):
+        for pattern, base in (("^#([0-9]{1,7});", 10), ("^#[xX]([0-9a-fA-F]{1,6});", 16)) if names is None else ():
             digits = F.lpad(F.conv(F.regexp_extract(piece, pattern, 1), base, 16), 8, "0")
             out = F.when(piece.rlike(pattern), F.concat(F.decode(F.unhex(digits), "UTF-32"), F.regexp_replace(piece, pattern, ""))).otherwise(out)
-        for name, char in NAMED.items():
+        for name, char in ((k, v) for k, v in NAMED.items() if names is None or k in names):
             out = F.when(piece.startswith(f"{name};"), F.concat(F.lit(char), F.substr(piece, F.lit(len(name) + 2)))).otherwise(out)
         return out
 
@@ -60,10 +60,10 @@ def _plain(part: Column) -> Column:
     return F.array_join(F.filter(F.transform(lines, lambda line: F.trim(F.regexp_replace(line, "[\\s\u00a0]+", " "))), lambda line: line != ""), "\n")
 
 
-def of_html(pages: DataFrame, key: str, html: str) -> DataFrame:
+def of_html(pages: DataFrame, key: str, html: str, names: tuple[str, ...] | None = None) -> DataFrame:
     """key, section, level, title, body: a section for each h1 to h3, section 0 for what stands before, if it has text.
 
-    Comments, scripts, styles, menus and drawings go first, headings in them too. Only built-in expressions."""
+    With names only these character references are decoded in titles, and no numbers. Comments, scripts, styles, menus and drawings go first, headings in them too. Only built-in expressions."""
     bare = F.regexp_replace(F.coalesce(F.col(html), F.lit("")), "(?s)<!--.*?-->", "")
     for tag in LEFT_OUT:
         bare = F.regexp_replace(bare, f"(?is)<{tag}(?:\\s[^>]*)?>.*?</{tag}\\s*>", "")
@@ -71,6 +71,6 @@ def of_html(pages: DataFrame, key: str, html: str) -> DataFrame:
     cut = cut.select(key, F.regexp_extract_all("_bare", F.lit(f"({HEADING})"), F.lit(1)).alias("_heads"), F.split("_bare", HEADING).alias("_parts"))
     rows = cut.select(key, "_heads", F.posexplode("_parts").alias("section", "_part")).withColumn("_head", F.get("_heads", F.col("section") - 1))
     level = F.coalesce(F.substring("_head", 3, 1).cast("int"), F.lit(0))
-    title = F.coalesce(F.trim(F.regexp_replace(characters(F.regexp_replace("_head", "<[^>]*>", "")), "[\\s\u00a0]+", " ")), F.lit(""))
+    title = F.coalesce(F.trim(F.regexp_replace(characters(F.regexp_replace("_head", "<[^>]*>", ""), names), "[\\s\u00a0]+", " ")), F.lit(""))
     found = rows.select(key, "section", level.alias("level"), title.alias("title"), _plain(F.col("_part")).alias("body"))
     return found.where((F.col("level") > 0) | (F.col("body") != ""))

@@ -276,3 +276,10 @@ def test_percent_is_rounded_as_the_double_that_it_is(spark):
     rows = [(k, n) for n in (0, 1, 3, 7, 8, 16, 40, 400, 800, 2000, 4000) for k in range(0, n + 1)]
     got = spark.createDataFrame(rows, "a long, b long").select("a", "b", fx.percent(F.col("a"), F.col("b")).alias("p")).collect()
     assert [r.p for r in got] == [f"{100 * r.a / r.b if r.b else 0.0:.1f}%" for r in got]
+
+
+def test_titles_with_some_names_of_characters_decoded(spark):
+    pages = spark.createDataFrame([(1, "<h1>a &quot;b&quot; &lt;c&gt; &amp;lt; &#65;</h1>x")], "k long, html string")
+    title = lambda *names: sections.of_html(pages, "k", "html", *names).where("section = 1").first().title
+    assert title() == 'a "b" <c> &lt; A'
+    assert title(("lt", "gt", "amp")) == "a &quot;b&quot; <c> &lt; &#65;"
