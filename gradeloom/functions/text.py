@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -176,6 +177,11 @@ def prose_word(text: Column) -> Column:
     return F.get(words, F.lit(0))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def compatible(text: Column) -> Column:
     """Characters in their compatible, composed form (as NFKC has it): letters with one mark behind them are composed, marks aren't put into order."""
     blocks = [range(0xA0, 0x3400), range(0xF900, 0x10000), range(0x1D400, 0x1D800), range(0x1F100, 0x1F200)]
@@ -183,10 +189,16 @@ def compatible(text: Column) -> Column:
     single = {c: f for c, f in forms.items() if c != f and len(f) == 1}
     wide = {c: f for c, f in forms.items() if len(f) > 1}
     marked = {unicodedata.normalize("NFD", c): f for c, f in forms.items() if len(f) == 1 and len(unicodedata.normalize("NFD", c)) == 2}
-    t = F.translate(text, "".join(single), "".join(single.values()))
     table = F.from_json(F.lit(json.dumps(wide | marked)), "map<string,string>")  # a constant
-    pieces = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(\P{M}\p{M}|.)"), F.lit(1)), lambda x: F.coalesce(F.try_element_at(table, x), x))
-    return F.when(t.rlike("[\\p{M}" + "".join(wide) + "]"), F.array_join(pieces, "")).otherwise(t)
+    # only characters of these ranges can be other than they are
+    touched = F.lit("[\u00a0-\u33ff\uf900-\uffff\\x{1D400}-\\x{1D7FF}\\x{1F100}-\\x{1F1FF}\\p{M}]")
+
+    def composed(t: Column) -> Column:
+        pieces = F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(\P{M}\p{M}|.)"), F.lit(1)), lambda x: F.when(F.length(x) > 1, F.coalesce(F.try_element_at(table, x), x)).when(x.rlike("[" + "".join(wide) + "]"), F.coalesce(F.try_element_at(table, x), x)).otherwise(x))
+        return F.when(t.rlike("[\\p{M}" + "".join(wide) + "]"), F.array_join(pieces, "")).otherwise(t)
+
+    translated = lambda t: let(F.translate(t, "".join(single), "".join(single.values())), composed)
+    return let(text, lambda t: F.when(F.regexp_like(t, touched), translated(t)).otherwise(t))
 
 
 #: Fixed value: a term of a fraction on one line: a number, a letter by itself, or what is in brackets.
@@ -200,19 +212,28 @@ def expression(text: Column) -> Column:
     t = text
     for digit, sign in enumerate(SUPERSCRIPTS):
         t = F.replace(t, F.lit(sign), F.lit(f"^{{{digit}}}"))
-    t = F.trim(F.regexp_replace(F.regexp_replace(plain_signs(compatible(t)), TRAILING, ""), LEADING, ""))
-    bare = t
+    return let(F.trim(F.regexp_replace(F.regexp_replace(plain_signs(compatible(t)), TRAILING, ""), LEADING, "")), _expression)
+
+
+def _fractions(t: Column) -> Column:
+    # each pass writes a slash or more as a fraction, so that there are no more passes than slashes
+    slashes = F.length(t) - F.length(F.replace(t, F.lit("/"), F.lit("")))
+    passes = F.when(slashes > 0, F.sequence(F.lit(1), slashes)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(passes, t, lambda made, _: F.regexp_replace(made, rf"{TERM}\s*/\s*{TERM}", r"\\frac{$1}{$2}"))
+
+
+def _expression(bare: Column) -> Column:
+    t = bare
     for sign, command in SIGNS.items():
         t = F.replace(t, F.lit(sign), F.lit(f" {command} "))
     for sign, command in TIGHT_SIGNS.items():
         t = F.replace(t, F.lit(sign), F.lit(command))
     t = F.regexp_replace(F.regexp_replace(t, r"([\^_])\(([^()]*)\)", "$1{$2}"), r"([\^_])(-?[\p{L}\p{N}])", "$1{$2}")
-    t = F.regexp_replace(t, r"(\d),(?=\d)", "$1.")
-    # each pass writes a slash or more as a fraction, so that there are no more passes than slashes
-    slashes = F.length(t) - F.length(F.replace(t, F.lit("/"), F.lit("")))
-    passes = F.when(slashes > 0, F.sequence(F.lit(1), slashes)).otherwise(F.array().cast("array<int>"))
-    t = F.aggregate(passes, t, lambda made, _: F.regexp_replace(made, rf"{TERM}\s*/\s*{TERM}", r"\\frac{$1}{$2}"))
+    t = let(F.regexp_replace(t, r"(\d),(?=\d)", "$1."), _fractions)
     t = F.regexp_replace(F.trim(F.regexp_replace(F.replace(t, F.lit("%"), F.lit("\\%")), r"\s+", " ")), "[.;,]+$", "")
-    word = prose_word(t)
+    return let(t, lambda t: let(prose_word(t), lambda word: _judged(bare, t, word)))
+
+
+def _judged(bare: Column, t: Column, word: Column) -> Column:
     reason = F.when(bare == "", "empty").when(bare.contains("√"), "root").when(word.isNotNull(), F.concat(F.lit("prose: "), word)).when(~t.rlike("[0-9A-Za-z]"), "nothing to count")
     return F.struct(F.when(reason.isNull(), t).alias("latex"), reason.alias("reason"))

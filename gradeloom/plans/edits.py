@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import changes, health
+from ..session import spread
 from ..session import table as t
 from .registry import query
 
@@ -211,7 +212,7 @@ def merged_scripts(spark: SparkSession, d: str) -> DataFrame:
 def normal_expressions(spark: SparkSession, d: str) -> DataFrame:
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")
     text = F.when(k % 4 == 0, F.concat(F.lit("zapisanie: P="), size, F.lit("/2 · 3,5 lub inne"))).when(k % 4 == 1, F.concat(F.lit("punkt "), size)).when(k % 4 == 2, F.concat(F.lit("√"), size)).otherwise(F.concat(F.lit("x²−"), size, F.lit(".")))
-    return t(spark, d, "part").select("p_partkey", fx.expression(text).alias("e")).select("p_partkey", "e.latex", "e.reason")
+    return spread(t(spark, d, "part"), "p_partkey").select("p_partkey", fx.expression(text).alias("e")).select("p_partkey", "e.latex", "e.reason")
 
 
 @query("SELECT event_id, least(CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2100-01-01' WHEN event_id % 3 = 1 THEN ts END, TIMESTAMP '2030-01-01') AS at FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, TIMESTAMP '2030-01-01' FROM events WHERE event_id % 3 = 2")

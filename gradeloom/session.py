@@ -33,3 +33,10 @@ def local_session(cpus: int | str | None = None, shuffle_partitions: int = 8, me
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; columns are pruned and filters pushed by the caller's plan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys over all cores: a small file is one task, however much work each of its rows is."""
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, *keys)

@@ -45,3 +45,9 @@ def test_compatible_forms(spark):
     texts = ["½ ⅔ ﬁ … ㎝ №", "\U0001d465² ＋ ｙ", "z\u0307o\u0301ł", "plain text", "", "Ⅷ ⑴ ™", "a\u0301\u0302x", "ﷺ"]
     got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "k int, t string").orderBy("k").select(fx.compatible(F.col("t")).alias("t")).collect()]
     assert got == [unicodedata.normalize("NFKC", t) for t in texts]
+
+
+def test_an_expression_holds_its_text_once(spark):
+    """Each step is computed once: the plan grows with the steps, not with what they are used for."""
+    plan = spark.range(1).select(fx.expression(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("cast(id") == 1
