@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from ..session import table as t
 from ..sources import filenames, jsonfiles, keyed
 from .registry import query
@@ -73,5 +74,5 @@ def _cases(rows: list[tuple[str, str]], test: str, then: str) -> str:
  SELECT p_partkey, coalesce(begun, ended, within_, '{filenames.DEFAULT}') AS kind, CASE WHEN begun IS NOT NULL THEN 'prefix' WHEN ended IS NOT NULL THEN 'suffix' WHEN within_ IS NOT NULL THEN 'directory' ELSE 'default' END AS kind_source,
   CASE WHEN begun IS NOT NULL THEN 'prefix' WHEN ended IS NOT NULL THEN 'since-2023' WHEN at_ IS NOT NULL THEN 'code-variants-session' WHEN n > 1 THEN 'no-session' ELSE 'unknown' END AS pattern, parts[1] AS code, variants, coalesce(ses, '') AS session FROM r JOIN a USING (p_partkey) JOIN v USING (p_partkey)""")
 def file_names(spark: SparkSession, d: str) -> DataFrame:
-    named = t(spark, d, "part").select("p_partkey", filenames.parse(F.expr(_NAME), F.expr(_FOLDER)).alias("m"))
+    named = spread(t(spark, d, "part"), "p_partkey").select("p_partkey", filenames.parse(F.expr(_NAME), F.expr(_FOLDER)).alias("m"))
     return named.select("p_partkey", "m.*")

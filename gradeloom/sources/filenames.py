@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import session_date
+from ..functions.text import let, session_date
 
 #: Beginnings of names, ends of names, parts of folders, and the kinds they mean; earlier rows win.
 PREFIXES = [("zasady_oceniania_", "marking_scheme"), ("zasady_", "marking_scheme"), ("arkusz_", "paper"), ("transkrypcja_", "transcript"), ("karta_", "answer_sheet")]
@@ -24,29 +24,34 @@ SAFE = r"[A-Za-z0-9_.~/%:@!$&'()*+,;=-]"
 
 def session(token: Column) -> Column:
     """The session of one part of a name, '' if it is none: YYMM, or YYT with a letter behind it or none."""
-    return session_date(F.regexp_replace(token, "(?i)^([0-9]{2}[1-3])[a-z]$", "$1"))
+    return let(F.regexp_replace(token, "(?i)^([0-9]{2}[1-3])[a-z]$", "$1"), session_date)
 
 
 def parse(name: Column, folder: Column) -> Column:
     """Struct (kind, kind_source, pattern, code, variants, session) of a file's name in a folder.
 
     The session is the last part that is one, wherever it stands; the parts around it are variants."""
-    stem = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.pdf$", "")
-    low = F.lower(stem)
     first = lambda rows, hit: F.coalesce(*[F.when(hit(p), F.struct(F.lit(k).alias("kind"), F.lit(p).alias("p"))) for p, k in rows])
-    begun = first(PREFIXES, low.startswith)
-    tail = F.regexp_extract(stem, END, 1)
-    ended = first(SUFFIXES, lambda p: tail.rlike(f"(?i)^(?:{p})$"))
-    within = first(FOLDERS, lambda p: F.exists(F.split(F.lower(F.coalesce(folder, F.lit(""))), "/"), lambda s: s.contains(p)))
+    ended = lambda stem: let(F.regexp_extract(stem, END, 1), lambda tail: F.when(tail != "", first(SUFFIXES, lambda p: tail.rlike(f"(?i)^(?:{p})$"))))
+    within = let(F.split(F.lower(F.coalesce(folder, F.lit(""))), "/"), lambda steps: first(FOLDERS, lambda p: F.exists(steps, lambda s: s.contains(p))))
+    found = lambda stem: F.struct(stem.alias("stem"), let(F.lower(stem), lambda low: first(PREFIXES, low.startswith)).alias("begun"), ended(stem).alias("ended"), within.alias("within"))
+    return let(let(F.regexp_replace(F.coalesce(name, F.lit("")), r"(?i)\.pdf$", ""), found), _parts)
+
+
+def _parts(found: Column) -> Column:
+    stem, begun, ended, within = (found[x] for x in ("stem", "begun", "ended", "within"))
     rest = F.when(begun.isNotNull(), F.substr(stem, F.length(begun["p"]) + 1)).when(ended.isNotNull(), F.regexp_replace(stem, END, "")).otherwise(stem)
-    parts = F.split(rest, "-")
-    sessions = F.transform(parts, lambda p, i: F.when(i > 0, session(p)).otherwise(""))
-    at = F.array_max(F.transform(sessions, lambda s, i: F.when(s != "", i)))
-    others = F.filter(parts, lambda p, i: (i > 0) & (at.isNull() | (i != at)))
     kind = F.coalesce(begun["kind"], ended["kind"], within["kind"], F.lit(DEFAULT))
     source = F.when(begun.isNotNull(), "prefix").when(ended.isNotNull(), "suffix").when(within.isNotNull(), "directory").otherwise("default")
-    pattern = F.when(begun.isNotNull(), "prefix").when(ended.isNotNull(), "since-2023").when(at.isNotNull(), "code-variants-session").when(F.size(parts) > 1, "no-session").otherwise("unknown")
-    return F.struct(kind.alias("kind"), source.alias("kind_source"), pattern.alias("pattern"), F.get(parts, F.lit(0)).alias("code"), F.array_join(others, ",").alias("variants"), F.coalesce(F.get(sessions, at), F.lit("")).alias("session"))
+
+    def told(parts: Column, sessions: Column, at: Column) -> Column:
+        others = F.filter(parts, lambda p, i: (i > 0) & (at.isNull() | (i != at)))
+        pattern = F.when(begun.isNotNull(), "prefix").when(ended.isNotNull(), "since-2023").when(at.isNotNull(), "code-variants-session").when(F.size(parts) > 1, "no-session").otherwise("unknown")
+        return F.struct(kind.alias("kind"), source.alias("kind_source"), pattern.alias("pattern"), F.get(parts, F.lit(0)).alias("code"), F.array_join(others, ",").alias("variants"), F.coalesce(F.get(sessions, at), F.lit("")).alias("session"))
+
+    sessions = lambda parts: F.transform(parts, lambda p, i: F.when(i > 0, session(p)).otherwise(""))
+    last = lambda sessions: F.array_max(F.transform(sessions, lambda s, i: F.when(s != "", i)))
+    return let(F.split(rest, "-"), lambda parts: let(sessions(parts), lambda sessions: let(last(sessions), lambda at: told(parts, sessions, at))))
 
 
 def _without_dots(path: Column) -> Column:

@@ -43,3 +43,8 @@ def test_harvest_takes_either_quote_and_any_place(spark):
     html = """<a class="x" href='a.pdf'>A</a><A HREF = "b/c.PDF" id=1><a href="page.html"></a><link data-href="d.pdf">"""
     got = filenames.harvest(spark.createDataFrame([(1, PAGE, html)], "p int, u string, h string"), "p", "u", "h", ("board.example",)).orderBy("place").collect()
     assert [(r.href, r.url) for r in got] == [("a.pdf", "https://board.example/egzamin/arkusze/a.pdf"), ("b/c.PDF", "https://board.example/egzamin/arkusze/b/c.PDF"), ("d.pdf", "https://board.example/egzamin/arkusze/d.pdf")]
+
+
+def test_a_name_is_read_once(spark):
+    plan = spark.range(1).select(filenames.parse(F.col("id").cast("string"), F.lit("/x")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("cast(id") == 1
