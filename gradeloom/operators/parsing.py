@@ -2,7 +2,8 @@
 
 A key is a text; its dialect decides the patterns it is read with (``dialects``). Each step adds columns to rows, or
 makes rows of the parts of one column, so that a pattern runs once over a text; keys are read in parallel and only
-small tables are shuffled. Patterns use no look-around, so that other engines can check them."""
+small tables are shuffled. Rows without a part are left out behind the rows made of it: a filter on a part would be
+pushed down to the texts, with all patterns that the part is made of once more. Patterns use no look-around, so that other engines can check them."""
 
 from __future__ import annotations
 
@@ -91,11 +92,11 @@ def page_of(pages: DataFrame, places: DataFrame, key: str, page: str, text: str,
 
 def forms(keys: DataFrame, key: str, text: str) -> DataFrame:
     """key, code, variant, session, version: each form once, with both versions if its line names two."""
-    lines = keys.select(key, F.posexplode(F.split(_text(F.col(text)), "\n")).alias("_k", "_line"))
+    lines = keys.select(key, F.posexplode_outer(F.split(_text(F.col(text)), "\n")).alias("_k", "_line"))
     part = lambda k: F.regexp_extract_all("_line", F.lit(FORM), F.lit(k))
     pair = lambda k: F.upper(F.regexp_extract("_line", VERSIONS, k))
     versions = F.when(pair(1) != "", F.array(pair(1), pair(2))).otherwise(F.array(F.lit(None).cast("string")))
-    found = lines.select(key, "_k", versions.alias("_versions"), F.posexplode(F.arrays_zip(part(1).alias("code"), part(2).alias("variant"), part(3).alias("session"))).alias("_i", "_f"))
+    found = lines.select(key, "_k", versions.alias("_versions"), F.posexplode_outer(F.arrays_zip(part(1).alias("code"), part(2).alias("variant"), part(3).alias("session"))).alias("_i", "_f")).where(F.col("_f").isNotNull())
     first = found.groupBy(key, "_f.code", "_f.variant").agg(F.min_by(F.struct(F.nullif(F.col("_f.session"), F.lit("")).alias("session"), "_versions"), F.struct("_k", "_i")).alias("_x"))
     return first.select(key, "code", "variant", "_x.session", F.explode("_x._versions").alias("version"))
 
@@ -147,7 +148,7 @@ def answers(cut: DataFrame, key: str) -> DataFrame:
 def solutions(cut: DataFrame, key: str) -> DataFrame:
     """Example solutions of sections: key, ordinal, method, points, content, place; without methods one, if it is longer than 20 characters."""
     points = F.regexp_extract(one_line(F.col("_solved")), SOLUTION_POINTS, 1).try_cast("int")
-    rows = cut.where(F.col("_solved").isNotNull()).select(key, "ordinal", points.alias("points"), by("method", lambda p: F.split("_solutions", p)).alias("_parts"), by("method", lambda p: F.regexp_extract_all("_solutions", F.lit(p), F.lit(1))).alias("_methods"))
+    rows = cut.select(key, "ordinal", points.alias("points"), by("method", lambda p: F.split("_solutions", p)).alias("_parts"), by("method", lambda p: F.regexp_extract_all("_solutions", F.lit(p), F.lit(1))).alias("_methods"))
     each = rows.select(key, "ordinal", "points", F.size("_methods").alias("_n"), "_methods", F.posexplode_outer("_parts").alias("_k", "_part"))
     content = F.substring(one_line(F.col("_part")), 1, 4000)
     shown = each.select(key, "ordinal", F.get("_methods", F.col("_k") - 1).alias("method"), "points", content.alias("content"), F.col("_k").alias("place"), "_n")
@@ -158,7 +159,7 @@ def notes(cut: DataFrame, key: str) -> DataFrame:
     """A task's own notes: key, ordinal, number, content, place (from 0): at most six, of 16 characters or more."""
     parts = F.split(F.regexp_replace("_notes", NOTE_BORDER, "\u0001$1"), "\u0001")
     long = F.slice(F.filter(parts, lambda x: F.length(F.btrim(x, F.lit(" \t\n\r\f"))) > 15), 1, 6)
-    rows = cut.where(F.col("_notes").isNotNull()).select(key, "ordinal", "number", F.posexplode_outer(long).alias("place", "_note"))
+    rows = cut.select(key, "ordinal", "number", F.posexplode_outer(long).alias("place", "_note"))
     return rows.where(F.col("_note").isNotNull()).select(key, "ordinal", "number", one_line(F.col("_note")).alias("content"), "place")
 
 
@@ -187,12 +188,12 @@ def conditions(found: DataFrame, key: str) -> DataFrame:
     rows = found.select(key, "dialect", "ordinal", "points", "label", F.posexplode_outer(by("alternative", lambda p: F.split("_block", p))).alias("_k", "_part"))
     said = rows.select(key, "dialect", "ordinal", "points", "label", "_k", tidy(F.col("_part")).alias("_said"), F.regexp_replace("_part", ASIDE, "").alias("_bare"))
     said = said.select(key, "ordinal", "points", "label", "_k", "_said", by("equivalent", lambda p: F.split("_bare", p)).alias("_pieces"))
-    pieces = said.where(F.col("_said") != "").select(key, "ordinal", "points", "label", "_k", "_said", F.filter(F.transform("_pieces", tidy), lambda x: x != "").alias("_pieces"))
+    pieces = said.select(key, "ordinal", "points", "label", "_k", "_said", F.filter(F.transform("_pieces", tidy), lambda x: x != "").alias("_pieces"))
     first = F.get("_pieces", F.lit(0))
     begun = F.regexp_replace(first, FOR_EXAMPLE, "")
     shown = F.concat(F.array(F.when(begun == "", first).otherwise(begun)), F.slice("_pieces", 2, 5))
     expressions = F.when(F.size("_pieces") > 1, shown).otherwise(F.array().cast("array<string>"))
-    return pieces.select(key, "ordinal", "points", "label", (F.col("_k") + 1).alias("place"), F.substring("_said", 1, 600).alias("description"), expressions.alias("expressions"))
+    return pieces.where(F.col("_said") != "").select(key, "ordinal", "points", "label", (F.col("_k") + 1).alias("place"), F.substring("_said", 1, 600).alias("description"), expressions.alias("expressions"))
 
 
 def task_kind(n_solutions: Column, n_answers: Column, points: Column) -> Column:
@@ -215,7 +216,7 @@ def rules(keys: DataFrame, key: str, text: str, name: str | None = None) -> Data
     """Rules for several tasks: key, kind, content, low, high, position (from 0): the marked items of 20 to 600 characters that stand in the 4000 behind their heading and before a task."""
     told = keys.select(key, _text(F.col(text)).alias("_t"), dialect(F.col(text), F.col(name) if name else F.lit("")).alias("dialect"))
     parts = told.select(key, "dialect", by("rules", lambda p: F.split("_t", p, 2)).alias("_parts"))
-    tail = parts.where(F.size("_parts") > 1).select(key, "dialect", F.element_at(F.split(F.substring(F.get("_parts", F.lit(1)), 1, 4000), TASK, 2), 1).alias("_tail"))
+    tail = parts.select(key, "dialect", F.element_at(F.split(F.substring(F.get("_parts", F.lit(1)), 1, 4000), TASK, 2), 1).alias("_tail"))
     block = tail.select(key, "dialect", by("page", lambda p: F.regexp_replace("_tail", p, "")).alias("_block"))
     marked = block.select(key, "dialect", by("rule_border", lambda p: F.regexp_replace("_block", p, "\u0001\n$1")).alias("_marked"))
     items = marked.select(key, F.posexplode_outer(by("rule_item", lambda p: F.regexp_extract_all("_marked", F.lit(p), F.lit(1)))).alias("position", "_item")).where(F.col("_item").isNotNull())

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dialects, parsing
+from ..session import spread
 from ..session import table as t
 from .registry import query
 
@@ -107,7 +108,7 @@ _KIND = "CASE " + " ".join("WHEN " + " AND ".join(f"contains(content, '{p}')" fo
 
 
 def _keys(spark: SparkSession, d: str) -> DataFrame:
-    return t(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.expr(_KEY).alias("t"))
+    return spread(t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), "o_orderkey").select(F.col("o_orderkey").alias("k"), F.expr(_KEY).alias("t"))
 
 
 def _tasks(spark: SparkSession, d: str) -> DataFrame:

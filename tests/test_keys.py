@@ -239,3 +239,13 @@ def test_odd_keys(keys, cut):
         assert read(cut.where("k = 'short'"), "k").collect() == []
     assert parsing.rules(keys.where("t is null or t = ''"), "k", "t").collect() == []
     assert parsing.sections(parsing.tasks(keys.limit(0), "k", "t")).collect() == []
+
+
+def test_no_pattern_of_a_part_runs_in_a_filter(spark):
+    """A filter on a part would be pushed down to the texts and run all patterns once more."""
+    keys = spark.range(3).select(F.col("id").alias("k"), F.concat(F.lit("Zadanie 1. (0-1)\nUwagi:\n"), F.col("id").cast("string")).alias("t"))
+    cut = parsing.sections(parsing.tasks(keys, "k", "t"))
+    for rows in (parsing.notes(cut, "k"), parsing.solutions(cut, "k"), parsing.rules(keys, "k", "t"), parsing.forms(keys, "k", "t")):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        filters = [line for line in plan.splitlines() if "Filter" in line]
+        assert not [line for line in filters if any(x in line for x in ("Uwag", "rozwi", "A-Z", "split(t"))]
