@@ -16,19 +16,27 @@ def _glyph(k: int, c: str, x0: float, y: str, size: float, where: str = "true",
     return f"SELECT l_orderkey AS page, cast(i * 20 + {k} AS bigint) AS n, {c} AS c, cast({x0} AS double) AS x0, cast({x0 + wide} AS double) AS x1, cast({y} AS double) AS y0, cast({y} + {size} AS double) AS y1, cast({size} AS double) AS size FROM numbered WHERE {where}"
 
 
-#: Characters as SQL that Spark and other engines read alike.
-_CHARACTERS = f"WITH numbered AS ({_NUMBERED}) " + " UNION ALL ".join([
-    _glyph(0, "l_returnflag", 50, "100 + 14 * i", 11), _glyph(1, "'−'", 58, "100 + 14 * i", 11), _glyph(2, "cast(l_suppkey % 10 AS string)", 66, "100 + 14 * i", 11),
+def _struct(k: int, c: str, x0: float, y: str, size: float, where: str = "true", wide: float = 6.0) -> str:
+    return f"case when {where} then named_struct('n', cast(i * 20 + {k} AS bigint), 'c', {c}, 'x0', cast({x0} AS double), 'x1', cast({x0 + wide} AS double), 'y0', cast({y} AS double), 'y1', cast({y} + {size} AS double), 'size', cast({size} AS double)) end"
+
+
+#: Characters as SQL that Spark and other engines read alike: place in the line, character, x, y, size, for which lines, width.
+_GLYPHS = [
+    (0, "l_returnflag", 50, "100 + 14 * i", 11), (1, "'−'", 58, "100 + 14 * i", 11), (2, "cast(l_suppkey % 10 AS string)", 66, "100 + 14 * i", 11),
     # a fraction whose lower storey is a word in one line of five: its bar underlines
-    _glyph(3, "cast(l_partkey % 10 AS string)", 74, "96 + 14 * i", 9), _glyph(4, "case when l_partkey % 5 = 0 then 'abc' else cast(l_partkey % 7 AS string) end", 74, "107 + 14 * i", 9),
-    _glyph(5, "'2'", 82, "99 + 14 * i", 7, "l_suppkey % 2 = 0", 4), _glyph(6, "'n'", 82, "106 + 14 * i", 7, "l_suppkey % 2 = 1", 4), _glyph(7, "' '", 90, "100 + 14 * i", 11),
-    _glyph(8, "l_linestatus", 150, "100.5 + 14 * i", 11, "l_partkey % 3 > 0"), _glyph(9, "' '", 400, "100 + 14 * i", 11, "l_partkey % 4 = 0"),
-])
+    (3, "cast(l_partkey % 10 AS string)", 74, "96 + 14 * i", 9), (4, "case when l_partkey % 5 = 0 then 'abc' else cast(l_partkey % 7 AS string) end", 74, "107 + 14 * i", 9),
+    (5, "'2'", 82, "99 + 14 * i", 7, "l_suppkey % 2 = 0", 4), (6, "'n'", 82, "106 + 14 * i", 7, "l_suppkey % 2 = 1", 4), (7, "' '", 90, "100 + 14 * i", 11),
+    (8, "l_linestatus", 150, "100.5 + 14 * i", 11, "l_partkey % 3 > 0"), (9, "' '", 400, "100 + 14 * i", 11, "l_partkey % 4 = 0"),
+]
+_CHARACTERS = f"WITH numbered AS ({_NUMBERED}) " + " UNION ALL ".join(_glyph(*g) for g in _GLYPHS)
 _BARS = f"SELECT l_orderkey AS page, cast(73.5 AS double) AS x0, cast(80.5 AS double) AS x1, cast(105.5 + 14 * i AS double) AS y FROM ({_NUMBERED}) numbered WHERE l_partkey % 11 > 0"
 
 
 def _characters(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_CHARACTERS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t(spark, d, "lineitem"))
+    """The rows of _CHARACTERS; lines are numbered once, not for each character of a line, and stay dealt out by page."""
+    lines = spark.sql(_NUMBERED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t(spark, d, "lineitem"))
+    every = F.array(*[F.expr(_struct(*g)) for g in _GLYPHS])
+    return lines.select(F.col("l_orderkey").alias("page"), F.inline_outer(F.filter(every, lambda x: x.isNotNull())))
 
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:

@@ -132,3 +132,14 @@ def test_bands_fold_nested_fractions(spark):
 def test_sizes(spark, sizes, base, middle):
     df = spark.createDataFrame([(1, k, "a", 0.0, 1.0, 0.0, 1.0, float(s)) for k, s in enumerate(sizes)], CHARACTER)
     assert [tuple(r) for r in pagetext.sizes(df).collect()] == [(1, base, middle)]
+
+
+def test_lines_are_numbered_once_for_all_their_characters(spark):
+    from gradeloom.plans import layout
+
+    d = "/root/testdata/sf0.001"
+    got = layout._characters(spark, d)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    said = spark.sql(layout._CHARACTERS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
+    assert got.columns == said.columns
+    assert got.exceptAll(said).count() == 0 and got.count() == said.count()
