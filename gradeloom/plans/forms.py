@@ -16,7 +16,9 @@ from .registry import query
  UNION ALL SELECT k, 'delete.criterion.' || id, '1' FROM c WHERE id % 3 = 0 UNION ALL SELECT k, 'delete.condition.' || id * 10, '1' FROM c WHERE id % 3 > 0 AND id % 2 = 0""")
 def record_forms(spark: SparkSession, d: str) -> DataFrame:
     """Each order's lines as criteria with a condition; the reader drops, raises and rewords some."""
-    lines = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("p"), F.min("l_returnflag").alias("d"), F.min("l_linestatus").alias("s"))
+    # dealt out by order once: every step after it finds an order's rows together
+    slim = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").cast("long").alias("id"), "l_returnflag", "l_linestatus").repartition("k")
+    lines = slim.groupBy("k", "id").agg(F.count(F.lit(1)).cast("int").alias("p"), F.min("l_returnflag").alias("d"), F.min("l_linestatus").alias("s"))
 
     def records(rows: DataFrame, points: int, with_condition) -> DataFrame:  # noqa: ANN001
         none = F.array().cast("array<struct<id:long,expression:string>>")

@@ -1,5 +1,7 @@
 """Records as forms and back."""
 
+import random
+
 from gradeloom.operators import recordform
 
 SCHEMA = "task long, " + recordform.RECORD
@@ -51,3 +53,55 @@ def test_a_form_applied_gives_the_record(spark):
     left = spark.createDataFrame(list(got.values()), SCHEMA)
     again, first = recordform.form(stored, left, "task"), recordform.form(stored, given, "task")
     assert {tuple(r) for r in again.where("path not like '%version.11%'").collect()} == {tuple(r) for r in first.collect()}
+
+
+def brute_form(stored, given):
+    """(key, path, value) of a form, row by row over dictionaries."""
+    def rows(record):  # kind, id, parent, fields
+        _, _, _, _, versions, criteria = record
+        for v in versions:
+            yield "version", v[0], None, {"content": v[1]}
+            yield from (("answer", a[0], v[0], {"answer": a[1]}) for a in v[2])
+        for c in criteria:
+            yield "criterion", c[0], None, {"points": c[1], "label": c[2], "description": c[3]}
+            for w in c[4]:
+                yield "condition", w[0], c[0], {"description": w[1]}
+                yield from (("expression", e[0], w[0], {"expression": e[1]}) for e in w[2])
+
+    out, old = [], {r[0]: r for r in stored}
+    for g in given:
+        if g[0] not in old or any(i is None for _, i, _, _ in rows(g)):
+            continue
+        was, now = {r[:3] for r in rows(old[g[0]])}, {r[:3] for r in rows(g)}
+        out += [(g[0], "task.number", g[1]), (g[0], "task.max_points", str(g[2])), (g[0], "task.kind", g[3]), (g[0], "add_requirement", "")]
+        out += [(g[0], f"{k}.{i}.{f}", "" if v is None else str(v)) for k, i, p, fields in rows(g) if k not in ("version", "answer") or (k, i, p) in was for f, v in fields.items()]
+        kept = {r[:2] for r in now}
+        out += [(g[0], f"delete.{k}.{i}", "1") for k, i, p in was - now if k == "criterion" or k != "version" and (recordform.PARENTS[k], p) in kept]
+    return sorted(out)
+
+
+def test_forms_are_those_of_brute_force(spark):
+    rng = random.Random(3)
+    few = lambda make, n=3: [make(i) for i in rng.sample(range(5), rng.randrange(n))]  # noqa: E731  # ids are few, so that rows move between parents
+
+    def made(task):
+        name = lambda: rng.choice([None, "", "a", "b|c.1"])
+        expressions = lambda: few(lambda i: (i, name()))
+        return record(task, rng.randrange(4), few(lambda i: (i, name(), few(lambda j: (j, name()), 4))), few(lambda i: (i, rng.randrange(3), name(), name(), few(lambda j: (j, name(), expressions())))))
+
+    stored, given = [made(t) for t in range(60)], [made(t) for t in range(5, 64)]
+    given[7] = record(12, criteria=[(1, 1, None, None, [(None, "no id", [])])])
+    got = recordform.form(spark.createDataFrame(stored, SCHEMA).repartition(3), spark.createDataFrame(given, SCHEMA), "task")
+    assert sorted(tuple(r) for r in got.collect()) == brute_form(stored, given)
+
+
+def test_a_form_is_made_in_one_shuffle_of_each_side(spark):
+    from gradeloom.plans import forms
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = forms.record_forms(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 2
