@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +59,73 @@ def regions(boxes: np.ndarray, gap: float) -> np.ndarray:
     return boxes
 
 
+def regions_of_pages(page: np.ndarray, boxes: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and regions of many pages' boxes at once: what ``regions`` gives for each page, by page, then x0, top, x1, bottom.
+
+    Neighbours are compared at all pages together, the next one to the right first, then the one after it; so this is meant for
+    pages of few boxes. Pages whose regions are single boxes are done, the others are swept again."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(page):
+        order = np.lexsort((*boxes.T[::-1], page))
+        page, boxes = page[order], boxes[order]
+        root = np.arange(len(page))
+        left, right = [], []
+        k, far = root, 1
+        while len(k):
+            k = k[k + far < len(page)]
+            j = k + far
+            reach = boxes[k, 2] + gap
+            near = (page[j] == page[k]) & ((boxes[j, 0] <= reach) | np.isnan(reach))
+            k, j = k[near], j[near]
+            level = (boxes[j, 1] <= boxes[k, 3] + gap) & (boxes[j, 3] >= boxes[k, 1] - gap)
+            left.append(k[level])
+            right.append(j[level])
+            far += 1
+        left, right = np.concatenate(left), np.concatenate(right)
+        while True:  # each box takes the smallest box that it is linked to, until nothing changes
+            low = root.copy()
+            np.minimum.at(low, left, root[right])
+            np.minimum.at(low, right, root[left])
+            low = low[low]
+            if np.array_equal(low, root):
+                break
+            root = low
+        heads, classes = np.unique(root, return_inverse=True)
+        low, high = np.full((len(heads), 2), np.inf), np.full((len(heads), 2), -np.inf)
+        np.minimum.at(low, classes, boxes[:, :2])
+        np.maximum.at(high, classes, boxes[:, 2:])
+        again = np.isin(page[heads], page[root != np.arange(len(page))])
+        page, boxes = page[heads], np.hstack([low, high])
+        done.append((page[~again], boxes[~again]))
+        page, boxes = page[again], boxes[again]
+    pages, found = [np.concatenate(x) for x in zip(*done, strict=True)] if done else (page, boxes)
+    order = np.lexsort((*found.T[::-1], pages))
+    return pages[order], found[order]
+
+
+def _regions_of_all(page: np.ndarray, boxes: np.ndarray, gap: float, few: int = 64, at_once: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """Pages and regions of boxes that ascend by page: small pages some thousand boxes at a time, large ones each for itself."""
+    sizes = np.bincount(page)
+    large = sizes[page] > few
+    out = [regions_of_pages(page[~large][:0], boxes[:0], gap)]
+    small_pages, small_boxes = page[~large], boxes[~large]
+    at = 0
+    while at < len(small_pages):
+        end = int(np.searchsorted(small_pages, small_pages[min(at + at_once, len(small_pages)) - 1], side="right"))
+        out.append(regions_of_pages(small_pages[at:end], small_boxes[at:end], gap))
+        at = end
+    for k in np.unique(page[large]):
+        found = regions(boxes[page == k], gap)
+        out.append((np.full(len(found), k), found))
+    pages, found = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+    order = np.lexsort((*found.T[::-1], pages))
+    return pages[order], found[order]
+
+
+def _numbers(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(float)  # null as nan
+
+
 def clusters(boxes: DataFrame, page: str, gap: float = 8.0, least_side: float = 24.0, least_area: float = 2500.0, most_width: float = 1e9, pad: float = 6.0, most: int = 400) -> DataFrame:
     """page, region, the four sides and crowded of each page's regions, from the top left.
 
@@ -67,31 +134,45 @@ def clusters(boxes: DataFrame, page: str, gap: float = 8.0, least_side: float =
     kind = dict(boxes.dtypes)[page]
     sides = ", ".join(f"{s} double" for s in SIDES)
 
-    def partly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.assign(n=1)
-            many = batch.groupby(page)[page].transform("size") > 64  # fewer are joined once, after the shuffle
-            yield batch[~many]
-            for key, rows in batch[many].groupby(page, sort=False):
-                joined = pd.DataFrame(regions(rows[SIDES].to_numpy(float), gap), columns=SIDES)
-                joined.insert(0, page, pd.Series([key] * len(joined), dtype=batch[page].dtype))
-                yield joined.assign(n=[len(rows)] + [0] * (len(joined) - 1))
-
-    def wholly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            ones = pa.array(np.ones(batch.num_rows, dtype=np.int64))
+            keys = batch.column(0).dictionary_encode()
+            number = keys.indices.to_numpy(zero_copy_only=False)
+            many = np.bincount(number, minlength=len(keys.dictionary))[number] > 64  # fewer are joined once, after the shuffle
+            whole = pa.RecordBatch.from_arrays([*batch.columns, ones], [page, *SIDES, "n"])
+            if not many.any():
+                yield whole
+                continue
+            yield whole.filter(pa.array(~many))
+            matrix = np.column_stack([_numbers(c) for c in batch.columns[1:]])
+            for k in np.unique(number[many]):
+                rows = matrix[number == k]
+                joined = regions(rows, gap)
+                counts = np.zeros(len(joined), dtype=np.int64)
+                counts[0] = len(rows)
+                yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(np.full(len(joined), k))), *[pa.array(c, from_pandas=True) for c in joined.T], pa.array(counts)], [page, *SIDES, "n"])
+
+    def wholly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, shapes, n in zip(batch[page], batch["shapes"], batch["n"], strict=True):
-                found = regions(np.array([[b[s] for s in SIDES] for b in shapes], float), gap)
-                width, height = found[:, 2] - found[:, 0], found[:, 3] - found[:, 1]
-                found = found[(np.minimum(width, height) >= least_side) & (width * height >= least_area) & (width < 0.97 * most_width)]
-                found = found[np.lexsort((found[:, 0], found[:, 1]))] + np.array([-pad, -pad, pad, pad])
-                rows += [(key, k, *b, n > most) for k, b in enumerate(found.tolist())]
-            yield pd.DataFrame(rows, columns=[page, "region", *SIDES, "crowded"])
+            shapes = batch.column(1)
+            sizes = np.diff(shapes.offsets.to_numpy())
+            flat = shapes.flatten()
+            matrix = np.column_stack([_numbers(flat.field(s)) for s in SIDES]) if len(flat) else np.empty((0, 4))
+            at, found = _regions_of_all(np.repeat(np.arange(len(sizes)), sizes), matrix, gap)
+            width, height = found[:, 2] - found[:, 0], found[:, 3] - found[:, 1]
+            kept = (np.minimum(width, height) >= least_side) & (width * height >= least_area) & (width < 0.97 * most_width)
+            at, found = at[kept], found[kept]
+            order = np.lexsort((found[:, 0], found[:, 1], at))
+            at, found = at[order], found[order] + np.array([-pad, -pad, pad, pad])
+            region = np.arange(len(at)) - np.searchsorted(at, at)
+            crowded = batch.column(2).to_numpy(zero_copy_only=False)[at] > most
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(region, pa.int32()), *[pa.array(c) for c in found.T], pa.array(crowded)], [page, "region", *SIDES, "crowded"])
 
     slim = boxes.select(page, *[F.col(s).cast("double").alias(s) for s in SIDES]).where(F.col(page).isNotNull())
-    joined = slim.mapInPandas(partly, f"{page} {kind}, {sides}, n long")
+    joined = slim.mapInArrow(partly, f"{page} {kind}, {sides}, n long")
     pages = joined.groupBy(page).agg(F.collect_list(F.struct(*SIDES)).alias("shapes"), F.sum("n").alias("n"))
-    return pages.mapInPandas(wholly, f"{page} {kind}, region int, {sides}, crowded boolean")
+    return pages.mapInArrow(wholly, f"{page} {kind}, region int, {sides}, crowded boolean")
 
 
 def bands(headings: DataFrame, page: str, y: str, height: Column) -> DataFrame:

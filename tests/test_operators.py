@@ -182,6 +182,20 @@ def test_regions_are_those_of_pairwise_joins(seed):
     assert sorted(map(tuple, geometry.regions(boxes, 4).tolist())) == by_pairs(boxes.tolist(), 4)
 
 
+@pytest.mark.parametrize("few, at_once", [(64, 20_000), (64, 90), (20, 30), (0, 5)])
+def test_many_pages_are_joined_at_once_as_each_for_itself(few, at_once, monkeypatch):
+    rng = np.random.default_rng(few)
+    page = np.sort(rng.integers(0, 40, 900) ** 2 // 40)
+    corner = rng.integers(0, 250, (len(page), 2))
+    boxes = np.hstack([corner, corner + rng.integers(1, 30, (len(page), 2))]).astype(float)
+    boxes[::97, rng.integers(0, 4)] = np.nan
+    want = [(k, *b) for k in np.unique(page).tolist() for b in sorted(map(tuple, geometry.regions(boxes[page == k], 4).tolist()), key=lambda b: [(np.isnan(x), x) for x in b])]
+    if few:
+        monkeypatch.setattr(geometry, "regions", lambda b, gap, whole=geometry.regions: whole(b, gap) if len(b) > few else pytest.fail("a call for each small page"))
+    at, found = geometry._regions_of_all(page, boxes, 4, few=few, at_once=at_once)
+    np.testing.assert_array_equal(np.column_stack([at, found]), np.array(want))
+
+
 def test_region_clusters(spark):
     df = spark.createDataFrame([(1, 0.0, 0.0, 60.0, 60.0), (1, 64.0, 0.0, 100.0, 60.0), (1, 300.0, 300.0, 310.0, 310.0)], "page int, x0 double, top double, x1 double, bottom double")
     assert rows(geometry.clusters(df, "page")) == [(1, 0, -6.0, -6.0, 106.0, 66.0, False)]
