@@ -109,62 +109,74 @@ def tables_of_tasks(headings: DataFrame, tables: DataFrame, tasks: DataFrame, ke
     return placed.unionByName(told.where(F.col("by_order") & (F.col("_i") < F.col("n"))).select(key, F.col("_i").alias("task"), "table", F.lit(True).alias("by_order")))
 
 
+def _gathered(cells: DataFrame, key: list[str], *more: Column) -> DataFrame:
+    """key, _rows: a table's rows (row, cells) in order, as one array."""
+    return cells.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("row", "cells"))).alias("_rows"), *more)
+
+
+def _pairs(rows: str) -> Column:
+    """The pairs (left, right) of columns of a table's rows."""
+    places = lambda cells, pattern: F.filter(F.transform(cells, lambda c, i: F.when(F.trim(c).rlike(pattern), i)), lambda x: x.isNotNull())
+    heads = F.filter(rows, lambda r: (r["row"] < HEADER_ROWS) & F.exists(r["cells"], lambda c: c.contains(HEADER)))
+    told = F.transform(heads, lambda r: F.struct(places(r["cells"], IN_GENERAL).alias("a"), places(r["cells"], IN_DETAIL).alias("b")))
+    named = F.filter(told, lambda x: (F.size(x["a"]) > 0) & (F.size(x["a"]) == F.size(x["b"])))
+    first = F.get(F.transform(named, lambda x: F.arrays_zip(x["a"], x["b"]).cast("array<struct<left:int,right:int>>")), F.lit(0))
+    wide = F.array_max(F.transform(rows, lambda r: F.size(r["cells"])))
+    return F.coalesce(first, F.when(wide > 1, F.array(F.struct(F.lit(0).alias("left"), (wide - 1).alias("right")))))
+
+
 def column_pairs(cells: DataFrame, key: list[str]) -> DataFrame:
     """key, pair (from 0), left, right: the columns of general and detailed requirements.
 
     cells: key, row (from 0), cells. The first of five rows that names as many of both tells; without one (a table cut by a page) the first and the last column."""
-    places = lambda pattern: F.filter(F.transform("cells", lambda c, i: F.when(F.trim(c).rlike(pattern), i)), lambda x: x.isNotNull())
-    told = cells.where(F.col("row") < HEADER_ROWS).select(*key, "row", places(IN_GENERAL).alias("_a"), places(IN_DETAIL).alias("_b"))
-    named = told.where((F.size("_a") > 0) & (F.size("_a") == F.size("_b"))).groupBy(*key).agg(F.min_by(F.struct("_a", "_b"), "row").alias("_p"))
-    wide = cells.groupBy(*key).agg(F.max(F.size("cells")).alias("_w")).join(named, key, "left")
-    only = F.when(F.col("_w") > 1, F.array(F.struct(F.lit(0).alias("_a"), (F.col("_w") - 1).alias("_b"))))
-    pairs = wide.select(*key, F.posexplode(F.coalesce(F.arrays_zip("_p._a", "_p._b"), only)).alias("pair", "_x"))
-    return pairs.select(*key, "pair", F.col("_x._a").alias("left"), F.col("_x._b").alias("right"))
+    return _gathered(cells, key).select(*key, F.posexplode(_pairs("_rows")).alias("pair", "_x")).select(*key, "pair", "_x.left", "_x.right")
 
 
 def requirements(cells: DataFrame, codes: DataFrame, key: str) -> DataFrame:
     """key, table, kind (general, detailed), regime, stage, path, content, place of the tables of requirements, each once.
 
     cells: key, table, explicit (how paths are written), row, cells; codes: key, codes (of the key's regimes, in order). A pair of columns
-    has the regime of its caption, else that of its place among the key's regimes, else the first. A stage holds for all that follows it."""
+    has the regime of its caption, else that of its place among the key's regimes, else the first. A stage holds for all that follows it.
+
+    A table's rows are gathered once and read there; each pattern runs once over a text. Cells dealt out by key aren't shuffled again."""
     own = [key, "table"]
-    pairs = column_pairs(cells, own)
-    rows = cells.join(pairs, own)
-    at = lambda c: F.coalesce(F.trim(F.get("cells", F.col(c))), F.lit(""))
+    tables = _gathered(cells.where(F.col(key).isNotNull() & F.col("table").isNotNull()), own, F.first("explicit").alias("explicit"))
+    silent = lambda r: F.exists(r["cells"], lambda c: c.contains(HEADER) | F.trim(c).rlike(NO_CONTENT)) | F.forall(r["cells"], lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")
+    read = tables.select(*own, "explicit", "_rows", F.filter("_rows", lambda r: ~F.coalesce(silent(r), F.lit(False))).alias("_kept"))
+    pairs = read.select(*own, "explicit", F.filter("_rows", lambda r: r["row"] < HEADER_ROWS).alias("_top"), "_kept", F.posexplode(F.when(F.size("_kept") > 0, _pairs("_rows"))).alias("pair", "_x"))
     # the caption over a pair
-    caption = F.trim(F.array_join(F.slice(F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))), F.col("left") + 1, F.col("right") - F.col("left") + 1), " "))
-    over = rows.where(F.col("row") < HEADER_ROWS).select(*own, "pair", "row", caption.alias("_c")).where((F.col("_c") != "") & ~F.col("_c").contains(HEADER))
-    name = F.coalesce(*[F.when(F.col("_c").rlike(p), caption_name(F.regexp_extract("_c", f"({p})", 1), order)) for order, p, _ in CAPTIONS])
-    captioned = over.select(*own, "pair", "row", name.alias("_n")).where("_n is not null").groupBy(*own, "pair").agg(F.min_by("_n", "row").alias("_n"))
-    told = pairs.join(captioned, [*own, "pair"], "left").join(codes, key, "left")
+    caption = lambda cells: F.trim(F.array_join(F.slice(F.transform(cells, lambda c: F.trim(F.coalesce(c, F.lit("")))), F.col("_x.left") + 1, F.col("_x.right") - F.col("_x.left") + 1), " "))
+    over = F.filter(F.transform("_top", lambda r: caption(r["cells"])), lambda c: (c != "") & ~c.contains(HEADER))
+    name = lambda c: F.coalesce(*[F.when(c.rlike(p), caption_name(F.regexp_extract(c, f"({p})", 1), order)) for order, p, _ in CAPTIONS])
+    # what stands in the columns
+    column = lambda c, end: F.array_join(F.transform(F.sort_array(F.transform("_kept", lambda r: F.struct(r["row"].alias("row"), F.coalesce(F.trim(F.get(r["cells"], F.col(c))), F.lit("")).alias("x")))), lambda r: r["x"]), end)
+    told = pairs.select(*own, "pair", "explicit", F.get(F.filter(F.transform(over, name), lambda n: n.isNotNull()), F.lit(0)).alias("_n"), column("_x.left", " ").alias("_left"), column("_x.right", " \n").alias("_right"))
     named = F.when(F.col("_n") != GENERAL, F.coalesce(F.get(F.filter("codes", lambda c: c.endswith(F.col("_n"))), F.lit(0)), F.col("_n")))
     regime = F.coalesce(named, F.get("codes", F.col("pair")), F.get("codes", F.lit(0)))
-    regimes_ = told.select(*own, "pair", regime.alias("regime"))
-    # what stands in the columns
-    silent = F.exists("cells", lambda c: c.contains(HEADER) | F.trim(c).rlike(NO_CONTENT)) | F.forall("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))) == "")
-    texts = rows.where(~F.coalesce(silent, F.lit(False))).groupBy(*own, "pair").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", at("left").alias("x")))), lambda r: r["x"]), " ").alias("_left"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", at("right").alias("x")))), lambda r: r["x"]), " \n").alias("_right"), F.first("explicit").alias("explicit"),
-    ).join(regimes_, [*own, "pair"])
-    left = one_line(F.col("_left"))
-    general = texts.select(*own, F.lit("general").alias("kind"), "regime", F.lit(None).cast("string").alias("stage"), F.regexp_extract(left, GENERAL_PATH, 1).alias("path"), F.substring(F.trim(F.regexp_extract(left, GENERAL_PATH, 2)), 1, 400).alias("content"), "pair", F.lit(0).alias("_p"), F.lit(0).alias("_k")).where("path <> ''")
-    stage = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_s"), "^(?:KLASY|Klasy)\\s+", ""), "\\s+[iI]\\s+", "-"), "\\s", ""), "[–—−]", "-")
-    pieces = texts.select(*own, "pair", "regime", "explicit", F.posexplode(F.arrays_zip(F.split("_right", STAGE).alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("_right", F.lit(STAGE), F.lit(1))).alias("s"))).alias("_p", "_x"))
-    # items end where the next begins
-    shown = pieces.select(*own, "pair", "regime", "explicit", "_p", F.col("_x.s").alias("_s"), one_line(F.col("_x.x")).alias("_t"))
-    details = None
+    texts = told.join(codes, key, "left").select(*own, "pair", "explicit", regime.alias("regime"), "_left", "_right", F.regexp_extract_all("_right", F.lit(STAGE), F.lit(1)).alias("_stages"))
+    # the general text, and the pieces of the detailed one that begin with a stage
+    text = F.when(F.size("_stages") == 0, F.array("_right")).otherwise(F.split("_right", STAGE))
+    piece = "array<struct<general:boolean,p:int,x:string,s:string>>"
+    pieces = F.transform(F.arrays_zip(text.alias("x"), F.concat(F.array(F.lit(None).cast("string")), F.col("_stages")).alias("s")), lambda x, i: F.struct(F.lit(False), i, x["x"], x["s"])).cast(piece)
+    general = F.array(F.struct(F.lit(True), F.lit(0), F.col("_left"), F.lit(None).cast("string"))).cast(piece)
+    stage = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col("_x.s"), "^(?:KLASY|Klasy)\\s+", ""), "\\s+[iI]\\s+", "-"), "\\s", ""), "[–—−]", "-")
+    shown = texts.select(*own, "pair", "explicit", "regime", F.explode(F.concat(general, pieces)).alias("_x")).select(*own, "pair", "explicit", "regime", "_x.general", F.col("_x.p").alias("_p"), stage.alias("stage"), one_line(F.col("_x.x")).alias("_t"))
+    # items end where the next begins; an item is a section with a colon behind it, or number, bracket, space, content and the mark
+    items = F.when(F.col("general"), F.filter(F.array(F.regexp_extract("_t", GENERAL_PATH, 0)), lambda x: x != ""))
     for how, (border, item) in ITEMS.items():
-        some = shown.where(F.col("explicit") == (how == "explicit")).withColumn("_m", F.concat(F.regexp_replace("_t", border, "\u0001$1"), F.lit("\u0001")))
-        part = lambda k, item=item: F.regexp_extract_all("_m", F.lit(item), F.lit(k))
-        items = some.select(*own, "pair", "regime", "_p", stage.alias("stage"), F.posexplode(F.arrays_zip(part(1).alias("section"), part(2).alias("number"), part(3).alias("content"))).alias("_k", "_i"))
-        details = items if details is None else details.unionByName(items)
+        items = items.when(F.col("explicit") == (how == "explicit"), F.regexp_extract_all(F.concat(F.regexp_replace("_t", border, "\u0001$1"), F.lit("\u0001")), F.lit(item), F.lit(0)))
+    found = shown.select(*own, "pair", "explicit", "regime", "general", "_p", "stage", F.posexplode(items).alias("_k", "_i"))
+    heading = ~F.col("general") & F.col("_i").endswith(":")
+    number = F.when(F.col("general"), F.substring_index("_i", ".", 1)).when(~heading, F.substring_index("_i", ")", 1))
     # a section holds for the points behind it in its piece
-    upto = Window.partitionBy(*own, "pair", "_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    section = F.last(F.nullif("_i.section", F.lit("")), ignorenulls=True).over(upto)
-    detailed = details.withColumn("_section", section).where("_i.number <> ''").join(cells.select(*own, "explicit").distinct(), own).where("explicit or _section is not null")
-    path = F.when(F.col("explicit"), F.col("_i.number")).otherwise(F.concat_ws(".", "_section", "_i.number"))
-    content = F.substring(one_line(F.translate("_i.content", "\u0001", " ")), 1, 400)
-    both = general.unionByName(detailed.select(*own, F.lit("detailed").alias("kind"), "regime", "stage", path.alias("path"), content.alias("content"), "pair", "_p", "_k"))
-    first = both.groupBy(*own, "kind", "regime", "stage", "path").agg(F.min_by("content", F.struct("pair", "_p", "_k")).alias("content"), F.min(F.struct("pair", "_p", "_k")).alias("_at"))
+    upto = Window.partitionBy(*own, "pair", "general", "_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.last(F.when(heading, F.substring_index("_i", ".", 1)), ignorenulls=True).over(upto)
+    numbered = found.withColumn("_n", number).withColumn("_section", section).where("_n is not null and (general or explicit or _section is not null)")
+    inner = F.substr("_i", F.length("_n") + 3, F.length("_i") - F.length("_n") - 3)
+    content = F.when(F.col("general"), F.trim(F.substr("_i", F.length("_n") + 2))).otherwise(one_line(F.translate(inner, "\u0001", " ")))
+    path = F.when(F.col("general") | F.col("explicit"), F.col("_n")).otherwise(F.concat_ws(".", "_section", "_n"))
+    kind = F.when(F.col("general"), "general").otherwise("detailed")
+    both = numbered.select(*own, kind.alias("kind"), "regime", "stage", path.alias("path"), F.substring(content, 1, 400).alias("content"), F.struct("pair", "_p", "_k").alias("_at"))
+    first = both.groupBy(*own, "kind", "regime", "stage", "path").agg(F.min_by("content", "_at").alias("content"), F.min("_at").alias("_at"))
     place = F.row_number().over(Window.partitionBy(*own, "kind").orderBy("_at")) - 1
     return first.select(*own, "kind", "regime", "stage", "path", "content", place.alias("place"))

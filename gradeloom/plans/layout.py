@@ -114,11 +114,30 @@ def key_regimes(spark: SparkSession, d: str) -> DataFrame:
     return requirements.regimes(keys, "k", "t", "f", F.lit("e8"))
 
 
-_ROWS = """SELECT o_orderkey AS k, cast(o_custkey % 3 AS int) AS tab, cast(0 AS int) AS row, case when o_orderkey % 2 = 0 then 'Podstawa programowa 2012' else '' end AS c0, '' AS c1, case when o_orderkey % 4 = 0 then 'Podstawa programowa 2017' else '' end AS c2, '' AS c3 FROM orders
- UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 1, 'Wymaganie ogólne', 'Wymagania szczegółowe', 'Wymagania ogólne', 'Wymaganie szczegółowe' FROM orders WHERE o_orderkey % 3 > 0
- UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 2, case o_orderkey % 4 when 0 then 'I. Sprawność' when 1 then 'IV. Rozumowanie' else 'bez numeru' end, case o_custkey % 4 when 0 then 'KLASY IV–VI' when 1 then 'Klasy VII i VIII' when 2 then 'IV — VI' else 'KLASY VII - VIII' end, 'II. Wykorzystanie', '1. Liczby. Uczeń: 7) dzieli ' || o_orderpriority FROM orders
- UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 3, 'rachunkowa', '2. Działania. Uczeń: 3) dodaje  liczby 12) mnoży ' || o_orderpriority, null, 'KLASY IV–VI IX. Ułamki. Zdający: 1) skraca ułamki 2) mnoży je' FROM orders
- UNION ALL SELECT o_orderkey, cast(o_custkey % 3 AS int), 4, 'Zadanie 7', 'XI. Nic. Uczeń: 1) to nie treść', '', '' FROM orders"""
+#: Rows of a table of four columns as SQL that Spark and other engines read alike: row, the cells, for which orders.
+_CELLS = [
+    (0, "case when o_orderkey % 2 = 0 then 'Podstawa programowa 2012' else '' end", "''", "case when o_orderkey % 4 = 0 then 'Podstawa programowa 2017' else '' end", "''"),
+    (1, "'Wymaganie ogólne'", "'Wymagania szczegółowe'", "'Wymagania ogólne'", "'Wymaganie szczegółowe'", "o_orderkey % 3 > 0"),
+    (2, "case o_orderkey % 4 when 0 then 'I. Sprawność' when 1 then 'IV. Rozumowanie' else 'bez numeru' end", "case o_custkey % 4 when 0 then 'KLASY IV–VI' when 1 then 'Klasy VII i VIII' when 2 then 'IV — VI' else 'KLASY VII - VIII' end", "'II. Wykorzystanie'", "'1. Liczby. Uczeń: 7) dzieli ' || o_orderpriority"),
+    (3, "'rachunkowa'", "'2. Działania. Uczeń: 3) dodaje  liczby 12) mnoży ' || o_orderpriority", "null", "'KLASY IV–VI IX. Ułamki. Zdający: 1) skraca ułamki 2) mnoży je'"),
+    (4, "'Zadanie 7'", "'XI. Nic. Uczeń: 1) to nie treść'", "''", "''"),
+]
+
+
+def _table_row(row: int, c0: str, c1: str, c2: str, c3: str, where: str = "") -> str:
+    if row:
+        return f"SELECT o_orderkey, cast(o_custkey % 3 AS int), {row}, {c0}, {c1}, {c2}, {c3} FROM orders" + (f" WHERE {where}" if where else "")
+    return f"SELECT o_orderkey AS k, cast(o_custkey % 3 AS int) AS tab, cast(0 AS int) AS row, {c0} AS c0, {c1} AS c1, {c2} AS c2, {c3} AS c3 FROM orders"
+
+
+_ROWS = "\n UNION ALL ".join(_table_row(*c) for c in _CELLS)
+
+
+def _cells(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of _ROWS; orders are dealt out by key before they become rows, so that a table's rows stay together."""
+    orders = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority").repartition("o_orderkey")
+    every = F.array(*[F.expr(f"case when {(*c, 'true')[5]} then named_struct('row', {c[0]}, 'cells', array({', '.join(c[1:5])})) end") for c in _CELLS])
+    return orders.select(F.col("o_orderkey").alias("k"), (F.col("o_custkey") % 3).cast("int").alias("table"), F.lit(False).alias("explicit"), F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
 @query(rf"""WITH cells AS MATERIALIZED (SELECT k, tab, row, [c0, c1, c2, c3] AS c FROM ({_ROWS})), headed AS (SELECT k, tab, bool_or(regexp_matches(trim(c[1]), '{requirements.IN_GENERAL}')) AS two FROM cells GROUP BY ALL),
@@ -137,7 +156,6 @@ _ROWS = """SELECT o_orderkey AS k, cast(o_custkey % 3 AS int) AS tab, cast(0 AS
  both_ AS (SELECT * FROM general UNION ALL SELECT k, tab, 'detailed', regime, stage, sec || '.' || number, trim(replace(content, chr(1), ' ')), pair, p, i FROM carried WHERE number <> '' AND sec IS NOT NULL)
  SELECT k, tab, kind, regime, stage, path, content, row_number() OVER (PARTITION BY k, tab, kind ORDER BY pair, p, i) - 1 AS place FROM (SELECT * FROM both_ QUALIFY row_number() OVER (PARTITION BY k, tab, kind, regime, stage, path ORDER BY pair, p, i) = 1)""")
 def key_requirements(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.sql(_ROWS.replace("FROM orders", "FROM {orders}"), orders=t(spark, d, "orders"))
-    cells = rows.select("k", F.col("tab").alias("table"), F.lit(False).alias("explicit"), "row", F.array("c0", "c1", "c2", "c3").alias("cells"))
-    codes = rows.select("k").distinct().withColumn("codes", F.array(F.lit("e8-wym2021"), F.lit("e8-pp2012")))
+    cells = _cells(spark, d)
+    codes = t(spark, d, "orders").select(F.col("o_orderkey").alias("k")).repartition("k").distinct().withColumn("codes", F.array(F.lit("e8-wym2021"), F.lit("e8-pp2012")))
     return requirements.requirements(cells, codes, "k").withColumnRenamed("table", "tab")

@@ -74,3 +74,19 @@ def test_requirements(spark):
         ("m", 1, "detailed", "m-pp2024", None, "XIII.R1", "liczy prawdopodobieństwo", 0), ("m", 1, "detailed", "m-pp2024", None, "G1.6", "stosuje wzory", 1), ("m", 1, "detailed", "m-pp2024", None, "1.3", "krótko", 2),
     ]
     assert rq.requirements(cells.limit(0), codes, "k").collect() == []
+
+
+def test_a_table_is_gathered_once(spark):
+    from gradeloom.plans import layout
+
+    d = "/root/testdata/sf0.001"
+    said = spark.sql(layout._ROWS.replace("FROM orders", "FROM {orders}"), orders=spark.read.parquet(f"{d}/orders.parquet"))
+    got = layout._cells(spark, d).select("k", "table", "row", *[F.col("cells")[i] for i in range(4)])
+    assert got.exceptAll(said).count() == 0 and got.count() == said.count()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = layout.key_requirements(spark, d)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 2 and plan.count("FileScan") == 2  # the orders' and the codes'
