@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import pagetext, requirements
+from ..session import spread
 from ..session import table as t
 from .registry import query
 
@@ -29,18 +30,22 @@ _GLYPHS = [
     (8, "l_linestatus", 150, "100.5 + 14 * i", 11, "l_partkey % 3 > 0"), (9, "' '", 400, "100 + 14 * i", 11, "l_partkey % 4 = 0"),
 ]
 _CHARACTERS = f"WITH numbered AS ({_NUMBERED}) " + " UNION ALL ".join(_glyph(*g) for g in _GLYPHS)
-_BARS = f"SELECT l_orderkey AS page, cast(73.5 AS double) AS x0, cast(80.5 AS double) AS x1, cast(105.5 + 14 * i AS double) AS y FROM ({_NUMBERED}) numbered WHERE l_partkey % 11 > 0"
+#: The bar of a line, and which lines have one.
+_BAR = ({"x0": "cast(73.5 AS double)", "x1": "cast(80.5 AS double)", "y": "cast(105.5 + 14 * i AS double)"}, "l_partkey % 11 > 0")
+_BARS = f"SELECT l_orderkey AS page, {', '.join(f'{x} AS {name}' for name, x in _BAR[0].items())} FROM ({_NUMBERED}) numbered WHERE {_BAR[1]}"
 
 
-def _characters(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of _CHARACTERS; lines are numbered once, not for each character of a line, and stay dealt out by page."""
-    lines = spark.sql(_NUMBERED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t(spark, d, "lineitem"))
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    """Lines as parts of their pages, with the characters of _CHARACTERS and the bars of _BARS: lines are dealt out and numbered once."""
+    lines = spark.sql(_NUMBERED.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spread(t(spark, d, "lineitem"), "l_orderkey"))
     every = F.array(*[F.expr(_struct(*g)) for g in _GLYPHS])
-    return lines.select(F.col("l_orderkey").alias("page"), F.inline_outer(F.filter(every, lambda x: x.isNotNull())))
+    bar = F.expr(f"case when {_BAR[1]} then array(named_struct({', '.join(f'{chr(39)}{name}{chr(39)}, {x}' for name, x in _BAR[0].items())})) end")
+    return lines.select(F.col("l_orderkey").alias("page"), F.filter(every, lambda x: x.isNotNull()).alias("glyphs"), bar.alias("bars"))
 
 
-def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return spark.sql(_BARS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=t(spark, d, "lineitem"))
+def _characters(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of _CHARACTERS; lines are numbered once, not for each character of a line, and stay dealt out by page."""
+    return _parts(spark, d).select("page", F.inline_outer("glyphs"))
 
 
 _SIZES = f"""characters AS MATERIALIZED ({_CHARACTERS.replace("AS string", "AS varchar")}), bars AS ({_BARS}),
@@ -61,13 +66,13 @@ _LINES = rf"""{_FRACTIONS}, base_rows AS (SELECT DISTINCT page, round_even((y0 +
 
 @query(f"WITH {_FRACTIONS} SELECT page, x0, y, above[1] AS first_above, below[1] AS first_below, len(above) + len(below) AS n FROM fractions")
 def page_fractions(spark: SparkSession, d: str) -> DataFrame:
-    found = pagetext.fractions(_characters(spark, d), _bars(spark, d))
+    found = pagetext.fractions_of(_parts(spark, d))
     return found.select("page", "x0", "y", F.get("above", F.lit(0)).alias("first_above"), F.get("below", F.lit(0)).alias("first_below"), (F.size("above") + F.size("below")).alias("n"))
 
 
 @query(f"WITH {_LINES} SELECT page, row, (CASE WHEN w THEN segment ELSE 0 END)::BIGINT AS segment, string_agg(c, '' ORDER BY x0, n) AS glyphs FROM lines WHERE s OR NOT w GROUP BY ALL")
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    placed = pagetext.lines(_characters(spark, d), _bars(spark, d))
+    placed = pagetext.lines(_characters(spark, d), _parts(spark, d).select("page", F.inline("bars")))
     in_order = F.sort_array(F.collect_list(F.struct("x0", "n", "c")))
     return placed.groupBy("page", "row", F.col("segment").cast("long").alias("segment")).agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("glyphs"))
 
@@ -75,7 +80,7 @@ def page_lines(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
     """Whole pages with fractions, powers and indices; SQL can't fold them."""
-    return pagetext.page_texts(_characters(spark, d), _bars(spark, d))
+    return pagetext.page_texts_of(_parts(spark, d))
 
 
 @query("""WITH marks AS (SELECT o_custkey AS k, month(o_orderdate)::INT AS page, (o_orderkey % 100)::DOUBLE AS y, o_orderkey FROM orders), tasks AS (SELECT o_custkey AS k, floor(count(*) / 2)::INT AS n FROM orders GROUP BY 1),

@@ -143,3 +143,54 @@ def test_lines_are_numbered_once_for_all_their_characters(spark):
     said = spark.sql(layout._CHARACTERS.replace("FROM lineitem", "FROM {lineitem}"), lineitem=spark.read.parquet(f"{d}/lineitem.parquet"))
     assert got.columns == said.columns
     assert got.exceptAll(said).count() == 0 and got.count() == said.count()
+
+
+def crowded_pages(seed):
+    """Pages whose bars stand within each other, share characters or are equal, with blanks, empty texts and close sizes."""
+    rng = random.Random(seed)
+    out = {}
+    for p in range(60):
+        glyphs, bars = [], []
+        for _ in range(rng.randrange(1, 40)):
+            x, y, size = 50 + 4 * rng.randrange(30), 100 + 3.5 * rng.randrange(12), rng.choice([11, 11, 11, 10.75, 7.25, 7, 9])
+            glyphs.append(Glyph(rng.choice(["1", "x", "ab", "−", " ", "", "\U0001d465", "^", "_", "²", "abc"]), x, x + rng.choice([4, 6, 18]), y, size))
+        for _ in range(rng.randrange(0, 8)):
+            x, y = 49 + 4 * rng.randrange(30), 100 + 3.5 * rng.randrange(12)
+            wide = rng.choice([8, 8, 20, 60])
+            bars.append(Rule(x, x + wide, y))
+            glyphs += run(rng.choice(["1", "3n", "x2"]), x + 1, y - 6, 9, 4) + run(rng.choice(["2", "y"]), x + 1, y + 6, 9, 4)
+            if rng.random() < 0.4:
+                bars.append(Rule(x + rng.choice([0, 1, 3]), x + 6, y + rng.choice([-2, 0, 2])))
+        out[p] = (glyphs, sorted(set(bars), key=lambda b: (b.x0, b.x1, b.y)))
+    return out
+
+
+def test_pages_that_come_in_small_batches_are_whole(spark):
+    made = crowded_pages(3)
+    characters, bars = tables(spark, made)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = []
+    try:
+        for most in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", most)
+            texts.append({r.page: r.text for r in pagetext.page_texts(characters, bars).collect()})
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert texts[0] == texts[1] == {p: brute_page(*made[p]) for p in made}
+    assert sum("/" in t for t in texts[0].values()) > 10 and sum("/" in t.partition("/")[2] for t in texts[0].values()) > 3
+
+
+def test_characters_without_text_or_place(spark):
+    rows = [(1, 0, "a", 10.0, 16.0, 95.0, 106.0, 11.0), (1, 1, None, 16.0, 22.0, 95.0, 106.0, 11.0), (1, 2, "b", 22.0, 28.0, 95.0, 106.0, 11.0), (1, 3, "c", 22.0, 28.0, None, 106.0, 11.0), (None, 4, "d", 1.0, 2.0, 3.0, 4.0, 5.0)]
+    characters = spark.createDataFrame(rows, CHARACTER)
+    bars = spark.createDataFrame([(1, None, 2.0, 3.0), (5, 1.0, 2.0, 3.0)], BAR)
+    assert [(r.page, r.text) for r in pagetext.page_texts(characters, bars).collect()] == [(1, "c\nab")]
+    assert sorted((r.n, r.row) for r in pagetext.lines(characters, bars).collect()) == [(0, 34), (1, 34), (2, 34), (3, None)]
+
+
+@pytest.mark.parametrize("name", ["page_texts", "page_fractions"])
+def test_pages_are_gathered_once(spark, name):
+    from gradeloom.plans import registry
+
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
