@@ -72,9 +72,7 @@ def page_fractions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_LINES} SELECT page, row, (CASE WHEN w THEN segment ELSE 0 END)::BIGINT AS segment, string_agg(c, '' ORDER BY x0, n) AS glyphs FROM lines WHERE s OR NOT w GROUP BY ALL")
 def page_lines(spark: SparkSession, d: str) -> DataFrame:
-    placed = pagetext.lines(_characters(spark, d), _parts(spark, d).select("page", F.inline("bars")))
-    in_order = F.sort_array(F.collect_list(F.struct("x0", "n", "c")))
-    return placed.groupBy("page", "row", F.col("segment").cast("long").alias("segment")).agg(F.array_join(F.transform(in_order, lambda x: x["c"]), "").alias("glyphs"))
+    return pagetext.line_glyphs_of(_parts(spark, d))
 
 
 @query()

@@ -188,7 +188,7 @@ def test_characters_without_text_or_place(spark):
     assert sorted((r.n, r.row) for r in pagetext.lines(characters, bars).collect()) == [(0, 34), (1, 34), (2, 34), (3, None)]
 
 
-@pytest.mark.parametrize("name", ["page_texts", "page_fractions"])
+@pytest.mark.parametrize("name", ["page_texts", "page_lines", "page_fractions"])
 def test_pages_are_gathered_once(spark, name):
     from gradeloom.plans import registry
 
