@@ -31,6 +31,10 @@ _LINE = r"^[ \t]*(\d+)[ \t]*pkt((?:[^\pL\pN_\n][^\n]*)?)$"
 _PAGE = r"(?m)^\s*(?:Strona\s+\d+\s+z\s+\d+|Zasady oceniania rozwiązań zadań|Egzamin {exam} z .{{3,{wide}}}?[-–—] termin .{{3,30}}?\d{{4}} r\.)\s*$"
 _PRIMARY_PAGE = _PAGE.format(exam="ósmoklasisty", wide=40)
 _SECONDARY_PAGE = _PAGE.format(exam="maturalny", wide=60)
+_LUB = r"\n\s*LUB\s*,?\s*\n"
+_ANY_LUB = r"\n\s*(?:LUB|lub)\s*,?\s*\n"
+_ALBO = r"\n\s*ALBO\s*,?\s*\n"
+_ONLY_ALBO = r"\n\s*albo\s*,?\s*\n|\s{3,}albo\s{3,}"
 _EITHER = r"\n\s*(?:albo|lub)\s*,?\s*\n|\s{3,}(?:albo|lub)\s{3,}"
 _NOTES = r"\n\s*Uwag[ai][.:]?\s*\n"
 _PRIMARY_METHOD = r"(?m)^\s*(I{1,3}V?|VI{0,3})\s+sposób"
@@ -44,8 +48,8 @@ _GENERAL_NOTES = r"(?m)^\s*Uwagi ogólne:?\s*$"
 PATTERNS = [
     ("e8-2019", "threshold_label", 1, _HEADER),
     ("e8-2019", "threshold_line", 2, _LINE),
-    ("e8-2019", "alternative", 1, r"\n\s*(?:LUB|lub)\s*,?\s*\n"),
-    ("e8-2019", "equivalent", 1, r"\n\s*albo\s*,?\s*\n|\s{3,}albo\s{3,}"),
+    ("e8-2019", "alternative", 1, _ANY_LUB),
+    ("e8-2019", "equivalent", 1, _ONLY_ALBO),
     ("e8-2019", "answers", 1, _ALONE),
     ("e8-2019", "solutions", 1, _PRIMARY_SOLUTIONS),
     ("e8-2019", "method", 1, _PRIMARY_METHOD),
@@ -56,7 +60,7 @@ PATTERNS = [
     ("e8-2019", "page", 1, _PRIMARY_PAGE),
     ("e8-2020", "threshold_label", 1, _HEADER),
     ("e8-2020", "threshold_line", 2, _LINE),
-    ("e8-2020", "alternative", 1, r"\n\s*LUB\s*,?\s*\n"),
+    ("e8-2020", "alternative", 1, _LUB),
     ("e8-2020", "equivalent", 1, _EITHER),
     ("e8-2020", "answers", 1, _BY_VERSIONS),
     ("e8-2020", "answers", 2, _ALONE),
@@ -68,7 +72,7 @@ PATTERNS = [
     ("e8-2020", "task_end", 1, _PRIMARY_END),
     ("e8-2020", "page", 1, _PRIMARY_PAGE),
     ("matura", "threshold_line", 1, _LINE),
-    ("matura", "alternative", 1, r"\n\s*ALBO\s*,?\s*\n"),
+    ("matura", "alternative", 1, _ALBO),
     ("matura", "equivalent", 1, _EITHER),
     ("matura", "answers", 1, _BY_TABLE),
     ("matura", "answers", 2, _BY_VERSIONS),
@@ -83,7 +87,7 @@ PATTERNS = [
     ("matura-2015", "threshold_label", 1, _GIVEN),
     ("matura-2015", "threshold_line", 2, _HEADER),
     ("matura-2015", "threshold_line", 3, _LINE),
-    ("matura-2015", "alternative", 1, r"\n\s*ALBO\s*,?\s*\n"),
+    ("matura-2015", "alternative", 1, _ALBO),
     ("matura-2015", "equivalent", 1, _EITHER),
     ("matura-2015", "answers", 1, _BY_VERSIONS),
     ("matura-2015", "answers", 2, _BY_TABLE),
@@ -125,6 +129,25 @@ def layout(dialect: str) -> dict[str, str | bool | None]:
     return row
 
 
+_PAGE_SAYS = ["Strona", "Zasady oceniania rozwiązań zadań", "Egzamin"]
+#: What a text says where a pattern matches, at least one of these; a text without them needs no search. Patterns that aren't named here may match anywhere.
+SAYS = {
+    OLD_POINTS: ["Zdający otrzymuje"], MODERN_PAGE: ["Egzamin ósmoklasisty z "], _GIVEN: ["Zdający otrzymuje"], _HEADER: ["punkt"], _LINE: ["pkt"],
+    _LUB: ["LUB"], _ANY_LUB: ["LUB", "lub"], _ALBO: ["ALBO"], _ONLY_ALBO: ["albo"], _EITHER: ["albo", "lub"],
+    _BY_VERSIONS: ["Rozwiązanie"], _BY_TABLE: ["Rozwiązanie"], _ALONE: ["Rozwiązanie"], _PRIMARY_SOLUTIONS: ["Przykładow"], _SECONDARY_SOLUTIONS: ["Przykładow"],
+    _PRIMARY_METHOD: ["sposób"], _SECONDARY_METHOD: ["Sposób"], _NOTES: ["Uwag"], _PRIMARY_PAGE: _PAGE_SAYS, _SECONDARY_PAGE: _PAGE_SAYS,
+}
+SAYS |= {str(layout(d)["threshold"]): [w for one, r, _, p in PATTERNS if one == d and r.startswith("threshold") for w in SAYS[p]] for d in DIALECTS}
+
+
+def may_match(text: Column, pattern: str) -> Column:
+    """False where a text lacks what each match of a pattern says: looking for that costs much less than the pattern."""
+    out = F.lit(False) if pattern in SAYS else F.lit(True)
+    for said in SAYS.get(pattern, []):
+        out = out | text.contains(said)
+    return out
+
+
 LAYOUT_COLUMNS = [c for c in layout(DIALECTS[0]) if c != "dialect"]
 
 
@@ -146,8 +169,9 @@ def layouts_sql() -> str:
 def dialect(text: Column, name: Column) -> Column:
     """The layout of a key: by what it says, the file's name only tells the exam."""
     t = F.coalesce(text, F.lit(""))
+    says = lambda p: may_match(t, p) & t.rlike(p)
     secondary = F.substring(t, 1, 4000).contains("Egzamin maturalny") | F.coalesce(name, F.lit("")).rlike(SECONDARY_NAME)
-    return F.when(secondary & t.rlike(OLD_POINTS), "matura-2015").when(secondary, "matura").when(t.rlike(MODERN_PAGE), "e8-2020").otherwise("e8-2019")
+    return F.when(secondary, F.when(says(OLD_POINTS), "matura-2015").otherwise("matura")).otherwise(F.when(says(MODERN_PAGE), "e8-2020").otherwise("e8-2019"))
 
 
 def by(role: str, make: Callable[[str], Column]) -> Column:

@@ -3,14 +3,17 @@
 A key is a text; its dialect decides the patterns it is read with (``dialects``). Each step adds columns to rows, or
 makes rows of the parts of one column, so that a pattern runs once over a text; keys are read in parallel and only
 small tables are shuffled. Rows without a part are left out behind the rows made of it: a filter on a part would be
-pushed down to the texts, with all patterns that the part is made of once more. Patterns use no look-around, so that other engines can check them."""
+pushed down to the texts, with all patterns that the part is made of once more. Patterns use no look-around, so that other engines can check them.
+
+Texts that lack the words of a pattern aren't searched for it (``may_match``), and parts of a body are cut where a pattern was
+replaced by one character: Spark compiles a pattern that is replaced once, but one that a text is split by for each row."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dialects import DASH, FORMS, READERS, by, dialect
+from .dialects import DASH, FORMS, READERS, by, dialect, may_match
 
 #: How keys are written in all dialects.
 TASK = rf"Zadanie\s+(\d+(?:\.\d+)*)\.\s*\(\s*(?:0\s*{DASH}\s*(\d+)|(\d+)\s*pkt)\s*\)"
@@ -49,7 +52,30 @@ def one_line(text: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """One line without bullets in front, commas and semicolons at its ends, and the criteria's heading."""
-    return F.trim(F.replace(F.regexp_replace(F.regexp_replace(one_line(text), "^[•– -]+", ""), "^[ ,;]+|[ ,;]+$", ""), F.lit(CRITERIA), F.lit("")))
+    return F.trim(F.replace(F.btrim(F.ltrim(one_line(text), F.lit("•– -")), F.lit(" ,;")), F.lit(CRITERIA), F.lit("")))
+
+
+#: What stands for a border in a text that is to be cut there.
+_CUT = "\u0001"
+
+
+def _split(text: str, pattern: str) -> Column:
+    """A column cut at all matches of a pattern that matches no empty text."""
+    whole = F.col(text)
+    cut = F.when(whole.contains(_CUT), F.split(whole, pattern)).otherwise(F.split(F.regexp_replace(whole, pattern, _CUT), _CUT))
+    return F.when(may_match(whole, pattern), cut).when(whole.isNotNull(), F.array(whole))
+
+
+def _replace(text: str, pattern: str, shown: str) -> Column:
+    return F.when(may_match(F.col(text), pattern), F.regexp_replace(text, pattern, shown)).otherwise(F.col(text))
+
+
+def _extract(text: str, pattern: str, group: int) -> Column:
+    return F.when(may_match(F.col(text), pattern), F.regexp_extract(text, pattern, group)).when(F.col(text).isNotNull(), F.lit(""))
+
+
+def _extract_all(text: str, pattern: str, group: int) -> Column:
+    return F.when(may_match(F.col(text), pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).when(F.col(text).isNotNull(), F.array().cast("array<string>"))
 
 
 def _lines(block: Column) -> Column:
@@ -71,14 +97,16 @@ def tasks(keys: DataFrame, key: str, text: str, name: str | None = None) -> Data
     # where each body starts: the lengths of all before it, added up along the array
     lengths = F.zip_with(F.slice("_parts", 1, F.size("_heads")), "_heads", lambda p, h: F.length(p) + F.length(h))
     starts = F.aggregate(lengths, F.array().cast("array<int>"), lambda acc, n: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
-    bodies = F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("body"), F.col("_heads").alias("head"), starts.alias("starts"))
-    rows = cut.select(key, "dialect", F.size("_heads").alias("_n"), F.posexplode_outer(bodies).alias("_k", "_z")).where(F.col("_k").isNotNull())
-    last = F.col("_k") == F.col("_n") - 1
-    body = F.when(last, by("task_end", lambda p: F.get(F.split("_z.body", p, 2), F.lit(0)))).otherwise(F.col("_z.body"))
+    # the last body is cut before there are rows: a filter on what is made of a row's parts is pushed down and makes it twice
+    cut = cut.select("*", F.element_at("_parts", -1).alias("_tail"), starts.alias("_starts"))
+    last = F.when(F.size("_heads") > 0, F.array(by("task_end", lambda p: F.get(_split("_tail", p), F.lit(0))))).otherwise(F.array().cast("array<string>"))
+    bodies = F.concat(F.slice("_parts", 2, F.greatest(F.size("_parts") - 2, F.lit(0))), last)
+    cut = cut.select(key, "dialect", "_starts", F.arrays_zip(bodies.alias("body"), F.col("_heads").alias("head")).alias("_tasks"))
+    rows = cut.select(key, "dialect", "_starts", F.posexplode_outer("_tasks").alias("_k", "_z")).where(F.col("_k").isNotNull() & (F.length("_z.body") > 0))
     part = lambda g: F.nullif(F.regexp_extract("_z.head", TASK, g), F.lit(""))
     points = F.coalesce(part(2), part(3)).cast("int")
-    out = rows.select(key, "dialect", (F.col("_k") + 1).alias("ordinal"), part(1).alias("number"), points.alias("points"), body.alias("_body"), F.col("_z.starts").cast("long").alias("starts"))
-    return out.where(F.length("_body") > 0).select(key, "dialect", "ordinal", "number", "points", by("page", lambda p: F.regexp_replace("_body", p, "")).alias("body"), "starts")
+    out = rows.select(key, "dialect", (F.col("_k") + 1).alias("ordinal"), part(1).alias("number"), points.alias("points"), F.col("_z.body").alias("_body"), F.get("_starts", F.col("_k")).cast("long").alias("starts"))
+    return out.select(key, "dialect", "ordinal", "number", "points", by("page", lambda p: _replace("_body", p, "")).alias("body"), "starts")
 
 
 def page_of(pages: DataFrame, places: DataFrame, key: str, page: str, text: str, at: str) -> DataFrame:
@@ -107,23 +135,25 @@ def sections(found: DataFrame) -> DataFrame:
     _answer (the block that the first successful reader took) and its _versions, _solved (heading) and _solutions,
     _criteria (from their heading, or the body's begin, to the answers or solutions behind) and _notes."""
     readers = range(1, READERS + 1)
-    rows = found.select("*", *[by(f"answers_{k}", lambda p: F.regexp_extract("body", p, 0)).alias(f"_taken_{k}") for k in readers], by("solutions", lambda p: F.regexp_extract("body", p, 0)).alias("_head"))
+    rows = found.select("*", *[by(f"answers_{k}", lambda p: _extract("body", p, 0)).alias(f"_taken_{k}") for k in readers], by("solutions", lambda p: _extract("body", p, 0)).alias("_head"))
     rows = rows.withColumn("_solved", F.nullif("_head", F.lit("")))
     # a reader's block is what its third group holds; it succeeds if that isn't blank
-    group = lambda k, g: by(f"answers_{k}", lambda p: F.regexp_extract(f"_taken_{k}", p, g))
+    group = lambda k, g: by(f"answers_{k}", lambda p: _extract(f"_taken_{k}", p, g))
     rows = rows.select("*", *[group(k, 3).alias(f"_block_{k}") for k in readers])
-    wins = lambda value: F.coalesce(*[F.when(F.trim(F.regexp_replace(f"_block_{k}", r"\s+", " ")) != "", value(k)) for k in readers])
-    rows = rows.select("*", wins(lambda k: F.struct(F.col(f"_taken_{k}").alias("taken"), F.col(f"_block_{k}").alias("block"), F.array(group(k, 1), group(k, 2)).alias("versions"))).alias("_reader"))
+    rows = rows.select("*", F.coalesce(*[F.when(F.col(f"_block_{k}").rlike(r"\S"), F.lit(k)) for k in readers]).alias("_won"))
+    won = lambda value: F.coalesce(*[F.when(F.col("_won") == k, value(k)) for k in readers])
+    rows = rows.select("*", won(lambda k: F.col(f"_taken_{k}")).alias("_taken"), won(lambda k: F.col(f"_block_{k}")).alias("_block"), won(lambda k: F.array(group(k, 1), group(k, 2))).alias("_both"))
     rows = rows.select(
-        "*", F.coalesce("_reader.block", F.lit("")).alias("_answer"), F.when(F.get("_reader.versions", F.lit(0)) != "", F.col("_reader.versions")).alias("_versions"),
-        F.position(F.col("_reader.taken"), F.col("body")).alias("_answer_at"), F.position("_solved", F.col("body")).alias("_solved_at"), F.position(F.lit(CRITERIA), F.col("body")).alias("_heading_at"),
+        "*", F.coalesce("_block", F.lit("")).alias("_answer"), F.when(F.get("_both", F.lit(0)) != "", F.col("_both")).alias("_versions"),
+        F.position(F.col("_taken"), F.col("body")).alias("_answer_at"), F.position("_solved", F.col("body")).alias("_solved_at"), F.position(F.lit(CRITERIA), F.col("body")).alias("_heading_at"),
     )
     begin = F.greatest(F.col("_heading_at"), F.lit(1))
     behind = lambda c: F.when(F.col(c) > begin, F.col(c))
     end = F.coalesce(F.least(behind("_answer_at"), behind("_solved_at")), F.length("body") + 1)
     rows = rows.select("*", F.substr(F.col("body"), begin, end - begin).alias("_text"), F.substr(F.col("body"), F.col("_solved_at") + F.length("_solved")).alias("_solutions"))
-    parts = rows.select("*", by("notes", lambda p: F.split("_text", p, 2)).alias("_parts"))
-    return parts.select(*found.columns, "_solved", "_answer", "_versions", "_solutions", F.get("_parts", F.lit(0)).alias("_criteria"), F.get("_parts", F.lit(1)).alias("_notes"))
+    rows = rows.select("*", by("notes", lambda p: F.get(_split("_text", p), F.lit(0))).alias("_criteria"), by("notes", lambda p: _extract("_text", p, 0)).alias("_noted"))
+    notes = F.when(F.col("_noted") != "", F.substr(F.col("_text"), F.length("_criteria") + F.length("_noted") + 1))
+    return rows.select(*found.columns, "_solved", "_answer", "_versions", "_solutions", "_criteria", notes.alias("_notes"))
 
 
 def answers(cut: DataFrame, key: str) -> DataFrame:
@@ -165,18 +195,19 @@ def notes(cut: DataFrame, key: str) -> DataFrame:
 
 def thresholds(cut: DataFrame, key: str) -> DataFrame:
     """Thresholds of sections, the first of each number of points: key, ordinal, place (from 1), points, label, and the _block of its conditions."""
-    heads = cut.select(key, "dialect", "ordinal", by("threshold", lambda p: F.split("_criteria", p)).alias("_parts"), by("threshold", lambda p: F.regexp_extract_all("_criteria", F.lit(p), F.lit(0))).alias("_heads"))
+    heads = cut.select(key, "dialect", "ordinal", by("threshold", lambda p: _split("_criteria", p)).alias("_parts"), by("threshold", lambda p: _extract_all("_criteria", p, 0)).alias("_heads"))
     points = F.transform("_heads", lambda h: F.regexp_extract(h, r"(\d+)", 1).cast("int"))
     # never null: else a filter on it would be inferred and pushed down to the texts with all that it is made of
     heads = heads.select(key, "dialect", "ordinal", F.coalesce(points, F.array().cast("array<int>")).alias("_all"), F.arrays_zip(F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0))).alias("rest"), F.col("_heads").alias("head")).alias("_zipped"))
     rows = heads.select(key, "dialect", "ordinal", "_all", F.posexplode_outer("_zipped").alias("_k", "_z")).where(F.col("_k").isNotNull())
-    # which form a head has: only that form's groups hold anything
-    group = lambda g: by("threshold", lambda p: F.regexp_extract("_z.head", p, g))
-    rows = rows.select("*", *[group(2 * k - 1).alias(f"p{k}") for k in range(1, FORMS + 1)], *[group(2 * k).alias(f"t{k}") for k in range(1, FORMS + 1)])
     number = F.get("_all", F.col("_k"))
     rows = rows.where(F.array_position("_all", number) == F.col("_k") + 1)
-    form = lambda value: F.coalesce(*[F.when(F.col(f"p{k}") != "", value(k)) for k in range(1, FORMS + 1)])
-    tail = F.trim(F.regexp_replace(form(lambda k: F.col(f"t{k}")), r"^[ \t–—−-]+|[ \t–—-]+$", ""))
+    # which form a head has: only that form's groups hold anything, its points and what is left of the line
+    forms = range(1, FORMS + 1)
+    shown = "".join(f"${2 * k - 1}{_CUT}" for k in forms) + "".join(f"${2 * k}" for k in forms)
+    rows = rows.select("*", F.split(by("threshold", lambda p: F.regexp_replace("_z.head", p, shown)), _CUT, FORMS + 1).alias("_groups"))
+    form = lambda value: F.coalesce(*[F.when(F.get("_groups", F.lit(k - 1)) != "", value(k)) for k in forms])
+    tail = F.trim(F.rtrim(F.ltrim(F.get("_groups", F.lit(FORMS)), F.lit(" \t–—−-")), F.lit(" \t–—-")))
     before = F.size(F.array_distinct(F.slice("_all", 1, F.col("_k") + 1)))
     rows = rows.select(key, "dialect", "ordinal", before.alias("place"), number.alias("points"), tail.alias("_tail"), form(lambda k: by(f"tail_is_condition_{k}", lambda said: F.lit(said == "True"))).alias("_inline"), F.col("_z.rest").alias("_rest"))
     block = F.when(F.col("_inline"), F.concat("_tail", F.lit("\n"), "_rest")).otherwise(F.col("_rest"))
@@ -185,15 +216,18 @@ def thresholds(cut: DataFrame, key: str) -> DataFrame:
 
 def conditions(found: DataFrame, key: str) -> DataFrame:
     """Conditions of thresholds: key, ordinal, points, label, place (from 1), description and the expressions that are worth the same."""
-    rows = found.select(key, "dialect", "ordinal", "points", "label", F.posexplode_outer(by("alternative", lambda p: F.split("_block", p))).alias("_k", "_part"))
-    said = rows.select(key, "dialect", "ordinal", "points", "label", "_k", tidy(F.col("_part")).alias("_said"), F.regexp_replace("_part", ASIDE, "").alias("_bare"))
-    said = said.select(key, "ordinal", "points", "label", "_k", "_said", by("equivalent", lambda p: F.split("_bare", p)).alias("_pieces"))
-    pieces = said.select(key, "ordinal", "points", "label", "_k", "_said", F.filter(F.transform("_pieces", tidy), lambda x: x != "").alias("_pieces"))
+    cut = found.select(key, "dialect", "ordinal", "points", "label", by("alternative", lambda p: _split("_block", p)).alias("_parts"))
+    cut = cut.select(key, "dialect", "ordinal", "points", "label", F.arrays_zip(F.col("_parts").alias("part"), F.transform("_parts", tidy).alias("said")).alias("_zipped"))
+    rows = cut.select(key, "dialect", "ordinal", "points", "label", F.posexplode_outer("_zipped").alias("_k", "_z")).where(F.col("_z.said") != "")
+    said = rows.select(key, "dialect", "ordinal", "points", "label", "_k", F.col("_z.said").alias("_said"), F.regexp_replace("_z.part", ASIDE, "").alias("_bare"))
+    said = said.select(key, "ordinal", "points", "label", "_k", "_said", by("equivalent", lambda p: _split("_bare", p)).alias("_pieces"))
+    several = F.when(F.size("_pieces") > 1, F.filter(F.transform("_pieces", tidy), lambda x: x != ""))  # else there is nothing worth the same
+    pieces = said.select(key, "ordinal", "points", "label", "_k", "_said", several.alias("_pieces"))
     first = F.get("_pieces", F.lit(0))
     begun = F.regexp_replace(first, FOR_EXAMPLE, "")
     shown = F.concat(F.array(F.when(begun == "", first).otherwise(begun)), F.slice("_pieces", 2, 5))
     expressions = F.when(F.size("_pieces") > 1, shown).otherwise(F.array().cast("array<string>"))
-    return pieces.where(F.col("_said") != "").select(key, "ordinal", "points", "label", (F.col("_k") + 1).alias("place"), F.substring("_said", 1, 600).alias("description"), expressions.alias("expressions"))
+    return pieces.select(key, "ordinal", "points", "label", (F.col("_k") + 1).alias("place"), F.substring("_said", 1, 600).alias("description"), expressions.alias("expressions"))
 
 
 def task_kind(n_solutions: Column, n_answers: Column, points: Column) -> Column:

@@ -249,3 +249,32 @@ def test_no_pattern_of_a_part_runs_in_a_filter(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         filters = [line for line in plan.splitlines() if "Filter" in line]
         assert not [line for line in filters if any(x in line for x in ("Uwag", "rozwi", "A-Z", "split(t"))]
+
+
+def test_no_part_of_a_key_is_made_twice(spark):
+    from gradeloom.plans import keys
+
+    plan = keys.key_criteria(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert filters and not any(f in line for line in filters for f in ("split(", "regexp_replace(", "regexp_extract("))
+
+
+def test_texts_are_cut_as_by_split_and_searched_where_they_say_it(spark):
+    texts = [*KEYS.values(), *[part for text in KEYS.values() for part in text.split("\n\n")]]
+    texts += ["", "\u0001", "a\n LUB \nb\u0001c", "\n LUB \n", "x   albo   y   lub   z\n ALBO ,\n", "2 pkt\n1 punkt a\n\u0001\n3 punkty", "Zdający otrzymuje ... 2 p.\nStrona 1 z 2\nUwagi:\n\n Sposób I\n II sposób", "Egzamin ósmoklasisty z matematyki – termin maj 2021 r."]
+    rows = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").cache()
+    split = [p for p in dialects.SAYS if p != dialects.OLD_POINTS]
+    got = rows.select(
+        F.array(*[parsing._split("t", p) for p in split]).alias("cut"), F.array(*[F.split("t", p) for p in split]).alias("said"),
+        F.array(*[F.when(F.col("t").rlike(p), dialects.may_match(F.col("t"), p)).otherwise(True) for p in dialects.SAYS]).alias("found"), F.array(*[F.col("t").rlike(p) for p in dialects.SAYS]).alias("any"),
+    ).collect()
+    assert all(r.cut == r.said and all(r.found) for r in got)
+    assert sum(any(r.any[k] for r in got) for k in range(len(dialects.SAYS))) > len(dialects.SAYS) // 2
+
+
+def test_a_key_with_the_character_of_borders(spark):
+    text = "Zadanie 1. (0–2)\nZasady oceniania\n2 pkt – a\u0001b\nzapis   albo   in\u0001ny\nUwagi:\n1. Uwaga, która jest długa\u0001\nZadanie 2. (0–1)\nZasady oceniania\n1 pkt\nx\nOgólne zasady oceniania\n1 pkt"
+    cut = parsing.sections(parsing.tasks(spark.createDataFrame([(1, text)], "k int, t string"), "k", "t"))
+    found = parsing.conditions(parsing.thresholds(cut, "k"), "k").orderBy("ordinal").collect()
+    assert [(r.ordinal, r.points, r.label, r.description, r.expressions) for r in found] == [(1, 2, None, "a\u0001b zapis albo in\u0001ny", ["a\u0001b zapis", "in\u0001ny"]), (2, 1, None, "x", [])]
+    assert [r.content for r in parsing.notes(cut, "k").collect()] == ["1. Uwaga, która jest długa"]
